@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination
+from . import classifier, decontamination, mixing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_pareto_mixing": mixing.query,
         "op8_benchmark_decontamination": decontamination.query,
+        "op10_quality_classifier": classifier.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_pareto_mixing": mixing.ORACLE_SQL,
+    }
