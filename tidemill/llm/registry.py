@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, decontamination, mixing
+from . import classifier, decontamination, language, mixing, scoring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_pareto_mixing": mixing.query,
+        "op5_ppm_scoring": scoring.query,
+        "op7_language_filters": language.query,
         "op8_benchmark_decontamination": decontamination.query,
         "op10_quality_classifier": classifier.query,
     }
