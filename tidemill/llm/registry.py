@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, decontamination, language, mixing, scoring
+from . import classifier, decontamination, knn, language, mixing, scoring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_voronoi_top_k": knn.query,
         "op4_pareto_mixing": mixing.query,
         "op5_ppm_scoring": scoring.query,
         "op7_language_filters": language.query,
@@ -21,5 +22,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_voronoi_top_k": knn.ORACLE_SQL,
         "op4_pareto_mixing": mixing.ORACLE_SQL,
     }
