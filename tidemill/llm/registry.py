@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, decontamination, knn, language, mixing, scoring
+from . import classifier, decontamination, jaccard, knn, language, mixing, scoring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_ppm_scoring": scoring.query,
         "op7_language_filters": language.query,
         "op8_benchmark_decontamination": decontamination.query,
+        "op9_jaccard_join": jaccard.query,
         "op10_quality_classifier": classifier.query,
     }
 

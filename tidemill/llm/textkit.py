@@ -104,7 +104,7 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, _U)
-    acc = np.full(n, _U(k) * _U(0xA24BAED4963EE407), _U)
+    acc = np.full(n, _U(k * 0xA24BAED4963EE407 & 0xFFFFFFFFFFFFFFFF), _U)
     for j in range(k):
         acc = (acc ^ h[j : j + n]) * _U(0x9FB21C651E98DF25)
         acc ^= acc >> _U(29)
