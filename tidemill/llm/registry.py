@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, decontamination, jaccard, knn, language, licenses, mixing, scoring
+from . import classifier, decontamination, jaccard, knn, language, licenses, lines, mixing, scoring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_voronoi_top_k": knn.query,
         "op2_license_scan": licenses.query,
+        "op3_line_dedup": lines.query,
         "op4_pareto_mixing": mixing.query,
         "op5_ppm_scoring": scoring.query,
         "op7_language_filters": language.query,
