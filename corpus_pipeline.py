@@ -1,30 +1,61 @@
-"""A corpus pipeline of the training-data operators; each stage reads all that the one before it kept."""
+"""A corpus pipeline of the training-data operators; each stage reads all that the one before it kept.
+
+Between stages the rows are written as Parquet to the shared folder and read again. All but the last stage return the columns
+of ``documents``; the last returns the mix.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemill.llm import classifier, decontamination, jaccard, lines, mixing
 from tidemill.llm.common import Scratch, cut, table
-from tidemill.llm import decontamination
+
+#: Near-duplicate documents: five words a shingle, a similarity of 0.8 or more.
+SHINGLE, PERCENT = 5, 80
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    model = classifier.train(docs, table(spark, sf_dir, "labels"))
+    return classifier.score(docs, model, keep=True).where(f"_score >= {classifier.THRESHOLD}").drop("_score")
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that nearly repeat one elsewhere; n_chars follows the text. Those that lose all their words go."""
+    columns = docs.columns
+    rows = lines.dedup_lines(docs).where(r"size(_removed) = 0 or text rlike '[\\p{L}\\p{N}]'")
+    if "n_chars" in columns:
+        kind = docs.schema["n_chars"].dataType.simpleString()
+        rows = rows.selectExpr(*(f"if(size(_removed) = 0, n_chars, cast(length(text) as {kind})) as n_chars" if c == "n_chars" else f"`{c}`" for c in columns))
+    return rows.select(*columns)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return jaccard.one_of_each(docs, SHINGLE, PERCENT)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold benchmark windows."""
-    return docs
+    """Documents in which no benchmark window stands."""
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    return mixing.pareto_mix(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-STAGES = [("decontamination", decontaminate)]
-ORACLE_SQL = None
+STAGES = [("quality", keep_quality), ("line_dedup", dedup_lines), ("jaccard", dedup_documents), ("decontamination", decontaminate), ("mixing", mix)]
+ORACLE_SQL = None  # the classifier is no SQL; tests compare the pipeline with a brute-force version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; between stages the rows are written and read again."""
+    """All stages over the documents of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
     scratch = Scratch(spark)
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = scratch.keep(docs)
-    docs = cut(docs)
+        docs = scratch.keep(docs) if k < len(STAGES) - 1 else cut(docs)
     scratch.close()
     return docs

@@ -150,18 +150,10 @@ def _pass(docs: DataFrame, keys: list[str], windows: Windows | None) -> DataFram
     return docs.select(*keys, "text").mapInArrow(join, schema)
 
 
-def contaminated_spans(docs: DataFrame, items: DataFrame, keys: list[str] | None = None, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """For each document row: ``keys``, n_words, the merged spans [first, last) of words inside benchmark windows, and item_ids."""
-    keys = keys or ["doc_id"]
-    docs = docs.select(*keys, "text")
+def item_blocks(items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list[Windows]:
+    """The items in blocks of bounded size."""
     passes: list[Windows] = []
     pending: list[tuple[int, np.ndarray]] = []
-
-    def close() -> None:
-        if pending:
-            passes.append(Windows(list(pending), window))
-            pending.clear()
-
     size = 0
     for row in items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").toLocalIterator():
         data = LOWER[np.frombuffer(row[1].encode(), np.uint8)]
@@ -169,12 +161,40 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, keys: list[str] | None
         h = hash_words(data, w)
         if not len(h):
             continue
-        if size + len(h) > block_words:
-            close()
-            size = 0
+        if pending and size + len(h) > block_words:
+            passes.append(Windows(pending, window))
+            pending, size = [], 0
         pending.append((row[0], h))
         size += len(h)
-    close()
+    return [*passes, Windows(pending, window)] if pending else passes
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The documents, with all their columns, in which no benchmark window stands; nothing is shuffled."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    for block in item_blocks(items, window, block_words):
+        block.order(_frequencies(docs, np.unique(block.words)))
+
+        def clean(batches: Iterator[pa.RecordBatch], block: Windows = block) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for rows, data, offs in blocks(batch):
+                    data = LOWER[data]
+                    w = Words(data, offs, ALNUM)
+                    keep = np.ones(rows.num_rows, bool)
+                    if len(w.starts):
+                        place, _, _ = block.join(hash_words(data, w), w)
+                        keep[np.searchsorted(w.first, place, "right") - 1] = False
+                    yield rows.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(clean, fields)
+    return docs
+
+
+def contaminated_spans(docs: DataFrame, items: DataFrame, keys: list[str] | None = None, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """For each document row: ``keys``, n_words, the merged spans [first, last) of words inside benchmark windows, and item_ids."""
+    keys = keys or ["doc_id"]
+    docs = docs.select(*keys, "text")
+    passes = item_blocks(items, window, block_words)
     found = None
     for block in passes:
         block.order(_frequencies(docs, np.unique(block.words)))

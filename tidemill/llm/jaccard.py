@@ -330,6 +330,14 @@ def _rest(cells: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) ->
     return groups.repartition("g").sortWithinPartitions("g").mapInArrow(link, "a long, b long")
 
 
+def one_of_each(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The documents, with all their columns, one of each class: the smallest doc_id. Rows equal in doc_id and text are one document."""
+    same = F.xxhash64("doc_id", "text")
+    found = classes(docs.select(F.struct("doc_id", same.alias("h")).alias("key"), "text"), k, percent, "key")
+    kept = found.where(F.col("key").eqNullSafe(F.col("component_id"))).select(F.col("key.h").alias("_h")).distinct()
+    return docs.withColumn("_h", same).join(kept, "_h", "left_semi").dropDuplicates(["_h"]).drop("_h")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: the near-duplicate class of every document."""
     return classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
