@@ -63,7 +63,7 @@ def address_map(text: Column | str) -> Column:
 
 def id_list(text: Column | str) -> Column:
     """Comma-separated numbers as an array; what is no number becomes null."""
-    return F.transform(F.split(text, ","), lambda s: F.expr("try_cast(x as int)") if False else F.trim(s).try_cast("int"))
+    return F.transform(F.split(text, ","), lambda s: F.trim(s).try_cast("int"))
 
 
 def thousands(x: Column | str, digits: int = 0) -> Column:
