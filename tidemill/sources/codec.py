@@ -9,14 +9,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed layout.
 WIRE = np.dtype([("version", "u1"), ("event_time_ms", "<i8"), ("zone", "<i4"), ("fare_cents", "<i8"), ("distance_milli", "<i8"), ("publish_ms", "<i8")])
 VERSION = 1
 _FIELDS = WIRE.names[1:]
+# type objects, not DDL: they need no session when the module is imported
+_DECODED = T.StructType([T.StructField("ok", T.BooleanType())] + [T.StructField(n, T.IntegerType() if n == "zone" else T.LongType()) for n in _FIELDS])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _encode(t: pd.Series, zone: pd.Series, fare: pd.Series, distance: pd.Series, publish: pd.Series) -> pd.Series:
     out = np.zeros(len(t), WIRE)
     out["version"] = VERSION
@@ -26,7 +29,7 @@ def _encode(t: pd.Series, zone: pd.Series, fare: pd.Series, distance: pd.Series,
     return pd.Series([raw[i : i + WIRE.itemsize] for i in range(0, len(raw), WIRE.itemsize)])
 
 
-@F.pandas_udf("ok boolean, event_time_ms long, zone int, fare_cents long, distance_milli long, publish_ms long")
+@F.pandas_udf(_DECODED)
 def _decode(value: pd.Series) -> pd.DataFrame:
     ok = value.map(lambda b: b is not None and len(b) == WIRE.itemsize and b[0] == VERSION).to_numpy(bool)
     rows = np.zeros(len(value), WIRE)

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "event_time_ms long, zone int, fare_cents long, distance_milli long, publish_ms long, partition int, offset long"
 _STEP = 8192
@@ -71,24 +71,35 @@ class _Reader(DataSourceReader):
             yield self.o.make(part.partition, at, min(n, at + _STEP))
 
 
-class _StreamReader(SimpleDataSourceStreamReader):
+class _Range(InputPartition):
+    def __init__(self, partition: int, start: int, stop: int):
+        self.partition, self.start, self.stop = partition, start, stop
+
+
+class _StreamReader(DataSourceStreamReader):
     """``batch`` rows of each partition a micro-batch, until ``events`` are made."""
 
     def __init__(self, options: dict):
         self.o = _Options(options)
+        self.row = 0
 
     def initialOffset(self) -> dict:
         return {"row": 0}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        stop = min(start["row"] + self.o.batch, max(self.o.share(p) for p in range(self.o.partitions)))
-        return self.readBetweenOffsets(start, {"row": stop}), {"row": stop}
+    def latestOffset(self) -> dict:
+        self.row = min(self.row + self.o.batch, max(self.o.share(p) for p in range(self.o.partitions)))
+        return {"row": self.row}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        self.row = max(self.row, end["row"])  # after a restart, go on from the checkpoint
+        return [_Range(p, start["row"], min(end["row"], self.o.share(p))) for p in range(self.o.partitions)]
+
+    def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
+        if part.start < part.stop:
+            yield self.o.make(part.partition, part.start, part.stop)
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        for p in range(self.o.partitions):
-            stop = min(end["row"], self.o.share(p))
-            if start["row"] < stop:
-                yield from zip(*self.o.make(p, start["row"], stop).to_pydict().values(), strict=True)
+    def commit(self, end: dict) -> None:
+        pass
 
 
 class Synthetic(DataSource):
@@ -102,7 +113,7 @@ class Synthetic(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options))
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema) -> DataSourceStreamReader:
         return _StreamReader(dict(self.options))
 
 
