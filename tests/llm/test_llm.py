@@ -45,7 +45,7 @@ def test_query_equals_sql(spark, name):
     df = registry.queries()[name](spark, d)
     columns = sorted(df.columns)
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "benchmark", "labels"):
+    for t in ("documents", "embeddings", "benchmark", "labels", "pages"):
         con.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
     found = con.execute(registry.oracle_sql()[name])
     names = [c[0] for c in found.description]
@@ -474,3 +474,24 @@ def test_hashes_of_words_do_not_depend_on_blocks():
         alone = [hash_words(d, Words(d, np.array([0, len(d)]), table))[0] for a, b in zip(w.starts, w.ends) for d in [data[a:b]]]
         assert hash_words(data, w).tolist() == alone
     assert hashlib.sha256(text).hexdigest()
+
+
+# 6
+
+
+def test_fixity(spark):
+    from tidemill.llm import fixity
+
+    rows = [(i, f"http://h/{i}", "<p>" + "é" * (i % 7) + "</p>") for i in range(700)] + [(None, None, None), (None, "u", "x"), (5, "http://h/5", "again")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("at", "n", "digest", "length", "file")})
+    assert fixity.audit(pages, pages).count() == 0
+    other = pages.where("page_id is null or page_id not in (3, 650)").withColumn("html", F.when(F.col("page_id") == 300, "changed").otherwise(F.col("html")))
+    other = other.unionByName(pages.where("page_id = 9")).unionByName(pages.limit(1).withColumn("page_id", F.lit(5_000_000).cast("long"))).where("url is null or url <> 'u'")
+    got = {r["page_id"]: (r["kind"], r["n_expected"], r["n_found"]) for r in fixity.audit(pages, other).collect()}
+    assert got == {3: ("missing", 1, 0), 650: ("missing", 1, 0), 300: ("changed", 1, 1), 9: ("repeated", 1, 2), 5_000_000: ("extra", 0, 1), None: ("repeated", 2, 1)}
+    record = {r["page_id"]: r["r"].encode() for r in pages.where("page_id is not null and html <> 'again'").select("page_id", fixity.record().alias("r")).collect()}
+    bad = next(r for r in fixity.audit(pages, other).collect() if r["page_id"] == 300)
+    assert bad["sha256_expected"] == hashlib.sha256(record[300]).hexdigest() and bad["length"] == len(record[300])
+    again = len(pages.where("html = 'again'").select(fixity.record().alias("r")).first()[0])
+    assert bad["offset"] == sum(len(record[i]) for i in range(300)) + again
+    assert fixity.audit(pages.limit(0), pages.limit(0)).count() == 0 and fixity.audit(pages.limit(0), pages.where("page_id < 3")).count() == 3

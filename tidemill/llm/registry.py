@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, decontamination, jaccard, knn, language, licenses, lines, mixing, scoring
+from . import classifier, decontamination, fixity, jaccard, knn, language, licenses, lines, mixing, scoring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_line_dedup": lines.query,
         "op4_pareto_mixing": mixing.query,
         "op5_ppm_scoring": scoring.query,
+        "op6_merkle_fixity": fixity.query,
         "op7_language_filters": language.query,
         "op8_benchmark_decontamination": decontamination.query,
         "op9_jaccard_join": jaccard.query,
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_voronoi_top_k": knn.ORACLE_SQL,
         "op4_pareto_mixing": mixing.ORACLE_SQL,
+        "op6_merkle_fixity": fixity.ORACLE_SQL,
     }
