@@ -126,8 +126,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = r"""
 with r as (select page_id, url, coalesce(html, '') as html, page_id // 1024 as file from pages),
 t as (select *, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' as head, chr(13) || chr(10) || chr(13) || chr(10) as nl from r),
-x as (select *, head || octet_length(html::blob) || nl || html || nl as good, head || (octet_length(html::blob) + 1) || nl || html || '!' || nl as bad from t),
-o as (select *, octet_length(good::blob)::bigint as length, (sum(octet_length(good::blob)) over (partition by file order by page_id))::bigint - octet_length(good::blob)::bigint as "offset" from x)
+x as (select *, head || strlen(html) || nl || html || nl as good, head || (strlen(html) + 1) || nl || html || '!' || nl as bad from t),
+o as (select *, strlen(good)::bigint as length, (sum(strlen(good)) over (partition by file order by page_id))::bigint - strlen(good)::bigint as "offset" from x)
 select page_id, case when page_id % 499 = 7 then 'missing' when page_id % 997 = 5 then 'repeated' else 'changed' end as kind, file, "offset", length, 1::bigint as n_expected,
   case when page_id % 499 = 7 then 0 when page_id % 997 = 5 then 2 else 1 end::bigint as n_found, sha256(good) as sha256_expected,
   case when page_id % 499 = 7 then null when page_id % 211 = 17 then sha256(bad) else sha256(good) end as sha256_found
