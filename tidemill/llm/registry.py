@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, decontamination, fixity, jaccard, knn, language, licenses, lines, mixing, scoring
+from . import classifier, decontamination, fixity, jaccard, knn, language, licenses, lines, mixing, oracle, scoring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -29,4 +29,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_voronoi_top_k": knn.ORACLE_SQL,
         "op4_pareto_mixing": mixing.ORACLE_SQL,
         "op6_merkle_fixity": fixity.ORACLE_SQL,
+        "op8_benchmark_decontamination": oracle.DECONTAMINATION,
+        "op9_jaccard_join": oracle.JACCARD,
     }
