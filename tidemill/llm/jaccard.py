@@ -8,11 +8,13 @@ four steps, none of which loses a link:
    differ, and among the d + 1 first of all groups in one common order (larger groups first, then by hash) at least one
    is the same in both: prefix filtering over whole groups. Nodes that hold the same group meet in its cell. No corpus
    statistics are needed, and a group of several shingles is far rarer than any one of them. Cells with the same members are one.
-2. Stars. Each node is verified against one node, the smallest it shares a cell with; this joins groups of near copies in linear work.
-3. Rest. Cells whose nodes are still of several components are solved: their nodes outside the largest
+2. Stars. Each node is verified against one node, the one in most cells of those it shares a cell with (of a group of near copies that is
+   the text the others were made from); this joins groups of near copies in linear work.
+3. Rest. Cells whose nodes are still of several components are searched: their nodes outside the largest
    component against all, in pairs of blocks of ``BLOCK`` nodes. Each block is an R-tree over count vectors (how many shingles fall in each
-   of G hash groups); a page's overlap with a query is bounded by the summed minima of the query's counts and the page's
-   largest ones; surviving pairs are verified exactly, unless already connected.
+   of G hash groups, G from the set's size to its double); a page's overlap with a query is bounded by the summed minima of the query's
+   counts and the page's largest ones. Only the small vectors travel to the cells; the sets of nodes with a surviving pair follow, and
+   their pairs are verified exactly, unless already connected. Each cell gives links enough to connect what is linked in it, not all of its pairs.
 4. Components of all links.
 
 The R-tree alone can't deal the work out: unrelated long texts have nearly equal counts, so that its pages overlap; hence the cells.
@@ -24,6 +26,7 @@ are shingles equal in a 64-bit hash. A null doc_id keeps itself as component unl
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -144,14 +147,46 @@ class RTree:
             if depth < len(self.levels) - 1:
                 at = (at[:, None] * self.FAN + np.arange(self.FAN)).ravel()
                 at = at[at < len(tops)]
-            bound = np.minimum(tops[at], point).sum(axis=1)
+            bound = np.minimum(tops[at], point).sum(axis=1, dtype=np.int64)
             # overlap i suffices only if (100 + percent) i >= percent (|A| + |B|)
             at = at[(100 + self.percent) * bound >= self.percent * (size + least[at])]
         return self.order[at]
 
 
-def solve(nodes: list[int], comps: list[int], sets: list[np.ndarray], left: list[int], right: list[int], percent: int) -> list[tuple[int, int]]:
-    """Links between positions of ``left`` and ``right`` that connect what was not connected."""
+def packed_counts(s: np.ndarray) -> bytes:
+    """The count vector of a set with as many groups as fit its size, compressed."""
+    c = counts(s, groups_of(len(s)))
+    return zlib.compress(c.astype(np.uint8 if c.max(initial=0) < 256 else np.uint32).tobytes(), 1)
+
+
+def groups_of(n: int) -> int:
+    """A power of two from the size to its double: so many that what two sets don't share seldom meets in a group."""
+    return max(16, 1 << max(n, 1).bit_length())
+
+
+def unpacked(packed: bytes, n: int, groups: int) -> np.ndarray:
+    """A packed vector, folded to fewer groups."""
+    own = groups_of(n)
+    raw = zlib.decompress(packed)
+    c = np.frombuffer(raw, np.uint8 if len(raw) == own else np.uint32)
+    return c if own == groups and c.dtype == np.uint8 else c.reshape(own // groups, groups).sum(axis=0, dtype=np.uint32)
+
+
+def search(comps: list[int], sizes: list[int], vectors: list[bytes], left: list[int], right: list[int], percent: int) -> set[int]:
+    """The positions that have a partner (one in ``left``, one in ``right``, of different components) whose counts allow the similarity."""
+    groups = min(groups_of(n) for n in sizes)
+    tree = RTree(np.array([unpacked(vectors[i], sizes[i], groups) for i in right]), np.array([sizes[i] for i in right]), percent)
+    out: set[int] = set()
+    for i in left:
+        for j in tree.search(unpacked(vectors[i], sizes[i], groups), sizes[i]).tolist():
+            j = right[j]
+            if comps[i] != comps[j] and 100 * min(sizes[i], sizes[j]) >= percent * max(sizes[i], sizes[j]):
+                out |= {i, j}
+    return out
+
+
+def solve(nodes: list[int], comps: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Verified links that connect what was not connected."""
     parent = {c: c for c in comps}
 
     def find(x: int) -> int:
@@ -160,15 +195,9 @@ def solve(nodes: list[int], comps: list[int], sets: list[np.ndarray], left: list
             x = parent[x]
         return x
 
-    groups = 16
-    while groups * 8 < max(len(s) for s in sets):
-        groups *= 2
-    points = np.array([counts(sets[i], groups) for i in right], np.int32)
-    tree = RTree(points, np.array([len(sets[i]) for i in right]), percent)
     out = []
-    for i in left:
-        for j in tree.search(counts(sets[i], groups), len(sets[i])).tolist():
-            j = right[j]
+    for i in range(len(nodes)):
+        for j in range(i):
             if (a := find(comps[i])) != (b := find(comps[j])) and similar(sets[i], sets[j], percent):
                 parent[a] = b
                 out.append((nodes[i], nodes[j]))
@@ -244,12 +273,12 @@ def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, key: str
     cells = scratch.keep(ordered.mapInArrow(_cells, "cell long, node long").distinct())
 
     sets = scratch.keep(_sets(docs, cells, k))
-    stars = cells.join(cells.groupBy("cell").agg(F.min("node").alias("least")), "cell").groupBy("node").agg(F.min("least").alias("b")).where("node <> b")
-    links = cut(_verified(stars.withColumnRenamed("node", "a"), sets, percent))
-    rest = cut(_rest(cells, components(links), sets, percent))
-    if not rest.isEmpty():
-        links = links.unionByName(rest)
+    vectors = scratch.keep(sets.mapInArrow(_vectors, "node long, n int, vector binary"))
+    links = cut(_verified(_stars(cells), sets, percent))
     parts = components(links)
+    rest = cut(_rest(cells, parts, vectors, sets, percent))
+    if not rest.isEmpty():
+        parts = components(links.unionByName(rest))
 
     named = measured.where("node is not null").groupBy("node").agg(F.min("id").alias("least")).join(parts, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     roots = named.groupBy("comp").agg(F.min("least").alias("root"))
@@ -298,36 +327,72 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
-def _rest(cells: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(x, _U) for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([packed_counts(s) for s in sets], pa.binary())], ["node", "n", "vector"])
+
+
+def _stars(cells: DataFrame) -> DataFrame:
+    """(a, b): each node and the one in most cells among those that it shares a cell with."""
+    ranked = cells.join(cells.groupBy("node").agg(F.count("*").alias("d")), "node")
+    hubs = ranked.groupBy("cell").agg(F.max(F.struct("d", "node")).alias("hub"))
+    best = cells.join(hubs, "cell").groupBy("node").agg(F.max("hub").alias("hub"))
+    return cut(best.where("node <> hub.node").select(F.col("node").alias("a"), F.col("hub.node").alias("b")))
+
+
+def _groups(t: pa.Table) -> Iterator[tuple[int, int, list[int], list[int]]]:
+    """(from, to, left positions, right positions) of each group of a sorted table."""
+    g = t.column("g").to_numpy()
+    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
+    is_left, is_right = t.column("is_left").to_numpy(), t.column("is_right").to_numpy()
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        left, right = np.flatnonzero(is_left[a:b]).tolist(), np.flatnonzero(is_right[a:b]).tolist()
+        if left and right:
+            yield a, b, left, right
+
+
+def _rest(cells: DataFrame, parts: DataFrame, vectors: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between different components that share a cell."""
     placed = cells.join(parts, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    shares = placed.groupBy("cell", "comp").agg(F.count("*").alias("n"))
-    mixed = shares.groupBy("cell").agg(F.sum("n").alias("total"), F.max(F.struct("n", "comp")).alias("big"), F.count("*").alias("comps")).where("comps > 1")
+    shares = placed.groupBy("cell", "comp").agg(F.count("*").alias("m"))
+    mixed = shares.groupBy("cell").agg(F.sum("m").alias("total"), F.max(F.struct("m", "comp")).alias("big"), F.count("*").alias("comps")).where("comps > 1")
     rows = placed.join(mixed, "cell").withColumn("outside", F.col("comp") != F.col("big.comp"))
-    rows = rows.withColumn("rows", F.ceil(F.col("total") / BLOCK)).withColumn("lefts", F.ceil((F.col("total") - F.col("big.n")) / BLOCK))
+    rows = rows.withColumn("rows", F.ceil(F.col("total") / BLOCK)).withColumn("lefts", F.ceil((F.col("total") - F.col("big.m")) / BLOCK))
     rows = rows.withColumn("j", F.pmod(F.xxhash64("node"), "rows")).withColumn("i", F.when(F.col("outside"), F.pmod(F.xxhash64("node", "cell"), "lefts")))
     right = rows.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lefts") - 1)))
     right = right.select("node", "comp", F.xxhash64("cell", "at", "j").alias("g"), (F.col("outside") & (F.col("i") == F.col("at"))).alias("is_left"), F.lit(True).alias("is_right"))
     left = rows.where("outside and rows > 1").withColumn("at", F.explode(F.expr("filter(sequence(0L, rows - 1), x -> x <> j)")))
     left = left.select("node", "comp", F.xxhash64("cell", "i", "at").alias("g"), F.lit(True).alias("is_left"), F.lit(False).alias("is_right"))
 
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches):
+            node, comp, n, vector = (t.column(c).to_pylist() for c in ("node", "comp", "n", "vector"))
+            out: dict[tuple[int, ...], list[int]] = {}
+            for a, b, left_at, right_at in _groups(t):
+                at = {node[a + i]: a + i for i in search(comp[a:b], n[a:b], vector[a:b], left_at, right_at, percent)}
+                if at:  # groups with the same nodes are solved once
+                    out[tuple(sorted(at))] = [at[x] for x in sorted(at)]
+            name = [int(mix(mix(np.array(k, np.int64).view(_U)).sum(keepdims=True)).view(np.int64)[0]) for k in out]
+            rows = [i for k in out.values() for i in k]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(np.array(name, np.int64), [len(k) for k in out])), pa.array([node[i] for i in rows], pa.int64()), pa.array([comp[i] for i in rows], pa.int64())], ["g", "node", "comp"]
+            )
+
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches):
             g = t.column("g").to_numpy()
-            first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
-            node, comp = t.column("node").to_pylist(), t.column("comp").to_pylist()
-            is_left, is_right = t.column("is_left").to_numpy(), t.column("is_right").to_numpy()
-            members = t.column("members")
-            found = []
-            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                sets_here = [np.frombuffer(x, _U) for x in members.slice(a, b - a).to_pylist()]
-                left_at, right_at = np.flatnonzero(is_left[a:b]).tolist(), np.flatnonzero(is_right[a:b]).tolist()
-                if left_at and right_at:
-                    found += solve(node[a:b], comp[a:b], sets_here, left_at, right_at, percent)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
-
-    groups = right.unionByName(left).join(sets, "node").select("g", "node", "comp", "is_left", "is_right", "members")
-    return groups.repartition("g").sortWithinPartitions("g").mapInArrow(link, "a long, b long")
+            first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]])).tolist()
+            node, comp, members = t.column("node").to_pylist(), t.column("comp").to_pylist(), t.column("members")
+            found: list[tuple[int, int]] = []
+            for a, b in zip(first[:-1], first[1:], strict=True):
+                found += solve(node[a:b], comp[a:b], [np.frombuffer(x, _U) for x in members.slice(a, b - a).to_pylist()], percent)
+            yield pa.RecordBatch.from_arrays([pa.array([max(x) for x in found], pa.int64()), pa.array([min(x) for x in found], pa.int64())], ["a", "b"])
+
+    near = right.unionByName(left).join(vectors, "node").select("g", "node", "comp", "is_left", "is_right", "n", "vector")
+    near = cut(near.repartition("g").sortWithinPartitions("g").mapInArrow(look, "g long, node long, comp long").distinct())
+    full = near.join(sets, "node").select("g", "node", "comp", "members")
+    return full.repartition("g").sortWithinPartitions("g").mapInArrow(link, "a long, b long").distinct()
 
 
 def one_of_each(docs: DataFrame, k: int, percent: int) -> DataFrame:
