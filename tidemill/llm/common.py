@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -40,8 +41,9 @@ def cut(df: DataFrame) -> DataFrame:
 class Scratch:
     """Parquet tables in the shared folder that live as long as one operator call.
 
-    ``keep`` writes a frame and reads it back, which cuts lineage and survives lost executors;
-    ``close`` deletes everything written, after the operator's result has been cut itself.
+    ``keep`` writes a frame and reads it back, which cuts lineage and survives lost executors; ``close`` deletes everything
+    written, after the operator's result has been cut itself. Both then have Spark's cleaner drop the shuffle files that nothing
+    refers to any more: by itself it does so only when the driver happens to collect its garbage.
     """
 
     def __init__(self, spark: SparkSession):
@@ -53,9 +55,15 @@ class Scratch:
         self.count += 1
         path = f"{self.root}/{self.count}"
         df.write.parquet(path)
+        self._release()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def close(self) -> None:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self._release()
+
+    def _release(self) -> None:
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
