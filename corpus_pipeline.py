@@ -24,7 +24,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that nearly repeat one elsewhere; n_chars follows the text. Those that lose all their words go."""
     columns = docs.columns
-    rows = lines.dedup_lines(docs).where(r"size(_removed) = 0 or text rlike '[\\p{L}\\p{N}]'")
+    rows = lines.dedup_lines(docs, exact=True).where(r"size(_removed) = 0 or text rlike '[\\p{L}\\p{N}]'")
     if "n_chars" in columns:
         kind = docs.schema["n_chars"].dataType.simpleString()
         rows = rows.selectExpr(*(f"if(size(_removed) = 0, n_chars, cast(length(text) as {kind})) as n_chars" if c == "n_chars" else f"`{c}`" for c in columns))

@@ -192,6 +192,60 @@ def test_line_groups_against_brute_force(spark):
     assert got == set(keep.values())
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def kept_by_edit_distance(rows):
+    """The rows that stay, by comparing all lines (one a row) by edit distance alone."""
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    words = [t.split() for _, t in rows]
+    for i, a in enumerate(words):
+        for j in range(i):
+            if edit_distance(a, words[j]) <= max(len(a), len(words[j])) // 5:
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    return {d for k, (d, _) in enumerate(rows) if find(k) == k}
+
+
+def test_line_recall_against_edit_distance(spark):
+    """No pair within a fifth of edits is lost, whatever the length and the kind of edit."""
+    r = random.Random(5)
+    rows = []
+    for n in [1, 3, 4, 5, 6, 7, 8, 9, 10, 11, 14, 15, 16, 17, 20, 25, 27, 40, 50, 100]:
+        base = [f"w{r.randrange(10**6)}" for _ in range(n)]
+        rows.append(base)
+        for share in (1, 1, 2):
+            w = list(base)
+            for e in range(share * n // 10 if share < 2 else n // 5):
+                at = min(len(w) - 1, int((e + 0.5) * 5)) if share == 2 else r.randrange(len(w))
+                kind = r.choice(["change", "change", "drop", "add"]) if share == 1 else "change"
+                if kind == "add":
+                    w.insert(at, f"new{r.randrange(10**6)}")
+                elif kind == "drop":
+                    del w[at]
+                else:
+                    w[at] = f"new{r.randrange(10**6)}"
+            rows.append(w)
+        rows.append([f"x{i}" if i % 4 == 0 else x for i, x in enumerate(base)])  # more than a fifth
+        rows.append([*base[: n // 2], *[f"own{n}x{i}" for i in range(n)]])  # a shared passage only
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    want = kept_by_edit_distance(rows)
+    assert len(want) < len(rows) - 30
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x["doc_id"] for x in lines.dedup_lines(df, exact=True).where("text <> ''").collect()} == want
+
+
 # 4
 
 

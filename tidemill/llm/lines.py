@@ -9,8 +9,13 @@
    that share blocks, so that large groups cost linear work and no link is lost.
 5. Of each connected group the first occurrence (by doc_id, then line) is kept; all other occurrences are removed.
 
-Defined results. Lines are what newlines separate. Lines without words are kept as they are. Lines of more than 16,000 words match
-only if equal (repeated rows count together here). A null text stays null and has no lines; a document that loses all its lines keeps an empty text. Rows equal in doc_id and text
+SimHash misses most pairs with several edited words, so with ``exact`` steps 2 and 3 give way to shared runs of words, which miss none:
+k edits leave a line of L words in k + 1 runs at most, the longest of ceil((L - k) / (k + 1)) words; k being a fifth of L, that is 4 words
+from L = 16 on, 3 from 6 on and 2 at 5 (shorter lines match only if equal). Each line joins on all its runs of the lengths that it or a
+partner needs. Across components, a pair is taken only where a shared run begins. The query and the pipeline use this; the rest is the same.
+
+Defined results. Lines are what newlines separate. Lines without words are kept as they are. Without ``exact``, lines of more than
+16,000 words match only if equal (repeated rows count together here). A null text stays null and has no lines; a document that loses all its lines keeps an empty text. Rows equal in doc_id and text
 count as one document and get the same result. Words equal in a 64-bit hash are taken for the same; edit distances
 compare words by a code of 20,000 values. Extra columns are carried.
 """
@@ -68,9 +73,27 @@ def _code(words: Column) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform(words, lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(20000)) + 0x4E00), 4, "0")), "")), "UTF-16BE")
 
 
-def duplicate_lines(docs: DataFrame, scratch: Scratch, key: Column) -> DataFrame:
-    """doc and removed (the line numbers that go) of the documents that lose lines."""
-    lines = scratch.keep(_lines(docs.select("doc_id", "text"), key))
+def _run(h: Column, i: Column, size: int) -> Column:
+    return F.xxhash64(*[F.get(h, i + j) for j in range(size)])
+
+
+def _runs(h: Column, size: int) -> Column:
+    """The hash of each run of ``size`` words, and the word before it (null: none), from the words' hashes."""
+    return F.transform(F.sequence(F.lit(0), F.size(h) - size), lambda i: F.struct(_run(h, i, size).alias("key"), F.get(h, i - 1).alias("prev")))
+
+
+def _run_keys(norm: Column, n: Column) -> Column:
+    """The runs on which a line of n words joins: of 4 words if it or a partner (a fifth longer or shorter) has 16 words or more, of 3 from 6 on, of 2 at 5."""
+    none = F.array().cast("array<struct<key: bigint, prev: bigint>>")
+    pick = lambda h: F.concat(
+        F.when(n >= 13, _runs(h, 4)).otherwise(none), F.when(n.between(5, 15), _runs(h, 3)).otherwise(none), F.when(n.between(4, 5), _runs(h, 2)).otherwise(none)
+    )
+    # the hashes are a variable of the outer function, so they are computed once a line
+    return F.array_distinct(F.get(F.transform(F.array(F.transform(F.split(norm, " ", -1), lambda w: F.xxhash64(w))), pick), F.lit(0)))
+
+
+def _simhash_candidates(lines: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The occurrences, the nodes, and the nodes by key with what ``_near`` compares, from SimHashes."""
     # what stands beside the generator is evaluated for every word, so nothing is computed here but the words' hashes
     words = lines.select("doc", "doc_id", "line", "node", "n", F.explode(F.split("norm", " ", -1)).alias("w")).select("doc", "doc_id", "line", "node", "n", F.xxhash64("w").alias("h"))
     lane = F.lit(LANE)
@@ -79,12 +102,33 @@ def duplicate_lines(docs: DataFrame, scratch: Scratch, key: Column) -> DataFrame
     sums = sums.select("doc", "doc_id", "line", "node", "n", F.when((F.col("n") <= LONGEST) & (F.col("seen") <= LONGEST), _simhash(F.col("seen"))).alias("sim"))
     occurrences = scratch.keep(sums)
     nodes = scratch.keep(occurrences.groupBy("node").agg(F.max("sim").alias("sim"), F.min(F.struct("doc_id", "doc", "line")).alias("first"), F.count("*").alias("many")))
+    return occurrences, nodes, nodes.where("sim is not null").select("node", "sim", F.explode(_keys(F.col("sim"))).alias("key"))
 
-    keyed = nodes.where("sim is not null").select("node", "sim", F.explode(_keys(F.col("sim"))).alias("key")).repartition("key")
+
+def _run_candidates(lines: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The occurrences, the nodes, and the nodes by key with what ``_near`` compares, from runs of words."""
+    nodes = scratch.keep(lines.groupBy("node", "n").agg(F.min("norm").alias("norm"), F.min(F.struct("doc_id", "doc", "line")).alias("first"), F.count("*").alias("many")))
+    keyed = nodes.where("n >= 4").select("node", "n", F.explode(_run_keys(F.col("norm"), F.col("n"))).alias("k")).select("node", F.struct("n", "k.prev").alias("sim"), F.col("k.key").alias("key"))
+    return lines, nodes.select("node", "first", "many"), keyed
+
+
+def _near(exact: bool, a: str, b: str) -> Column:
+    """Whether two lines can be similar enough: by their SimHashes, or by their numbers of words."""
+    if not exact:
+        return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= BITS
+    x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return F.abs(x - y) <= F.floor(F.greatest(x, y) * (1 - SIMILAR) + 1e-9)
+
+
+def duplicate_lines(docs: DataFrame, scratch: Scratch, key: Column, exact: bool = False) -> DataFrame:
+    """doc and removed (the line numbers that go) of the documents that lose lines."""
+    lines = scratch.keep(_lines(docs.select("doc_id", "text"), key))
+    occurrences, nodes, keyed = (_run_candidates if exact else _simhash_candidates)(lines, scratch)
+    keyed = keyed.repartition("key")
     least = keyed.groupBy("key").agg(F.min(F.struct("node", "sim")).alias("least"), F.max("node").alias("most")).where("least.node <> most").select("key", "least")
     shared = scratch.keep(keyed.join(least.hint("shuffle_hash"), "key"))
-    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= BITS
-    stars = shared.where(near("sim", "least.sim")).groupBy("node").agg(F.min("least.node").alias("b")).where("node <> b").select(F.col("node").alias("a"), "b")
+    stars = shared.where(_near(exact, "sim", "least.sim")).where("node <> least.node").select(F.col("node").alias("a"), F.col("least.node").alias("b"))
+    stars = stars.distinct() if exact else stars.groupBy("a").agg(F.min("b").alias("b"))
     stars = cut(stars)
     links = cut(_verified(stars, lines, scratch))
     parts = components(links)
@@ -92,7 +136,10 @@ def duplicate_lines(docs: DataFrame, scratch: Scratch, key: Column) -> DataFrame
     mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
     left = scratch.keep(placed.join(mixed, "key"))
     right = left.select("key", F.col("node").alias("b"), F.col("sim").alias("b_sim"), F.col("comp").alias("b_comp"))
-    across = left.join(right, "key").where((F.col("comp") < F.col("b_comp")) & near("sim", "b_sim")).select(F.col("node").alias("a"), "b").distinct()
+    across = left.join(right, "key").where((F.col("comp") < F.col("b_comp")) & _near(exact, "sim", "b_sim"))
+    if exact:
+        across = across.where(F.col("sim.prev").isNull() | F.col("b_sim.prev").isNull() | (F.col("sim.prev") != F.col("b_sim.prev")))
+    across = across.select(F.col("node").alias("a"), "b").distinct()
     across = cut(across.join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti").join(stars, ["a", "b"], "left_anti"))
     if not across.isEmpty():
         links = links.unionByName(cut(_verified(across, lines, scratch)))
@@ -102,7 +149,7 @@ def duplicate_lines(docs: DataFrame, scratch: Scratch, key: Column) -> DataFrame
     kept = grouped.groupBy("comp").agg(F.min("first").alias("keep"), F.sum("many").alias("all")).where(F.col("all") > 1)
     gone = grouped.join(kept, "comp").select("node", "keep")
     same = (F.col("doc") == F.col("keep.doc")) & (F.col("line") == F.col("keep.line"))
-    return occurrences.join(gone, "node").where(~same).groupBy("doc").agg(F.array_sort(F.collect_list("line")).alias("removed"))
+    return occurrences.join(gone, "node").where(~same).groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
@@ -115,14 +162,16 @@ def _verified(pairs: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame
     rows = pairs.join(codes.select(F.col("node").alias("b"), F.col("code").alias("y")), "b").join(codes.select(F.col("node").alias("a"), F.col("code").alias("x")), "a")
     longer, shorter = F.greatest(F.length("x"), F.length("y")), F.least(F.length("x"), F.length("y"))
     allowed = F.floor(longer * (1 - SIMILAR) + 1e-9).cast("int")
-    return rows.where(longer - shorter <= allowed).where(F.levenshtein("x", "y") <= allowed).select("a", "b")
+    return rows.where(longer - shorter <= allowed).withColumn("allowed", allowed).where("levenshtein(x, y, allowed) >= 0").select("a", "b")
+
 
+def dedup_lines(docs: DataFrame, exact: bool = False) -> DataFrame:
+    """The documents' columns with the duplicate lines gone from text, and _n_lines and _removed (the numbers of the lines that went).
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The documents' columns with the duplicate lines gone from text, and _n_lines and _removed (the numbers of the lines that went)."""
+    exact: find every similar pair, not only those with near SimHashes."""
     scratch = Scratch(docs.sparkSession)
     key = F.xxhash64("doc_id", "text")
-    removed = cut(duplicate_lines(docs, scratch, key))
+    removed = cut(duplicate_lines(docs, scratch, key, exact))
     scratch.close()
     rows = docs.withColumn("_doc", key).join(removed.select(F.col("doc").alias("_doc"), F.col("removed").alias("_removed")).hint("shuffle_hash"), "_doc", "left").drop("_doc")
     rows = rows.withColumn("_removed", F.coalesce("_removed", F.array().cast("array<int>")))
@@ -142,5 +191,5 @@ def _gap(pieces: Column, i: Column) -> Column:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: every document with its text without duplicate lines."""
-    rows = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), exact=True)
     return rows.select("doc_id", F.col("_n_lines").cast("long").alias("n_lines"), F.size("_removed").cast("long").alias("n_removed"), F.col("_removed").alias("removed"), "text")
