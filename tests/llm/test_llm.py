@@ -352,6 +352,16 @@ def test_benchmark_in_blocks(spark):
     assert sorted(str(tuple(r)) for r in got.collect()) == sorted(map(str, decontamination.brute_force(rows, items)))
 
 
+def test_benchmark_in_blocks_keeps_every_row(spark):
+    """Repeated rows, other texts of one id and null ids each get a result, as with one block."""
+    text = "one two three four five six seven eight nine ten eleven"
+    rows = [*ODD, (4, "own words"), (4, None), (None, text), (None, "alpha beta gamma")]
+    items = [(1, text), (2, "alpha beta gamma"), (3, "lorem ipsum lorem")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.digest(decontamination.contaminated_spans(odd(spark, rows), bench, block_words=3))
+    assert sorted(str(tuple(r)) for r in got.collect()) == sorted(map(str, decontamination.brute_force(rows, items)))
+
+
 # 9
 
 

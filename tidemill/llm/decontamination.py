@@ -8,7 +8,8 @@ words; its position less the word's offset in the window is the only place where
 
 The documents are never shuffled: they stream through two passes (word frequencies of the benchmark's
 vocabulary; the join). The benchmark side is sent to the tasks in blocks of at most ``BLOCK_WORDS`` words,
-one pass a block, so a benchmark of any size works in bounded memory.
+one pass a block, so a benchmark of any size works in bounded memory. With several blocks the documents are first written
+with a number for each row, by which the passes' results are put together.
 
 Defined results. Null or empty texts have no words and no hits. Items without words, or whose item_id is null,
 take no part. Several rows of one item_id are that item's windows together. Repeated document rows each get
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Scratch, cut, table
 from .textkit import ALNUM, LOWER, Words, blocks, hash_words
 
 WINDOW = 10
@@ -195,22 +196,27 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, keys: list[str] | None
     keys = keys or ["doc_id"]
     docs = docs.select(*keys, "text")
     passes = item_blocks(items, window, block_words)
+    if len(passes) < 2:
+        for block in passes:
+            block.order(_frequencies(docs, np.unique(block.words)))
+        return _pass(docs, keys, passes[0] if passes else None)
+    # several blocks: each row's spans and items are put together again, by a number that is written down as it may differ between runs
+    scratch = Scratch(docs.sparkSession)
+    docs = scratch.keep(docs.withColumn("_row", F.monotonically_increasing_id()))
+    named = ["_row", *keys]
     found = None
     for block in passes:
         block.order(_frequencies(docs, np.unique(block.words)))
-        part = _pass(docs, keys, block)
-        if len(passes) == 1:
-            return part
+        part = scratch.keep(_pass(docs, named, block))
         found = part if found is None else found.unionByName(part)
-    if found is None:
-        return _pass(docs, keys, None)
-    # several blocks: each document's spans and items are put together again; repeated rows stand for one
-    joined = found.groupBy(*keys).agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"))
+    joined = found.groupBy(*named).agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"))
     merged = F.expr(
         "aggregate(s, cast(array() as array<struct<first: bigint, last: bigint>>), (acc, x) -> if(size(acc) > 0 and element_at(acc, -1).last >= x.first,"
         " concat(slice(acc, 1, size(acc) - 1), array(named_struct('first', element_at(acc, -1).first, 'last', greatest(element_at(acc, -1).last, x.last)))), concat(acc, array(x))))"
     )
-    return joined.select(*keys, "n_words", merged.alias("spans"), "item_ids")
+    result = cut(joined.select(*keys, "n_words", merged.alias("spans"), "item_ids"))
+    scratch.close()
+    return result
 
 
 def digest(found: DataFrame) -> DataFrame:
