@@ -293,6 +293,17 @@ def test_scores(spark):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], rel=1e-9) and a[6] == pytest.approx(b[6], rel=1e-9)
 
 
+def test_scores_with_trie_in_parts(spark, monkeypatch):
+    """The context keeps its full length when the trie is larger than what is sent at once; repeated rows and null ids too."""
+    rows = docs_of(spark)[:25] + [r for r in ODD if len(r[1] or "") < 1000]
+    monkeypatch.setattr(scoring, "MAX_NODES", 4000)
+    got = scoring.lm_scores(odd(spark, rows)).collect()
+    want = [(None if d == "" else d, *rest) for d, *rest in scoring.brute_force([(d if d is not None else "", t) for d, t in rows])]
+    key = lambda r: (r[0] is None, r[0] or 0, r[2], r[6])
+    for a, b in zip(sorted((tuple(r)[:7] for r in got), key=key), sorted(want, key=key), strict=True):
+        assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], rel=1e-9) and a[6] == pytest.approx(b[6], rel=1e-9)
+
+
 def test_scores_without_training(spark):
     held = [(i, "abc") for i in range(60) if scoring.crc_mod([i], 5)[0] == 1][:2]
     for r in scoring.lm_scores(odd(spark, held)).collect():

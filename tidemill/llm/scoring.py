@@ -8,8 +8,9 @@ distinct / 2 / total and is looked for at the next shorter context, whose counts
 already excluded (symbol exclusion); below order 0 all bytes not yet seen are equally likely. A text's score is the
 sum of the base-10 logarithms.
 
-The trie grows with the number of different byte n-grams, which text saturates; it is sent to all tasks behind a
-check: the deepest level that has at most ``MAX_NODES`` nodes is used (level 1 always has: 2^16).
+The trie grows with the number of different byte n-grams, and keeps its full order at every size. It is sent to the tasks in
+parts of about ``MAX_NODES`` nodes, one pass over the documents a part. A part holds all contexts that end in a range of
+two bytes, and, as all parts do, the counts of orders 0 and 1 (2^16 at most); so each byte is coded whole in one part.
 
 The base score needs the training count of every word. Words with at least ``HOT`` of all training tokens (1 / HOT at
 most) are sent to the tasks and added up there; only the other words are shuffled, so no hot word meets in one task.
@@ -24,13 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, cut, table
 from .textkit import LOWER, SPACED, Words, blocks, crc_mod, hash_words, mix
 
 ORDER = 5
+#: Nodes of the trie sent to the tasks at once; contexts that end in the same two bytes stay together.
 MAX_NODES = 6_000_000
 HOT = 2e-6
 START, STOP = 0xFE, 0xFF
@@ -146,14 +148,17 @@ class Table:
 class Trie:
     """The levels of a pretrained context trie, ready for lookups."""
 
-    def __init__(self, keys: np.ndarray, n: np.ndarray, order: int = ORDER, depth: int = ORDER):
-        """keys, n: counts of each byte with its ``order`` bytes before it; depth: the longest context to use."""
+    def __init__(self, keys: np.ndarray, n: np.ndarray, order: int = ORDER, depth: int = ORDER, low: tuple[np.ndarray, np.ndarray] | None = None):
+        """keys, n: counts of each byte with its ``order`` bytes before it; depth: the longest context to use.
+
+        low: for a part of the trie, the counts of each byte with the byte before it in all of it."""
         self.order, self.depth = order, depth
         level: list[tuple[np.ndarray, np.ndarray]] = []
         for k in range(depth + 1):
-            short = keys >> _U(8 * (order - k))
+            whole = low is not None and k < 2
+            short, many = (low[0] >> _U(8 * (1 - k)), low[1]) if whole else (keys >> _U(8 * (order - k)), n)
             u, back = np.unique(short, return_inverse=True)
-            level.append((u, np.bincount(back, n, len(u)).astype(np.int64)))
+            level.append((u, np.bincount(back, many, len(u)).astype(np.int64)))
         self.symbols: list[Table] = []
         self.contexts: list[Table | None] = []
         total, distinct = [], []
@@ -176,7 +181,7 @@ class Trie:
             self.contexts.append(Table(names, **values))
             # log10 of n - 1/2 and, where no longer context is known, of (n - 1/2) / total
             self.symbols.append(Table(u, log=np.log10(c - 0.5), direct=np.log10((c - 0.5) / t[back])))
-        seen = int(distinct[0][0]) if len(keys) else 0
+        seen = int(distinct[0][0]) if len(distinct[0]) else 0
         self.uniform = -np.log10(max(1, 256 - seen))
 
     def code(self, keys: np.ndarray) -> np.ndarray:
@@ -213,14 +218,60 @@ class Trie:
         return out
 
 
-def _trie(nodes: DataFrame) -> Trie:
-    """The trie from the gathered nodes, as deep as MAX_NODES allows."""
-    depth = ORDER
-    while depth > 1 and nodes.count() > MAX_NODES:
-        depth -= 1
-        nodes = nodes.groupBy(F.expr(f"shiftrightunsigned(key, 8) & {(1 << (8 * (depth + 1))) - 1}L").alias("key")).agg(F.sum("n").alias("n"))
+def _last_two(key: Column) -> Column:
+    """The two bytes before the byte that is coded, as one number."""
+    return F.shiftrightunsigned(key, 8 * (ORDER - 2)).bitwiseAND(F.lit(0xFFFF))
+
+
+def _numbers(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     got = nodes.select("key", "n").toArrow().sort_by("key")
-    return Trie(got.column("key").to_numpy().astype(np.int64).view(_U), got.column("n").to_numpy(), depth, depth)
+    return got.column("key").to_numpy().astype(np.int64).view(_U), got.column("n").to_numpy()
+
+
+def _ranges(nodes: DataFrame) -> list[tuple[int, int]]:
+    """Ranges of the last two bytes, of MAX_NODES nodes or less (or one value); together they hold all values."""
+    sizes = np.zeros(1 << 16, np.int64)
+    for pair, n in nodes.groupBy(_last_two(F.col("key")).alias("pair")).count().collect():  # 2^16 rows at most
+        sizes[pair] = n
+    out, low, held = [], 0, 0
+    for pair, n in enumerate(sizes.tolist()):
+        if held and held + n > MAX_NODES:
+            out.append((low, pair))
+            low, held = pair, 0
+        held += n
+    return [*out, (low, 1 << 16)]
+
+
+def _tries(nodes: DataFrame, ranges: list[tuple[int, int]]) -> Iterator[Trie]:
+    """The parts of the trie, one after another."""
+    if len(ranges) == 1:
+        yield Trie(*_numbers(nodes))
+        return
+    low = _numbers(nodes.groupBy(F.shiftrightunsigned("key", 8 * (ORDER - 1)).alias("key")).agg(F.sum("n").alias("n")))
+    for a, b in ranges:
+        yield Trie(*_numbers(nodes.where(_last_two(F.col("key")).between(a, b - 1))), low=low)
+
+
+def _score(trie: Trie, data: np.ndarray, offs: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Each row's sum over the bytes whose context ends in the range."""
+    key, of = windows(data, offs, ORDER)
+    if high - low < 1 << 16:
+        pair = (key >> _U(8 * (ORDER - 2))) & _U(0xFFFF)
+        mine = (pair >= low) & (pair < high)
+        key, of = key[mine], of[mine]
+    return np.bincount(of, trie.code(key), len(offs) - 1).astype(float)
+
+
+def _part(numbered: DataFrame, trie: Trie, held_range: tuple[int, int]) -> DataFrame:
+    """at and part: what a part of the trie adds to each row's score."""
+    shared = numbered.sparkSession.sparkContext.broadcast(trie)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offs in blocks(batch, limit=1 << 20):
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(_score(shared.value, LOWER[data], offs, *held_range))], ["at", "part"])
+
+    return numbered.select("at", "text").mapInArrow(apply, "at long, part double")
 
 
 def lm_scores(docs: DataFrame, modulus: int = 5, held: int = 1) -> DataFrame:
@@ -228,15 +279,22 @@ def lm_scores(docs: DataFrame, modulus: int = 5, held: int = 1) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select("doc_id", "text")
+    numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("at"), "text")
     counts = scratch.keep(_gather(docs, modulus, held))
     vocabulary = counts.where("kind = 0").select(F.col("key").alias("word"), F.col("n").alias("c"))
     size = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, distinct = int(size[0]), int(size[1])
     down = total + 0.5 * (distinct + 1)
     hot = vocabulary.where(F.col("c") >= total * HOT).toArrow()  # 1 / HOT words at most
+    nodes = counts.where("kind = 1")
+    ranges = _ranges(nodes)
+    if len(ranges) > 1:
+        numbered = scratch.keep(numbered)  # the numbers may differ between runs
+    tries = _tries(nodes, ranges)
+    first = ranges[0]
     shared = spark.sparkContext.broadcast(
         (
-            _trie(counts.where("kind = 1")),
+            next(tries),
             Table(hot.column("word").to_numpy().astype(np.int64).view(_U), log=np.log10((hot.column("c").to_numpy().astype(float) + 0.5) / down)),
         )
     )
@@ -256,8 +314,7 @@ def lm_scores(docs: DataFrame, modulus: int = 5, held: int = 1) -> DataFrame:
                 rest = np.flatnonzero(~known)
                 rest = rest[np.argsort(row[rest], kind="stable")]
                 lists = pa.ListArray.from_arrays(np.searchsorted(row[rest], np.arange(n + 1)).astype(np.int32), pa.array(h[rest].view(np.int64)))
-                key, of = windows(data, offs, trie.order)
-                score = np.bincount(of, trie.code(key), n)
+                score = _score(trie, data, offs, *first)
                 out = crc_mod(rows.column(0).to_pylist(), modulus) == held
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), rows.column(1), pa.array(out), pa.array((w.counts + 1).astype(np.int64)), pa.array(np.bincount(row[known], minlength=n).astype(np.int64)), pa.array(base), pa.array(score), pa.array(np.diff(offs) + 1), lists],
@@ -265,10 +322,18 @@ def lm_scores(docs: DataFrame, modulus: int = 5, held: int = 1) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    passed = docs.select("doc_id", F.monotonically_increasing_id().alias("at"), "text").mapInArrow(
+    passed = numbered.mapInArrow(
         apply, f"doc_id {kind}, at long, held_out boolean, n_tokens long, hot_known long, hot_base double, score double, n_bytes long, rest array<long>"
     )
     passed = scratch.keep(passed)
+    shared.unpersist()
+    parts = None
+    for held_range, trie in zip(ranges[1:], tries, strict=True):
+        part = scratch.keep(_part(numbered, trie, held_range))
+        parts = part if parts is None else parts.unionByName(part)
+    if parts is not None:
+        more = parts.groupBy("at").agg(F.sum("part").alias("part"))
+        passed = passed.join(more, "at").withColumn("score", F.col("score") + F.col("part")).drop("part")
     rare = passed.select("at", F.explode("rest").alias("word")).join(vocabulary, "word", "left")
     log = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(down))
     sums = rare.groupBy("at").agg(F.sum(log).alias("base"), F.count("c").alias("known"))
