@@ -246,6 +246,15 @@ def test_line_recall_against_edit_distance(spark):
     assert {x["doc_id"] for x in lines.dedup_lines(df, exact=True).where("text <> ''").collect()} == want
 
 
+def test_line_matches_do_not_depend_on_length_or_repeats(spark):
+    """Near copies match though their rows are repeated a thousand times, or hold more words than 16,000."""
+    short, long = [f"w{i}" for i in range(17)], [f"v{i}" for i in range(17_000)]
+    change = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(1, " ".join(short))] * 1000 + [(2, change(short))] + [(3, " ".join(long)), (4, change(long))]
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), exact=True).where("text <> ''")
+    assert {r["doc_id"]: r["count"] for r in got.groupBy("doc_id").count().collect()} == {1: 1000, 3: 1}
+
+
 # 4
 
 
