@@ -19,19 +19,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where the session names none (tests on one machine), a temporary folder is set once.
+    Where the session names none, a temporary folder is set once if Spark runs on this machine alone, as in tests.
     """
-    named = spark.conf.get(_DIR, None) or spark.sparkContext.getConf().get(_DIR)
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not named and current.isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemill-"))
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    elif named and current.isEmpty():
-        spark.sparkContext.setCheckpointDir(named)
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    context = spark.sparkContext
+    named = spark.conf.get(_DIR, None) or context.getConf().get(_DIR)
+    current = context._jsc.sc().getCheckpointDir()
+    if current.isEmpty():
+        if not named and not context.master.startswith("local["):
+            raise ValueError(f"set {_DIR} to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemill-"))
+        current = context._jsc.sc().getCheckpointDir()
     return named or current.get()
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with underscores in front until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
@@ -39,31 +47,45 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 class Scratch:
-    """Parquet tables in the shared folder that live as long as one operator call.
+    """Parquet tables in the shared folder that live as long as one operator call, or the ``with`` block around it.
 
-    ``keep`` writes a frame and reads it back, which cuts lineage and survives lost executors; ``close`` deletes everything
-    written, after the operator's result has been cut itself. Both then have Spark's cleaner drop the shuffle files that nothing
-    refers to any more: by itself it does so only when the driver happens to collect its garbage.
+    ``keep`` writes a frame and reads it back, which cuts lineage and survives lost executors; ``drop`` deletes one that has no
+    reader left, ``close`` everything written, after the operator's result has been cut itself. They have Spark's cleaner drop the
+    shuffle files that nothing refers to any more: by itself it does so only when the driver happens to collect its garbage.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
         self.count = 0
+        self.paths: dict[int, str] = {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self.close()
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count}"
         df.write.parquet(path)
         self._release()
-        return self.spark.read.schema(df.schema).parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(kept)] = path
+        return kept
+
+    def drop(self, kept: DataFrame) -> None:
+        self._delete(self.paths.pop(id(kept)))
 
     def close(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self._delete(self.root)
         self._release()
 
+    def _delete(self, path: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
     def _release(self) -> None:
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()

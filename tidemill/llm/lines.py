@@ -1,23 +1,19 @@
-"""Fuzzy line dedup, with DataFrame functions only.
+"""Fuzzy line dedup.
 
 1. Lines are lower-cased and reduced to runs of letters and digits ("words"; all characters beyond ASCII count as letters). Equal ones are one node.
-2. A node's 64-bit SimHash takes the majority of each bit over its words' hashes. The 64 counters travel as 16 sums of four 16-bit lanes.
-3. Two lines whose SimHashes differ in at most 3 of 64 bits agree in at least 2 of 5 blocks (pigeonhole), so each
-   line joins on its 10 pairs of blocks.
-4. Pairs within 3 bits are verified: the edit distance over words (each coded as one character) is at most a fifth of the longer line.
+2. Candidates. With ``exact``, which the query and the pipeline use: lines that share a run of words that pigeonhole makes necessary
+   (see ``runs``); no pair is lost, and numpy does the work. Without it: SimHash in DataFrame functions only. A node's 64-bit SimHash takes the
+   majority of each bit over its words' hashes; two SimHashes that differ in at most 3 of 64 bits agree in at least 2 of 5 blocks (pigeonhole),
+   so each line joins on its 10 pairs of blocks. SimHash misses most pairs with several edited words.
+3. Pairs are verified: the edit distance over words is at most a fifth of the longer line's words.
    First each line against the smallest one it meets; the components of that; then the pairs across components
-   that share blocks, so that large groups cost linear work and no link is lost.
-5. Of each connected group the first occurrence (by doc_id, then line) is kept; all other occurrences are removed.
-
-SimHash misses most pairs with several edited words, so with ``exact`` steps 2 and 3 give way to shared runs of words, which miss none:
-k edits leave a line of L words in k + 1 runs at most, the longest of ceil((L - k) / (k + 1)) words; k being a fifth of L, that is 4 words
-from L = 16 on, 3 from 6 on and 2 at 5 (shorter lines match only if equal). Each line joins on all its runs of the lengths that it or a
-partner needs. Across components, a pair is taken only where a shared run begins. The query and the pipeline use this; the rest is the same.
-
-Defined results. Lines are what newlines separate. Lines without words are kept as they are. Without ``exact``, lines of more than
-16,000 words match only if equal (repeated rows count together here). A null text stays null and has no lines; a document that loses all its lines keeps an empty text. Rows equal in doc_id and text
-count as one document and get the same result. Words equal in a 64-bit hash are taken for the same; edit distances
-compare words by a code of 20,000 values. Extra columns are carried.
+   that share a key, so that large groups cost linear work and no link is lost.
+4. Of each connected group the first occurrence (by doc_id, then line) is kept; all other occurrences are removed.
+
+Defined results. Lines are what newlines separate. Lines without words are kept as they are. A null text stays null and has no
+lines; a document that loses all its lines keeps an empty text. Rows equal in doc_id and text count as one document and get the same
+result. Lines equal in a 64-bit hash are taken for the same, and so are words equal in a 32-bit hash (``exact``) or in a code of a million
+values (without). Extra columns are carried; the results' columns get underscores in front where their names are taken.
 """
 
 from __future__ import annotations
@@ -28,15 +24,14 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, cut, table
+from . import runs
+from .common import Scratch, cut, fresh, table
 from .components import components
 
 BITS = 3
 SIMILAR = 0.8
 LANE = 0x0001000100010001
-LONGEST = 16_000  # below 2^14, so that no lane can reach its sign bit
-#: Buckets of the filter that leaves lines without candidates behind: at most so many rows are broadcast.
-BUCKETS = 1 << 20
+LONGEST = 16_000  # below 2^14, so that no lane can reach its sign bit; longer lines are summed bit by bit
 _BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
 
@@ -70,122 +65,127 @@ def _keys(sim: Column) -> Column:
 
 def _code(words: Column) -> Column:
     """The words as one character each."""
-    return F.decode(F.unhex(F.array_join(F.transform(words, lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(20000)) + 0x4E00), 4, "0")), "")), "UTF-16BE")
+    return F.decode(F.unhex(F.array_join(F.transform(words, lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(1 << 20)) + 0x10000), 8, "0")), "")), "UTF-32")
 
 
-def _run(h: Column, i: Column, size: int) -> Column:
-    return F.xxhash64(*[F.get(h, i + j) for j in range(size)])
+def _simhashes(nodes: DataFrame) -> DataFrame:
+    """node and sim of every node, from its words."""
+    # what stands beside the generator is evaluated for every word, so nothing is computed here but the words' hashes
+    words = nodes.select("node", "n", F.explode(F.split("norm", " ", -1)).alias("w")).select("node", "n", F.xxhash64("w").alias("h"))
+    lane = F.lit(LANE)
+    short = words.where(F.col("n") <= LONGEST).groupBy("node", "n").agg(*[F.try_sum(F.shiftrightunsigned("h", i).bitwiseAND(lane)).alias(f"s{i}") for i in range(16)])
+    long = words.where(F.col("n") > LONGEST).groupBy("node", "n").agg(*[F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1).cast("long"))).alias(f"s{i}") for i in range(64)])
+    bits = [F.shiftleft((F.col(f"s{i}") * 2 > F.col("n")).cast("long"), i) for i in range(64)]
+    return short.select("node", _simhash(F.col("n")).alias("sim")).unionByName(long.select("node", reduce(lambda a, b: a.bitwiseOR(b), bits).alias("sim")))
 
 
-def _runs(h: Column, size: int) -> Column:
-    """The hash of each run of ``size`` words, and the word before it (null: none), from the words' hashes."""
-    return F.transform(F.sequence(F.lit(0), F.size(h) - size), lambda i: F.struct(_run(h, i, size).alias("key"), F.get(h, i - 1).alias("prev")))
+class _BySimHash:
+    """Candidates by SimHash, with DataFrame functions only."""
 
+    def __init__(self, docs: DataFrame, key: Column, scratch: Scratch):
+        self.lines = scratch.keep(_lines(docs, key))
+        self.texts = scratch.keep(self.lines.groupBy("node").agg(F.min("norm").alias("norm"), F.max("n").alias("n")))
+        self.scratch = scratch
 
-def _run_keys(norm: Column, n: Column) -> Column:
-    """The runs on which a line of n words joins: of 4 words if it or a partner (a fifth longer or shorter) has 16 words or more, of 3 from 6 on, of 2 at 5."""
-    none = F.array().cast("array<struct<key: bigint, prev: bigint>>")
-    pick = lambda h: F.concat(
-        F.when(n >= 13, _runs(h, 4)).otherwise(none), F.when(n.between(5, 15), _runs(h, 3)).otherwise(none), F.when(n.between(4, 5), _runs(h, 2)).otherwise(none)
-    )
-    # the hashes are a variable of the outer function, so they are computed once a line
-    return F.array_distinct(F.get(F.transform(F.array(F.transform(F.split(norm, " ", -1), lambda w: F.xxhash64(w))), pick), F.lit(0)))
+    def keyed(self) -> DataFrame:
+        """node, sim (what ``near`` compares) and key."""
+        sims = self.scratch.keep(_simhashes(self.texts))
+        return sims.select("node", "sim", F.explode(_keys(F.col("sim"))).alias("key"))
 
+    @staticmethod
+    def near(a: str, b: str) -> Column:
+        return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= BITS
 
-def _simhash_candidates(lines: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The occurrences, the nodes, and the nodes by key with what ``_near`` compares, from SimHashes."""
-    # what stands beside the generator is evaluated for every word, so nothing is computed here but the words' hashes
-    words = lines.select("doc", "doc_id", "line", "node", "n", F.explode(F.split("norm", " ", -1)).alias("w")).select("doc", "doc_id", "line", "node", "n", F.xxhash64("w").alias("h"))
-    lane = F.lit(LANE)
-    sums = words.groupBy("doc", "doc_id", "line", "node", "n").agg(*[F.try_sum(F.shiftrightunsigned("h", i).bitwiseAND(lane)).alias(f"s{i}") for i in range(16)], F.count("*").alias("seen"))
-    # rows equal in doc_id and text bring each line several times; its sums grow alike. Beyond LONGEST lanes could overflow
-    sums = sums.select("doc", "doc_id", "line", "node", "n", F.when((F.col("n") <= LONGEST) & (F.col("seen") <= LONGEST), _simhash(F.col("seen"))).alias("sim"))
-    occurrences = scratch.keep(sums)
-    nodes = scratch.keep(occurrences.groupBy("node").agg(F.max("sim").alias("sim"), F.min(F.struct("doc_id", "doc", "line")).alias("first"), F.count("*").alias("many")))
-    return occurrences, nodes, nodes.where("sim is not null").select("node", "sim", F.explode(_keys(F.col("sim"))).alias("key"))
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of nodes whose words are similar enough."""
+        codes = self.texts.select("node", _code(F.split("norm", " ", -1)).alias("code"))
+        rows = pairs.join(codes.select(F.col("node").alias("b"), F.col("code").alias("y")), "b").join(codes.select(F.col("node").alias("a"), F.col("code").alias("x")), "a")
+        longer, shorter = F.greatest(F.length("x"), F.length("y")), F.least(F.length("x"), F.length("y"))
+        allowed = F.floor(longer * (1 - SIMILAR) + 1e-9).cast("int")
+        return rows.where(longer - shorter <= allowed).withColumn("allowed", allowed).where("levenshtein(x, y, allowed) >= 0").select("a", "b")
 
 
-def _run_candidates(lines: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The occurrences, the nodes, and the nodes by key with what ``_near`` compares, from runs of words."""
-    nodes = scratch.keep(lines.groupBy("node", "n").agg(F.min("norm").alias("norm"), F.min(F.struct("doc_id", "doc", "line")).alias("first"), F.count("*").alias("many")))
-    keyed = nodes.where("n >= 4").select("node", "n", F.explode(_run_keys(F.col("norm"), F.col("n"))).alias("k")).select("node", F.struct("n", "k.prev").alias("sim"), F.col("k.key").alias("key"))
-    return lines, nodes.select("node", "first", "many"), keyed
+class _ByRuns:
+    """Candidates by shared runs of words: every similar pair."""
 
+    def __init__(self, docs: DataFrame, key: Column, scratch: Scratch):
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        rows = docs.where("text is not null").select(key.alias("doc"), "doc_id", "text").mapInArrow(runs.pack, runs.packed(kind))
+        self.blocks = scratch.keep(rows)
+        self.lines = self.blocks.select(F.inline(F.arrays_zip("doc", "doc_id", "line", "node")))
+        self.scratch = scratch
 
-def _near(exact: bool, a: str, b: str) -> Column:
-    """Whether two lines can be similar enough: by their SimHashes, or by their numbers of words."""
-    if not exact:
-        return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= BITS
-    x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return F.abs(x - y) <= F.floor(F.greatest(x, y) * (1 - SIMILAR) + 1e-9)
+    def keyed(self) -> DataFrame:
+        """node, sim (its number of words) and key."""
+        buckets = 1 + (self.blocks.agg(F.sum("words")).first()[0] or 0) // runs.BUCKET
+        hits = self.scratch.keep(runs.count(self.blocks, buckets))
+        self.active = self.scratch.keep(runs.active(self.blocks, hits, buckets))
+        return self.active.select("node", F.col("n").alias("sim"), F.explode("keys").alias("key"))
+
+    @staticmethod
+    def near(a: str, b: str) -> Column:
+        return F.abs(F.col(a) - F.col(b)) <= F.floor(F.greatest(a, b) / 5)
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        return runs.verified(pairs, self.active)
 
 
 def duplicate_lines(docs: DataFrame, scratch: Scratch, key: Column, exact: bool = False) -> DataFrame:
     """doc and removed (the line numbers that go) of the documents that lose lines."""
-    lines = scratch.keep(_lines(docs.select("doc_id", "text"), key))
-    occurrences, nodes, keyed = (_run_candidates if exact else _simhash_candidates)(lines, scratch)
-    keyed = keyed.repartition("key")
+    found = (_ByRuns if exact else _BySimHash)(docs.select("doc_id", "text"), key, scratch)
+    keyed = found.keyed().repartition("key")
     least = keyed.groupBy("key").agg(F.min(F.struct("node", "sim")).alias("least"), F.max("node").alias("most")).where("least.node <> most").select("key", "least")
     shared = scratch.keep(keyed.join(least.hint("shuffle_hash"), "key"))
-    stars = shared.where(_near(exact, "sim", "least.sim")).where("node <> least.node").select(F.col("node").alias("a"), F.col("least.node").alias("b"))
-    stars = stars.distinct() if exact else stars.groupBy("a").agg(F.min("b").alias("b"))
-    stars = cut(stars)
-    links = cut(_verified(stars, lines, scratch))
+    stars = shared.where(found.near("sim", "least.sim")).where("node <> least.node").select(F.col("node").alias("a"), F.col("least.node").alias("b"))
+    stars = cut(stars.distinct())
+    links = cut(found.verified(stars))
     parts = components(links)
     placed = shared.join(parts, "node", "left").select("key", "node", "sim", F.coalesce("comp", "node").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
     left = scratch.keep(placed.join(mixed, "key"))
     right = left.select("key", F.col("node").alias("b"), F.col("sim").alias("b_sim"), F.col("comp").alias("b_comp"))
-    across = left.join(right, "key").where((F.col("comp") < F.col("b_comp")) & _near(exact, "sim", "b_sim"))
-    if exact:
-        across = across.where(F.col("sim.prev").isNull() | F.col("b_sim.prev").isNull() | (F.col("sim.prev") != F.col("b_sim.prev")))
-    across = across.select(F.col("node").alias("a"), "b").distinct()
+    across = left.join(right, "key").where((F.col("comp") < F.col("b_comp")) & found.near("sim", "b_sim")).select(F.col("node").alias("a"), "b").distinct()
     across = cut(across.join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti").join(stars, ["a", "b"], "left_anti"))
     if not across.isEmpty():
-        links = links.unionByName(cut(_verified(across, lines, scratch)))
+        links = links.unionByName(cut(found.verified(across)))
         parts = components(links)
 
-    grouped = nodes.join(parts, "node", "left").select("node", "many", "first", F.coalesce("comp", "node").alias("comp"))
-    kept = grouped.groupBy("comp").agg(F.min("first").alias("keep"), F.sum("many").alias("all")).where(F.col("all") > 1)
+    nodes = found.lines.groupBy("node").agg(F.min(F.struct("doc_id", "doc", "line")).alias("first"), F.count("*").alias("many"))
+    grouped = scratch.keep(nodes.join(parts, "node", "left").where("many > 1 or comp is not null").select("node", "first", F.coalesce("comp", "node").alias("comp")))
+    kept = grouped.groupBy("comp").agg(F.min("first").alias("keep"))
     gone = grouped.join(kept, "comp").select("node", "keep")
     same = (F.col("doc") == F.col("keep.doc")) & (F.col("line") == F.col("keep.line"))
-    return occurrences.join(gone, "node").where(~same).groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    return found.lines.join(gone, "node").where(~same).groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) of nodes whose words are similar enough."""
-    bucket = F.pmod(F.col("node"), F.lit(BUCKETS))
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).select(bucket.alias("bucket")).distinct()
-    some = lines.select("node", "norm", bucket.alias("bucket")).join(F.broadcast(wanted), "bucket", "left_semi")
-    some = some.groupBy("node").agg(F.min("norm").alias("norm"))
-    codes = scratch.keep(some.select("node", _code(F.split("norm", " ", -1)).alias("code")))
-    rows = pairs.join(codes.select(F.col("node").alias("b"), F.col("code").alias("y")), "b").join(codes.select(F.col("node").alias("a"), F.col("code").alias("x")), "a")
-    longer, shorter = F.greatest(F.length("x"), F.length("y")), F.least(F.length("x"), F.length("y"))
-    allowed = F.floor(longer * (1 - SIMILAR) + 1e-9).cast("int")
-    return rows.where(longer - shorter <= allowed).withColumn("allowed", allowed).where("levenshtein(x, y, allowed) >= 0").select("a", "b")
+def result_names(columns: list[str]) -> tuple[str, str]:
+    """What ``dedup_lines`` calls its two columns beside columns of these names."""
+    return fresh(columns, "_n_lines"), fresh(columns, "_removed")
 
 
 def dedup_lines(docs: DataFrame, exact: bool = False) -> DataFrame:
     """The documents' columns with the duplicate lines gone from text, and _n_lines and _removed (the numbers of the lines that went).
 
     exact: find every similar pair, not only those with near SimHashes."""
-    scratch = Scratch(docs.sparkSession)
+    n_lines, removed = result_names(docs.columns)
+    doc = fresh(docs.columns, "_doc")
     key = F.xxhash64("doc_id", "text")
-    removed = cut(duplicate_lines(docs, scratch, key, exact))
-    scratch.close()
-    rows = docs.withColumn("_doc", key).join(removed.select(F.col("doc").alias("_doc"), F.col("removed").alias("_removed")).hint("shuffle_hash"), "_doc", "left").drop("_doc")
-    rows = rows.withColumn("_removed", F.coalesce("_removed", F.array().cast("array<int>")))
+    with Scratch(docs.sparkSession) as scratch:
+        found = cut(duplicate_lines(docs, scratch, key, exact))
+    rows = docs.withColumn(doc, key).join(found.select(F.col("doc").alias(doc), F.col("removed").alias(removed)).hint("shuffle_hash"), doc, "left").drop(doc)
+    rows = rows.withColumn(removed, F.coalesce(removed, F.array().cast("array<int>")))
     pieces = F.split("text", "\n", -1)
     # removed is sorted, so the lines that stay are those of the gaps
-    kept = F.when(F.size("_removed") == 0, F.col("text")).otherwise(F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size("_removed")), lambda i: _gap(pieces, i))), "\n"))
+    gaps = F.transform(F.sequence(F.lit(0), F.size(removed)), lambda i: _gap(pieces, i, removed))
+    kept = F.when(F.size(removed) == 0, F.col("text")).otherwise(F.array_join(F.flatten(gaps), "\n"))
     lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(pieces))
-    return rows.withColumn("_n_lines", lines).withColumn("text", F.when(F.col("text").isNotNull(), kept))
+    return rows.withColumn(n_lines, lines).withColumn("text", F.when(F.col("text").isNotNull(), kept))
 
 
-def _gap(pieces: Column, i: Column) -> Column:
+def _gap(pieces: Column, i: Column, removed: str) -> Column:
     """The lines between removed number i - 1 and removed number i."""
-    begin = F.when(i == 0, F.lit(0)).otherwise(F.get("_removed", i - 1) + 1)
-    end = F.coalesce(F.get("_removed", i), F.size(pieces))
+    begin = F.when(i == 0, F.lit(0)).otherwise(F.get(removed, i - 1) + 1)
+    end = F.coalesce(F.get(removed, i), F.size(pieces))
     return F.slice(pieces, begin + 1, end - begin)
 
 
