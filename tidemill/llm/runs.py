@@ -6,8 +6,8 @@ and 2 for q = 2 at L = 5 (below, no edit is allowed). Call that number T for a l
 
 1. ``pack``: the words of each line become 32-bit codes. One row holds a block of text: its lines, and the codes of its distinct ones.
 2. ``count``: each block sends the hashes of its runs, in as many buckets as the corpus needs, as packed numbers (4 bytes a run, once
-   a block however frequent); a bucket returns to each block those that stand more than once in the corpus, and how often.
-3. ``active``: the runs of a line in one order for all (rarest first, by count and hash). Leaving out the most frequent ones, in fewer than T
+   a block however frequent); a bucket returns to each block which of them stand more than once in the corpus (a bit a run), and how often.
+3. ``active``: the runs of a line in one order for all (rarest first, by the count's logarithm and hash). Leaving out the most frequent ones, in fewer than T
    places, keeps the rarest shared run of every pair within the edits in both lines (prefix filtering); of the rest, those that stand
    more than once are the line's keys. Lines of unrelated text have no keys and go no further.
 4. ``within``: the edit distance of many pairs at once, in a band of k diagonals, over the codes.
@@ -137,30 +137,24 @@ def sent(buckets: int) -> Callable:
 
 
 def summed(t: pa.Table) -> pa.Table:
-    """Of one bucket: for each block the names that stand more than once in the corpus, and how often."""
+    """Of one bucket: for each block one bit a name, whether it stands more than once in the corpus, and the logarithm of how often for those."""
     names = [np.frombuffer(x.as_py(), "<u4") for x in t.column("names")]
-    sizes = np.array([len(x) for x in names])
     weights = [np.ones(len(x), np.int64) for x in names]
     for w, x in zip(weights, t.column("repeats"), strict=True):
         place, many = np.frombuffer(x.as_py(), "<u4").reshape(2, -1)
         w[place] = many
+    ends = np.cumsum([len(x) for x in names])
     every, weight = np.concatenate(names), np.concatenate(weights)
     order = np.sort(every.astype(_U) << _U(32) | np.arange(len(every), dtype=_U))
     at, every = (order & _U(0xFFFFFFFF)).astype(np.int64), order >> _U(32)
     new = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
     total = np.zeros(len(at), np.int64)
     total[at] = np.repeat(np.add.reduceat(weight[at], new), np.diff(np.append(new, len(at))))
-    rows, found, often, begin = [], [], [], 0
-    for i, size in enumerate(sizes.tolist()):
-        part = total[begin : begin + size]
-        keep = part > 1
-        if keep.any():
-            rows.append(i)
-            found.append(names[i][keep].tobytes())
-            often.append(np.minimum(part[keep], 0xFFFFFFFF).astype("<u4").tobytes())
-        begin += size
-    some = t.select(["bucket", "chunk"]).take(pa.array(rows, pa.int64()))
-    return some.append_column("names", pa.array(found, pa.binary())).append_column("often", pa.array(often, pa.binary()))
+    flags, often = [], []
+    for part in np.split(total, ends[:-1]):
+        flags.append(np.packbits(part > 1).tobytes())
+        often.append(np.log2(part[part > 1]).astype(np.uint8).tobytes())
+    return t.select(["bucket", "chunk"]).append_column("flags", pa.array(flags, pa.binary())).append_column("often", pa.array(often, pa.binary()))
 
 
 def keyed(buckets: int) -> Callable:
@@ -170,20 +164,21 @@ def keyed(buckets: int) -> Callable:
         for batch in batches:
             for nodes, n, codes, hits in zip(*(batch.column(c) for c in ("nodes", "n", "codes", "hits")), strict=True):
                 node, n, codes = nodes.values.to_numpy(), n.values.to_numpy().astype(np.int64), np.frombuffer(codes.as_py(), "<u4")
-                hits = hits.as_py()
-                known = np.concatenate([np.frombuffer(x["names"], "<u4").astype(_U) | _U(x["bucket"] << 32) for x in hits])
-                often = np.concatenate([np.frombuffer(x["often"], "<u4") for x in hits])
-                order = np.argsort(known)
-                known, often = known[order], often[order]
                 line, h = runs(n, codes)
-                bucket, name = named(h, buckets)
-                name = bucket << _U(32) | name
-                at = np.minimum(np.searchsorted(known, name), len(known) - 1)
-                some = np.flatnonzero(known[at] == name)
-                line, h, often, short = line[some], h[some], often[at[some]], some >= (np.maximum(n - 2, 0) * (n >= 5)).sum()
+                each, back = np.unique(h, return_inverse=True)
+                bucket = named(each, buckets)[0].astype(np.int64)
+                count = np.zeros(len(each), np.int64)  # the logarithm of how often each stands in the corpus, if more than once
+                for x in hits.as_py():
+                    begin, end = np.searchsorted(bucket, [x["bucket"], x["bucket"] + 1])
+                    flags = np.unpackbits(np.frombuffer(x["flags"], np.uint8), count=end - begin).astype(bool)
+                    count[begin:end][flags] = np.frombuffer(x["often"], np.uint8)
+                often = count[back]
+                some = np.flatnonzero(often)
+                short = some >= (np.maximum(n - 2, 0) * (n >= 5)).sum()
+                line, h, often = line[some], h[some], often[some]
                 spare = np.where(short, 1, shared_places(n)[line] - 1)  # T - 1
                 side = line * 2 + short  # runs of two and of three words are counted apart
-                order = np.lexsort((h, -often.astype(np.int64), side))
+                order = np.lexsort((h, -often, side))
                 line, h, side, spare = line[order], h[order], side[order], spare[order]
                 if not len(h):
                     continue
@@ -213,8 +208,8 @@ def keyed(buckets: int) -> Callable:
 def count(blocks_: DataFrame, buckets: int) -> DataFrame:
     """For each block its runs that stand more than once: chunk and hits."""
     rows = blocks_.select("chunk", "n", "codes").mapInArrow(sent(buckets), "bucket long, chunk long, names binary, repeats binary")
-    found = rows.groupBy("bucket").applyInArrow(summed, "bucket long, chunk long, names binary, often binary")
-    return found.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "names", "often")).alias("hits"))
+    found = rows.groupBy("bucket").applyInArrow(summed, "bucket long, chunk long, flags binary, often binary")
+    return found.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "flags", "often")).alias("hits"))
 
 
 def active(blocks_: DataFrame, hits: DataFrame, buckets: int) -> DataFrame:
