@@ -4,13 +4,13 @@ The whole text is covered by chunks of ``CHUNK`` bytes that overlap by ``CHUNK -
 learned filters run over each chunk and are max-pooled over its positions; a learned layer turns a chunk's
 maxima into units, which are max-pooled over all chunks of the document and combined into one probability.
 
-Training runs on the driver over a bounded sample of labelled rows: at most ``TRAIN_DOCS`` of them, the ones with
-the smallest hashes, and of each at most ``TRAIN_CHUNKS`` evenly spaced chunks of the whole text. Scoring reads
+Training runs on the driver over a bounded sample of labelled rows: of the ``TRAIN_DOCS`` with the smallest hashes, as many whole
+texts, in that order, as ``TRAIN_BYTES`` bytes hold (at least one). All chunks of a text are learned from. Scoring reads
 every byte of every document, where the rows already are, without a shuffle. Seeds are fixed; reruns agree.
 
 Defined results. A null or empty text is one chunk of padding. Labels that are null or neither 0 nor 1 are left
-out; several labels of one doc_id count once (the smallest). Without both labels every score is the share of
-label 1 (without any, 0.5). Extra columns are ignored.
+out; several labels of one doc_id count once (the smallest), and so do several texts. Without both labels every score is the share of
+label 1 (without any, 0.5). Extra columns are ignored; with ``keep``, the score's column gets underscores in front if its name is taken.
 """
 
 from __future__ import annotations
@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .textkit import blocks, crc_mod
+from .common import Scratch, fresh, table
+from .textkit import blocks
 
 CHUNK, HOP = 512, 384
 WIDTH, STRIDE, EMBED, FILTERS, UNITS = 8, 4, 8, 24, 12
-TRAIN_DOCS, TRAIN_CHUNKS = 4000, 16
+TRAIN_DOCS, TRAIN_BYTES = 4000, 32 << 20
 THRESHOLD = 0.3
 _STEP = 64  # chunks convolved at once
 
@@ -93,7 +93,7 @@ class Network:
     def step(self, chunks: np.ndarray, first: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Loss and gradients of a batch of documents (first: each one's first chunk)."""
         self.train = True
-        z, where = self.convolve(chunks)
+        z, where = (np.concatenate(x) for x in zip(*(self.convolve(chunks[i : i + _STEP]) for i in range(0, len(chunks), _STEP)), strict=True))
         self.train = False
         a = np.maximum(z, 0)
         h = np.maximum(a @ self.units + self.unit_bias, 0)
@@ -142,27 +142,31 @@ class Network:
         return self
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, limit: int = TRAIN_DOCS) -> list[tuple[np.ndarray, int]]:
-    """(chunks, label) of at most ``limit`` labelled documents outside the held-out ones."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, limit: int = TRAIN_DOCS, most: int = TRAIN_BYTES) -> list[tuple[np.ndarray, int]]:
+    """(chunks, label) of labelled documents outside the held-out ones: at most ``limit``, and ``most`` bytes."""
     allowed = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus != held
     chosen = labels.where("quality in (0, 1) and doc_id is not null").where(allowed).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    chosen = chosen.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(limit)  # so many ids at most are broadcast
-
-    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, data, offs in blocks(batch):
-                start, size, first = _chunks(data, offs)
-                padded = np.concatenate([data, np.zeros(CHUNK, np.uint8)])
-                out = []
-                for i in range(rows.num_rows):
-                    pick = np.unique(np.linspace(first[i], first[i + 1] - 1, min(TRAIN_CHUNKS, first[i + 1] - first[i])).astype(int))
-                    out.append(_gather(padded, start[pick], size[pick]).tobytes())
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(out, pa.binary())], ["doc_id", "quality", "chunks"])
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    got = rows.mapInArrow(cut_up, f"doc_id {kind}, quality int, chunks binary").toArrow().sort_by("doc_id")
-    return [(np.frombuffer(c, np.uint8).reshape(-1, CHUNK), int(y)) for c, y in zip(got.column("chunks").to_pylist(), got.column("quality").to_pylist(), strict=True)]
+    order = F.xxhash64(F.col("doc_id").cast("string"))
+    chosen = chosen.orderBy(order, "doc_id").limit(limit)  # so many ids at most are broadcast
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    with Scratch(docs.sparkSession) as scratch:
+        rows = scratch.keep(rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text")))
+        sizes = rows.select("doc_id", F.octet_length("text").alias("size"), order.alias("h")).orderBy("h", "doc_id").collect()  # ``limit`` at most
+        total, last = 0, None
+        for r in sizes:
+            total += r["size"]
+            if last is not None and total > most:
+                break
+            last = r
+        if last is None:
+            return []
+        before = (F.col("h") < last["h"]) | ((F.col("h") == last["h"]) & (F.col("doc_id") <= F.lit(last["doc_id"])))
+        got = rows.withColumn("h", order).where(before).select("doc_id", "quality", F.col("text").cast("binary").alias("text")).toArrow().sort_by("doc_id")
+    out = []
+    for text, y in zip(got.column("text").to_pylist(), got.column("quality").to_pylist(), strict=True):
+        start, size, _ = _chunks(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        out.append((_gather(np.frombuffer(text + bytes(CHUNK), np.uint8), start, size), int(y)))
+    return out
 
 
 class Constant:
@@ -187,22 +191,22 @@ def train(docs: DataFrame, labels: DataFrame) -> Network | Constant:
 
 def score(docs: DataFrame, model: Network | Constant, *, keep: bool = False) -> DataFrame:
     """doc_id, held_out, score and predicted of every document; keep: the documents' own columns with ``_score`` instead."""
+    name = fresh(docs.columns, "_score") if keep else "score"
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offs in blocks(batch, limit=1 << 20):
-                s = model.scores(data, offs)
-                if keep:
-                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(s)], [*rows.schema.names, "_score"])
-                    continue
-                held = crc_mod(rows.column(0).to_pylist(), 5) == 0
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(held), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+                s = pa.array(model.scores(data, offs))
+                columns = dict(zip(rows.schema.names, rows.columns, strict=True))
+                yield pa.RecordBatch.from_pydict(columns | {name: s} if keep else {"doc_id": columns["doc_id"], "held_out": columns["held_out"], "score": s})
 
     if keep:
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-        return docs.mapInArrow(apply, f"{fields}, _score double")
-    docs = docs.select("doc_id", "text")
-    return docs.mapInArrow(apply, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+        return docs.mapInArrow(apply, f"{fields}, `{name}` double")
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    scored = docs.select("doc_id", "text", held.alias("held_out")).mapInArrow(apply, f"doc_id {kind}, held_out boolean, score double")
+    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

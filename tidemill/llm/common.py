@@ -70,8 +70,10 @@ class Scratch:
         self.count += 1
         path = f"{self.root}/{self.count}"
         df.write.parquet(path)
+        schema = df.schema
+        del df  # else its shuffle files stay
         self._release()
-        kept = self.spark.read.schema(df.schema).parquet(path)
+        kept = self.spark.read.schema(schema).parquet(path)
         self.paths[id(kept)] = path
         return kept
 

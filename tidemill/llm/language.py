@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .textkit import blocks, column, crc_mod, mix
+from .textkit import blocks, column, mix
 
 N = 4
 SHARE = 5e-5
@@ -144,10 +144,10 @@ def predict(docs: DataFrame, filters: Filters, modulus: int = 3, held: int = 1)
                     best = share.argmax(axis=1)
                     name = np.where(some, np.array(filters.names, object)[best], "und")
                     score = np.where(some, np.clip(share.max(axis=1), 0, 1), 0.0)
-                out = crc_mod(rows.column(0).to_pylist(), modulus) == held
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(out), pa.array(name.tolist(), pa.string()), pa.array(score), pa.array(many)], ["doc_id", "held_out", "lang_pred", "score", "n_grams"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(name.tolist(), pa.string()), pa.array(score), pa.array(many)], ["doc_id", "held_out", "lang_pred", "score", "n_grams"])
 
-    docs = docs.select("doc_id", "text")
+    out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus == held
+    docs = docs.select("doc_id", "text", out.alias("held_out"))
     return docs.mapInArrow(apply, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double, n_grams long")
 
 

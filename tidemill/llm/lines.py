@@ -110,9 +110,8 @@ class _ByRuns:
 
     def __init__(self, docs: DataFrame, key: Column, scratch: Scratch):
         kind = docs.schema["doc_id"].dataType.simpleString()
-        rows = docs.where("text is not null").select(key.alias("doc"), "doc_id", "text").mapInArrow(runs.pack, runs.packed(kind))
-        self.blocks = scratch.keep(rows)
-        self.lines = self.blocks.select(F.inline(F.arrays_zip("doc", "doc_id", "line", "node")))
+        self.blocks = scratch.keep(docs.where("text is not null").select(key.alias("doc"), "doc_id", "text").mapInArrow(runs.pack, runs.packed(kind)))
+        self.lines = scratch.keep(self.blocks.select(F.inline(F.arrays_zip("doc", "doc_id", "line", "node"))))
         self.scratch = scratch
 
     def keyed(self) -> DataFrame:
@@ -120,6 +119,8 @@ class _ByRuns:
         buckets = 1 + (self.blocks.agg(F.sum("words")).first()[0] or 0) // runs.BUCKET
         hits = self.scratch.keep(runs.count(self.blocks, buckets))
         self.active = self.scratch.keep(runs.active(self.blocks, hits, buckets))
+        self.scratch.drop(hits)
+        self.scratch.drop(self.blocks)
         return self.active.select("node", F.col("n").alias("sim"), F.explode("keys").alias("key"))
 
     @staticmethod

@@ -5,8 +5,9 @@ L - k - (q - 1)(k + 1) places of each line begin a run of q words that stands in
 and 2 for q = 2 at L = 5 (below, no edit is allowed). Call that number T for a line, over all lengths a partner may have.
 
 1. ``pack``: the words of each line become 32-bit codes. One row holds a block of text: its lines, and the codes of its distinct ones.
-2. ``count``: each block sends the hashes of its runs, in as many buckets as the corpus needs, as packed numbers (4 bytes a run, once
-   a block however frequent); a bucket returns to each block which of them stand more than once in the corpus (a bit a run), and how often.
+2. ``count``: each block sends the hashes of its runs and of its lines, in as many buckets as the corpus needs, as packed numbers (4 bytes
+   each, once a block however frequent); a bucket returns to each block which of them stand more than once in the corpus (a bit each), and
+   how often (up to ``MANY``). A line's runs that stand nowhere but in equal lines count as standing once.
 3. ``active``: the runs of a line in one order for all (rarest first, by the count's logarithm and hash). Leaving out the most frequent ones, in fewer than T
    places, keeps the rarest shared run of every pair within the edits in both lines (prefix filtering); of the rest, those that stand
    more than once are the line's keys. Lines of unrelated text have no keys and go no further.
@@ -31,6 +32,8 @@ from .textkit import ALNUM, Words, blocks, hash_words, mix, shingles
 _U = np.uint64
 #: Runs that a bucket holds in memory; the number of buckets follows from it.
 BUCKET = 1 << 21
+#: So many times or more.
+MANY = 255
 #: Cells of the edit distance that are computed at once.
 CELLS = 1 << 18
 
@@ -107,6 +110,11 @@ def shared_places(n: np.ndarray) -> np.ndarray:
     return np.where(n == 5, 1, np.where(ahead - ahead // 5 <= n, np.minimum(places(n), places(ahead)), places(n)))
 
 
+def marks(nodes: np.ndarray) -> np.ndarray:
+    """Hashes of lines, which go with those of runs."""
+    return mix(nodes.view(_U) ^ _U(0xA24BAED4963EE407))
+
+
 def named(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The bucket (it grows with the hash) and the name within it of each run."""
     return (h >> _U(32)) * _U(buckets) >> _U(32), (h & _U(0xFFFFFFFF)).astype("<u4")
@@ -117,9 +125,9 @@ def sent(buckets: int) -> Callable:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, n, codes in zip(*(batch.column(c) for c in ("chunk", "n", "codes")), strict=True):
+            for chunk, nodes, n, codes in zip(*(batch.column(c) for c in ("chunk", "nodes", "n", "codes")), strict=True):
                 _, h = runs(n.values.to_numpy(), np.frombuffer(codes.as_py(), "<u4"))
-                h = np.sort(h)
+                h = np.sort(np.concatenate([h, marks(nodes.values.to_numpy())]))
                 new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
                 many = np.diff(np.append(new, len(h)))
                 bucket, name = named(h[new], buckets)
@@ -137,7 +145,7 @@ def sent(buckets: int) -> Callable:
 
 
 def summed(t: pa.Table) -> pa.Table:
-    """Of one bucket: for each block one bit a name, whether it stands more than once in the corpus, and the logarithm of how often for those."""
+    """Of one bucket: for each block one bit a name, whether it stands more than once in the corpus, and how often for those."""
     names = [np.frombuffer(x.as_py(), "<u4") for x in t.column("names")]
     weights = [np.ones(len(x), np.int64) for x in names]
     for w, x in zip(weights, t.column("repeats"), strict=True):
@@ -153,10 +161,22 @@ def summed(t: pa.Table) -> pa.Table:
     flags, often = [], []
     for part in np.split(total, ends[:-1]):
         flags.append(np.packbits(part > 1).tobytes())
-        often.append(np.log2(part[part > 1]).astype(np.uint8).tobytes())
+        often.append(np.minimum(part[part > 1], MANY).astype(np.uint8).tobytes())
     return t.select(["bucket", "chunk"]).append_column("flags", pa.array(flags, pa.binary())).append_column("often", pa.array(often, pa.binary()))
 
 
+def _alone(line: np.ndarray, h: np.ndarray, often: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """Whether a run stands only in its line and in the line's copies. Not told where either number reaches MANY."""
+    out = np.zeros(len(line), bool)
+    some = np.flatnonzero((copies[line] > 1) & (copies[line] < MANY) & (often < MANY))
+    order = some[np.lexsort((h[some], line[some]))]
+    if len(order):
+        new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (line[order][1:] != line[order][:-1])])
+        own = np.diff(np.append(np.flatnonzero(new), len(order)))
+        out[order] = often[order] == copies[line[order]] * np.repeat(own, own)
+    return out
+
+
 def keyed(buckets: int) -> Callable:
     """From blocks with the repeated runs: the lines that have keys."""
 
@@ -165,19 +185,22 @@ def keyed(buckets: int) -> Callable:
             for nodes, n, codes, hits in zip(*(batch.column(c) for c in ("nodes", "n", "codes", "hits")), strict=True):
                 node, n, codes = nodes.values.to_numpy(), n.values.to_numpy().astype(np.int64), np.frombuffer(codes.as_py(), "<u4")
                 line, h = runs(n, codes)
-                each, back = np.unique(h, return_inverse=True)
+                each, back = np.unique(np.concatenate([h, marks(node)]), return_inverse=True)
                 bucket = named(each, buckets)[0].astype(np.int64)
-                count = np.zeros(len(each), np.int64)  # the logarithm of how often each stands in the corpus, if more than once
+                count = np.ones(len(each), np.int64)
                 for x in hits.as_py():
                     begin, end = np.searchsorted(bucket, [x["bucket"], x["bucket"] + 1])
                     flags = np.unpackbits(np.frombuffer(x["flags"], np.uint8), count=end - begin).astype(bool)
                     count[begin:end][flags] = np.frombuffer(x["often"], np.uint8)
-                often = count[back]
-                some = np.flatnonzero(often)
-                short = some >= (np.maximum(n - 2, 0) * (n >= 5)).sum()
-                line, h, often = line[some], h[some], often[some]
-                spare = np.where(short, 1, shared_places(n)[line] - 1)  # T - 1
-                side = line * 2 + short  # runs of two and of three words are counted apart
+                often, copies = count[back[: len(h)]], count[back[len(h) :]]
+                places = np.flatnonzero(often > 1)
+                alone = _alone(line[places], h[places], often[places], copies)
+                places = places[~alone]
+                side = line[places] * 2 + (places >= (np.maximum(n - 2, 0) * (n >= 5)).sum())  # runs of two and of three words are counted apart
+                needed = np.stack([np.where(n >= 5, shared_places(np.maximum(n, 5)), 1 << 62), np.full(len(n), 2)], axis=1).ravel()  # T
+                enough = np.bincount(side, minlength=len(needed))[side] >= needed[side]
+                places, side = places[enough], side[enough]
+                line, h, often, spare = line[places], h[places], np.log2(often[places]).astype(np.int64), needed[side] - 1
                 order = np.lexsort((h, -often, side))
                 line, h, side, spare = line[order], h[order], side[order], spare[order]
                 if not len(h):
@@ -207,7 +230,7 @@ def keyed(buckets: int) -> Callable:
 
 def count(blocks_: DataFrame, buckets: int) -> DataFrame:
     """For each block its runs that stand more than once: chunk and hits."""
-    rows = blocks_.select("chunk", "n", "codes").mapInArrow(sent(buckets), "bucket long, chunk long, names binary, repeats binary")
+    rows = blocks_.select("chunk", "nodes", "n", "codes").mapInArrow(sent(buckets), "bucket long, chunk long, names binary, repeats binary")
     found = rows.groupBy("bucket").applyInArrow(summed, "bucket long, chunk long, flags binary, often binary")
     return found.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "flags", "often")).alias("hits"))
 

@@ -21,6 +21,7 @@ training texts every byte costs log10(1/256). Repeated rows each get a result. E
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +33,8 @@ from .common import Scratch, cut, table
 from .textkit import LOWER, SPACED, Words, blocks, crc_mod, hash_words, mix
 
 ORDER = 5
-#: Nodes of the trie sent to the tasks at once; contexts that end in the same two bytes stay together.
-MAX_NODES = 6_000_000
+#: Nodes of the trie sent to the tasks at once, 16 bytes each (about 100 in a worker); contexts that end in the same two bytes stay together.
+MAX_NODES = 1_000_000
 HOT = 2e-6
 START, STOP = 0xFE, 0xFF
 #: The end token's place among the word hashes.
@@ -242,14 +243,29 @@ def _ranges(nodes: DataFrame) -> list[tuple[int, int]]:
     return [*out, (low, 1 << 16)]
 
 
-def _tries(nodes: DataFrame, ranges: list[tuple[int, int]]) -> Iterator[Trie]:
+class Part:
+    """The counts of a part of the trie, as they are sent; a worker builds the trie of the last one it met."""
+
+    built: tuple[str, Trie] | None = None
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, low: tuple[np.ndarray, np.ndarray] | None = None):
+        self.name, self.keys, self.n, self.low = uuid.uuid4().hex, keys, n, low
+
+    def trie(self) -> Trie:
+        if Part.built is None or Part.built[0] != self.name:
+            Part.built = None  # one at a time
+            Part.built = (self.name, Trie(self.keys, self.n, low=self.low))
+        return Part.built[1]
+
+
+def _parts(nodes: DataFrame, ranges: list[tuple[int, int]]) -> Iterator[Part]:
     """The parts of the trie, one after another."""
     if len(ranges) == 1:
-        yield Trie(*_numbers(nodes))
+        yield Part(*_numbers(nodes))
         return
     low = _numbers(nodes.groupBy(F.shiftrightunsigned("key", 8 * (ORDER - 1)).alias("key")).agg(F.sum("n").alias("n")))
     for a, b in ranges:
-        yield Trie(*_numbers(nodes.where(_last_two(F.col("key")).between(a, b - 1))), low=low)
+        yield Part(*_numbers(nodes.where(_last_two(F.col("key")).between(a, b - 1))), low=low)
 
 
 def _score(trie: Trie, data: np.ndarray, offs: np.ndarray, low: int, high: int) -> np.ndarray:
@@ -262,24 +278,30 @@ def _score(trie: Trie, data: np.ndarray, offs: np.ndarray, low: int, high: int)
     return np.bincount(of, trie.code(key), len(offs) - 1).astype(float)
 
 
-def _part(numbered: DataFrame, trie: Trie, held_range: tuple[int, int]) -> DataFrame:
+def _added(numbered: DataFrame, part: Part, held_range: tuple[int, int], scratch: Scratch) -> DataFrame:
     """at and part: what a part of the trie adds to each row's score."""
-    shared = numbered.sparkSession.sparkContext.broadcast(trie)
+    shared = numbered.sparkSession.sparkContext.broadcast(part)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = shared.value.trie()
         for batch in batches:
             for rows, data, offs in blocks(batch, limit=1 << 20):
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(_score(shared.value, LOWER[data], offs, *held_range))], ["at", "part"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(_score(trie, LOWER[data], offs, *held_range))], ["at", "part"])
 
-    return numbered.select("at", "text").mapInArrow(apply, "at long, part double")
+    added = scratch.keep(numbered.select("at", "text").mapInArrow(apply, "at long, part double"))
+    shared.unpersist()
+    return added
 
 
 def lm_scores(docs: DataFrame, modulus: int = 5, held: int = 1) -> DataFrame:
     """The contract's columns for every document, and n_bytes, the symbols coded."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    docs = docs.select("doc_id", "text")
-    numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("at"), "text")
+    with Scratch(docs.sparkSession) as scratch:
+        return _lm_scores(docs.select("doc_id", "text"), modulus, held, scratch)
+
+
+def _lm_scores(docs: DataFrame, modulus: int, held: int, scratch: Scratch) -> DataFrame:
+    out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus == held
+    numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("at"), "text", out.alias("held_out"))
     counts = scratch.keep(_gather(docs, modulus, held))
     vocabulary = counts.where("kind = 0").select(F.col("key").alias("word"), F.col("n").alias("c"))
     size = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -290,17 +312,18 @@ def lm_scores(docs: DataFrame, modulus: int = 5, held: int = 1) -> DataFrame:
     ranges = _ranges(nodes)
     if len(ranges) > 1:
         numbered = scratch.keep(numbered)  # the numbers may differ between runs
-    tries = _tries(nodes, ranges)
+    parts = _parts(nodes, ranges)
     first = ranges[0]
-    shared = spark.sparkContext.broadcast(
+    shared = docs.sparkSession.sparkContext.broadcast(
         (
-            next(tries),
+            next(parts),
             Table(hot.column("word").to_numpy().astype(np.int64).view(_U), log=np.log10((hot.column("c").to_numpy().astype(float) + 0.5) / down)),
         )
     )
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, words = shared.value
+        part, words = shared.value
+        trie = part.trie()
         for batch in batches:
             for rows, data, offs in blocks(batch, limit=1 << 20):
                 data = LOWER[data]
@@ -315,9 +338,8 @@ def lm_scores(docs: DataFrame, modulus: int = 5, held: int = 1) -> DataFrame:
                 rest = rest[np.argsort(row[rest], kind="stable")]
                 lists = pa.ListArray.from_arrays(np.searchsorted(row[rest], np.arange(n + 1)).astype(np.int32), pa.array(h[rest].view(np.int64)))
                 score = _score(trie, data, offs, *first)
-                out = crc_mod(rows.column(0).to_pylist(), modulus) == held
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(1), pa.array(out), pa.array((w.counts + 1).astype(np.int64)), pa.array(np.bincount(row[known], minlength=n).astype(np.int64)), pa.array(base), pa.array(score), pa.array(np.diff(offs) + 1), lists],
+                    [rows.column(0), rows.column(1), rows.column(3), pa.array((w.counts + 1).astype(np.int64)), pa.array(np.bincount(row[known], minlength=n).astype(np.int64)), pa.array(base), pa.array(score), pa.array(np.diff(offs) + 1), lists],
                     ["doc_id", "at", "held_out", "n_tokens", "hot_known", "hot_base", "score", "n_bytes", "rest"],
                 )
 
@@ -327,12 +349,12 @@ def lm_scores(docs: DataFrame, modulus: int = 5, held: int = 1) -> DataFrame:
     )
     passed = scratch.keep(passed)
     shared.unpersist()
-    parts = None
-    for held_range, trie in zip(ranges[1:], tries, strict=True):
-        part = scratch.keep(_part(numbered, trie, held_range))
-        parts = part if parts is None else parts.unionByName(part)
-    if parts is not None:
-        more = parts.groupBy("at").agg(F.sum("part").alias("part"))
+    added = None
+    for held_range, part in zip(ranges[1:], parts, strict=True):
+        more = _added(numbered, part, held_range, scratch)
+        added = more if added is None else added.unionByName(more)
+    if added is not None:
+        more = added.groupBy("at").agg(F.sum("part").alias("part"))
         passed = passed.join(more, "at").withColumn("score", F.col("score") + F.col("part")).drop("part")
     rare = passed.select("at", F.explode("rest").alias("word")).join(vocabulary, "word", "left")
     log = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(down))
@@ -341,9 +363,7 @@ def lm_scores(docs: DataFrame, modulus: int = 5, held: int = 1) -> DataFrame:
         "doc_id", "held_out", "n_tokens", (F.col("hot_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("hot_base") + F.coalesce("base", F.lit(0.0))).alias("base_score"), "score", "n_bytes",
     )
-    result = cut(result)
-    scratch.close()
-    return result
+    return cut(result)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -354,13 +374,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def brute_force(docs: list[tuple[int, str | None]], order: int = ORDER) -> list[tuple]:
     """The contract on Python lists, symbol by symbol, for tests."""
     import re
-    import zlib
     from collections import Counter, defaultdict
     from math import log10
 
     low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
     words = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", low(t)), None]
-    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
+    held = lambda d: crc_mod([d], 5)[0] == 1
     count: Counter = Counter()
     nodes: dict = defaultdict(Counter)
     for d, t in docs:
