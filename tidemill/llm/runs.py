@@ -36,6 +36,8 @@ BUCKET = 1 << 21
 MANY = 255
 #: Cells of the edit distance that are computed at once.
 CELLS = 1 << 18
+#: Words of pairs that are sorted at once.
+WORDS = 1 << 21
 
 
 def lower(texts: pa.Array) -> pa.Array:
@@ -241,42 +243,80 @@ def active(blocks_: DataFrame, hits: DataFrame, buckets: int) -> DataFrame:
     return rows.mapInArrow(keyed(buckets), "node long, n int, codes binary, keys array<long>").dropDuplicates(["node"])
 
 
+def shared_words(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """How many words each pair of code sequences has in common, whatever their places."""
+    size = np.array([len(x) + len(y) for x, y in zip(xs, ys, strict=True)], np.int64)
+    out = np.zeros(len(xs), np.int64)
+    slices = np.cumsum(size) // WORDS
+    for a, b in zip(np.searchsorted(slices, np.unique(slices)), np.searchsorted(slices, np.unique(slices), "right"), strict=True):
+        pair = np.arange(b - a, dtype=_U)
+        left = [np.repeat(pair, [len(v) for v in side[a:b]]) << _U(33) | np.concatenate(side[a:b]).astype(_U) << _U(1) for side in (xs, ys)]
+        both = np.sort(np.concatenate([left[0], left[1] | _U(1)]))
+        if not len(both):
+            continue
+        word = both >> _U(1)
+        new = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        of_y = np.add.reduceat((both & _U(1)).astype(np.int64), new)
+        least = np.minimum(of_y, np.diff(np.append(new, len(both))) - of_y)
+        out[a:b] = np.bincount((word[new] >> _U(32)).astype(np.int64), least, b - a)
+    return out
+
+
+def _banded(xs: list[np.ndarray], ys: list[np.ndarray], band: int, most: np.ndarray) -> np.ndarray:
+    """Whether each pair's edit distance is ``most`` at most, where no ``most`` exceeds the band."""
+    nx, ny = np.array([len(v) for v in xs], np.int64), np.array([len(v) for v in ys], np.int64)
+    rows = int(nx.max())
+    x = np.full((len(xs), rows), -1, np.int64)
+    y = np.full((len(xs), rows + 2 * band + 1), -2, np.int64)
+    for i in range(len(xs)):
+        x[i, : nx[i]] = xs[i]
+        y[i, band : band + ny[i]] = ys[i]
+    offset = np.arange(-band, band + 1, dtype=np.int32)
+    cost = np.tile(np.where(offset < 0, 1 << 20, offset).astype(np.int32), (len(xs), 1))
+    out, who = np.zeros(len(xs), bool), np.arange(len(xs))
+    out[nx == 0] = (ny <= most)[nx == 0]
+    for i in range(rows):
+        new = cost + (x[who, i][:, None] != y[who, i : i + 2 * band + 1] if len(who) < len(xs) else x[:, i : i + 1] != y[:, i : i + 2 * band + 1])
+        np.minimum(new[:, :-1], cost[:, 1:] + 1, out=new[:, :-1])
+        new -= offset
+        np.minimum.accumulate(new, axis=1, out=new)
+        new += offset
+        cost = new
+        done = nx[who] == i + 1
+        if done.any():
+            at = who[done]
+            out[at] = cost[done, (ny - nx)[at] + band] <= most[at]
+        if i % 16 == 15:  # pairs that are done, or beyond their number of edits everywhere, go
+            stay = (nx[who] > i + 1) & (cost.min(axis=1) <= most[who])
+            if stay.mean() < 0.8:
+                who, cost = who[stay], cost[stay]
+                if not len(who):
+                    break
+    return out
+
+
 def within(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
-    """Whether each pair of code sequences is within a fifth of the longer one's length in edits."""
+    """Whether each pair of code sequences is within a fifth of the longer one's length in edits: by their words, then in bands that
+    grow up to that number, so that few edits cost little."""
     nx, ny = np.array([len(x) for x in xs], np.int64), np.array([len(y) for y in ys], np.int64)
-    allowed = np.maximum(nx, ny) // 5
+    allowed, apart = np.maximum(nx, ny) // 5, np.abs(nx - ny)
     out = np.zeros(len(xs), bool)
-    order = np.flatnonzero(np.abs(nx - ny) <= allowed)
-    order = order[np.lexsort((nx[order], allowed[order]))]
-    at = 0
-    while at < len(order):
-        band = int(allowed[order[at]])
-        to = at + 1
-        while to < len(order) and (to - at) * (2 * int(allowed[order[to]]) + 1) < CELLS and nx[order[to]] <= 2 * nx[order[at]] + 8:
-            to += 1
-        some = order[at:to]
-        band, rows = int(allowed[some].max()), int(nx[some].max())
-        x = np.full((len(some), rows), -1, np.int64)
-        y = np.full((len(some), rows + 2 * band + 1), -2, np.int64)
-        for i, p in enumerate(some.tolist()):
-            x[i, : nx[p]] = xs[p]
-            y[i, band : band + ny[p]] = ys[p][: rows + band + 1]
-        offset = np.arange(-band, band + 1, dtype=np.int32)
-        cost = np.tile(np.where(offset < 0, 1 << 20, offset).astype(np.int32), (len(some), 1))
-        final = np.zeros(len(some), np.int32)
-        final[nx[some] == 0] = ny[some][nx[some] == 0]
-        for i in range(rows):
-            new = cost + (x[:, i : i + 1] != y[:, i : i + 2 * band + 1])
-            np.minimum(new[:, :-1], cost[:, 1:] + 1, out=new[:, :-1])
-            new -= offset
-            np.minimum.accumulate(new, axis=1, out=new)
-            new += offset
-            cost = new
-            done = np.flatnonzero(nx[some] == i + 1)
-            if len(done):
-                final[done] = cost[done, (ny - nx)[some[done]] + band]
-        out[some] = final <= allowed[some]
-        at = to
+    todo = np.flatnonzero((apart <= allowed) & (shared_words(xs, ys) >= np.maximum(nx, ny) - allowed))
+    step = 6
+    while len(todo):
+        most = np.minimum(step, allowed)
+        now = todo[apart[todo] <= most[todo]]
+        now = now[np.lexsort((nx[now], most[now]))]
+        at = 0
+        while at < len(now):
+            to = at + 1
+            while to < len(now) and (to - at) * (2 * int(most[now[to]]) + 1) < CELLS and nx[now[to]] <= 2 * nx[now[at]] + 8:
+                to += 1
+            some = now[at:to]
+            out[some] = _banded([xs[i] for i in some], [ys[i] for i in some], int(most[some].max()), most[some])
+            at = to
+        todo = todo[~out[todo] & (allowed[todo] > step)]
+        step *= 4
     return out
 
 
