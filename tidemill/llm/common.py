@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _DIR = "spark.checkpoint.dir"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get(_DIR, None) or context.getConf().get(_DIR)
     current = context._jsc.sc().getCheckpointDir()
     if current.isEmpty():
-        if not named and not context.master.startswith("local["):
+        if not named and context.master != "local" and not context.master.startswith("local["):
             raise ValueError(f"set {_DIR} to a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemill-"))
         current = context._jsc.sc().getCheckpointDir()
@@ -40,18 +42,29 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside go when it ends; else they stay until the driver happens to collect its garbage."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _shuffles_dropped(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 class Scratch:
     """Parquet tables in the shared folder that live as long as one operator call, or the ``with`` block around it.
 
     ``keep`` writes a frame and reads it back, which cuts lineage and survives lost executors; ``drop`` deletes one that has no
-    reader left, ``close`` everything written, after the operator's result has been cut itself. They have Spark's cleaner drop the
-    shuffle files that nothing refers to any more: by itself it does so only when the driver happens to collect its garbage.
+    reader left, ``close`` everything written, after the operator's result has been cut itself.
     """
 
     def __init__(self, spark: SparkSession):
@@ -69,11 +82,9 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
-        schema = df.schema
-        del df  # else its shuffle files stay
-        self._release()
-        kept = self.spark.read.schema(schema).parquet(path)
+        with _shuffles_dropped(self.spark):
+            df.write.parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(kept)] = path
         return kept
 
@@ -82,12 +93,7 @@ class Scratch:
 
     def close(self) -> None:
         self._delete(self.root)
-        self._release()
 
     def _delete(self, path: str) -> None:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-    def _release(self) -> None:
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()

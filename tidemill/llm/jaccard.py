@@ -7,7 +7,8 @@ four steps, none of which loses a link:
    are hashed into m > d groups (m fixed for a class of sizes; sets near a class's edge join both classes), so at most d groups
    differ, and among the d + 1 first of all groups in one common order (larger groups first, then by hash) at least one
    is the same in both: prefix filtering over whole groups. Nodes that hold the same group meet in its cell. No corpus
-   statistics are needed, and a group of several shingles is far rarer than any one of them. Cells with the same members are one.
+   statistics are needed, and a group of several shingles is far rarer than any one of them. Sets of up to 16 shingles, whose groups would often be
+   empty, meet by triples of their first shingles in a common order instead. Cells with the same members are one, unless very large.
 2. Stars. Each node is verified against one node, the one in most cells of those it shares a cell with (of a group of near copies that is
    the text the others were made from); this joins groups of near copies in linear work.
 3. Rest. Cells whose nodes are still of several components are searched: their nodes outside the largest
@@ -28,19 +29,24 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, cut, table
+from .common import Scratch, cut, fresh, table
 from .components import components
 from .textkit import LOWER, SPACED, Words, blocks, hash_words, mix, shingles
 
 SHINGLE, PERCENT = 4, 85
 BLOCK = 128
 RATIO = 1.6
+#: Up to this class of sizes (16 members) groups would often be empty, and sets meet by triples.
+SMALL = 5
+#: Rows of one cell that are held at once to name it by its members.
+HELD = 1 << 20
 FILTER_BITS = 23
 _U = np.uint64
 
@@ -89,12 +95,32 @@ class Scheme:
         return content[first]
 
 
+class Few:
+    """How small sets meet: in triples of shingles. In one common order of all shingles, two sets that have what the similarity asks of them share
+    three of their first n - least + 3, least being the fewest members that a set of n has in common with any partner (prefix filtering
+    by three). Sets of one or two members only have equal partners."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+        self.triples: dict[int, np.ndarray] = {}
+
+    def keys(self, s: np.ndarray) -> np.ndarray:
+        h = np.sort(mix(s ^ _U(0x8CB92BA72F3D8DD7)))
+        if len(h) < 3:
+            return mix(mix(h).sum(keepdims=True) + _U(len(h)))
+        first = len(h) + self.percent * len(h) // -100 + 3
+        if first not in self.triples:
+            self.triples[first] = np.array(list(combinations(range(first), 3))).T
+        a, b, c = h[self.triples[first]]
+        return mix(mix(a + mix(b)) + mix(c + _U(3)))
+
+
 def edge(c: int) -> int:
     """The smallest size of class c."""
     return int(np.ceil(RATIO**c)) if c else 1
 
 
-def schemes_of(n: int, percent: int, known: dict[int, Scheme]) -> list[Scheme]:
+def schemes_of(n: int, percent: int, known: dict[int, Scheme | Few]) -> list[Scheme | Few]:
     """The schemes of a set of n: its class's, and the one below if a smaller partner may be there."""
     c = int(np.log(n) / np.log(RATIO))
     while edge(c + 1) <= n:
@@ -104,7 +130,12 @@ def schemes_of(n: int, percent: int, known: dict[int, Scheme]) -> list[Scheme]:
     out = [c]
     if c and percent * n <= 100 * (edge(c) - 1):
         out.append(c - 1)
-    return [known.setdefault(x, Scheme(x, percent)) for x in out]
+    if percent >= 75:  # then sets of three or more only have partners of three or more
+        out = list(dict.fromkeys(x if x > SMALL else -1 for x in out))
+    for x in out:
+        if x not in known:
+            known[x] = Few(percent) if x < 0 else Scheme(x, percent)
+    return [known[x] for x in out]
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -204,8 +235,8 @@ def solve(nodes: list[int], comps: list[int], sets: list[np.ndarray], percent: i
     return out
 
 
-def _runs(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[pa.Table]:
-    """The runs of equal keys of sorted batches, as many whole ones at a time as came together."""
+def _runs(batches: Iterator[pa.RecordBatch], column: int = 0, most: int | None = None) -> Iterator[pa.Table]:
+    """The runs of equal keys of sorted batches, as many whole ones at a time as came together; a run of over ``most`` rows comes in pieces."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
@@ -213,6 +244,9 @@ def _runs(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[pa.Tab
         key = batch.column(column).to_numpy()
         if held and held[-1].column(column)[-1].as_py() == key[0] == key[-1]:
             held.append(batch)
+            if most and sum(b.num_rows for b in held) > most:
+                yield pa.Table.from_batches(held)
+                held = []
             continue
         last = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
         if last or held:
@@ -226,8 +260,17 @@ def _runs(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[pa.Tab
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(cell, node) of every cell with two nodes or more; a cell's name is a hash of its members."""
     seen: set[int] = set()
-    for t in _runs(batches):
+    large = None
+    for t in _runs(batches, most=HELD):
         key, node = t.column("key").to_numpy(), t.column("node").to_numpy()
+        if key[0] == key[-1] and len(key) > HELD:
+            large = key[0]
+        head = int(np.searchsorted(key != large, True)) if large is not None else 0
+        if head:  # a piece of a very large cell, named by its key
+            yield pa.RecordBatch.from_arrays([pa.array(key[:head]), pa.array(node[:head])], ["cell", "node"])
+            key, node = key[head:], node[head:]
+            if not len(key):
+                continue
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
         key, node = key[new], node[new]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -248,44 +291,43 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, key: str = "doc_id") -> DataFrame:
     """key, n_shingles, component_id (the smallest key reachable by links) and node (the set's identity) of every row."""
     spark = docs.sparkSession
-    scratch = Scratch(spark)
-    kind = docs.schema[key].dataType.simpleString()
-    docs = docs.select(F.col(key).alias("id"), F.col("text"))
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, data, offs in blocks(batch):
-                sets = shingle_sets(data, offs, k)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())], ["id", "n", "node"])
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, Scheme] = {}
-        for batch in batches:
-            for _, data, offs in blocks(batch):
-                out = {node_of(s): s for s in shingle_sets(data, offs, k) if len(s)}
-                found = [(node, x) for node, s in out.items() for scheme in schemes_of(len(s), percent, known) for x in [scheme.keys(s)]]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for _, x in found]).view(np.int64)), pa.array(np.repeat([n for n, _ in found], [len(x) for _, x in found]))], ["key", "node"])
-
-    measured = scratch.keep(docs.mapInArrow(measure, f"id {kind}, n long, node long"))
-    pairs = docs.select("text").mapInArrow(keys, "key long, node long")
-    ordered = pairs.repartition(F.col("key")).sortWithinPartitions("key", "node")
-    cells = scratch.keep(ordered.mapInArrow(_cells, "cell long, node long").distinct())
-
-    sets = scratch.keep(_sets(docs, cells, k))
-    vectors = scratch.keep(sets.mapInArrow(_vectors, "node long, n int, vector binary"))
-    links = cut(_verified(_stars(cells), sets, percent))
-    parts = components(links)
-    rest = cut(_rest(cells, parts, vectors, sets, percent))
-    if not rest.isEmpty():
-        parts = components(links.unionByName(rest))
-
-    named = measured.where("node is not null").groupBy("node").agg(F.min("id").alias("least")).join(parts, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    roots = named.groupBy("comp").agg(F.min("least").alias("root"))
-    named = named.join(roots, "comp").select("node", "root")
-    result = measured.join(named, "node", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"), "node")
-    result = cut(result)
-    scratch.close()
+    with Scratch(spark) as scratch:
+        kind = docs.schema[key].dataType.simpleString()
+        docs = docs.select(F.col(key).alias("id"), F.col("text"))
+
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for rows, data, offs in blocks(batch):
+                    sets = shingle_sets(data, offs, k)
+                    yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())], ["id", "n", "node"])
+
+        def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known: dict[int, Scheme | Few] = {}
+            for batch in batches:
+                for _, data, offs in blocks(batch):
+                    out = {node_of(s): s for s in shingle_sets(data, offs, k) if len(s)}
+                    found = [(node, x) for node, s in out.items() for scheme in schemes_of(len(s), percent, known) for x in [scheme.keys(s)]]
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for _, x in found]).view(np.int64)), pa.array(np.repeat([n for n, _ in found], [len(x) for _, x in found]))], ["key", "node"])
+
+        measured = scratch.keep(docs.mapInArrow(measure, f"id {kind}, n long, node long"))
+        pairs = docs.select("text").mapInArrow(keys, "key long, node long")
+        ordered = pairs.repartition(F.col("key")).sortWithinPartitions("key", "node")
+        cells = scratch.keep(ordered.mapInArrow(_cells, "cell long, node long").distinct())
+
+        sets = scratch.keep(_sets(docs, cells, k))
+        vectors = scratch.keep(sets.mapInArrow(_vectors, "node long, n int, vector binary"))
+        links = cut(_verified(_stars(cells), sets, percent))
+        parts = components(links)
+        rest = cut(_rest(cells, parts, vectors, sets, percent))
+        if not rest.isEmpty():
+            parts = components(links.unionByName(rest))
+
+        named = measured.where("node is not null").groupBy("node").agg(F.min("id").alias("least")).join(parts, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        roots = named.groupBy("comp").agg(F.min("least").alias("root"))
+        named = named.join(roots, "comp").select("node", "root")
+        result = measured.join(named, "node", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"), "node")
+        result = cut(result)
     return result
 
 
@@ -397,10 +439,10 @@ def _rest(cells: DataFrame, parts: DataFrame, vectors: DataFrame, sets: DataFram
 
 def one_of_each(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The documents, with all their columns, one of each class: the smallest doc_id. Rows equal in doc_id and text are one document."""
-    same = F.xxhash64("doc_id", "text")
+    same, h = F.xxhash64("doc_id", "text"), fresh(docs.columns, "_h")
     found = classes(docs.select(F.struct("doc_id", same.alias("h")).alias("key"), "text"), k, percent, "key")
-    kept = found.where(F.col("key").eqNullSafe(F.col("component_id"))).select(F.col("key.h").alias("_h")).distinct()
-    return docs.withColumn("_h", same).join(kept, "_h", "left_semi").dropDuplicates(["_h"]).drop("_h")
+    kept = found.where(F.col("key").eqNullSafe(F.col("component_id"))).select(F.col("key.h").alias(h)).distinct()
+    return docs.withColumn(h, same).join(kept, h, "left_semi").dropDuplicates([h]).drop(h)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
