@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cells import deal, sides, whole_keys
 from .common import Scratch, cut, fresh, table
 from .components import components
 from .textkit import LOWER, SPACED, Words, blocks, hash_words, mix, shingles
@@ -235,33 +236,11 @@ def solve(nodes: list[int], comps: list[int], sets: list[np.ndarray], percent: i
     return out
 
 
-def _runs(batches: Iterator[pa.RecordBatch], column: int = 0, most: int | None = None) -> Iterator[pa.Table]:
-    """The runs of equal keys of sorted batches, as many whole ones at a time as came together; a run of over ``most`` rows comes in pieces."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = batch.column(column).to_numpy()
-        if held and held[-1].column(column)[-1].as_py() == key[0] == key[-1]:
-            held.append(batch)
-            if most and sum(b.num_rows for b in held) > most:
-                yield pa.Table.from_batches(held)
-                held = []
-            continue
-        last = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
-        if last or held:
-            done = [*held, batch.slice(0, last)] if last else held
-            yield pa.Table.from_batches(done)
-        held = [batch.slice(last)]
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(cell, node) of every cell with two nodes or more; a cell's name is a hash of its members."""
     seen: set[int] = set()
     large = None
-    for t in _runs(batches, most=HELD):
+    for t in whole_keys(batches, most=HELD):
         key, node = t.column("key").to_numpy(), t.column("node").to_numpy()
         if key[0] == key[-1] and len(key) > HELD:
             large = key[0]
@@ -383,35 +362,15 @@ def _stars(cells: DataFrame) -> DataFrame:
     return cut(best.where("node <> hub.node").select(F.col("node").alias("a"), F.col("hub.node").alias("b")))
 
 
-def _groups(t: pa.Table) -> Iterator[tuple[int, int, list[int], list[int]]]:
-    """(from, to, left positions, right positions) of each group of a sorted table."""
-    g = t.column("g").to_numpy()
-    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
-    is_left, is_right = t.column("is_left").to_numpy(), t.column("is_right").to_numpy()
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        left, right = np.flatnonzero(is_left[a:b]).tolist(), np.flatnonzero(is_right[a:b]).tolist()
-        if left and right:
-            yield a, b, left, right
-
-
 def _rest(cells: DataFrame, parts: DataFrame, vectors: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between different components that share a cell."""
-    placed = cells.join(parts, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    shares = placed.groupBy("cell", "comp").agg(F.count("*").alias("m"))
-    mixed = shares.groupBy("cell").agg(F.sum("m").alias("total"), F.max(F.struct("m", "comp")).alias("big"), F.count("*").alias("comps")).where("comps > 1")
-    rows = placed.join(mixed, "cell").withColumn("outside", F.col("comp") != F.col("big.comp"))
-    rows = rows.withColumn("rows", F.ceil(F.col("total") / BLOCK)).withColumn("lefts", F.ceil((F.col("total") - F.col("big.m")) / BLOCK))
-    rows = rows.withColumn("j", F.pmod(F.xxhash64("node"), "rows")).withColumn("i", F.when(F.col("outside"), F.pmod(F.xxhash64("node", "cell"), "lefts")))
-    right = rows.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lefts") - 1)))
-    right = right.select("node", "comp", F.xxhash64("cell", "at", "j").alias("g"), (F.col("outside") & (F.col("i") == F.col("at"))).alias("is_left"), F.lit(True).alias("is_right"))
-    left = rows.where("outside and rows > 1").withColumn("at", F.explode(F.expr("filter(sequence(0L, rows - 1), x -> x <> j)")))
-    left = left.select("node", "comp", F.xxhash64("cell", "i", "at").alias("g"), F.lit(True).alias("is_left"), F.lit(False).alias("is_right"))
+    dealt = deal(cells.join(parts, "node", "left").withColumn("comp", F.coalesce("comp", "node")), BLOCK)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _runs(batches):
+        for t in whole_keys(batches):
             node, comp, n, vector = (t.column(c).to_pylist() for c in ("node", "comp", "n", "vector"))
             out: dict[tuple[int, ...], list[int]] = {}
-            for a, b, left_at, right_at in _groups(t):
+            for a, b, left_at, right_at in sides(t):
                 at = {node[a + i]: a + i for i in search(comp[a:b], n[a:b], vector[a:b], left_at, right_at, percent)}
                 if at:  # groups with the same nodes are solved once
                     out[tuple(sorted(at))] = [at[x] for x in sorted(at)]
@@ -422,7 +381,7 @@ def _rest(cells: DataFrame, parts: DataFrame, vectors: DataFrame, sets: DataFram
             )
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _runs(batches):
+        for t in whole_keys(batches):
             g = t.column("g").to_numpy()
             first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]])).tolist()
             node, comp, members = t.column("node").to_pylist(), t.column("comp").to_pylist(), t.column("members")
@@ -431,7 +390,7 @@ def _rest(cells: DataFrame, parts: DataFrame, vectors: DataFrame, sets: DataFram
                 found += solve(node[a:b], comp[a:b], [np.frombuffer(x, _U) for x in members.slice(a, b - a).to_pylist()], percent)
             yield pa.RecordBatch.from_arrays([pa.array([max(x) for x in found], pa.int64()), pa.array([min(x) for x in found], pa.int64())], ["a", "b"])
 
-    near = right.unionByName(left).join(vectors, "node").select("g", "node", "comp", "is_left", "is_right", "n", "vector")
+    near = dealt.join(vectors, "node").select("g", "node", "comp", "is_left", "is_right", "n", "vector")
     near = cut(near.repartition("g").sortWithinPartitions("g").mapInArrow(look, "g long, node long, comp long").distinct())
     full = near.join(sets, "node").select("g", "node", "comp", "members")
     return full.repartition("g").sortWithinPartitions("g").mapInArrow(link, "a long, b long").distinct()

@@ -25,12 +25,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import runs
+from .cells import deal
 from .common import Scratch, cut, fresh, table
 from .components import components
 
 BITS = 3
 SIMILAR = 0.8
 LANE = 0x0001000100010001
+#: Lines of a block: pairs of blocks are compared in one task.
+BLOCK = 256
 LONGEST = 16_000  # below 2^14, so that no lane can reach its sign bit; longer lines are summed bit by bit
 _BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
@@ -88,16 +91,21 @@ class _BySimHash:
         self.scratch = scratch
 
     def keyed(self) -> DataFrame:
-        """node, sim (what ``near`` compares) and key."""
-        sims = self.scratch.keep(_simhashes(self.texts))
-        return sims.select("node", "sim", F.explode(_keys(F.col("sim"))).alias("key"))
+        """node and key."""
+        self.sims = self.scratch.keep(_simhashes(self.texts))
+        return self.sims.select("node", F.explode(_keys(F.col("sim"))).alias("key"))
 
-    @staticmethod
-    def near(a: str, b: str) -> Column:
-        return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= BITS
+    def across(self, dealt: DataFrame) -> DataFrame:
+        """The pairs (a, b) of dealt groups whose SimHashes are near."""
+        rows = dealt.join(self.sims, "node")
+        right = rows.where("is_right").select("g", F.col("node").alias("b"), F.col("comp").alias("b_comp"), F.col("sim").alias("b_sim"))
+        near = (F.col("comp") != F.col("b_comp")) & (F.bit_count(F.col("sim").bitwiseXOR(F.col("b_sim"))) <= BITS)
+        return rows.where("is_left").join(right, "g").where(near).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of nodes whose words are similar enough."""
+        """The pairs (a, b) of nodes whose SimHashes are near and whose words are similar enough."""
+        sims = lambda side: self.sims.select(F.col("node").alias(side), F.col("sim").alias(f"{side}_sim"))
+        pairs = pairs.join(sims("a"), "a").join(sims("b"), "b").where(F.bit_count(F.col("a_sim").bitwiseXOR(F.col("b_sim"))) <= BITS).select("a", "b")
         codes = self.texts.select("node", _code(F.split("norm", " ", -1)).alias("code"))
         rows = pairs.join(codes.select(F.col("node").alias("b"), F.col("code").alias("y")), "b").join(codes.select(F.col("node").alias("a"), F.col("code").alias("x")), "a")
         longer, shorter = F.greatest(F.length("x"), F.length("y")), F.least(F.length("x"), F.length("y"))
@@ -115,17 +123,18 @@ class _ByRuns:
         self.scratch = scratch
 
     def keyed(self) -> DataFrame:
-        """node, sim (its number of words) and key."""
+        """node and key."""
         buckets = 1 + (self.blocks.agg(F.sum("words")).first()[0] or 0) // runs.BUCKET
         hits = self.scratch.keep(runs.count(self.blocks, buckets))
         self.active = self.scratch.keep(runs.active(self.blocks, hits, buckets))
         self.scratch.drop(hits)
         self.scratch.drop(self.blocks)
-        return self.active.select("node", F.col("n").alias("sim"), F.explode("keys").alias("key"))
+        return self.active.select("node", F.explode("keys").alias("key"))
 
-    @staticmethod
-    def near(a: str, b: str) -> Column:
-        return F.abs(F.col(a) - F.col(b)) <= F.floor(F.greatest(a, b) / 5)
+    def across(self, dealt: DataFrame) -> DataFrame:
+        """The pairs (a, b) of dealt groups that have words enough in common."""
+        rows = dealt.join(self.active.select("node", "n", "counts"), "node").select("g", "node", "comp", "is_left", "is_right", "n", "counts")
+        return rows.repartition("g").sortWithinPartitions("g").mapInArrow(runs.met, "a long, b long")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         return runs.verified(pairs, self.active)
@@ -135,18 +144,15 @@ def duplicate_lines(docs: DataFrame, scratch: Scratch, key: Column, exact: bool
     """doc and removed (the line numbers that go) of the documents that lose lines."""
     found = (_ByRuns if exact else _BySimHash)(docs.select("doc_id", "text"), key, scratch)
     keyed = found.keyed().repartition("key")
-    least = keyed.groupBy("key").agg(F.min(F.struct("node", "sim")).alias("least"), F.max("node").alias("most")).where("least.node <> most").select("key", "least")
-    shared = scratch.keep(keyed.join(least.hint("shuffle_hash"), "key"))
-    stars = shared.where(found.near("sim", "least.sim")).where("node <> least.node").select(F.col("node").alias("a"), F.col("least.node").alias("b"))
-    stars = cut(stars.distinct())
+    # of the keys on which the same lines meet one is enough
+    groups = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.sum(F.shiftright(F.xxhash64("node"), 24)).alias("name")).where("least <> most")
+    groups = groups.groupBy("name", "least", "most").agg(F.min("key").alias("key"))
+    shared = scratch.keep(keyed.join(groups.select("key", "least").hint("shuffle_hash"), "key").select(F.col("key").alias("cell"), "node", "least"))
+    stars = shared.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     links = cut(found.verified(stars))
     parts = components(links)
-    placed = shared.join(parts, "node", "left").select("key", "node", "sim", F.coalesce("comp", "node").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    left = scratch.keep(placed.join(mixed, "key"))
-    right = left.select("key", F.col("node").alias("b"), F.col("sim").alias("b_sim"), F.col("comp").alias("b_comp"))
-    across = left.join(right, "key").where((F.col("comp") < F.col("b_comp")) & found.near("sim", "b_sim")).select(F.col("node").alias("a"), "b").distinct()
-    across = cut(across.join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti").join(stars, ["a", "b"], "left_anti"))
+    placed = shared.join(parts, "node", "left").select("cell", "node", F.coalesce("comp", "node").alias("comp"))
+    across = scratch.keep(found.across(deal(placed, BLOCK)).distinct())
     if not across.isEmpty():
         links = links.unionByName(cut(found.verified(across)))
         parts = components(links)
@@ -176,10 +182,11 @@ def dedup_lines(docs: DataFrame, exact: bool = False) -> DataFrame:
     rows = docs.withColumn(doc, key).join(found.select(F.col("doc").alias(doc), F.col("removed").alias(removed)).hint("shuffle_hash"), doc, "left").drop(doc)
     rows = rows.withColumn(removed, F.coalesce(removed, F.array().cast("array<int>")))
     pieces = F.split("text", "\n", -1)
-    # removed is sorted, so the lines that stay are those of the gaps
-    gaps = F.transform(F.sequence(F.lit(0), F.size(removed)), lambda i: _gap(pieces, i, removed))
-    kept = F.when(F.size(removed) == 0, F.col("text")).otherwise(F.array_join(F.flatten(gaps), "\n"))
-    lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(pieces))
+    # removed is sorted, so the lines that stay are those of the gaps; the pieces are bound to a name, so that the text is split once
+    gaps = lambda p: F.flatten(F.transform(F.sequence(F.lit(0), F.size(removed)), lambda i: _gap(p, i, removed)))
+    joined = F.array_join(F.get(F.transform(F.array(pieces), gaps), F.lit(0)), "\n")
+    kept = F.when(F.size(removed) == 0, F.col("text")).otherwise(joined)
+    lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
     return rows.withColumn(n_lines, lines).withColumn("text", F.when(F.col("text").isNotNull(), kept))
 
 

@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cells import sides, whole_keys
 from .textkit import ALNUM, Words, blocks, hash_words, mix, shingles
 
 _U = np.uint64
@@ -34,6 +35,8 @@ _U = np.uint64
 BUCKET = 1 << 21
 #: So many times or more.
 MANY = 255
+#: Groups of words, whose numbers bound what two lines have in common.
+GROUPS = 128
 #: Cells of the edit distance that are computed at once.
 CELLS = 1 << 18
 #: Words of pairs that are sorted at once.
@@ -179,6 +182,12 @@ def _alone(line: np.ndarray, h: np.ndarray, often: np.ndarray, copies: np.ndarra
     return out
 
 
+def _counts(codes: np.ndarray) -> bytes | None:
+    """How many words fall in each of ``GROUPS`` groups, if a byte holds each number."""
+    c = np.bincount(codes % GROUPS, minlength=GROUPS)
+    return c.astype(np.uint8).tobytes() if c.max() < 256 else None
+
+
 def keyed(buckets: int) -> Callable:
     """From blocks with the repeated runs: the lines that have keys."""
 
@@ -219,12 +228,13 @@ def keyed(buckets: int) -> Callable:
                 first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
                 who = line[first]
                 end = np.cumsum(n)
+                own = [codes[end[i] - n[i] : end[i]] for i in who.tolist()]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(node[who]), pa.array(n[who], pa.int32()), pa.array([codes[end[i] - n[i] : end[i]].tobytes() for i in who.tolist()], pa.binary()),
+                        pa.array(node[who]), pa.array(n[who], pa.int32()), pa.array([x.tobytes() for x in own], pa.binary()), pa.array([_counts(x) for x in own], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.append(first, len(h)), pa.int32()), pa.array(h.view(np.int64))),
                     ],
-                    ["node", "n", "codes", "keys"],
+                    ["node", "n", "codes", "counts", "keys"],
                 )
 
     return key
@@ -238,9 +248,9 @@ def count(blocks_: DataFrame, buckets: int) -> DataFrame:
 
 
 def active(blocks_: DataFrame, hits: DataFrame, buckets: int) -> DataFrame:
-    """node, n, codes and keys of the lines that may have partners."""
+    """node, n, codes, counts and keys of the lines that may have partners."""
     rows = blocks_.select("chunk", "nodes", "n", "codes").join(hits, "chunk").select("nodes", "n", "codes", "hits")
-    return rows.mapInArrow(keyed(buckets), "node long, n int, codes binary, keys array<long>").dropDuplicates(["node"])
+    return rows.mapInArrow(keyed(buckets), "node long, n int, codes binary, counts binary, keys array<long>").dropDuplicates(["node"])
 
 
 def shared_words(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
@@ -320,6 +330,25 @@ def within(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) of the groups of ``cells.deal`` whose numbers of words, in all and by groups, allow the edits."""
+    for t in whole_keys(batches):
+        node, comp, n = (t.column(c).to_numpy() for c in ("node", "comp", "n"))
+        counts = np.stack([np.frombuffer(x, np.uint8) if x is not None else np.full(GROUPS, 255, np.uint8) for x in t.column("counts").to_pylist()])
+        out = [np.zeros((2, 0), np.int64)]
+        for begin, _, left, right in sides(t):
+            left, right = np.array(left) + begin, np.array(right) + begin
+            for i in left.tolist():
+                j = right[comp[right] != comp[i]]
+                longer = np.maximum(n[j], n[i])
+                j = j[np.abs(n[j] - n[i]) <= longer // 5]
+                longer = np.maximum(n[j], n[i])
+                j = j[np.minimum(counts[j], counts[i]).sum(axis=1, dtype=np.int64) >= longer - longer // 5]
+                out.append(np.stack([np.full(len(j), node[i]), node[j]]))
+        a, b = np.concatenate(out, axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+
 def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes that are within the edits; lines: node and codes."""
 
