@@ -96,11 +96,11 @@ class _BySimHash:
         return self.sims.select("node", F.explode(_keys(F.col("sim"))).alias("key"))
 
     def across(self, dealt: DataFrame) -> DataFrame:
-        """The pairs (a, b) of dealt groups whose SimHashes are near."""
+        """Links (a, b) of dealt groups."""
         rows = dealt.join(self.sims, "node")
         right = rows.where("is_right").select("g", F.col("node").alias("b"), F.col("comp").alias("b_comp"), F.col("sim").alias("b_sim"))
         near = (F.col("comp") != F.col("b_comp")) & (F.bit_count(F.col("sim").bitwiseXOR(F.col("b_sim"))) <= BITS)
-        return rows.where("is_left").join(right, "g").where(near).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
+        return self.verified(rows.where("is_left").join(right, "g").where(near).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct())
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of nodes whose SimHashes are near and whose words are similar enough."""
@@ -132,9 +132,11 @@ class _ByRuns:
         return self.active.select("node", F.explode("keys").alias("key"))
 
     def across(self, dealt: DataFrame) -> DataFrame:
-        """The pairs (a, b) of dealt groups that have words enough in common."""
+        """Links (a, b) of dealt groups, enough to connect what similar lines connect."""
         rows = dealt.join(self.active.select("node", "n", "counts"), "node").select("g", "node", "comp", "is_left", "is_right", "n", "counts")
-        return rows.repartition("g").sortWithinPartitions("g").mapInArrow(runs.met, "a long, b long")
+        some = rows.repartition("g").sortWithinPartitions("g").mapInArrow(runs.met, "g long, node long, comp long").distinct()
+        rows = some.join(self.active.select("node", "n", "counts", "codes"), "node").select("g", "node", "comp", "n", "counts", "codes")
+        return rows.repartition("g").sortWithinPartitions("g").mapInArrow(runs.linked, "a long, b long")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         return runs.verified(pairs, self.active)
@@ -152,10 +154,9 @@ def duplicate_lines(docs: DataFrame, scratch: Scratch, key: Column, exact: bool
     links = cut(found.verified(stars))
     parts = components(links)
     placed = shared.join(parts, "node", "left").select("cell", "node", F.coalesce("comp", "node").alias("comp"))
-    across = scratch.keep(found.across(deal(placed, BLOCK)).distinct())
+    across = cut(found.across(deal(placed, BLOCK)).distinct())
     if not across.isEmpty():
-        links = links.unionByName(cut(found.verified(across)))
-        parts = components(links)
+        parts = components(links.unionByName(across))
 
     nodes = found.lines.groupBy("node").agg(F.min(F.struct("doc_id", "doc", "line")).alias("first"), F.count("*").alias("many"))
     grouped = scratch.keep(nodes.join(parts, "node", "left").where("many > 1 or comp is not null").select("node", "first", F.coalesce("comp", "node").alias("comp")))

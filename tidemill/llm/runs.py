@@ -330,23 +330,62 @@ def within(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _columns(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """node, comp, n and counts of a table's rows."""
+    counts = np.stack([np.frombuffer(x, np.uint8) if x is not None else np.full(GROUPS, 255, np.uint8) for x in t.column("counts").to_pylist()])
+    return *(t.column(c).to_numpy() for c in ("node", "comp", "n")), counts
+
+
+def _possible(i: int, j: np.ndarray, comp: np.ndarray, n: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Those of the rows j of another component than i whose numbers of words, in all and by groups, allow the edits."""
+    j = j[comp[j] != comp[i]]
+    j = j[np.abs(n[j] - n[i]) <= np.maximum(n[j], n[i]) // 5]
+    longer = np.maximum(n[j], n[i])
+    return j[np.minimum(counts[j], counts[i]).sum(axis=1, dtype=np.int64) >= longer - longer // 5]
+
+
 def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs (a, b) of the groups of ``cells.deal`` whose numbers of words, in all and by groups, allow the edits."""
+    """Of the groups of ``cells.deal`` the nodes that may have partners: g (now named by these nodes), node and comp."""
     for t in whole_keys(batches):
-        node, comp, n = (t.column(c).to_numpy() for c in ("node", "comp", "n"))
-        counts = np.stack([np.frombuffer(x, np.uint8) if x is not None else np.full(GROUPS, 255, np.uint8) for x in t.column("counts").to_pylist()])
-        out = [np.zeros((2, 0), np.int64)]
+        node, comp, n, counts = _columns(t)
+        names, rows = [], []
         for begin, _, left, right in sides(t):
             left, right = np.array(left) + begin, np.array(right) + begin
-            for i in left.tolist():
-                j = right[comp[right] != comp[i]]
-                longer = np.maximum(n[j], n[i])
-                j = j[np.abs(n[j] - n[i]) <= longer // 5]
-                longer = np.maximum(n[j], n[i])
-                j = j[np.minimum(counts[j], counts[i]).sum(axis=1, dtype=np.int64) >= longer - longer // 5]
-                out.append(np.stack([np.full(len(j), node[i]), node[j]]))
-        a, b = np.concatenate(out, axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+            found = [(i, _possible(i, right, comp, n, counts)) for i in left.tolist()]
+            some = np.unique(np.concatenate([np.append(j, i) for i, j in found if len(j)] or [np.zeros(0, np.int64)]))
+            if len(some):
+                some = some[np.unique(node[some], return_index=True)[1]]
+                names.append(np.full(len(some), mix(mix(node[some].view(_U)).sum(keepdims=True)).view(np.int64)[0]))
+                rows.append(some)
+        if rows:
+            at = np.concatenate(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(node[at]), pa.array(comp[at])], ["g", "node", "comp"])
+
+
+def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of groups of nodes, with their codes, links (a, b) enough to connect the components that similar lines connect."""
+    for t in whole_keys(batches):
+        node, comp, n, counts = _columns(t)
+        codes = t.column("codes").to_pylist()
+        g = t.column("g").to_numpy()
+        edges = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]])).tolist()
+        out: list[tuple[int, int]] = []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            own = comp.copy()  # of this group's rows: changed as they are linked
+            for i in range(a, b):
+                j = _possible(i, np.arange(a, i), own, n, counts)
+                # of each component the likeliest first, then all that are left
+                while len(j):
+                    _, first = np.unique(own[j], return_index=True)
+                    now = j[first]
+                    good = now[within([np.frombuffer(codes[i], "<u4")] * len(now), [np.frombuffer(codes[x], "<u4") for x in now])]
+                    for x in good.tolist():
+                        out.append((max(node[i], node[x]), min(node[i], node[x])))
+                        part = own[a:b]
+                        part[part == own[x]] = own[i]
+                    j = np.delete(j, first)
+                    j = j[own[j] != own[i]]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], ["a", "b"])
 
 
 def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
