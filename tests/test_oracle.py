@@ -19,7 +19,8 @@ def test_query_equals_sql(spark, name):
     df = queries()[name](spark, d)
     columns = sorted(df.columns)
     con = duckdb.connect()
-    con.execute(f"create view events as select * from '{d}/events.parquet'")
+    for t in ("events", "nation"):
+        con.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
     found = con.execute(oracle_sql()[name])
     names = [c[0] for c in found.description]
     assert sorted(names) == columns

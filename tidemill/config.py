@@ -16,6 +16,14 @@ LABEL_FACTOR = 1.5
 LABEL_AHEAD_MS = 15 * 60_000
 MAX_ENTITIES = 300
 CACHE_TTL_S = 2.0
+#: Deadlines of reads by Spark jobs: where the caller names none, and the longest that a caller may name.
+DEFAULT_DEADLINE_S, MAX_DEADLINE_S = 30.0, 120.0
+#: How long the cache is left alone after it failed.
+BREAKER_S = 1.0
+#: How long an unexpected offset is held back for the offsets before it.
+GAP_MS = 10_000
+#: A recomputation that does not start at offset 0 counts after so much event time.
+WARM_UP_MS = 62 * 60_000
 #: Events of one log partition that a single task orders at once.
 CHUNK_EVENTS = 1 << 20
 

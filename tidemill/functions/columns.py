@@ -56,6 +56,21 @@ def epoch_ms(ts: Column | str) -> Column:
     return F.timestamp_diff("MILLISECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), ts)
 
 
+def from_epoch_ms(ms: Column | str) -> Column:
+    """The timestamp without zone of milliseconds since 1970."""
+    ms = F.col(ms) if isinstance(ms, str) else ms
+    return F.timestamp_add("MILLISECOND", ms, F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"))
+
+
+def parse_moment(text: Column | str) -> Column:
+    """Milliseconds since 1970 of a month (YYYY-MM, its first moment in UTC) or of an RFC 3339 time; null for anything else."""
+    text = F.col(text) if isinstance(text, str) else text
+    month = text.rlike(r"^\d{4}-\d{2}$")
+    full = text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$")
+    whole = F.when(month, F.concat(text, F.lit("-01T00:00:00Z"))).when(full, text)
+    return F.unix_millis(F.try_to_timestamp(whole))
+
+
 def address_map(text: Column | str) -> Column:
     """`id=host:port,...` as a map."""
     return F.str_to_map(F.col(text) if isinstance(text, str) else text, F.lit(","), F.lit("="))

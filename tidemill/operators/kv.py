@@ -6,18 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..config import CHUNK_EVENTS
+from .ordering import earlier
+
 
 def _epochs(log: DataFrame, column: str) -> DataFrame:
-    """Pairs every put with the last purge before it whose prefix its ``column`` has (purge_index; null: none).
+    """Pairs every put with the last purge before it whose prefix its ``column`` has (epoch), and the last of all such purges (last_purge; null: none).
 
-    Puts are joined with purges only by equal prefixes of the purges' lengths."""
-    purges = log.where("op = 'purge' and coalesce(key, '') <> ''").select(F.col("index").alias("purge_index"), F.col("key").alias("prefix"))
-    sizes = purges.select(F.length("prefix").alias("size")).distinct()
-    starts = log.where("op = 'put'").select("index", F.col(column).alias("name"))
-    few = F.broadcast(sizes.limit(4096))  # prefix lengths, not purges
-    cut = starts.join(few, F.length("name") >= F.col("size")).withColumn("prefix", F.expr("substring(name, 1, size)"))
-    seen = cut.join(purges, "prefix").groupBy("index", "name").agg(F.max(F.when(F.col("purge_index") < F.col("index"), F.col("purge_index"))).alias("epoch"), F.max("purge_index").alias("last_purge"))
-    return log.where("op = 'put'").join(seen.drop("name"), "index", "left")
+    A put is dealt to those of its prefixes that have a purge's length; puts and purges of one prefix then stand in one stream, in which the
+    last purge is carried forward."""
+    purges = log.where("op = 'purge' and coalesce(key, '') <> ''").select("index", F.col("key").alias("prefix"))
+    puts = log.where("op = 'put'")
+    sizes = purges.select(F.array_sort(F.collect_set(F.length("prefix")))).scalar()  # lengths, not purges: no more than the longest key has letters
+    cut = puts.select("index", F.col(column).alias("name"), sizes.alias("sizes"))
+    cut = cut.select("index", "name", F.explode(F.filter("sizes", lambda n: n <= F.length("name"))).alias("size"))
+    cut = cut.select("index", F.expr("substring(name, 1, size)").alias("prefix"), F.lit(None).cast("long").alias("purge_index"))
+    cut = cut.join(purges.select("prefix").distinct(), "prefix", "left_semi")
+    both = cut.unionByName(purges.select("index", "prefix", F.col("index").cast("long").alias("purge_index")))
+    by = W.partitionBy("prefix")
+    seen = both.withColumn("epoch", F.max("purge_index").over(by.orderBy("index").rowsBetween(W.unboundedPreceding, -1))).where("purge_index is null")
+    seen = seen.join(purges.groupBy("prefix").agg(F.max("index").alias("last_purge")), "prefix")
+    seen = seen.groupBy("index").agg(F.max("epoch").alias("epoch"), F.max("last_purge").alias("last_purge"))
+    return puts.join(seen, "index", "left")
 
 
 def client_dedup(log: DataFrame) -> DataFrame:
@@ -36,7 +46,41 @@ def kv_fold(log: DataFrame) -> DataFrame:
     return last.where(F.col("r.last_purge").isNull() | (F.col("r.last_purge") < F.col("r.index"))).select("key", "r.value", "r.index")
 
 
-def idempotent_apply(batches: DataFrame) -> DataFrame:
+def lookup(registers: DataFrame, key: str) -> DataFrame:
+    """One register's value and the index of its put; no row: not found."""
+    return registers.where(F.col("key") == key)
+
+
+def purge_counts(log: DataFrame) -> DataFrame:
+    """How many registers each purge takes: those whose last applied put before it has its prefix and was not purged since."""
+    applied = client_dedup(log).where("applied").select("index")
+    puts = log.where("op = 'put'").join(applied, "index", "left_semi").select("index", "key", F.lit(True).alias("puts"))
+    purges = log.where("op = 'purge' and coalesce(key, '') <> ''").select("index", F.col("key").alias("prefix"))
+    sizes = purges.select(F.array_sort(F.collect_set(F.length("prefix")))).scalar()
+    keys = puts.select("key").distinct().withColumn("sizes", sizes)
+    keys = keys.select("key", F.explode(F.filter("sizes", lambda n: n <= F.length("key"))).alias("size"))
+    taken = keys.select("key", F.expr("substring(key, 1, size)").alias("prefix")).join(purges, "prefix").select("index", "key", F.lit(False).alias("puts"))
+    # along each key, a purge takes the register if a put is the last thing before it
+    before = F.lag("puts").over(W.partitionBy("key").orderBy("index"))
+    took = puts.unionByName(taken).withColumn("took", ~F.col("puts") & F.coalesce(before, F.lit(False)))
+    counts = took.where(~F.col("puts")).groupBy("index").agg(F.count_if("took").alias("purged"))
+    return purges.join(counts, "index", "left").select("index", "prefix", F.coalesce("purged", F.lit(0)).alias("purged"))
+
+
+def idempotent_apply(batches: DataFrame, chunk: int = CHUNK_EVENTS) -> DataFrame:
     """Batches in arrival order and whether each is applied: its to_offset must exceed the partition's."""
-    before = F.max("to_offset").over(W.partitionBy("partition").orderBy("arrival").rowsBetween(W.unboundedPreceding, -1))
-    return batches.withColumn("applied", before.isNull() | (F.col("to_offset") > before))
+    rows = earlier(batches, ["partition"], "arrival", chunk, F.max, "to_offset", "_before")
+    return rows.withColumn("applied", F.col("_before").isNull() | (F.col("to_offset") > F.col("_before"))).drop("_before")
+
+
+def merge_buckets(batches: DataFrame, buckets: DataFrame, reach_ms: int) -> DataFrame:
+    """A replica's buckets after all batches. Batches hold changed buckets as absolute values, so of each bucket the last applied one stays;
+    buckets that no window to come can reach are evicted.
+
+    batches: partition, arrival, to_offset, closed_until_ms; buckets: partition, arrival, zone, start_ms, count, fare_cents, distance_milli."""
+    applied = idempotent_apply(batches).where("applied")
+    until = applied.groupBy("partition").agg(F.max("closed_until_ms").alias("closed_until_ms"))
+    rows = buckets.join(applied.select("partition", "arrival"), ["partition", "arrival"], "left_semi")
+    last = rows.groupBy("partition", "zone", "start_ms").agg(F.max_by(F.struct("count", "fare_cents", "distance_milli"), "arrival").alias("b"))
+    kept = last.join(F.broadcast(until), "partition").where(F.col("start_ms") >= F.col("closed_until_ms") - reach_ms)  # one row a log partition
+    return kept.select("partition", "zone", "start_ms", "b.count", "b.fare_cents", "b.distance_milli")

@@ -79,7 +79,7 @@ def check(ops: DataFrame) -> DataFrame:
 
 
 def example_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequential puts and gets over 16 keys, each get returning the last put; in key k3 one get returns an older value."""
+    """Puts and gets over 16 keys, up to three of a key at a time, each get returning the last put called before it; in key k3 one get returns an older value."""
     from pyspark.sql import Window as W
 
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.concat(F.lit("k"), F.col("event_id") % 16).alias("key"))
@@ -87,5 +87,5 @@ def example_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = W.partitionBy("key").orderBy("event_id").rowsBetween(W.unboundedPreceding, 0)
     last = F.last(F.when(put, F.col("event_id")), ignorenulls=True).over(by)
     stale = (F.col("key") == "k3") & ~put & (F.floor(F.col("event_id") / 16) == 31)
-    rows = rows.select(F.lit(0).alias("client"), F.when(put, "put").otherwise("get").alias("kind"), "key", F.when(stale, "0").otherwise(F.coalesce(last.cast("string"), F.lit(""))).alias("value"), F.when(put, True).otherwise(last.isNotNull()).alias("found"), F.lit(False).alias("unknown"), (F.col("event_id") * 10).alias("call_ns"), (F.col("event_id") * 10 + 5).alias("ret_ns"))
+    rows = rows.select(F.lit(0).alias("client"), F.when(put, "put").otherwise("get").alias("kind"), "key", F.when(stale, "0").otherwise(F.coalesce(last.cast("string"), F.lit(""))).alias("value"), F.when(put, True).otherwise(last.isNotNull()).alias("found"), F.lit(False).alias("unknown"), (F.col("event_id") * 10).alias("call_ns"), (F.col("event_id") * 10 + 5 + F.col("event_id") % 7 * 60).alias("ret_ns"))
     return rows

@@ -6,24 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def at_rank(rows: DataFrame, value: str, by: list[str], ranks: dict[str, Column]) -> DataFrame:
-    """Values at ranks (from 0, over the column ``n``, the group's size). The ranks are found by counting from the sorted side
-    in a window; groups are never collected into arrays."""
-    n = F.count(value).over(W.partitionBy(*by))
-    order = F.row_number().over(W.partitionBy(*by).orderBy(value)) - 1
-    rows = rows.where(F.col(value).isNotNull()).select(*by, value, n.alias("n"), order.alias("rank"))
-    return rows.groupBy(*by).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("rank") == r, F.col(value))).alias(k) for k, r in ranks.items()])
+from .ordering import at_ranks, earlier
 
 
 def nearest_rank(rows: DataFrame, value: str, by: list[str], quantiles: dict[str, float]) -> DataFrame:
     """The value at position floor(q (n - 1)): no interpolation."""
-    return at_rank(rows, value, by, {k: F.floor(F.lit(q) * (F.col("n") - 1)) for k, q in quantiles.items()})
+    return at_ranks(rows, value, by, {k: F.floor(F.lit(q) * (F.col("n") - 1)) for k, q in quantiles.items()})
 
 
 def upper_median(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     """The value at position n div 2, the least and the largest."""
-    return at_rank(rows, value, by, {"median": F.floor(F.col("n") / 2), "low": F.lit(0), "high": F.col("n") - 1})
+    return at_ranks(rows, value, by, {"median": F.floor(F.col("n") / 2), "low": F.lit(0), "high": F.col("n") - 1})
 
 
 def probe_counts(ops: DataFrame) -> DataFrame:
@@ -37,12 +30,10 @@ def probe_counts(ops: DataFrame) -> DataFrame:
     )
 
 
-def write_gaps(ops: DataFrame) -> DataFrame:
-    """Gaps between successive successful writes, in the order of their returns: start and length.
-
-    The order is global; ``ops`` is one run's history, small against the data it measures."""
-    by = W.orderBy("ret_ns")
-    rows = ops.where("kind = 'put' and not unknown").select("ret_ns", F.lag("ret_ns").over(by).alias("before"))
+def write_gaps(ops: DataFrame, slot_ns: int = 60_000_000_000) -> DataFrame:
+    """Gaps between successive successful writes, in the order of their returns: start and length. Writes that return at once have gaps of 0."""
+    rows = ops.where("kind = 'put' and not unknown").select("ret_ns", F.lit(0).alias("run"))
+    rows = earlier(rows, ["run"], "ret_ns", slot_ns, F.max, "ret_ns", "before")
     return rows.where("before is not null").select((F.col("before") / 1e9).alias("at_s"), ((F.col("ret_ns") - F.col("before")) / 1e6).alias("gap_ms"))
 
 
@@ -86,6 +77,23 @@ def counter_rate(samples: DataFrame, by: list[str], time_s: str, value: str) ->
     return rows.groupBy(*by).agg(F.sum(grown).alias("increase"), (F.sum(grown) / (F.max(time_s) - F.min("t"))).alias("rate"))
 
 
+def rate_by(samples: DataFrame, by: list[str], label: str, time_s: str, value: str) -> DataFrame:
+    """Increases and rates of counters, summed by a label."""
+    return counter_rate(samples, by, time_s, value).groupBy(label).agg(F.sum("increase").alias("increase"), F.sum("rate").alias("rate"))
+
+
+def hit_ratio(samples: DataFrame, by: list[str], time_s: str, value: str, hit: Column) -> DataFrame:
+    """The increase of the counters that ``hit`` names, against all; 0 where nothing grew."""
+    rows = counter_rate(samples, by, time_s, value)
+    both = rows.agg(F.sum(F.when(hit, F.col("increase"))).alias("h"), F.sum("increase").alias("n"))
+    return both.select(F.when(F.coalesce("n", F.lit(0)) == 0, 0.0).otherwise(F.coalesce("h", F.lit(0)) / F.when(F.col("n") != 0, F.col("n"))).alias("ratio"))
+
+
+def gauge_max(samples: DataFrame, value: str) -> DataFrame:
+    """The largest value of a gauge; 0 without samples."""
+    return samples.agg(F.coalesce(F.max(value).cast("double"), F.lit(0.0)).alias("largest"))
+
+
 def role_changes(samples: DataFrame, by: str, time: str, role: str) -> DataFrame:
     """Rows whose role differs from the one before."""
     order = W.partitionBy(by).orderBy(time)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,16 +26,21 @@ def time_split(examples: DataFrame, q: float = 0.7) -> DataFrame:
     return examples.join(F.broadcast(cut)).groupBy("cut_ms").agg(F.count_if(F.col("label_time_ms") <= F.col("cut_ms")).alias("train"), F.count_if(F.col("label_time_ms") > F.col("cut_ms")).alias("test"))
 
 
-def roc_auc(scored: DataFrame, score: str, label: str) -> DataFrame:
+def roc_auc(scored: DataFrame, score: str, label: str, parts: int = 256) -> DataFrame:
     """Area under the ROC curve by ranks (ties share), average precision by steps of recall, and the positive rate.
 
-    Work is done on one row per distinct score; the running sums go over these."""
-    groups = scored.groupBy(score).agg(F.count("*").alias("n"), F.sum(F.col(label)).cast("double").alias("p"))
-    up, down = W.orderBy(score), W.orderBy(F.desc(score))
-    rows = groups.select(
-        "n", "p", (F.sum("n").over(up) - F.col("n") + (F.col("n") + 1) / 2).alias("rank"),
-        F.sum("p").over(down).alias("hits"), F.sum("n").over(down).alias("seen"),
-    )
+    Work is done on one row per distinct score. These are cut at approximate quantiles, and the running sums go over the parts,
+    and within each."""
+    groups = scored.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.sum(F.col(label)).cast("double").alias("p"))
+    cuts = groups.agg(F.percentile_approx("s", [k / parts for k in range(1, parts)], 4 * parts)).scalar()
+    groups = groups.withColumn("cuts", cuts).withColumn("part", F.size(F.filter("cuts", lambda c: c <= F.col("s")))).drop("cuts")
+    heads = groups.groupBy("part").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+    along = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    heads = heads.select("part", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("n0"), F.coalesce(F.sum("p").over(along), F.lit(0.0)).alias("p0"), F.sum("n").over(W.partitionBy()).alias("all"), F.sum("p").over(W.partitionBy()).alias("all_p"))
+    inside = W.partitionBy("part").orderBy("s")
+    rows = groups.withColumn("n1", F.sum("n").over(inside) - F.col("n")).withColumn("p1", F.sum("p").over(inside) - F.col("p")).join(heads, "part")
+    below, below_p = F.col("n0") + F.col("n1"), F.col("p0") + F.col("p1")
+    rows = rows.select("n", "p", (below + (F.col("n") + 1) / 2).alias("rank"), (F.col("all_p") - below_p).alias("hits"), (F.col("all") - below).alias("seen"))
     total = rows.agg(F.sum(F.col("rank") * F.col("p")).alias("r"), F.sum("p").alias("pos"), F.sum("n").alias("n"), F.sum(F.col("p") * F.col("hits") / F.col("seen")).alias("ap"))
     auc = (F.col("r") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * (F.col("n") - F.col("pos")))
     return total.select(auc.alias("auc"), (F.col("ap") / F.col("pos")).alias("average_precision"), (F.col("pos") / F.col("n")).alias("positive_rate"), F.col("n").alias("examples"))
@@ -44,15 +51,18 @@ def top_zones(scored: DataFrame, score: Column, n: int = 5) -> DataFrame:
 
 
 def fit(examples: DataFrame):
-    """A scaled logistic regression with an L2 penalty of strength 1 on the summed loss."""
+    """A logistic regression, on features scaled by the deviation over all examples, with an L2 penalty of strength 1 on the summed loss."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
+    from pyspark.ml.linalg import Vectors
 
     n = max(1, examples.count())
     stages = [
         VectorAssembler(inputCols=list(VECTOR), outputCol="raw"),
-        StandardScaler(inputCol="raw", outputCol="x", withMean=True, withStd=True),
+        StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True),
+        # the scaler divides by the deviation of a sample: this much less than by that of all examples
+        ElementwiseProduct(scalingVec=Vectors.dense([math.sqrt(n / max(1, n - 1))] * len(VECTOR)), inputCol="scaled", outputCol="x"),
         LogisticRegression(featuresCol="x", labelCol="label", maxIter=1000, regParam=1.0 / n, standardization=False),
     ]
     return Pipeline(stages=stages).fit(examples)

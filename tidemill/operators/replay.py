@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..config import BUCKET_MS, CHUNK_EVENTS
+from .ordering import earlier, numbered
+
 
 def route(zone: Column | str, partitions: int) -> Column:
     """The log partition of an entity. Watermarks are kept by partition, so this affects results."""
@@ -27,18 +30,28 @@ def replay_loop(trips: DataFrame, loops: int, shift_ms: int) -> DataFrame:
 
 def replay_resume(trips: DataFrame, after: Column, shift_ms: int | None = None) -> DataFrame:
     """What is left after event time ``after``: the loop to go on with and the events in it later than that."""
+    rows = _resumed(trips, shift_ms, after)
+    return rows.where(F.col("event_time_ms") > after)
+
+
+def replay_skipped(trips: DataFrame, after: Column, shift_ms: int | None = None) -> DataFrame:
+    """How many events of the loop to go on with are skipped."""
+    rows = _resumed(trips, shift_ms, after)
+    return rows.agg(F.count_if(F.col("event_time_ms") <= after).alias("skipped"), F.max("loop").alias("loop"))
+
+
+def _resumed(trips: DataFrame, shift_ms: int | None, after: Column) -> DataFrame:
     base = trips.select(F.min("event_time_ms")).scalar()
     loop = F.lit(0).cast("long")
     if shift_ms:
         loop = F.when(after >= base, F.floor((after - base) / shift_ms)).otherwise(0)
-    rows = trips.withColumn("loop", loop).withColumn("event_time_ms", F.col("event_time_ms") + F.col("loop") * F.lit(shift_ms or 0).cast("long"))
-    return rows.where(F.col("event_time_ms") > after)
+    return trips.withColumn("loop", loop).withColumn("event_time_ms", F.col("event_time_ms") + F.col("loop") * F.lit(shift_ms or 0).cast("long"))
 
 
-def late_injection(trips: DataFrame, delay: Column, tie: str) -> DataFrame:
+def late_injection(trips: DataFrame, delay: Column, tie: str, slot_ms: int = BUCKET_MS) -> DataFrame:
     """New offsets in release order: each event comes ``delay`` ms later in its partition than its time says."""
-    by = W.partitionBy("partition").orderBy(F.col("event_time_ms") + delay, tie)
-    return trips.withColumn("offset", (F.row_number().over(by) - 1).cast("long"))
+    rows = trips.withColumn("_release", F.col("event_time_ms") + delay)
+    return numbered(rows, ["partition"], "_release", slot_ms, "offset", tie).drop("_release")
 
 
 def first_events(trips: DataFrame, n: int) -> DataFrame:
@@ -46,19 +59,23 @@ def first_events(trips: DataFrame, n: int) -> DataFrame:
     return trips.orderBy("event_time_ms", "partition", "offset").limit(n)
 
 
-def offset_dedup(arrivals: DataFrame, arrival: str = "arrival") -> DataFrame:
+def offset_dedup(arrivals: DataFrame, arrival: str = "arrival", chunk: int = CHUNK_EVENTS) -> DataFrame:
     """Arrivals with an offset above all earlier ones of their partition; redelivered ones are ignored."""
-    seen = F.max("offset").over(W.partitionBy("partition").orderBy(arrival).rowsBetween(W.unboundedPreceding, -1))
-    return arrivals.withColumn("seen", seen).where(F.col("seen").isNull() | (F.col("offset") > F.col("seen"))).drop("seen")
+    rows = earlier(arrivals, ["partition"], arrival, chunk, F.max, "offset", "_seen")
+    return rows.where(F.col("_seen").isNull() | (F.col("offset") > F.col("_seen"))).drop("_seen")
 
 
-def offset_gaps(trips: DataFrame) -> DataFrame:
+def offset_gaps(trips: DataFrame, chunk: int = CHUNK_EVENTS) -> DataFrame:
     """Missing runs of offsets."""
-    by = W.partitionBy("partition").orderBy("offset")
-    rows = trips.select("partition", "offset", F.lag("offset").over(by).alias("previous"))
+    rows = earlier(trips.select("partition", "offset"), ["partition"], "offset", chunk, F.max, "offset", "previous")
     return rows.where(F.col("offset") - F.col("previous") > 1).select("partition", F.col("previous").alias("after_offset"), "offset", (F.col("offset") - F.col("previous") - 1).alias("missing"))
 
 
+def partitions(trips: DataFrame) -> DataFrame:
+    """The partitions that a log has."""
+    return trips.select("partition").distinct()
+
+
 def bounded(trips: DataFrame, up_to: DataFrame) -> DataFrame:
     """Each partition from its first offset through ``to_offset`` inclusive; a negative or missing one leaves nothing."""
     return trips.join(up_to.select("partition", "to_offset"), "partition").where(F.col("offset") <= F.col("to_offset")).drop("to_offset")

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from ..config import SUMS
 from .history import point_in_time
+from .ordering import numbered
+
+#: Entities that one task orders at once.
+SLOT_ZONES = 16
 
 
 def oracle_diff(expected: DataFrame, actual: DataFrame) -> DataFrame:
@@ -35,12 +39,10 @@ def skew_check(samples: DataFrame, history: DataFrame, view: str) -> DataFrame:
 
 def sample_rows(features: DataFrame, rounds: int, each: int = 5) -> DataFrame:
     """A repeatable sample of the rows in entity order: row (7 n + 31 i) modulo their number, i below ``each`` for round n."""
-    from pyspark.sql import Window as W
-
-    rows = features.withColumn("nth", F.row_number().over(W.orderBy("zone", "window_end_ms")) - 1)
-    total = rows.count()
+    rows = numbered(features, [], "zone", SLOT_ZONES, "nth", "window_end_ms")
+    total = features.agg(F.greatest(F.count("*"), F.lit(1))).scalar()
     picks = features.sparkSession.range(rounds).withColumnRenamed("id", "n").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(each - 1))))
-    picks = picks.select("n", "i", F.pmod(7 * F.col("n") + 31 * F.col("i"), F.lit(max(1, total))).cast("int").alias("nth"))
+    picks = picks.select("n", "i", F.pmod(7 * F.col("n") + 31 * F.col("i"), total).cast("long").alias("nth"))
     return picks.join(rows, "nth").drop("nth")
 
 
@@ -58,12 +60,25 @@ def shadow_check(stored: DataFrame, shadow: DataFrame, last: int = 240) -> DataF
 
 
 def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """SHA-256 over rows in a canonical order. Each row is hashed where it is; blocks of hashes are hashed in the order of their
-    first hex digits, and the blocks' hashes once more, so that no task holds all rows."""
+    """SHA-256 over rows in a canonical order. Each row is hashed where it is. The hashes are the leaves of a tree by their first hex digits: six,
+    then four, then two, then none, each node the hash of its children in order. Inner nodes have 256 children at most, and the lowest ones share the
+    rows by 16 million, so that no task holds many."""
     text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    hashed = rows.select(F.sha2(text, 256).alias("h"))
-    blocks = hashed.groupBy(F.substring("h", 1, 3).alias("block")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("b"), F.count("*").alias("n"))
-    return blocks.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "b"))), lambda x: x["b"]), "\n"), 256).alias("sha256"), F.sum("n").alias("row_count"))
+    level = rows.select(F.sha2(text, 256).alias("h")).select("h", F.col("h").alias("name"), F.lit(1).cast("long").alias("n"))
+    for digits in (6, 4, 2, 0):
+        children = F.transform(F.array_sort(F.collect_list(F.struct("name", "h"))), lambda x: x["h"])
+        level = level.groupBy(F.substring("name", 1, digits).alias("name")).agg(F.sha2(F.array_join(children, "\n"), 256).alias("h"), F.sum("n").alias("n"))
+    return level.select(F.col("h").alias("sha256"), F.col("n").alias("row_count"))
+
+
+def state_fingerprint(stats: DataFrame, buckets: DataFrame, features: DataFrame) -> DataFrame:
+    """The whole state as one short text to compare replicas by: the first 16 hex digits over headers, retained buckets and rows, and their numbers."""
+    parts = [("p", stats, ["partition", "to_offset", "max_event_time_ms", "closed_until_ms", "late_dropped", "events"]), ("b", buckets, ["partition", "zone", "start_ms", "count", "fare_cents", "distance_milli"]), ("f", features, ["zone", "window_end_ms", *SUMS])]
+    hashed = [fingerprint(rows, columns).select(F.lit(kind).alias("kind"), "sha256", "row_count") for kind, rows, columns in parts]
+    every = hashed[0].unionByName(hashed[1]).unionByName(hashed[2])  # one row each
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kind", "sha256"))), lambda x: x["sha256"]), "\n")
+    total = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("row_count"))).alias({"p": "partitions", "b": "buckets", "f": "features"}[kind])
+    return every.agg(F.substring(F.sha2(joined, 256), 1, 16).alias("fingerprint"), total("p"), total("b"), total("f"))
 
 
 def converged(nodes: DataFrame) -> DataFrame:

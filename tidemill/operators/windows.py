@@ -9,7 +9,7 @@ which makes the single zero row of an entity that went quiet.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -58,20 +58,48 @@ def bucket_agg(trips: DataFrame, lateness: int = LATENESS_MS) -> DataFrame:
     )
 
 
+def closings(trips: DataFrame, lateness: int = LATENESS_MS) -> DataFrame:
+    """closed_until of each log partition. It follows from the first and the largest event time, so no event need be marked."""
+    last = floor_to(F.max("event_time_ms") - lateness)
+    return trips.groupBy("partition").agg(F.greatest(floor_to(F.min_by("event_time_ms", "offset")), last).alias("closed_until_ms"))
+
+
+def _closed(buckets: DataFrame, stats: DataFrame) -> DataFrame:
+    """Buckets that a closed window reaches, each entity's in one place. Of ``stats`` one row a log partition is broadcast, which a log has few of."""
+    ends = F.broadcast(stats.select("partition", "closed_until_ms"))
+    rows = buckets.join(ends, "partition").where(F.col("start_ms") + BUCKET_MS <= F.col("closed_until_ms"))
+    return rows.repartition("partition", "zone")
+
+
+def _within(k: int, c: str) -> Column:
+    return F.sum(F.when(F.col("age") <= k, F.col(c)).otherwise(F.lit(0)))
+
+
+def _sums() -> list[Column]:
+    """The six sums over buckets with ages."""
+    details = [_within(DETAIL_HORIZON, c).alias(f"{c}_15m") for c in ("count", "fare_cents", "distance_milli")]
+    return [*[_within(k, "count").alias(f"trips_{k}m") for k in TRIP_HORIZONS], *details]
+
+
 def slide(buckets: DataFrame, stats: DataFrame, reach: int = REACH) -> DataFrame:
-    """Rows of every entity and closed window end that a bucket reaches."""
-    aged = buckets.withColumn("age", F.explode(F.sequence(F.lit(1), F.lit(reach + 1)))).withColumn("window_end_ms", F.col("start_ms") + F.col("age") * BUCKET_MS)
-    within = lambda k, c: F.sum(F.when(F.col("age") <= k, F.col(c)).otherwise(F.lit(0)))
-    rows = aged.join(stats.select("partition", "closed_until_ms"), "partition").where("window_end_ms <= closed_until_ms")
-    return rows.groupBy("partition", "zone", "window_end_ms").agg(
-        *[within(k, "count").alias(f"trips_{k}m") for k in TRIP_HORIZONS],
-        within(DETAIL_HORIZON, "count").alias("count_15m"), within(DETAIL_HORIZON, "fare_cents").alias("fare_cents_15m"), within(DETAIL_HORIZON, "distance_milli").alias("distance_milli_15m"),
-    )
+    """Rows of every entity and closed window end that a bucket reaches. Only buckets are shuffled: what they are dealt to stays where its entity is."""
+    oldest = F.least(F.lit(reach + 1).cast("long"), F.floor((F.col("closed_until_ms") - F.col("start_ms")) / BUCKET_MS))
+    aged = _closed(buckets, stats).withColumn("age", F.explode(F.sequence(F.lit(1).cast("long"), oldest)))
+    return aged.groupBy("partition", "zone", (F.col("start_ms") + F.col("age") * BUCKET_MS).alias("window_end_ms")).agg(*_sums())
 
 
 def zone_features(trips: DataFrame, lateness: int = LATENESS_MS) -> DataFrame:
     """All feature rows of a log."""
-    return slide(bucket_agg(trips, lateness), partition_stats(trips, lateness))
+    return slide(bucket_agg(trips, lateness), closings(trips, lateness))
+
+
+def latest_rows(trips: DataFrame, lateness: int = LATENESS_MS, reach: int = REACH) -> DataFrame:
+    """The latest feature row of each entity, from its last buckets alone: its window ends where all is closed, or when the entity's last bucket leaves it."""
+    rows = _closed(bucket_agg(trips, lateness), closings(trips, lateness))
+    ends = rows.groupBy("partition", "zone").agg((F.max("start_ms") + (reach + 1) * BUCKET_MS).alias("left_ms"))
+    rows = rows.join(ends.hint("shuffle_hash"), ["partition", "zone"]).withColumn("window_end_ms", F.least("left_ms", "closed_until_ms"))
+    rows = rows.withColumn("age", F.floor((F.col("window_end_ms") - F.col("start_ms")) / BUCKET_MS)).where(F.col("age") <= reach + 1)
+    return latest(rows.groupBy("partition", "zone", "window_end_ms").agg(*_sums()))
 
 
 def derive(features: DataFrame) -> DataFrame:
@@ -92,8 +120,8 @@ def zone_card(features: DataFrame) -> DataFrame:
 
 def retained_buckets(trips: DataFrame, lateness: int = LATENESS_MS) -> DataFrame:
     """The buckets that a snapshot keeps: those that a window to come can reach."""
-    stats = partition_stats(trips, lateness).select("partition", "closed_until_ms")
-    return bucket_agg(trips, lateness).join(stats, "partition").where(F.col("start_ms") >= F.col("closed_until_ms") - REACH * BUCKET_MS).drop("closed_until_ms")
+    ends = F.broadcast(closings(trips, lateness))
+    return bucket_agg(trips, lateness).join(ends, "partition").where(F.col("start_ms") >= F.col("closed_until_ms") - REACH * BUCKET_MS).drop("closed_until_ms")
 
 
 def partition_state(trips: DataFrame, lateness: int = LATENESS_MS) -> DataFrame:
@@ -120,6 +148,16 @@ def latest(features: DataFrame, order: str | None = None) -> DataFrame:
     return features.groupBy("zone").agg(F.max_by(F.struct(*columns), by).alias("row")).select("zone", *[F.col("row")[c].alias(c) for c in columns])
 
 
+def recent_points(features: DataFrame, n: int = 120) -> DataFrame:
+    """Each entity's last n points, one for every new as_of, as a chart keeps them."""
+    return last_n(features.dropDuplicates(["zone", "window_end_ms"]), n).drop("nth").withColumnRenamed("window_end_ms", "as_of_ms")
+
+
+def newest(features: DataFrame) -> DataFrame:
+    """The largest window end over all entities."""
+    return features.agg(F.max("window_end_ms").alias("as_of_ms"))
+
+
 def last_n(features: DataFrame, n: int) -> DataFrame:
     """The n latest rows of each entity."""
     by = W.partitionBy("zone").orderBy(F.desc("window_end_ms"))

@@ -3,6 +3,8 @@ two levels, an ASOF join instead of a carried row, and so on."""
 
 from __future__ import annotations
 
+import re
+
 _SUM_COLUMNS = "trips_5m, trips_30m, trips_60m, count_15m, fare_cents_15m, distance_milli_15m"
 
 #: Common table expressions; each names those it needs.
@@ -71,8 +73,29 @@ _CTE: dict[str, tuple[tuple[str, ...], str]] = {
     "labels": (
         ("features",),
         """select zone, window_end_ms + case when (zone + window_end_ms // 60000) % 7 = 0 then 12000000 else 90000 end as label_time_ms, (trips_5m % 2)::double as label
-           from features where (zone * 31 + window_end_ms // 60000) % 97 = 0
-           union all select zone, min(window_end_ms) - 864000000, null::double from features where (zone * 31 + window_end_ms // 60000) % 97 = 0 group by zone""",
+           from features where window_end_ms // 60000 % 5 = 0
+           union all select zone, min(window_end_ms) - 864000000, null::double from features where window_end_ms // 60000 % 5 = 0 group by zone""",
+    ),
+    "made": (
+        ("features",),
+        """select n.zone, n.window_end_ms as label_time_ms, case when l.count_15m > 1.5::double * (n.trips_60m / 4.0::double) then 1.0::double else 0.0::double end as label
+           from features n join features l on l.zone = n.zone and l.window_end_ms = n.window_end_ms + 900000 where n.trips_60m >= 8 and n.window_end_ms // 60000 % 60 % 5 = 0""",
+    ),
+    "rates": (
+        ("counters",),
+        """select event_type, sum(case when total >= b then total - b else total end)::bigint as increase, sum(case when total >= b then total - b else total end)::double / (max(t_s) - min(t)) as rate from (
+             select *, lag(total) over w as b, lag(t_s) over w as t from counters window w as (partition by event_type order by t_s)) where b is not null group by event_type""",
+    ),
+    "cpu0": (("e",), "select (ms // 86400000)::int as run, 'c' || user_id as name, sum(trunc(value * 100 + 0.5)::bigint) / 100.0::double as cpu_s from e group by all"),
+    "cpu1": (("e",), "select (ms // 86400000)::int as run, 'c' || (user_id + 40) as name, sum(trunc(value * 100 + 0.5)::bigint) * 2 / 100.0::double as cpu_s from e group by all"),
+    "cores": (
+        ("cpu0", "cpu1"),
+        "select name, (b.cpu_s - a.cpu_s) / 90.0::double as cores from (select name, sum(cpu_s) as cpu_s from cpu0 group by name) a join (select name, sum(cpu_s) as cpu_s from cpu1 group by name) b using (name)",
+    ),
+    "folded": (
+        ("dedup", "kv"),
+        """select d.key, d.value, d."index" from (select * from dedup where applied qualify row_number() over (partition by key order by "index" desc) = 1) d
+           where not exists (select 1 from kv q where q.op = 'purge' and q."index" > d."index" and starts_with(d.key, q.key))""",
     ),
     "pit": (
         ("labels", "features"),
@@ -81,7 +104,7 @@ _CTE: dict[str, tuple[tuple[str, ...], str]] = {
     "requests": (
         (),
         """select request_id, list_transform(range(0, request_id % 9 + 1), lambda i: ((request_id * 7 + i * 13) % 41 + 1)::int)
-           || [999999, (request_id % 40 + 1)::int, (request_id % 40 + 1)::int] as ids from range(40) t(request_id)""",
+           || [999999, (request_id % 40 + 1)::int, (request_id % 40 + 1)::int] as ids from (select distinct event_id // 25 as request_id from events)""",
     ),
     "asked": (("requests",), "select request_id, unnest(ids)::int as zone, (generate_subscripts(ids, 1) - 1)::int as pos from requests"),
     "kv": (
@@ -138,6 +161,20 @@ def _with(names: tuple[str, ...], body: str) -> str:
 _F = f"zone, window_end_ms, {_SUM_COLUMNS}"
 _HASH = "concat_ws('|', zone, window_end_ms, trips_5m, trips_30m, trips_60m, count_15m, fare_cents_15m, distance_milli_15m)"
 
+
+
+def _tree(table: str, text: str, after: bool = False) -> str:
+    """Tables of a tree of hashes over a table's rows, to follow a list of common table expressions."""
+    name = f"{table}_tree"
+    out = f"{name}_0 as materialized (select sha256({text}) as h, h as name, 1 as n from {table})"
+    for k, digits in enumerate((6, 4, 2, 0)):
+        out += f", {name}_{k + 1} as materialized (select substr(name, 1, {digits}) as name, sha256(string_agg(h, chr(10) order by name, h)) as h, sum(n) as n from {name}_{k} group by 1)"
+    return f", {out}, {name} as (select h as sha256, n::bigint as row_count from {name}_4)"
+
+
+_HEADER_TEXT = "concat_ws('|', partition, to_offset, max_event_time_ms, closed_until_ms, late_dropped, events)"
+_BUCKET_TEXT = "concat_ws('|', partition, zone, start_ms, \"count\", fare_cents, distance_milli)"
+
 _SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "scan_trips": (("raw",), "select pickup_ms, PULocationID, fare_amount, trip_distance from raw"),
     "clean_trips": (
@@ -236,11 +273,7 @@ _SQL: dict[str, tuple[tuple[str, ...], str]] = {
         """select count(*) as samples, count(*) filter (b.window_end_ms = s.window_end_ms and b.trips_5m = s.trips_5m) as matched, count(*) filter (coalesce(b.window_end_ms <> s.window_end_ms or b.trips_5m <> s.trips_5m, true)) as mismatched
            from (select * from features where (zone * 17 + window_end_ms // 60000) % 301 = 0) s asof left join bad b on s.zone = b.zone and s.window_end_ms >= b.window_end_ms""",
     ),
-    "fingerprint": (
-        ("features",),
-        f"""select sha256(string_agg(b, chr(10) order by block)) as sha256, sum(n)::bigint as row_count from (
-            select substr(h, 1, 3) as block, sha256(string_agg(h, chr(10) order by h)) as b, count(*) as n from (select sha256({_HASH}) as h from features) group by 1)""",
-    ),
+    "fingerprint": (("features",), _tree("features", _HASH) + " select sha256, row_count from features_tree"),
     "shadow_check": (
         ("features", "bad"),
         """select count(*) filter (not pending) as checked, count(*) filter (not pending and (r_zone is null or r_5m <> s_5m)) as bad, count(*) filter (pending) as pending from (
@@ -255,10 +288,20 @@ _SQL: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "cache_split": (("asked", "latest"), "select distinct request_id, a.zone, l.zone is not null as hit from asked a left join (select zone from latest where zone % 3 = 0) l on l.zone = a.zone"),
     "client_dedup": (("dedup",), 'select "index", client, seq, applied from dedup'),
-    "kv_fold": (
+    "kv_fold": (("folded",), "select * from folded"),
+    "register_lookup": (("folded",), "select * from folded where key in ('click-3', 'none')"),
+    "purge_counts": (
         ("dedup", "kv"),
-        """select d.key, d.value, d."index" from (select * from dedup where applied qualify row_number() over (partition by key order by "index" desc) = 1) d
-           where not exists (select 1 from kv q where q.op = 'purge' and q."index" > d."index" and starts_with(d.key, q.key))""",
+        """, ap as (select "index", key from dedup where applied), pg as (select "index", key as prefix from kv where op = 'purge' and coalesce(key, '') <> '')
+           select "index", prefix, count(*) filter (p is not null and (q is null or p > q)) as purged from (
+             select g."index", g.prefix, (select max(a."index") from ap a where a.key = k.key and a."index" < g."index") as p, (select max(o."index") from pg o where o."index" < g."index" and starts_with(k.key, o.prefix)) as q
+             from pg g left join (select distinct key from ap) k on starts_with(k.key, g.prefix)) group by all""",
+    ),
+    "merge_buckets": (
+        ("trips", "buckets"),
+        """select b.partition, b.zone, b.start_ms, b."count" * 1000 + arrival as "count", b.fare_cents, b.distance_milli from buckets b
+           join (select partition, zone, event_time_ms // 60000 * 60000 as start_ms, max("offset" // 500) as arrival from trips group by all) l using (partition, zone, start_ms)
+           join (select partition, max(event_time_ms) as most from trips group by partition) u using (partition) where b.start_ms >= most - 3600000""",
     ),
     "idempotent_apply": (
         ("dup",),
@@ -275,23 +318,40 @@ _SQL: dict[str, tuple[tuple[str, ...], str]] = {
         """select count(*) as ops, count(*) filter (kind = 'put' and not unknown) as puts_ok, count(*) filter (kind = 'put' and unknown) as puts_unknown, count(*) filter (kind <> 'put') as gets_ok,
            count(*) filter (kind = 'put' and not unknown) / (max(ret_ns) / 1e9::double) as puts_per_sec, count(*) filter (kind <> 'put') / (max(ret_ns) / 1e9::double) as gets_per_sec from ops""",
     ),
-    "write_gaps": (("gaps",), "select at_s, gap_ms from gaps where gap_ms > 500"),
+    "write_gaps": (("gaps",), "select at_s, gap_ms from gaps"),
     "gap_summary": (("gaps",), "select max(gap_ms) as max_gap_ms, (select at_s from gaps order by gap_ms desc, at_s limit 1) as max_gap_at_s, count(*) filter (gap_ms > 1000) as gaps_over_1s from gaps"),
     "unavailability": (
         ("gaps",),
-        """select fault_id, f.at_s, coalesce(max(gap_ms), 0.0::double) as unavailable_ms from (select id as fault_id, id * 97.5::double + 3.25::double as at_s from range(25) r(id)) f
+        """select fault_id, f.at_s, coalesce(max(gap_ms), 0.0::double) as unavailable_ms from (select distinct event_id // 400 as fault_id, (event_id // 400) * 97.5::double + 3.25::double as at_s from events) f
            left join gaps g on g.at_s <= f.at_s + 20 and g.at_s + g.gap_ms / 1000 >= f.at_s group by all""",
     ),
     "lag_slope": (
         ("counters",),
         """select event_type, round(case when count(*) < 2 then 0.0::double else coalesce(regr_slope(y, x), 0.0::double) end, 6) as slope, round(case when count(*) < 2 then 0.0::double else coalesce(regr_intercept(y, x), avg(y)) end, 4) as intercept
-           from (select event_type, (hour % 1000)::double as x, total::double as y from counters where event_type <> 'view' or hour % 1000 = 0) group by event_type""",
-    ),
-    "counter_rate": (
-        ("counters",),
-        """select event_type, sum(case when total >= b then total - b else total end)::bigint as increase, sum(case when total >= b then total - b else total end)::double / (max(t_s) - min(t)) as rate from (
-             select *, lag(total) over w as b, lag(t_s) over w as t from counters window w as (partition by event_type order by t_s)) where b is not null group by event_type""",
+           from (select event_type, (hour % 1000)::double as x, total::double as y from counters) group by event_type""",
+    ),
+    "counter_rate": (("rates",), "select * from rates"),
+    "rate_by": (("rates",), "select substr(event_type, 1, 1) as label, sum(increase)::bigint as increase, round(sum(rate), 9) as rate from rates group by 1"),
+    "hit_ratio": (("rates",), "select coalesce(sum(increase) filter (event_type = 'click'), 0)::double / sum(increase)::double as ratio from rates"),
+    "gauge_max": (("counters",), "select max(total)::double as largest from counters"),
+    "sustained": (("counters",), "select event_type, case when count(*) < 2 then 0.0::double else coalesce(regr_slope((total % 97)::double, hour::double), 0.0::double) end <= 0.05::double as sustained from counters group by event_type"),
+    "counts_by_code": ((), "select case when event_id % 50 = 0 then 'deadline' else 'ok' end as code, count(*) as n from events group by 1"),
+    "failover": (
+        ("e",),
+        """select min(ms) - t as failover_ms from (select ms, (event_id // 500 % 5)::varchar as leader from e), (select t, (select arg_max((event_id // 500 % 5)::varchar, ms) from e where ms <= t) as old from (select min(ms) + 10800000 as t from e))
+           where ms > t and leader <> old group by t""",
+    ),
+    "fault_lines": (("e",), "select event_type || ' of ' || (event_id % 5) as fault, (ms - m0) / 1000.0::double as at_s from e, (select min(ms) as m0 from e) where event_id % 3 = 0 and event_id % 7 <> 0"),
+    "check_totals": ((), "select (sum(n) filter (user_id % 10 <> 3))::bigint as ops_ok, false as illegal from (select user_id, count(*) as n from events group by user_id)"),
+    "cpu_cores": (("cores",), "select name, round(cores, 9) as cores from cores"),
+    "cpu_total": (("cores",), "select coalesce(round(sum(cores), 6), 0.0::double) as cores_total from cores"),
+    "top_cpu": (("cpu1",), "select run, string_agg(printf('%s %.2f', name, cpu_s), ', ' order by cpu_s desc, name) as top from (select * from cpu1 qualify row_number() over (partition by run order by cpu_s desc, name) <= 3) group by run"),
+    "before_after": (
+        (),
+        """select file, b.n as before_requests, b.m as before_max_ms, a.n as after_requests, a.m as after_max_ms from (select 'serve-' || event_type || '-' || (user_id % 20) as file, count(*) as n, max(value) as m from events group by 1) b
+           join (select 'serve-' || event_type || '-' || (user_id % 23) as file, count(*) as n, max(value) as m from events group by 1) a using (file)""",
     ),
+    "report_order": ((), "select 'serve-' || event_type || '-' || (user_id % 23) as file, count(*)::double as offered_rate_eps from events group by 1 order by 2, 1"),
     "role_changes": (
         ("e",),
         """select node, t, was, now from (select user_id % 5 as node, event_id as t, case when event_type = 'click' then 'leader' else 'follower' end as now, lag(case when event_type = 'click' then 'leader' else 'follower' end) over (partition by user_id % 5 order by event_id) as was from e) where was <> now""",
@@ -310,18 +370,49 @@ _SQL: dict[str, tuple[tuple[str, ...], str]] = {
         + ", ".join(f"v[floor({q}::double * (n - 1))::int + 1] as {c}" for c, q in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99), ("p999", 0.999)))
         + ", max_ms, mean_ms from (select event_type, count(*) as n, list_sort(list(value)) as v, max(value) as max_ms, round(avg(value), 9) as mean_ms from e group by event_type)",
     ),
-    "make_labels": (
-        ("features",),
-        """select n.zone, n.window_end_ms as label_time_ms, case when l.count_15m > 1.5::double * (n.trips_60m / 4.0::double) then 1.0::double else 0.0::double end as label
-           from features n join features l on l.zone = n.zone and l.window_end_ms = n.window_end_ms + 900000 where n.trips_60m >= 8 and n.window_end_ms // 60000 % 60 % 5 = 0""",
-    ),
-    "time_split": (("labels",), "select cut_ms, count(*) filter (label_time_ms <= cut_ms) as train, count(*) filter (label_time_ms > cut_ms) as test from labels, (select quantile_cont(label_time_ms::double, 0.7) as cut_ms from labels) group by cut_ms"),
+    "make_labels": (("made",), "select * from made"),
+    "label_table": (("made",), "select * from made"),
+    "time_split": (("made",), "select cut_ms, count(*) filter (label_time_ms <= cut_ms) as train, count(*) filter (label_time_ms > cut_ms) as test from made, (select quantile_cont(label_time_ms::double, 0.7) as cut_ms from made) group by cut_ms"),
     "roc_auc": (
         ("derived",),
         """select round((sum(rank * p) - sum(p) * (sum(p) + 1) / 2) / (sum(p) * (sum(n) - sum(p))), 9) as auc, round(sum(p * hits / seen) / sum(p), 9) as average_precision, round(sum(p) / sum(n), 9) as positive_rate, sum(n)::bigint as examples from (
              select n, p::double as p, sum(n) over (order by s) - n + (n + 1) / 2 as rank, (sum(p) over (order by s desc))::double as hits, sum(n) over (order by s desc) as seen from (
                select demand_spike_ratio as s, count(*)::bigint as n, count(*) filter (count_15m > 1) as p from derived group by 1))""",
     ),
+    "partition_list": (("trips",), "select distinct partition from trips"),
+    "replay_skipped": (("trips",), "select count(*) filter (event_time_ms + 1036800000 <= m + 295 * 3600000) as skipped, 1::bigint as loop from trips, (select min(event_time_ms) as m from trips)"),
+    "first_events": (("trips",), 'select event_id, event_time_ms, partition, "offset" from trips order by event_time_ms, partition, "offset" limit 500'),
+    "compact_roundtrip": (("trips",), "select event_time_ms // 1000 * 1000 as event_time_ms, zone, fare_cents, distance_milli // 10 * 10 as distance_milli from trips"),
+    "ops_roundtrip": (
+        ("e",),
+        """select (user_id % 32)::int as client, case when event_id % 2 = 0 then 'put' else 'get' end as kind, event_type as key, event_id::varchar as value, event_id % 3 <> 0 as found, (event_id % 2 = 0 and event_id % 101 = 0) as unknown,
+           (ms - m0) * 1000 as call_ns, case when event_id % 2 = 0 and event_id % 101 = 0 then -1 else (ms - m0) * 1000 + trunc(value * 1000 + 0.5)::bigint end as ret_ns from e, (select min(ms) as m0 from e)""",
+    ),
+    "log_roundtrip": (("trips",), 'select partition, "offset", event_time_ms, zone, fare_cents, distance_milli from trips'),
+    "moments": (("e",), "select event_id, case event_id % 3 when 0 then epoch_ms(date_trunc('month', ts)) when 1 then ms // 1000 * 1000 end as parsed_ms, ms as again_ms from e"),
+    "recent_points": (("features",), "select zone, window_end_ms as as_of_ms, trips_5m from features qualify row_number() over (partition by zone order by window_end_ms desc) <= 120"),
+    "newest_window": (("features",), "select max(window_end_ms) as as_of_ms from features"),
+    "busiest_zone": (("features",), "select zone, trips_5m from features order by trips_5m desc, zone limit 1"),
+    "sample_rows": (
+        ("features",),
+        """select n, i::int as i, zone, window_end_ms, trips_5m from range(60) a(n), range(5) b(i), (select count(*) as total from features)
+           join (select *, row_number() over (order by zone, window_end_ms) - 1 as nth from features) r on nth = (7 * n + 31 * i) % total""",
+    ),
+    "state_fingerprint": (
+        ("parts", "retained", "features"),
+        _tree("parts", _HEADER_TEXT) + _tree("retained", _BUCKET_TEXT) + _tree("features", _HASH)
+        + """ select substr(sha256(r.sha256 || chr(10) || f.sha256 || chr(10) || p.sha256), 1, 16) as fingerprint, p.row_count as partitions, r.row_count as buckets, f.row_count as features from parts_tree p, retained_tree r, features_tree f""",
+    ),
+    "converged": (("features",), """select true as converged, 2::bigint as nodes, 'equal' as "case" union all select not exists (select 1 from features where zone % 7 = 3), 3, 'one differs'"""),
+    "delete_view": (("features",), f"select 'zone_demand_v1' as feature_view, {_F} from features"),
+    "merged_history": (
+        ("features", "bad"),
+        f"""select 'zone_demand_v1' as feature_view, {', '.join('f.' + c for c in _F.split(', '))}, f.partition as source_partition, f.window_end_ms as source_offset, (case when b.trips_5m <> f.trips_5m then 1 else 0 end)::int as conflicting_rewrites
+            from features f left join bad b on b.zone = f.zone and b.window_end_ms = f.window_end_ms""",
+    ),
+    "touched_zones": (("features",), "select distinct zone from features where window_end_ms >= (select max(window_end_ms) from features) - 3600000"),
+    "training_examples": (("made", "derived"), "select m.zone, label_time_ms, label, window_end_ms, trips_5m, trips_60m, demand_spike_ratio from made m join derived d on d.zone = m.zone and d.window_end_ms = m.label_time_ms"),
+    "zone_names": (("latest",), "select zone, window_end_ms, coalesce(n_name, '') as zone_name, case when n_name is null then '' else 'b' end as borough from latest left join nation on n_nationkey + 1 = zone"),
     "top_zones": (("latest",), "select zone, demand_spike_ratio + trips_60m as score from latest order by score desc, zone limit 5"),
 }
 
@@ -333,8 +424,25 @@ def _replayed(sql: str) -> str:
     return head + "marked as materialized (" + tail.replace("from trips)", f"from {half})", 1)
 
 
+def _state_diff() -> str:
+    """States of the whole log and of one that lacks some events of odd partitions, side by side."""
+    chain = ("marked", "parts", "buckets", "retained")
+    cut = {n: _CTE[n][1] for n in chain}
+    for n in chain:
+        cut = {k: re.sub(rf"\b(from|join) {n}\b", rf"\1 {n}_c", v) for k, v in cut.items()}
+    cut["marked"] = cut["marked"].replace("from trips)", 'from trips where partition % 2 = 0 or "offset" % 40 <> 3)')
+    more = "".join(f", {n}_c as materialized ({cut[n]})" for n in chain)
+    listed = lambda t: f"""(select partition, list({{'z': zone, 's': start_ms, 'c': "count", 'f': fare_cents, 'd': distance_milli}} order by zone, start_ms) as l from {t} group by partition)"""
+    columns = "to_offset, max_event_time_ms, closed_until_ms, late_dropped, events"
+    same = " and ".join(f"p.{c} = q.{c}" for c in columns.split(", "))
+    body = f"""{more} select p.partition, {same} and coalesce(a.l, []) = coalesce(b.l, []) as same, coalesce(len(a.l), 0)::int as expected_buckets, coalesce(len(b.l), 0)::int as actual_buckets
+        from parts p join parts_c q using (partition) left join {listed('retained')} a using (partition) left join {listed('retained_c')} b using (partition)"""
+    return _with(chain, body)
+
+
 def oracle_sql() -> dict[str, str]:
     found = {k: _with(names, body) for k, (names, body) in _SQL.items()}
     found["idempotent_apply"] = found["idempotent_apply"].replace("\nselect partition, arrival", ',\nb as (select partition, arrival // 1000 as arrival, max("offset") as to_offset from dup group by all)\nselect partition, arrival', 1)
+    found["state_diff"] = _state_diff()
     found["oracle_replay"] = _replayed(found["zone_features"])
     return found

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import BACKFILL_VIEW, SUMS, VIEW
-from .functions.columns import floor_to
-from .operators import cleaning, history, kv, measure, model, replay, serving, verify, windows
+from .config import BACKFILL_VIEW, BUCKET_MS, REACH, SUMS, VIEW
+from .functions import columns
+from .functions.columns import epoch_ms, floor_to
+from .operators import cleaning, history, kv, measure, model, replay, report, serving, verify, windows
 from .plans import offline
-from .sources import codec, fixtures, synthetic
+from .sources import codec, files, fixtures, synthetic
+from .sources.storage import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -32,9 +34,7 @@ def queries() -> dict[str, Query]:
 
 @query
 def scan_trips(spark, d):
-    r = fixtures.raw_trips(spark, d)
-    from .functions.columns import epoch_ms
-
+    r = files.read_raw_trips(spark, fixtures.raw_file(spark, d))
     return r.select(epoch_ms("tpep_pickup_datetime").alias("pickup_ms"), "PULocationID", "fare_amount", "trip_distance")
 
 
@@ -48,15 +48,14 @@ def clean_stats(spark, d):
     return cleaning.clean_stats(fixtures.raw_trips(spark, d), fixtures.MONTH)
 
 
-def _middle(trips: DataFrame, hours: int) -> int:
+def _middle(trips: DataFrame, hours: int) -> Column:
     return trips.select(F.min("event_time_ms")).scalar() + hours * _HOUR
 
 
 @query
 def replay_slice(spark, d):
     t = fixtures.trips(spark, d)
-    start = _middle(t, 2)
-    return t.where((F.col("event_time_ms") >= start) & (F.col("event_time_ms") < _middle(t, 5))).select("event_id", "event_time_ms", "zone")
+    return replay.replay_slice(t, _middle(t, 2), _middle(t, 5)).select("event_id", "event_time_ms", "zone")
 
 
 @query
@@ -117,7 +116,8 @@ def malformed_count(spark, d):
 @query
 def synth_trips(spark, d):
     synthetic.register(spark)
-    return spark.read.format("tidemill_synthetic").option("events", 5000).option("seed", 7).option("partitions", 4).load()
+    many = fixtures.events(spark, d).count()  # as many as the data folder has
+    return spark.read.format("tidemill_synthetic").option("events", many).option("seed", 7).option("partitions", 4).load()
 
 
 # windows
@@ -137,12 +137,12 @@ def bucket_agg(spark, d):
 
 @query
 def zone_features(spark, d):
-    return fixtures.features(spark, d).select("zone", "window_end_ms", *SUMS)
+    return windows.zone_features(fixtures.trips(spark, d)).select("zone", "window_end_ms", *SUMS)
 
 
 @query
 def quiet_rows(spark, d):
-    return fixtures.features(spark, d).where("trips_60m = 0").select("zone", "window_end_ms")
+    return windows.zone_features(fixtures.trips(spark, d)).where("trips_60m = 0").select("zone", "window_end_ms")
 
 
 @query
@@ -195,7 +195,7 @@ def trailing_range(spark, d):
 
 @query
 def latest_features(spark, d):
-    return windows.latest(fixtures.features(spark, d).select("zone", "window_end_ms", *SUMS))
+    return windows.latest_rows(fixtures.trips(spark, d)).select("zone", "window_end_ms", *SUMS)
 
 
 @query
@@ -316,13 +316,13 @@ def shadow_check(spark, d):
 @query
 def serve_features(spark, d):
     latest = windows.latest(fixtures.features(spark, d).select("zone", "window_end_ms", *SUMS))
-    return serving.serve(fixtures.requests(spark), latest).select("request_id", "pos", "zone", "found", "window_end_ms", "trips_5m", "fare_mean_15m", "demand_spike_ratio")
+    return serving.serve(fixtures.requests(spark, d), latest).select("request_id", "pos", "zone", "found", "window_end_ms", "trips_5m", "fare_mean_15m", "demand_spike_ratio")
 
 
 @query
 def cache_split(spark, d):
     cached = windows.latest(fixtures.features(spark, d).select("zone", "window_end_ms")).where("zone % 3 = 0")
-    return serving.cache_split(fixtures.requests(spark), cached)
+    return serving.cache_split(fixtures.requests(spark, d), cached)
 
 
 @query
@@ -370,7 +370,7 @@ def probe_counts(spark, d):
 
 @query
 def write_gaps(spark, d):
-    return measure.write_gaps(fixtures.ops(spark, d)).where("gap_ms > 500")
+    return measure.write_gaps(fixtures.ops(spark, d))
 
 
 @query
@@ -385,7 +385,7 @@ def unavailability(spark, d):
 
 @query
 def lag_slope(spark, d):
-    rows = fixtures.counters(spark, d).where("event_type <> 'view' or hour % 1000 = 0")
+    rows = fixtures.counters(spark, d)
     r = measure.lag_slope(rows.withColumn("x", (F.col("hour") % 1000).cast("double")).withColumn("y", F.col("total").cast("double")), "x", "y", ["event_type"])
     return r.select("event_type", F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"))
 
@@ -421,7 +421,7 @@ def make_labels(spark, d):
 
 @query
 def time_split(spark, d):
-    return model.time_split(fixtures.labels(spark, d))
+    return model.time_split(model.make_labels(fixtures.history(spark, d), VIEW))
 
 
 @query
@@ -435,3 +435,232 @@ def roc_auc(spark, d):
 def top_zones(spark, d):
     latest = windows.derive(windows.latest(fixtures.features(spark, d).select("zone", "window_end_ms", *SUMS)))
     return model.top_zones(latest, F.col("demand_spike_ratio") + F.col("trips_60m")).select("zone", "score")
+
+
+# what completes the groups above
+
+
+@query
+def partition_list(spark, d):
+    return replay.partitions(fixtures.trips(spark, d))
+
+
+@query
+def replay_skipped(spark, d):
+    t = fixtures.trips(spark, d).select("event_id", "event_time_ms", "zone")
+    return replay.replay_skipped(t, _middle(t, 12 * 24 + 7), 12 * 24 * _HOUR)
+
+
+@query
+def first_events(spark, d):
+    return replay.first_events(fixtures.trips(spark, d), 500).select("event_id", "event_time_ms", "partition", "offset")
+
+
+@query
+def compact_roundtrip(spark, d):
+    t = fixtures.trips(spark, d).select("event_time_ms", "zone", "fare_cents", "distance_milli")
+    path = shared_path(spark, "compact")
+    files.write_compact(t, 0, 1 << 50, path)
+    return files.read_compact(spark, path).select("event_time_ms", "zone", "fare_cents", "distance_milli")
+
+
+@query
+def ops_roundtrip(spark, d):
+    path = shared_path(spark, "ops")
+    files.write_ops(fixtures.ops(spark, d), path)
+    return files.read_ops(spark, path)
+
+
+@query
+def log_roundtrip(spark, d):
+    path = shared_path(spark, "log")
+    files.write_log_files(fixtures.trips(spark, d), path)
+    return files.read_log(spark, path).select("partition", "offset", "event_time_ms", "zone", "fare_cents", "distance_milli")
+
+
+@query
+def moments(spark, d):
+    ms = epoch_ms("ts")
+    text = F.when(F.col("event_id") % 3 == 0, F.date_format(F.to_timestamp(F.col("ts")), "yyyy-MM")).when(F.col("event_id") % 3 == 1, F.concat(F.date_format(F.to_timestamp(F.col("ts")), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))).otherwise("soon")
+    rows = fixtures.events(spark, d).select("event_id", ms.alias("ms"), text.alias("text"))
+    return rows.select("event_id", columns.parse_moment("text").alias("parsed_ms"), epoch_ms(columns.from_epoch_ms("ms")).alias("again_ms"))
+
+
+@query
+def recent_points(spark, d):
+    f = fixtures.features(spark, d).select("zone", "window_end_ms", "trips_5m")
+    return windows.recent_points(f.unionByName(f))
+
+
+@query
+def newest_window(spark, d):
+    return windows.newest(fixtures.features(spark, d))
+
+
+@query
+def busiest_zone(spark, d):
+    return model.busiest(fixtures.features(spark, d))
+
+
+@query
+def sample_rows(spark, d):
+    return verify.sample_rows(fixtures.features(spark, d).select("zone", "window_end_ms", "trips_5m"), 60)
+
+
+@query
+def state_fingerprint(spark, d):
+    t = fixtures.trips(spark, d)
+    return verify.state_fingerprint(windows.partition_stats(t), windows.retained_buckets(t), fixtures.features(spark, d))
+
+
+@query
+def converged(spark, d):
+    t = fixtures.trips(spark, d)
+    prints = [verify.fingerprint(fixtures.features(spark, d).where(F.col("zone") % 7 != k), ["zone", "window_end_ms", *SUMS]) for k in (7, 8, 3)]
+    nodes = [p.select(F.lit(k).alias("node"), F.col("sha256").alias("fingerprint"), "row_count") for k, p in enumerate(prints)]
+    applied = t.agg(F.max("offset").alias("applied"))
+    both = nodes[0].unionByName(nodes[1])
+    two = verify.converged(both.join(F.broadcast(applied))).withColumn("case", F.lit("equal"))
+    three = verify.converged(both.unionByName(nodes[2]).join(F.broadcast(applied))).withColumn("case", F.lit("one differs"))
+    return two.unionByName(three)
+
+
+@query
+def delete_view(spark, d):
+    both = fixtures.history(spark, d).unionByName(fixtures.history_bad(spark, d))
+    return history.delete_view(both, BACKFILL_VIEW).select("feature_view", "zone", "window_end_ms", *SUMS)
+
+
+@query
+def label_table(spark, d):
+    from .streaming.store import write_labels
+
+    return write_labels(model.make_labels(fixtures.history(spark, d), VIEW), shared_path(spark, "labels"))
+
+
+@query
+def merged_history(spark, d):
+    from .streaming.store import merged
+
+    first = fixtures.history(spark, d).withColumn("batch", F.floor(F.col("window_end_ms") / _HOUR))
+    again = fixtures.history_bad(spark, d, VIEW).withColumn("batch", F.floor(F.col("window_end_ms") / _HOUR) + 1_000_000)
+    return merged(first.unionByName(again))
+
+
+@query
+def touched_zones(spark, d):
+    from .streaming.store import touched
+
+    f = fixtures.features(spark, d)
+    return touched(f.where(F.col("window_end_ms") >= F.lit(f.select(F.max("window_end_ms")).scalar()) - _HOUR))
+
+
+@query
+def training_examples(spark, d):
+    return offline.training_examples(fixtures.history(spark, d)).select("zone", "label_time_ms", "label", "window_end_ms", "trips_5m", "trips_60m", "demand_spike_ratio")
+
+
+@query
+def merge_buckets(spark, d):
+    t = fixtures.trips(spark, d)
+    size = 500
+    all_buckets = windows.bucket_agg(t)
+    batches = t.groupBy("partition", F.floor(F.col("offset") / size).alias("arrival")).agg(F.max("offset").alias("to_offset"), F.max("event_time_ms").alias("closed_until_ms"))
+    again = batches.where("arrival % 4 = 1").withColumn("arrival", F.col("arrival") + 1_000_000)
+    # each batch tells the buckets that it changed, as they are then; a repeated one tells wrong numbers, which must not be applied
+    seen = t.select("partition", F.floor(F.col("offset") / size).alias("arrival"), "zone", floor_to("event_time_ms").alias("start_ms")).distinct()
+    rows = seen.join(all_buckets, ["partition", "zone", "start_ms"]).withColumn("count", F.col("count") * 1000 + F.col("arrival"))
+    wrong = rows.where("arrival % 4 = 1").withColumn("arrival", F.col("arrival") + 1_000_000).withColumn("count", F.lit(-1).cast("long"))
+    return kv.merge_buckets(batches.unionByName(again), rows.unionByName(wrong), REACH * BUCKET_MS)
+
+
+@query
+def purge_counts(spark, d):
+    return kv.purge_counts(fixtures.kv_log(spark, d))
+
+
+@query
+def register_lookup(spark, d):
+    return kv.lookup(kv.kv_fold(fixtures.kv_log(spark, d)), "click-3").unionByName(kv.lookup(kv.kv_fold(fixtures.kv_log(spark, d)), "none"))
+
+
+@query
+def rate_by(spark, d):
+    rows = fixtures.counters(spark, d).withColumn("label", F.substring("event_type", 1, 1))
+    return measure.rate_by(rows, ["label", "event_type"], "label", "t_s", "total").withColumn("rate", F.round("rate", 9))
+
+
+@query
+def hit_ratio(spark, d):
+    return measure.hit_ratio(fixtures.counters(spark, d), ["event_type"], "t_s", "total", F.col("event_type") == "click")
+
+
+@query
+def gauge_max(spark, d):
+    return measure.gauge_max(fixtures.counters(spark, d), "total")
+
+
+@query
+def sustained(spark, d):
+    rows = measure.lag_slope(fixtures.counters(spark, d).withColumn("x", F.col("hour").cast("double")).withColumn("y", (F.col("total") % 97).cast("double")), "x", "y", ["event_type"])
+    return rows.select("event_type", measure.sustained(F.lit(5.0), F.col("slope")).alias("sustained"))
+
+
+@query
+def counts_by_code(spark, d):
+    return measure.counts_by(fixtures.latency(spark, d), F.col("code"), "code")
+
+
+@query
+def failover(spark, d):
+    e = fixtures.events(spark, d).select(epoch_ms("ts").alias("t_ms"), (F.floor(F.col("event_id") / 500) % 5).cast("string").alias("leader"))
+    fault = e.select((F.min("t_ms") + 3 * _HOUR).alias("t")).first()["t"]
+    old = e.where(F.col("t_ms") <= fault).agg(F.max_by("leader", "t_ms")).first()[0]
+    return measure.failover(e, fault, old)
+
+
+@query
+def fault_lines(spark, d):
+    rows = fixtures.fault_log(spark, d)
+    first = fixtures.events(spark, d).select(F.min(epoch_ms("ts"))).scalar()
+    return report.fault_lines(rows, first)
+
+
+@query
+def check_totals(spark, d):
+    return report.check_totals(fixtures.check_windows(spark, d))
+
+
+@query
+def cpu_cores(spark, d):
+    side = lambda k: fixtures.cpu_samples(spark, d, k).groupBy("name").agg(F.sum("cpu_s").alias("cpu_s"))
+    return report.cpu_cores(side(0), side(1), F.lit(90.0)).withColumn("cores", F.round("cores", 9))
+
+
+@query
+def cpu_total(spark, d):
+    side = lambda k: fixtures.cpu_samples(spark, d, k).groupBy("name").agg(F.sum("cpu_s").alias("cpu_s"))
+    return report.cpu_total(report.cpu_cores(side(0), side(1), F.lit(90.0))).withColumn("cores_total", F.round("cores_total", 6))
+
+
+@query
+def top_cpu(spark, d):
+    rows = fixtures.cpu_samples(spark, d, 1)
+    return report.top_cpu(rows.select("run", "name", F.col("cpu_s").alias("cores")))
+
+
+@query
+def before_after(spark, d):
+    return report.before_after(fixtures.bench_files(spark, d, False), fixtures.bench_files(spark, d, True), ["requests", "max_ms"])
+
+
+@query
+def report_order(spark, d):
+    rows = fixtures.bench_files(spark, d, True).select("file", F.col("requests").cast("double").alias("offered_rate_eps"))
+    return report.by_rate(rows)
+
+
+@query
+def zone_names(spark, d):
+    zones = spark.read.parquet(f"{d}/nation.parquet").select((F.col("n_nationkey") + 1).cast("int").alias("LocationID"), F.col("n_name").alias("Zone"), F.lit("b").alias("Borough"))
+    return files.with_zone_names(windows.latest_rows(fixtures.trips(spark, d)).select("zone", "window_end_ms"), zones)

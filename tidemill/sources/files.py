@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import json
 import struct
 
 import numpy as np
@@ -48,12 +49,23 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.TRIPS).parquet(path)
 
 
-def read_kafka(spark: SparkSession, servers: str, topic: str, max_per_trigger: int = 20_000) -> DataFrame:
-    """The log as a stream of wire records (needs Spark's Kafka connector on the class path); offsets live in the query's checkpoint."""
+def write_log_files(trips: DataFrame, path: str) -> None:
+    """A log as Parquet files, a folder a partition, where no broker is at hand; times of publishing are kept as they are."""
+    trips.select("event_time_ms", "zone", "fare_cents", "distance_milli", "publish_ms", "partition", "offset").write.mode("overwrite").partitionBy("partition").parquet(path)
+
+
+def starting_offsets(topic: str, headers: DataFrame) -> str:
+    """Where to go on after a store's headers (partition, to_offset): the option of the Kafka source. One number a log partition."""
+    return json.dumps({topic: {str(r["partition"]): r["to_offset"] + 1 for r in headers.select("partition", "to_offset").collect()}}, sort_keys=True)
+
+
+def read_kafka(spark: SparkSession, servers: str, topic: str, max_per_trigger: int = 20_000, start: str = "earliest") -> DataFrame:
+    """The log as a stream of wire records (needs Spark's Kafka connector on the class path). It begins at ``start`` (from ``starting_offsets``, or the log's
+    beginning) if the query has no checkpoint yet; after that offsets live there."""
     from .codec import decode
 
     rows = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
-    rows = rows.option("startingOffsets", "earliest").option("maxOffsetsPerTrigger", max_per_trigger).load()
+    rows = rows.option("startingOffsets", start).option("maxOffsetsPerTrigger", max_per_trigger).load()
     return rows.withColumn("trip", decode("value")).where("trip is not null").select("trip.*", "partition", "offset")
 
 
@@ -90,26 +102,40 @@ def read_compact(spark: SparkSession, path: str) -> DataFrame:
                     ["file", "seq", "event_time_ms", "zone", "fare_cents", "distance_milli"],
                 )
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.parquet(path) if _is_table(spark, path) else spark.read.format("binaryFile").load(path)
+    files = files.select("path", "content")
     return files.mapInArrow(decode, "file string, seq long, event_time_ms long, zone int, fare_cents long, distance_milli long")
 
 
+def _encoded(values: np.ndarray) -> bytes:
+    """Numbers (0 or more) as unsigned LEB128, one after the other."""
+    size = np.maximum(1, -(-np.frompyfunc(int.bit_length, 1, 1)(values.astype(object)).astype(np.int64) // 7)) if len(values) else np.zeros(0, np.int64)
+    which = np.repeat(np.arange(len(values)), size)
+    place = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
+    more = place < size[which] - 1
+    return ((values[which] >> (7 * place) & 0x7F) | np.where(more, 0x80, 0)).astype(np.uint8).tobytes()
+
+
 def compact(trips: DataFrame, start_ms: int, stop_ms: int) -> DataFrame:
     """One compact file (column ``content``) of the trips of each day in [start, stop)."""
     rows = trips.where((F.col("event_time_ms") >= start_ms) & (F.col("event_time_ms") < stop_ms)).withColumn("day", F.floor(F.col("event_time_ms") / 86_400_000))
-    seconds = F.floor(F.col("event_time_ms") / 1000)
-    step = seconds - F.lag(seconds, 1).over(W.partitionBy("day").orderBy("event_time_ms", "zone"))
-    rows = rows.select("day", "event_time_ms", "zone", seconds.alias("s"), F.coalesce(step, F.lit(0)).alias("dt"), "fare_cents", F.floor(F.col("distance_milli") / 10).alias("d"))
+    rows = rows.select("day", "event_time_ms", "zone", F.floor(F.col("event_time_ms") / 1000).alias("s"), "fare_cents", F.floor(F.col("distance_milli") / 10).alias("d"))
 
     def encode(group: pa.Table) -> pa.Table:
         t = group.sort_by([("event_time_ms", "ascending"), ("zone", "ascending")])
-        out = bytearray(struct.pack("<q", t.column("s")[0].as_py()))
-        for row in zip(*(t.column(c).to_pylist() for c in ("dt", "zone", "fare_cents", "d")), strict=True):
-            for x in row:
-                while x >= 0x80:
-                    out.append(x & 0x7F | 0x80)
-                    x >>= 7
-                out.append(x)
-        return pa.table({"day": pa.array([t.column("day")[0].as_py()], pa.int64()), "content": pa.array([gzip.compress(bytes(out), mtime=0)], pa.binary())})
+        s, zone, cents, d = (t.column(c).to_numpy().astype(np.int64) for c in ("s", "zone", "fare_cents", "d"))
+        numbers = np.stack([np.diff(s, prepend=s[0]), zone, cents, d], axis=1).ravel()
+        content = struct.pack("<q", int(s[0])) + _encoded(numbers)
+        return pa.table({"day": pa.array([t.column("day")[0].as_py()], pa.int64()), "content": pa.array([gzip.compress(content, mtime=0)], pa.binary())})
 
     return rows.groupBy("day").applyInArrow(encode, "day long, content binary")
+
+
+def write_compact(trips: DataFrame, start_ms: int, stop_ms: int, path: str) -> None:
+    """The compact files of ``compact`` in a table folder, one row a file, as ``read_compact`` takes them besides loose files."""
+    compact(trips, start_ms, stop_ms).select(F.col("day").cast("string").alias("path"), "content").write.mode("overwrite").parquet(path)
+
+
+def _is_table(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))

@@ -1,4 +1,7 @@
-"""Inputs of the registered queries, derived from the given tables by arithmetic that any engine repeats exactly."""
+"""Inputs of the registered queries, derived from the given tables by arithmetic that any engine repeats exactly.
+
+The log and the feature rows are written once a session and then read, as an engine has them: a query then does its operator's work only.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +14,7 @@ from ..functions.columns import epoch_ms, scaled
 from ..operators import windows
 from ..operators.history import upsert
 from ..operators.replay import late_injection, route
+from .storage import shared_path, stored
 
 PARTITIONS = 6
 MONTH = "2024-01"
@@ -39,7 +43,14 @@ def delay() -> Column:
 
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log: offsets in the order of arrival."""
-    return late_injection(ordered_trips(spark, sf_dir), delay(), "event_id").drop("event_type")
+    return stored(spark, sf_dir, "trips", lambda: late_injection(ordered_trips(spark, sf_dir), delay(), "event_id").drop("event_type"))
+
+
+def raw_file(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the source's monthly file, with a column that no reader needs."""
+    path = shared_path(spark, "raw")
+    raw_trips(spark, sf_dir).withColumn("vendor", F.lit("x")).write.parquet(path)
+    return path
 
 
 def raw_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +76,8 @@ def gap_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.zone_features(trips(spark, sf_dir))
+    """All feature rows of the log."""
+    return stored(spark, sf_dir, "features", lambda: windows.zone_features(trips(spark, sf_dir)))
 
 
 def as_history(rows: DataFrame, view: str) -> DataFrame:
@@ -96,16 +108,16 @@ def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels 90 s after some rows, a seventh of them 200 minutes after, one before any row."""
-    rows = features(spark, sf_dir).where((F.col("zone") * 31 + minute()) % 97 == 0)
+    """Labels for every fifth minute 90 s after the row, a seventh of them 200 minutes after, one before any row."""
+    rows = features(spark, sf_dir).where(minute() % 5 == 0)
     late = F.when((F.col("zone") + minute()) % 7 == 0, 200 * 60_000).otherwise(90_000)
     early = rows.groupBy("zone").agg(F.min("window_end_ms").alias("w")).select("zone", (F.col("w") - 10 * DAY_MS).alias("label_time_ms"), F.lit(None).cast("double").alias("label"))
     return rows.select("zone", (F.col("window_end_ms") + late).alias("label_time_ms"), (F.col("trips_5m") % 2).cast("double").alias("label")).unionByName(early)
 
 
-def requests(spark: SparkSession) -> DataFrame:
-    """Requests with repeats and an entity that does not exist."""
-    rows = spark.range(40).withColumnRenamed("id", "request_id")
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests, one for every 25 events, with repeats and an entity that does not exist."""
+    rows = events(spark, sf_dir).select(F.floor(F.col("event_id") / 25).alias("request_id")).distinct()
     ids = F.transform(F.sequence(F.lit(0), (F.col("request_id") % 9).cast("int")), lambda i: ((F.col("request_id") * 7 + i * 13) % 41 + 1).cast("int"))
     return rows.select("request_id", F.concat(ids, F.array(F.lit(999_999), (F.col("request_id") % 40 + 1).cast("int"), (F.col("request_id") % 40 + 1).cast("int"))).alias("ids"))
 
@@ -138,8 +150,36 @@ def ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Faults spread over the history's time."""
-    return spark.range(25).select(F.col("id").alias("fault_id"), (F.col("id") * 97.5 + 3.25).alias("at_s"))
+    """Faults spread over the history's time, one for every 400 events."""
+    rows = events(spark, sf_dir).select(F.floor(F.col("event_id") / 400).alias("fault_id")).distinct()
+    return rows.select("fault_id", (F.col("fault_id") * 97.5 + 3.25).alias("at_s"))
+
+
+def fault_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An event log's lines: every third is a fault, every seventh of them too short."""
+    rows = events(spark, sf_dir).select("event_id", epoch_ms("ts").alias("ms"), "event_type")
+    word = F.when(F.col("event_id") % 3 == 0, "FAULT").otherwise("INFO")
+    return rows.select(F.concat_ws(" ", F.col("ms").cast("string"), word, F.when(F.col("event_id") % 7 != 0, F.concat(F.col("event_type"), F.lit("  of "), (F.col("event_id") % 5).cast("string")))).alias("line"))
+
+
+def cpu_samples(spark: SparkSession, sf_dir: str, moment: int) -> DataFrame:
+    """Processor seconds of containers (users) by run (day); some containers are in one of the two samples only."""
+    rows = events(spark, sf_dir).select(F.floor(epoch_ms("ts") / DAY_MS).cast("int").alias("run"), F.col("user_id").alias("u"), scaled("value", 100).alias("v"))
+    rows = rows.groupBy("run", "u").agg(F.sum("v").alias("v"))
+    return rows.select("run", F.concat(F.lit("c"), F.col("u") + 40 * moment).alias("name"), (F.col("v") * (moment + 1) / 100).alias("cpu_s"))
+
+
+def bench_files(spark: SparkSession, sf_dir: str, after: bool) -> DataFrame:
+    """Serving results by file name; the two sides share some of the names."""
+    rows = events(spark, sf_dir)
+    name = F.concat_ws("-", F.lit("serve"), "event_type", (F.col("user_id") % (23 if after else 20)).cast("string"))
+    return rows.groupBy(name.alias("file")).agg(F.count("*").alias("requests"), F.max("value").alias("max_ms"))
+
+
+def check_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of checks by user: their operations, and what was found."""
+    rows = events(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("ops"))
+    return rows.select("ops", F.when(F.col("user_id") % 10 == 3, "unknown").otherwise("ok").alias("result"))
 
 
 def counters(spark: SparkSession, sf_dir: str) -> DataFrame:

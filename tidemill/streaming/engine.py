@@ -5,11 +5,14 @@ every event. A stateful processor keyed by partition keeps the header and the re
 sorted by offset, already seen offsets dropped, and lateness follows from a running maximum, so that no event is handled alone;
 what is emitted equals the closed form's rows for the windows that the batch closed.
 
-Sources must not deliver a higher offset of a partition in an earlier micro-batch than a lower one.
+A source that may deliver a higher offset of a partition in an earlier micro-batch than a lower one needs a ``gap_ms``.
 """
 
 from __future__ import annotations
 
+import json
+import math
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,10 +22,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .. import schemas
-from ..config import BUCKET_MS, DETAIL_HORIZON, LATENESS_MS, REACH, SUMS, TRIP_HORIZONS
+from ..config import BUCKET_MS, DETAIL_HORIZON, LATENESS_MS, REACH, SUMS, TRIP_HORIZONS, WARM_UP_MS
+from ..operators.verify import shadow_check
 from ..sources.storage import delete, shared_path
+from .store import FeatureStore
 
-OUTPUT = f"partition int, {schemas.FEATURES}, batch_offset long"
+OUTPUT = f"partition int, {schemas.FEATURES}, batch_offset long, trigger_publish_ms long"
+HEADER = "to_offset long, max_event_time_ms long, closed_until_ms long, late_dropped long, events long, repeated long, gaps_accepted long, gap_since_ms long"
+_EVENT = "event_time_ms long, zone int, fare_cents long, distance_milli long, publish_ms long"
+_EVENT_NAMES = ["event_time_ms", "zone", "fare_cents", "distance_milli", "publish_ms"]
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -48,30 +56,79 @@ def slide(zone: np.ndarray, start: np.ndarray, sums: np.ndarray, after: int, unt
 
 
 class WindowProcessor(StatefulProcessor):
-    """One log partition's windows."""
+    """One log partition's windows.
+
+    Offsets at or below the last one are counted as repeated and left out. An offset above the next one is a gap: it and what follows are held
+    back until the offsets before it come, or the gap has lasted ``gap_ms``; then they are accepted and the gap is counted. That is decided when the
+    partition's next events come. With ``gap_ms`` 0 a gap is accepted at once, as a bounded log with holes needs it."""
+
+    def __init__(self, gap_ms: int = 0):
+        self.gap_ms = gap_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.header = handle.getValueState("header", "to_offset long, max_event_time_ms long, closed_until_ms long, late_dropped long, events long")
+        self.header = handle.getValueState("header", HEADER)
         self.buckets = handle.getMapState("buckets", "zone int, start_ms long", "count long, fare_cents long, distance_milli long")
+        self.held = handle.getMapState("held", "offset long", _EVENT)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        """Start from a snapshot: its header and buckets (``engine.initial_state``)."""
+        for row in initialState.itertuples():
+            if row.zone is None or pd.isna(row.zone):
+                self.header.update((int(row.to_offset), int(row.max_event_time_ms), int(row.closed_until_ms), int(row.late_dropped), int(row.events), 0, 0, 0))
+            else:
+                self.buckets.updateValue((int(row.zone), int(row.start_ms)), (int(row.count), int(row.fare_cents), int(row.distance_milli)))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values("offset").drop_duplicates("offset")
-        head = self.header.get() if self.header.exists() else None
-        if head is not None:
+        yield from self._take(key, pd.concat(list(rows)))
+
+    def _accepted(self, events: pd.DataFrame, head: list) -> pd.DataFrame:
+        """The events to process now, in order. ``head`` is changed in place; what is held back goes to the state."""
+        if self.gap_ms and head[4]:
+            held = [(int(k[0]), *v) for k, v in self.held.iterator()]
+            events = pd.concat([events, pd.DataFrame(held, columns=["offset", *_EVENT_NAMES])]) if held else events
+        arrived = len(events)
+        events = events.sort_values("offset").drop_duplicates("offset")
+        if head[4]:
             events = events[events["offset"] > head[0]]
+        head[5] += arrived - len(events)
+        if not head[4] or events.empty:
+            return events
+        offset = events["offset"].to_numpy(np.int64)
+        steps = np.diff(np.concatenate([[head[0]], offset]))
+        if not self.gap_ms:
+            head[6] += int((steps > 1).sum())
+            return events
+        now = int(time.time() * 1000)
+        over = head[7] and now - head[7] >= self.gap_ms
+        gaps = np.flatnonzero(steps > 1)
+        if over and len(gaps):  # the first gap has lasted; a later one begins to wait now
+            head[6] += 1
+            gaps = gaps[1:]
+        ready = int(gaps[0]) if len(gaps) else len(events)
+        waits = events.iloc[ready:]
+        head[7] = 0 if waits.empty else now if over or not head[7] or ready else head[7]
+        for row in events.iloc[:ready].itertuples():
+            if self.held.containsKey((int(row.offset),)):
+                self.held.removeKey((int(row.offset),))
+        for row in waits.itertuples():
+            self.held.updateValue((int(row.offset),), tuple(int(getattr(row, c)) for c in _EVENT_NAMES))
+        return events.iloc[:ready]
+
+    def _take(self, key, events: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        head = [int(x) for x in self.header.get()] if self.header.exists() else [0] * 8
+        fresh_log = head[4] == 0
+        events = self._accepted(events, head)
         if events.empty:
+            if not fresh_log:
+                self.header.update(tuple(head))
             return
         t = events["event_time_ms"].to_numpy(np.int64)
-        earlier = np.concatenate([[np.iinfo(np.int64).min], np.maximum.accumulate(t)[:-1]])
-        closed = head[2] if head is not None else int(_floor(t[0]))
-        if head is not None:
-            earlier = np.maximum(earlier, head[1])
-        known = earlier > np.iinfo(np.int64).min
-        before = np.full(len(t), closed)
-        before[known] = np.maximum(closed, _floor(earlier[known] - LATENESS_MS))
+        closed = int(_floor(t[0])) if fresh_log else head[2]
+        reached = np.maximum.accumulate(t) if fresh_log else np.maximum(np.maximum.accumulate(t), head[1])
+        after = np.maximum(closed, _floor(reached - LATENESS_MS))  # what each event closes
+        before = np.concatenate([[closed], after[:-1]])
         late = t < before
-        most = max(int(t.max()), head[1] if head is not None else int(t[0]))
-        until = max(closed, int(_floor(most - LATENESS_MS)))
+        until = int(after[-1])
 
         kept = {tuple(k): np.array(v, np.int64) for k, v in self.buckets.iterator()}
         fresh = events[~late].assign(start_ms=_floor(t[~late])).groupby(["zone", "start_ms"]).agg(n=("offset", "size"), fare=("fare_cents", "sum"), miles=("distance_milli", "sum"))
@@ -84,28 +141,37 @@ class WindowProcessor(StatefulProcessor):
         for zone, start in kept:
             if start < limit and self.buckets.containsKey((zone, start)):
                 self.buckets.removeKey((zone, start))
-        self.header.update((int(events["offset"].iloc[-1]), most, until, int(late.sum()) + (head[3] if head is not None else 0), len(t) + (head[4] if head is not None else 0)))
+        last = int(events["offset"].iloc[-1])
+        self.header.update((last, int(reached[-1]), until, head[3] + int(late.sum()), head[4] + len(t), *head[5:]))
         if kept and until > closed:
+            trigger = int(events["publish_ms"].iloc[int(np.flatnonzero(after > before)[-1])])  # of the last event that closed a window
             zone, start = np.array(list(kept), np.int64).T
             out = slide(zone, start, np.array(list(kept.values())), closed, until)
             if len(out):
-                yield out.assign(partition=np.int32(key[0]), batch_offset=int(events["offset"].iloc[-1]))[["partition", "zone", "window_end_ms", *SUMS, "batch_offset"]]
+                yield out.assign(partition=np.int32(key[0]), batch_offset=last, trigger_publish_ms=trigger)[["partition", "zone", "window_end_ms", *SUMS, "batch_offset", "trigger_publish_ms"]]
 
     def close(self) -> None:
         pass
 
 
-def features_stream(trips: DataFrame) -> DataFrame:
-    """The feature rows of a streaming log (append mode)."""
-    return trips.groupBy("partition").transformWithStateInPandas(WindowProcessor(), OUTPUT, "append", "None")
+def initial_state(stats: DataFrame, buckets: DataFrame) -> DataFrame:
+    """A snapshot (``partition_stats`` and ``retained_buckets``) as a stream's first state: a header row a partition, and its buckets."""
+    return stats.unionByName(buckets, allowMissingColumns=True)
+
 
+def features_stream(trips: DataFrame, gap_ms: int = 0, snapshot: DataFrame | None = None) -> DataFrame:
+    """The feature rows of a streaming log (append mode). A micro-batch of a partition is handled at once: bound it by the source's limit of
+    records a trigger. snapshot: from ``initial_state``, to go on where another log's processing ended."""
+    first = None if snapshot is None else snapshot.groupBy("partition")
+    return trips.groupBy("partition").transformWithStateInPandas(WindowProcessor(gap_ms), OUTPUT, "append", "None", first)
 
-def start(trips: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], available_now: bool = True):
+
+def start(trips: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], available_now: bool = True, gap_ms: int = 0, snapshot: DataFrame | None = None):
     """Run a stream into a sink. The sink gets each micro-batch and its number, and must be idempotent by that number or by key."""
     spark = trips.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
-    writer = features_stream(trips).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(sink)
+    writer = features_stream(trips, gap_ms, snapshot).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(sink)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
@@ -126,15 +192,17 @@ def write_log(trips: DataFrame, path: str, files: int) -> None:
 
 
 def replay_as_stream(spark: SparkSession, trips: DataFrame, files: int = 3) -> DataFrame:
-    """All feature rows of a bounded log, made by the stream."""
-    log, out, state = (shared_path(spark, n) for n in ("log", "features", "state"))
+    """All feature rows of a bounded log, made by the stream and kept by the upserting sink."""
+    log, root, state = (shared_path(spark, n) for n in ("log", "store", "state"))
     write_log(trips, log, files)
+    store = FeatureStore(spark, root)
     stream = spark.readStream.schema(schemas.TRIPS).option("maxFilesPerTrigger", 1).parquet(log)
-    run = start(stream, state, table_sink(out))
-    run.awaitTermination()
-    for path in (log, state):
-        delete(spark, path)
-    return spark.read.parquet(out)
+    try:
+        start(stream, state, store.sink).awaitTermination()
+    finally:
+        for path in (log, state):
+            delete(spark, path)
+    return store.history()
 
 
 def state_headers(spark: SparkSession, checkpoint: str) -> DataFrame:
@@ -143,6 +211,54 @@ def state_headers(spark: SparkSession, checkpoint: str) -> DataFrame:
     return rows.select(F.col("key.partition").alias("partition"), "value.*")
 
 
+def state_buckets(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The retained buckets of each partition, from the state store; with ``state_headers`` a snapshot to restore."""
+    rows = spark.read.format("statestore").option("stateVarName", "buckets").load(checkpoint)
+    return rows.select(F.col("key.partition").alias("partition"), "user_map_key.*", "user_map_value.*")
+
+
 def progress(query) -> list[dict]:
-    """Lag and throughput of the latest micro-batches, from the query's progress."""
-    return [{"batch": p["batchId"], "rows": p["numInputRows"], "rows_per_s": p["processedRowsPerSecond"]} for p in query.recentProgress]
+    """Batch, rows, throughput and lag of the latest micro-batches, from the query's progress."""
+    return [{"batch": p["batchId"], "rows": p["numInputRows"], "rows_per_s": p["processedRowsPerSecond"], "lag": lag(p)} for p in query.recentProgress]
+
+
+def lag(entry: dict) -> int:
+    """Records that a progress entry's sources have beyond what was read: the latest less the end offsets of every partition (0 where a source numbers none)."""
+    total = 0
+    for source in entry["sources"]:
+        ends, latest = (_offsets(source.get(k)) for k in ("endOffset", "latestOffset"))
+        total += sum(max(0, n - ends.get(k, n)) for k, n in latest.items())
+    return total
+
+
+def _offsets(text: object) -> dict[tuple[str, str], int]:
+    """Offsets by topic and partition, from a source's JSON."""
+    found = json.loads(text) if isinstance(text, str) and text.startswith("{") else text
+    if not isinstance(found, dict):
+        return {}
+    return {(topic, p): n for topic, parts in found.items() if isinstance(parts, dict) for p, n in parts.items() if isinstance(n, int)}
+
+
+def instant(entries: list[dict], name: str) -> float:
+    """A metric of the last entry as a number; 0 where there is none or it is no finite number."""
+    value = entries[-1].get(name) if entries else None
+    return float(value) if isinstance(value, (int, float)) and math.isfinite(value) else 0.0
+
+
+def shadow(spark: SparkSession, log_stream: DataFrame, checkpoint: str, stored_latest: Callable[[], DataFrame], root: str, first_offset: int = 0) -> Callable[[], dict]:
+    """A second computation of the log beside the store. The function returned brings it up to date and compares the store's latest rows with it: checked, bad, pending
+    and whether it still warms up (it began after offset 0 and has not seen enough event time)."""
+    second = FeatureStore(spark, root)
+
+    def check() -> dict:
+        start(log_stream, checkpoint, second.sink).awaitTermination()  # what is there now
+        heads = state_headers(spark, checkpoint).agg(F.min(F.col("closed_until_ms") - F.lit(0)).alias("closed"), F.min("events").alias("events")).first()
+        rows = second.history()
+        seen = rows.agg(F.max("window_end_ms") - F.min("window_end_ms")).first()[0] or 0
+        warming = first_offset > 0 and seen < WARM_UP_MS
+        found = shadow_check(stored_latest(), rows).first().asDict()
+        if warming:
+            found |= {"pending": sum(found.values()), "checked": 0, "bad": 0}
+        return found | {"warming_up": warming, "events": heads["events"] or 0}
+
+    return check
