@@ -6,8 +6,8 @@
    majority of each bit over its words' hashes; two SimHashes that differ in at most 3 of 64 bits agree in at least 2 of 5 blocks (pigeonhole),
    so each line joins on its 10 pairs of blocks. SimHash misses most pairs with several edited words.
 3. Pairs are verified: the edit distance over words is at most a fifth of the longer line's words.
-   First each line against the smallest one it meets; the components of that; then the pairs across components
-   that share a key, so that large groups cost linear work and no link is lost.
+   First each line against the smallest one on each of its runs, and the one that most lines meet of those it meets; the components of that; then lines of different components
+   that share a key, in blocks, until all that is similar is connected. So large groups cost linear work and nothing stays apart.
 4. Of each connected group the first occurrence (by doc_id, then line) is kept; all other occurrences are removed.
 
 Defined results. Lines are what newlines separate. Lines without words are kept as they are. A null text stays null and has no
@@ -142,6 +142,15 @@ class _ByRuns:
         return runs.verified(pairs, self.active)
 
 
+def _stars(shared: DataFrame) -> DataFrame:
+    """(a, b): each node and the smallest one of each of its cells, and the one in most cells among those that it shares a cell with."""
+    ranked = shared.join(shared.groupBy("node").agg(F.count("*").alias("d")), "node")
+    hubs = ranked.groupBy("cell").agg(F.max(F.struct("d", "node")).alias("hub"))
+    best = shared.join(hubs, "cell").groupBy("node").agg(F.max("hub").alias("hub")).select("node", F.col("hub.node").alias("to"))
+    pairs = best.unionByName(shared.select("node", F.col("least").alias("to"))).where("node <> to")
+    return pairs.select(F.greatest("node", "to").alias("a"), F.least("node", "to").alias("b")).distinct()
+
+
 def duplicate_lines(docs: DataFrame, scratch: Scratch, key: Column, exact: bool = False) -> DataFrame:
     """doc and removed (the line numbers that go) of the documents that lose lines."""
     found = (_ByRuns if exact else _BySimHash)(docs.select("doc_id", "text"), key, scratch)
@@ -150,7 +159,7 @@ def duplicate_lines(docs: DataFrame, scratch: Scratch, key: Column, exact: bool
     groups = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.sum(F.shiftright(F.xxhash64("node"), 24)).alias("name")).where("least <> most")
     groups = groups.groupBy("name", "least", "most").agg(F.min("key").alias("key"))
     shared = scratch.keep(keyed.join(groups.select("key", "least").hint("shuffle_hash"), "key").select(F.col("key").alias("cell"), "node", "least"))
-    stars = shared.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    stars = _stars(shared)
     links = cut(found.verified(stars))
     parts = components(links)
     placed = shared.join(parts, "node", "left").select("cell", "node", F.coalesce("comp", "node").alias("comp"))

@@ -39,6 +39,8 @@ MANY = 255
 GROUPS = 128
 #: Cells of the edit distance that are computed at once.
 CELLS = 1 << 18
+#: Pairs that are verified at once.
+PAIRS = 1 << 16
 #: Words of pairs that are sorted at once.
 WORDS = 1 << 21
 
@@ -366,26 +368,59 @@ def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of groups of nodes, with their codes, links (a, b) enough to connect the components that similar lines connect."""
     for t in whole_keys(batches):
         node, comp, n, counts = _columns(t)
-        codes = t.column("codes").to_pylist()
+        codes = [np.frombuffer(x, "<u4") for x in t.column("codes").to_pylist()]
         g = t.column("g").to_numpy()
         edges = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]])).tolist()
-        out: list[tuple[int, int]] = []
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            own = comp.copy()  # of this group's rows: changed as they are linked
-            for i in range(a, b):
-                j = _possible(i, np.arange(a, i), own, n, counts)
-                # of each component the likeliest first, then all that are left
-                while len(j):
-                    _, first = np.unique(own[j], return_index=True)
-                    now = j[first]
-                    good = now[within([np.frombuffer(codes[i], "<u4")] * len(now), [np.frombuffer(codes[x], "<u4") for x in now])]
-                    for x in good.tolist():
-                        out.append((max(node[i], node[x]), min(node[i], node[x])))
-                        part = own[a:b]
-                        part[part == own[x]] = own[i]
-                    j = np.delete(j, first)
-                    j = j[own[j] != own[i]]
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], ["a", "b"])
+        pairs: list[np.ndarray] = []
+        links: list[np.ndarray] = []
+        for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            for i in range(a + 1, b):
+                j = _possible(i, np.arange(a, i), comp, n, counts)
+                if len(j):
+                    pairs.append(np.stack([np.full(len(j), i), j]))
+            if pairs and (k == len(edges) - 2 or sum(p.shape[1] for p in pairs) > PAIRS):
+                links.append(_connected(np.concatenate(pairs, axis=1), comp, np.searchsorted(edges, np.arange(len(g)), "right"), codes))
+                pairs = []
+        i, j = np.concatenate([np.zeros((2, 0), np.int64), *links], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[i], node[j])), pa.array(np.minimum(node[i], node[j]))], ["a", "b"])
+
+
+def _connected(pairs: np.ndarray, comp: np.ndarray, group: np.ndarray, codes: list[np.ndarray]) -> np.ndarray:
+    """Of possible pairs of rows the similar ones that are needed to connect what they connect within each group.
+
+    Pairs are verified in rounds: of each pair of components that is not connected yet a few, twice as many each time."""
+    parent: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def find(x: tuple[int, int]) -> tuple[int, int]:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    rows, names = np.unique(pairs, return_inverse=True)
+    names = names.reshape(pairs.shape)
+    out, quota = [np.zeros((2, 0), np.int64)], 1
+    while pairs.shape[1]:
+        roots: dict[tuple[int, int], int] = {}
+        root = np.array([roots.setdefault(find((group[r], comp[r])), len(roots)) for r in rows.tolist()])
+        x, y = np.sort(root[names], axis=0)
+        apart = x != y
+        pairs, names, x, y = pairs[:, apart], names[:, apart], x[apart], y[apart]
+        order = np.lexsort((y, x))
+        pairs, names, x, y = pairs[:, order], names[:, order], x[order], y[order]
+        new = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])) if len(x) else np.zeros(0, np.int64)
+        nth = np.arange(len(x)) - np.repeat(new, np.diff(np.append(new, len(x))))
+        now = np.flatnonzero(nth < quota)
+        good = now[within([codes[i] for i in pairs[0, now]], [codes[j] for j in pairs[1, now]])] if len(now) else now
+        for i, j in pairs[:, good].T.tolist():
+            p, q = find((group[i], comp[i])), find((group[j], comp[j]))
+            if p != q:
+                parent[p] = q
+                out.append(np.array([[i], [j]]))
+        rest = np.ones(len(x), bool)
+        rest[now] = False
+        pairs, names = pairs[:, rest], names[:, rest]
+        quota *= 2
+    return np.concatenate(out, axis=1)
 
 
 def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
