@@ -1,13 +1,13 @@
 """License scans by diagonal voting, with DataFrame functions only.
 
-Every template (short phrases, and notices of licenses) is a list of words. Its word k-grams (pairs for phrases, triples
+Every template (short phrases, notices of licenses, and whole short licenses) is a list of words. Its word k-grams (pairs for phrases, triples
 for notices) are hashed with their positions into a small fixed table. All rolling word pairs of all documents are
 joined with it by hash, the words themselves compared (and the third one for notices). A match votes for the diagonal
 document position - template position. A phrase stands where one diagonal has all its pairs. For notices, neighbouring
 diagonals (gaps of up to ``GAP`` words: insertions and deletions) are merged, and the span is verified: enough of the
-template's k-grams, within a span not much longer than the template.
+template's k-grams, each counted once, within a span not much longer than the template.
 
-One scan, no text is shuffled: only matches and one row a document are. The template table has a fixed size and is broadcast.
+One scan, no text is shuffled: only matches and one row a document are. The template table is broadcast; it may have ``MOST_GRAMS`` rows at most.
 
 Defined results. Null and empty texts have 0 words, no labels and score 0. Labels of a document without any are empty strings.
 Repeated rows each get a result. Extra columns are ignored.
@@ -16,12 +16,14 @@ Repeated rows each get a result. Extra columns are ignored.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import table
+from .notices import TEXTS
 
 #: Fixed phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -36,10 +38,12 @@ NOTICES = [
     ("bsd-notice", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
     ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    *TEXTS,
 ]
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GAP = 3
 COVERED = 0.7
+MOST_GRAMS = 100_000
 STRETCH = 1.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -61,7 +65,11 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices: list[t
     """row, doc_id, n_words and the array ``found`` of (label, base, first, last, score): verified places in words."""
     spark = docs.sparkSession
     schema = "t int, base boolean, label string, tpos int, t0 string, t1 string, t2 string, grams int, length int"
-    known = spark.createDataFrame(templates(PHRASES if phrases is None else phrases, NOTICES if notices is None else notices), schema)
+    grams = templates(PHRASES if phrases is None else phrases, NOTICES if notices is None else notices)
+    if len(grams) > MOST_GRAMS:
+        raise ValueError(f"the templates have {len(grams)} grams, more than {MOST_GRAMS}")
+    masks = range(1 + max(r[3] for r in grams) // 64)  # a bit for every place in a template
+    known = spark.createDataFrame(grams, schema)
     gram = lambda a, b: F.when(F.col(a) == "", F.lit(0)).otherwise(F.xxhash64(a, b))
     known = F.broadcast(known.withColumn("h", gram("t0", "t1")))
     words = F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER), F.lit(WORD), F.lit(0))
@@ -71,19 +79,20 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices: list[t
     rows = rows.select("row", "doc_id", "n_words", (F.col("pos") - 1).alias("pos"), "g.w0", "g.w1", "g.w2").withColumn("h", gram("w0", "w1"))
     same = (F.col("t") == -1) | ((F.col("w0") == F.col("t0")) & (F.col("w1") == F.col("t1")) & (F.col("t2").isNull() | (F.col("w2") == F.col("t2"))))
     hits = rows.join(known, "h").where(same)
-    # votes: pairs on one diagonal; positions of one template and diagonal differ, so each is counted once
+    # votes: the places of the template that match on one diagonal
+    place = lambda k: F.when(F.floor(F.col("tpos") / 64) == k, F.expr("shiftleft(1L, tpos % 64)")).otherwise(F.lit(0).cast("long"))
     votes = hits.groupBy("row", "t", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
-        F.count("*").alias("n"), F.min("pos").alias("low"), F.max("pos").alias("high"),
+        *(F.bit_or(place(k)).alias(f"m{k}") for k in masks), F.min("pos").alias("low"), F.max("pos").alias("high"),
         *(F.first(c).alias(c) for c in ("doc_id", "n_words", "base", "label", "grams", "length")),
     )
     by = W.partitionBy("row", "t").orderBy("diagonal")
     jump = F.col("base") | (F.col("t") == -1) | (F.col("diagonal") - F.lag("diagonal").over(by) > GAP)
     votes = votes.withColumn("run", F.sum(F.coalesce(jump, F.lit(True)).cast("int")).over(by))
     spans = votes.groupBy("row", "t", "run").agg(
-        F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("diagonal").alias("diagonal"),
+        reduce(lambda a, b: a + b, [F.bit_count(F.bit_or(f"m{k}")) for k in masks]).alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("diagonal").alias("diagonal"),
         *(F.first(c).alias(c) for c in ("doc_id", "n_words", "base", "label", "grams", "length")),
     )
-    covered = F.least(F.lit(1.0), F.col("n") / F.col("grams"))
+    covered = F.col("n") / F.col("grams")
     stands = F.when(F.col("base"), F.col("n") == F.col("grams")).otherwise((covered >= COVERED) & (F.col("high") + 3 - F.col("low") <= STRETCH * F.col("length")))
     place = F.struct(
         "label", "base", F.when(F.col("base"), F.col("diagonal")).otherwise(F.col("low")).cast("long").alias("first"),
@@ -117,3 +126,30 @@ def brute_force(docs: list[tuple[int, str | None]]) -> list[tuple]:
         places = [i for i, _ in at]
         out.append((d, len(w), len(at), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in at}))))
     return out
+
+
+def brute_force_notices(docs: list[tuple[int, str | None]]) -> list[tuple]:
+    """doc_id and the set of notices found in each document, by comparing every place with every place of every notice, for tests."""
+    out = []
+    for d, t in docs:
+        w, found = words_of(t or ""), set()
+        for label, text in NOTICES:
+            v = words_of(text)
+            places: dict[int, set[int]] = {}
+            spans: dict[int, list[int]] = {}
+            for i in range(len(w) - 2):
+                for j in range(len(v) - 2):
+                    if w[i : i + 3] == v[j : j + 3]:
+                        places.setdefault(i - j, set()).add(j)
+                        spans.setdefault(i - j, []).append(i)
+            run: list[int] = []
+            for g in [*sorted(places), None]:
+                if run and (g is None or g - run[-1] > GAP):
+                    low, high = min(min(spans[x]) for x in run), max(max(spans[x]) for x in run)
+                    share = len(set().union(*(places[x] for x in run))) / (len(v) - 2)
+                    if share >= COVERED and high + 3 - low <= STRETCH * len(v):
+                        found.add(label)
+                    run = []
+                run.append(g)
+        out.append((d, found))
+    return out
