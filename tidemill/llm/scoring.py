@@ -15,13 +15,12 @@ two bytes, and, as all parts do, the counts of orders 0 and 1 (2^16 at most); so
 The base score needs the training count of every word. Words with at least ``HOT`` of all training tokens (1 / HOT at
 most) are sent to the tasks and added up there; only the other words are shuffled, so no hot word meets in one task.
 
-Defined results. A null or empty text is one end token. Words equal in a 64-bit hash are taken for the same. Without
-training texts every byte costs log10(1/256). Repeated rows each get a result. Extra columns are ignored.
+Defined results. A null or empty text is one end token. Words equal in a 64-bit hash are taken for the same, and so are rows equal in one of
+doc_id and text (each gets a result). Without training texts every byte costs log10(1/256). Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +32,7 @@ from .common import Scratch, cut, table
 from .textkit import LOWER, SPACED, Words, blocks, crc_mod, hash_words, mix
 
 ORDER = 5
-#: Nodes of the trie sent to the tasks at once, 16 bytes each (about 100 in a worker); contexts that end in the same two bytes stay together.
+#: Nodes of the trie sent to the tasks at once, about 100 bytes each; contexts that end in the same two bytes stay together.
 MAX_NODES = 1_000_000
 HOT = 2e-6
 START, STOP = 0xFE, 0xFF
@@ -243,29 +242,14 @@ def _ranges(nodes: DataFrame) -> list[tuple[int, int]]:
     return [*out, (low, 1 << 16)]
 
 
-class Part:
-    """The counts of a part of the trie, as they are sent; a worker builds the trie of the last one it met."""
-
-    built: tuple[str, Trie] | None = None
-
-    def __init__(self, keys: np.ndarray, n: np.ndarray, low: tuple[np.ndarray, np.ndarray] | None = None):
-        self.name, self.keys, self.n, self.low = uuid.uuid4().hex, keys, n, low
-
-    def trie(self) -> Trie:
-        if Part.built is None or Part.built[0] != self.name:
-            Part.built = None  # one at a time
-            Part.built = (self.name, Trie(self.keys, self.n, low=self.low))
-        return Part.built[1]
-
-
-def _parts(nodes: DataFrame, ranges: list[tuple[int, int]]) -> Iterator[Part]:
-    """The parts of the trie, one after another."""
+def _tries(nodes: DataFrame, ranges: list[tuple[int, int]]) -> Iterator[Trie]:
+    """The parts of the trie, one after another, built on the driver."""
     if len(ranges) == 1:
-        yield Part(*_numbers(nodes))
+        yield Trie(*_numbers(nodes))
         return
     low = _numbers(nodes.groupBy(F.shiftrightunsigned("key", 8 * (ORDER - 1)).alias("key")).agg(F.sum("n").alias("n")))
     for a, b in ranges:
-        yield Part(*_numbers(nodes.where(_last_two(F.col("key")).between(a, b - 1))), low=low)
+        yield Trie(*_numbers(nodes.where(_last_two(F.col("key")).between(a, b - 1))), low=low)
 
 
 def _score(trie: Trie, data: np.ndarray, offs: np.ndarray, low: int, high: int) -> np.ndarray:
@@ -278,17 +262,18 @@ def _score(trie: Trie, data: np.ndarray, offs: np.ndarray, low: int, high: int)
     return np.bincount(of, trie.code(key), len(offs) - 1).astype(float)
 
 
-def _added(numbered: DataFrame, part: Part, held_range: tuple[int, int], scratch: Scratch) -> DataFrame:
-    """at and part: what a part of the trie adds to each row's score."""
-    shared = numbered.sparkSession.sparkContext.broadcast(part)
+def _added(rows: DataFrame, part: Trie, held_range: tuple[int, int], scratch: Scratch) -> DataFrame:
+    """same and part: what a part of the trie adds to the score of the rows of one name (same, text)."""
+    shared = rows.sparkSession.sparkContext.broadcast(part)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = shared.value.trie()
+        trie = shared.value
         for batch in batches:
             for rows, data, offs in blocks(batch, limit=1 << 20):
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(_score(trie, LOWER[data], offs, *held_range))], ["at", "part"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(_score(trie, LOWER[data], offs, *held_range))], ["same", "part"])
 
-    added = scratch.keep(numbered.select("at", "text").mapInArrow(apply, "at long, part double"))
+    scored = rows.mapInArrow(apply, "same long, part double").groupBy("same").agg(F.max("part").alias("part"))
+    added = scratch.keep(scored)
     shared.unpersist()
     return added
 
@@ -301,7 +286,8 @@ def lm_scores(docs: DataFrame, modulus: int = 5, held: int = 1) -> DataFrame:
 
 def _lm_scores(docs: DataFrame, modulus: int, held: int, scratch: Scratch) -> DataFrame:
     out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus == held
-    numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("at"), "text", out.alias("held_out"))
+    same = F.xxhash64("doc_id", "text").alias("same")  # rows equal in it get equal scores
+    numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("at"), "text", out.alias("held_out"), same)
     counts = scratch.keep(_gather(docs, modulus, held))
     vocabulary = counts.where("kind = 0").select(F.col("key").alias("word"), F.col("n").alias("c"))
     size = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -310,9 +296,7 @@ def _lm_scores(docs: DataFrame, modulus: int, held: int, scratch: Scratch) -> Da
     hot = vocabulary.where(F.col("c") >= total * HOT).toArrow()  # 1 / HOT words at most
     nodes = counts.where("kind = 1")
     ranges = _ranges(nodes)
-    if len(ranges) > 1:
-        numbered = scratch.keep(numbered)  # the numbers may differ between runs
-    parts = _parts(nodes, ranges)
+    parts = _tries(nodes, ranges)
     first = ranges[0]
     shared = docs.sparkSession.sparkContext.broadcast(
         (
@@ -322,8 +306,7 @@ def _lm_scores(docs: DataFrame, modulus: int, held: int, scratch: Scratch) -> Da
     )
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, words = shared.value
-        trie = part.trie()
+        trie, words = shared.value
         for batch in batches:
             for rows, data, offs in blocks(batch, limit=1 << 20):
                 data = LOWER[data]
@@ -339,23 +322,23 @@ def _lm_scores(docs: DataFrame, modulus: int, held: int, scratch: Scratch) -> Da
                 lists = pa.ListArray.from_arrays(np.searchsorted(row[rest], np.arange(n + 1)).astype(np.int32), pa.array(h[rest].view(np.int64)))
                 score = _score(trie, data, offs, *first)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(1), rows.column(3), pa.array((w.counts + 1).astype(np.int64)), pa.array(np.bincount(row[known], minlength=n).astype(np.int64)), pa.array(base), pa.array(score), pa.array(np.diff(offs) + 1), lists],
-                    ["doc_id", "at", "held_out", "n_tokens", "hot_known", "hot_base", "score", "n_bytes", "rest"],
+                    [rows.column(0), rows.column(1), rows.column(4), rows.column(3), pa.array((w.counts + 1).astype(np.int64)), pa.array(np.bincount(row[known], minlength=n).astype(np.int64)), pa.array(base), pa.array(score), pa.array(np.diff(offs) + 1), lists],
+                    ["doc_id", "at", "same", "held_out", "n_tokens", "hot_known", "hot_base", "score", "n_bytes", "rest"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     passed = numbered.mapInArrow(
-        apply, f"doc_id {kind}, at long, held_out boolean, n_tokens long, hot_known long, hot_base double, score double, n_bytes long, rest array<long>"
+        apply, f"doc_id {kind}, at long, same long, held_out boolean, n_tokens long, hot_known long, hot_base double, score double, n_bytes long, rest array<long>"
     )
     passed = scratch.keep(passed)
     shared.unpersist()
     added = None
     for held_range, part in zip(ranges[1:], parts, strict=True):
-        more = _added(numbered, part, held_range, scratch)
+        more = _added(docs.select(same, "text"), part, held_range, scratch)
         added = more if added is None else added.unionByName(more)
     if added is not None:
-        more = added.groupBy("at").agg(F.sum("part").alias("part"))
-        passed = passed.join(more, "at").withColumn("score", F.col("score") + F.col("part")).drop("part")
+        more = added.groupBy("same").agg(F.sum("part").alias("part"))
+        passed = passed.join(more, "same").withColumn("score", F.col("score") + F.col("part")).drop("part")
     rare = passed.select("at", F.explode("rest").alias("word")).join(vocabulary, "word", "left")
     log = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(down))
     sums = rare.groupBy("at").agg(F.sum(log).alias("base"), F.count("c").alias("known"))
