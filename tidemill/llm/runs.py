@@ -37,12 +37,12 @@ BUCKET = 1 << 21
 MANY = 255
 #: Groups of words, whose numbers bound what two lines have in common.
 GROUPS = 128
-#: Cells of the edit distance that are computed at once.
+#: Cells of the edit distance that are computed at once, and words.
 CELLS = 1 << 18
 #: Pairs that are verified at once.
-PAIRS = 1 << 16
+PAIRS = 1 << 14
 #: Words of pairs that are sorted at once.
-WORDS = 1 << 21
+WORDS = 1 << 19
 
 
 def lower(texts: pa.Array) -> pa.Array:
@@ -322,7 +322,7 @@ def within(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
         at = 0
         while at < len(now):
             to = at + 1
-            while to < len(now) and (to - at) * (2 * int(most[now[to]]) + 1) < CELLS and nx[now[to]] <= 2 * nx[now[at]] + 8:
+            while to < len(now) and (to - at) * (2 * int(most[now[to]]) + 1 + int(nx[now[to]])) < CELLS and nx[now[to]] <= 2 * nx[now[at]] + 8:
                 to += 1
             some = now[at:to]
             out[some] = _banded([xs[i] for i in some], [ys[i] for i in some], int(most[some].max()), most[some])
