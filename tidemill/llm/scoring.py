@@ -332,17 +332,17 @@ def _lm_scores(docs: DataFrame, modulus: int, held: int, scratch: Scratch) -> Da
     )
     passed = scratch.keep(passed)
     shared.unpersist()
-    added = None
+    added, whole = None, passed.drop("rest")
     for held_range, part in zip(ranges[1:], parts, strict=True):
         more = _added(docs.select(same, "text"), part, held_range, scratch)
         added = more if added is None else added.unionByName(more)
     if added is not None:
         more = added.groupBy("same").agg(F.sum("part").alias("part"))
-        passed = passed.join(more, "same").withColumn("score", F.col("score") + F.col("part")).drop("part")
+        whole = whole.join(more, "same").withColumn("score", F.col("score") + F.col("part")).drop("part")
     rare = passed.select("at", F.explode("rest").alias("word")).join(vocabulary, "word", "left")
     log = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(down))
     sums = rare.groupBy("at").agg(F.sum(log).alias("base"), F.count("c").alias("known"))
-    result = passed.drop("rest").join(sums, "at", "left").select(
+    result = whole.join(sums, "at", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("hot_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("hot_base") + F.coalesce("base", F.lit(0.0))).alias("base_score"), "score", "n_bytes",
     )
