@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, decontamination, fixity, jaccard, knn, language, licenses, lines, mixing, oracle, scoring
+from . import classifier, decontamination, divergence, fixity, infilling, jaccard, knn, language, licenses, lines, mixing, oracle, scoring, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_benchmark_decontamination": decontamination.query,
         "op9_jaccard_join": jaccard.query,
         "op10_quality_classifier": classifier.query,
+        "op11_fill_in_middle": infilling.query,
+        "op12_sampled_splitters": sharding.query,
+        "op13_source_divergence": divergence.query,
     }
 
 
@@ -31,4 +34,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_merkle_fixity": fixity.ORACLE_SQL,
         "op8_benchmark_decontamination": oracle.DECONTAMINATION,
         "op9_jaccard_join": oracle.JACCARD,
+        "op11_fill_in_middle": infilling.ORACLE_SQL,
+        "op13_source_divergence": divergence.ORACLE_SQL,
     }
