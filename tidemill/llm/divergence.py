@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,13 +31,14 @@ from .oracle import LO, UP
 LEAST = 10
 TOP = 10
 SCALE = 1_000_000_000
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 32 << 20
 _PLAIN = bytes(b + 0x20 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
-_BLOCK = "block string, lang string, source string, term binary, n long, text binary"
+_FOUND = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+_BLOCK = "block long, lang string, source string, term binary, n long, text binary"
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """The first pass's rows: for each block, language and term the documents that hold it (term, n); and for each block and source its normalised texts (text)."""
+    """The first pass's rows: for each block, language and term the documents that hold it (term, n); and for each block and source its normalised texts (text, packed)."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -48,12 +50,13 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal number, size
-            name = f"{task.partitionId()}-{number}"
-            rows = [(lang, None, t, n, None) for lang, found in terms.items() for t, n in found.items()]
-            rows += [(lang, source, None, None, b" " + b" ".join(parts) + b" ") for (lang, source), parts in texts.items()]
-            columns = list(zip(*rows, strict=True))
-            kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], ["block", "lang", "source", "term", "n", "text"])
+            pack = zstandard.ZstdCompressor(level=1).compress
+            block = task.partitionId() << 32 | number
+            found = [(lang, None, list(c), list(c.values()), None) for lang, c in terms.items()]
+            found += [(lang, source, [None], [None], pack(b" " + b" ".join(parts) + b" ")) for (lang, source), parts in texts.items()]
+            for lang, source, words, n, text in found:
+                same = [pa.array([x] * len(words), k) for x, k in ((block, pa.int64()), (lang, pa.string()), (source, pa.string()))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(words, pa.binary()), pa.array(n, pa.int64()), pa.array([text] * len(words), pa.binary())], ["block", "lang", "source", "term", "n", "text"])
             terms.clear()
             texts.clear()
             number, size = number + 1, 0
@@ -74,29 +77,28 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
 
 def _occurrences(key: tuple, texts: pa.Table, kept: pa.Table) -> pa.Table:
-    """The occurrences of a block's kept terms in its texts. Bytes are read as one character each."""
+    """The occurrences of a block's kept terms in its texts: for each language and term, the sources and their counts. Bytes are read as one character each."""
     import ahocorasick
 
-    names = {"lang": [], "source": [], "term": [], "n": []}
-    langs = np.array(kept.column("lang").to_pylist(), object)
-    words = kept.column("term").to_pylist()
-    for lang in sorted(set(langs)):
-        mine = [words[i] for i in np.flatnonzero(langs == lang)]
+    unpack = zstandard.ZstdDecompressor().decompress
+    parts = []
+    langs = kept.column("lang").combine_chunks().dictionary_encode()
+    code = langs.indices.to_numpy(zero_copy_only=False)
+    rows = list(zip(*[texts.column(c).to_pylist() for c in ("lang", "source", "text")], strict=True))
+    for k, lang in enumerate(langs.dictionary.to_pylist()):
+        mine = kept.column("term").take(pa.array(np.flatnonzero(code == k))).combine_chunks()
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for i, w in enumerate(mine):
+        for i, w in enumerate(mine.to_pylist()):
             automaton.add_word(f" {w.decode('latin-1')} ", i)
         automaton.make_automaton()
-        for name, source, text in zip(*[texts.column(c).to_pylist() for c in ("lang", "source", "text")], strict=True):
-            if name != lang:
-                continue
-            found = np.fromiter((i for _, i in automaton.iter(text.decode("latin-1"))), np.int64)
-            counts = np.bincount(found, minlength=len(mine))
-            some = np.flatnonzero(counts)
-            names["lang"] += [lang] * len(some)
-            names["source"] += [source] * len(some)
-            names["term"] += [mine[i] for i in some]
-            names["n"] += counts[some].tolist()
-    return pa.table({"lang": pa.array(names["lang"], pa.string()), "source": pa.array(names["source"], pa.string()), "term": pa.array(names["term"], pa.binary()), "n": pa.array(names["n"], pa.int64())})
+        own = [(source, text) for name, source, text in rows if name == lang]
+        met = [np.unique(np.fromiter((i for _, i in automaton.iter(unpack(text).decode("latin-1"))), np.int64), return_counts=True) for _, text in own]
+        term, counts = (np.concatenate([m[j] for m in met]) for j in (0, 1))
+        order = np.argsort(term, kind="stable")
+        offsets = np.searchsorted(term[order], np.arange(len(mine) + 1)).astype(np.int32)
+        names = pa.array([s for s, _ in own], pa.string()).take(pa.array(np.repeat(np.arange(len(own)), [len(m[0]) for m in met])[order]))
+        parts.append(pa.table({"lang": pa.array([lang] * len(mine), pa.string()), "term": mine, "sources": pa.ListArray.from_arrays(offsets, names), "counts": pa.ListArray.from_arrays(offsets, pa.array(counts[order]))}))
+    return pa.concat_tables(parts) if parts else _FOUND.empty_table()
 
 
 def postings(docs: DataFrame, scratch: Scratch, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -107,7 +109,9 @@ def postings(docs: DataFrame, scratch: Scratch, least: int = LEAST) -> tuple[Dat
     texts = rows.where("term is null")
     groups = scratch.keep(texts.select("lang", "source").distinct())
     mine = terms.join(kept, ["lang", "term"], "left_semi").select(*[F.col(c).alias(c) for c in ("block", "lang", "term")])
-    found = texts.select("block", "lang", "source", "text").groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(_occurrences, "lang string, source string, term binary, n long")
+    found = texts.select("block", "lang", "source", "text").groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(_occurrences, "lang string, term binary, sources array<string>, counts array<long>")
+    # one row a block and term travels; a term's counts by source are summed where it went
+    found = found.repartition("lang", "term").select("lang", "term", F.inline(F.arrays_zip(F.col("sources").alias("source"), F.col("counts").alias("n"))))
     counts = scratch.keep(found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")))
     scratch.drop(rows)
     return groups, kept, counts
@@ -134,11 +138,11 @@ def compare(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
         groups = groups.select("lang", "source", *[F.coalesce(c, zero).alias(c) for c in ("v", "total", "terms")])
         # what a term without a count has here
         groups = scratch.keep(groups.withColumn("p0", F.when(F.col("v") > 0, _p(zero, F.col("total"), F.col("v"))).otherwise(zero)))
-        post = scratch.keep(counts.join(groups, ["lang", "source"]).select("lang", "source", "term", "n", "v", "p0", _p(F.col("n"), F.col("total"), F.col("v")).alias("p")))
+        post = counts.join(groups, ["lang", "source"]).withColumn("all_n", F.sum("n").over(W.partitionBy("lang", "term")))  # one row a source at most
+        post = scratch.keep(post.select("lang", "source", "term", "v", "p0", "all_n", _p(F.col("n"), F.col("total"), F.col("v")).alias("p")))
 
-        whole = post.groupBy("lang", "term").agg(F.sum("n").alias("all_n"))
         everything = groups.groupBy("lang").agg(F.sum("total").alias("all_total"))
-        own = post.join(whole, ["lang", "term"]).join(everything, "lang").withColumn("q", _p(F.col("all_n"), F.col("all_total"), F.col("v"))).where("p > q")
+        own = post.join(everything, "lang").withColumn("q", _p(F.col("all_n"), F.col("all_total"), F.col("v"))).where("p > q")
         own = own.select("lang", "source", F.lit("term").alias("part"), F.col("term").cast("string").alias("item"), _f(F.col("p"), F.col("q")).alias("value"))
         by = W.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
         own = own.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top)
