@@ -70,6 +70,10 @@ _CTE: dict[str, tuple[tuple[str, ...], str]] = {
         f"""select * replace (trips_5m + case when (zone + window_end_ms // 60000) % 1009 = 0 then 1 else 0 end as trips_5m)
             from features where (zone + window_end_ms // 60000) % 1013 <> 0""",
     ),
+    "rewritten": (  # each row, whether it is stored first (even), and whether it is written again and then differs
+        ("features",),
+        "select *, window_end_ms // 60000 % 2 = 0 as even, n % 1013 <> 0 as again, n % 1009 = 0 as changed from (select *, zone + window_end_ms // 60000 as n from features)",
+    ),
     "labels": (
         ("features",),
         """select zone, window_end_ms + case when (zone + window_end_ms // 60000) % 7 = 0 then 12000000 else 90000 end as label_time_ms, (trips_5m % 2)::double as label
@@ -207,6 +211,13 @@ _SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "bucket_agg": (("buckets",), "select * from buckets"),
     "zone_features": (("features",), f"select {_F} from features"),
     "stream_features": (("features",), f"select {_F} from features"),
+    "stream_wire": (("features",), f"select {_F} from features"),
+    "stream_wire_counts": (
+        ("parts",),
+        """select partition, to_offset, events, late_dropped, malformed, 0::bigint as repeated, 0::bigint as gaps_accepted from parts
+           join (select partition, count(*) filter (event_id % 41 = 0 or event_id % 43 = 0) as malformed from trips group by partition) using (partition)""",
+    ),
+    "replica_state": (("parts", "retained"), """select p.*, zone, start_ms, "count", fare_cents, distance_milli from parts p join retained r using (partition)"""),
     "quiet_rows": (("features",), "select zone, window_end_ms from features where trips_60m = 0"),
     "watermark": (("marked",), 'select partition, "offset", greatest(pm, event_time_ms) - 30000 as watermark_ms, closed_before from marked'),
     "late_events": (("marked",), 'select partition, "offset", event_id, event_time_ms, closed_before from marked where late'),
@@ -242,11 +253,14 @@ _SQL: dict[str, tuple[tuple[str, ...], str]] = {
         f"select 'zone_demand_v1' as feature_view, {_F}, partition as source_partition, 0::int as conflicting_rewrites from features, (select min(event_time_ms) as m from trips) where window_end_ms >= m + 10800000 and window_end_ms < m + 14400000",
     ),
     "history_upsert": (
-        ("features", "bad"),
-        "select 'zone_demand_v1' as feature_view, zone, window_end_ms, "
-        + ", ".join(f"coalesce(s.{c}, b.{c}) as {c}" for c in _SUM_COLUMNS.split(", "))
-        + """, coalesce(s.partition, b.partition) as source_partition, window_end_ms as source_offset, (case when s.zone is not null and b.zone is not null and s.trips_5m is distinct from b.trips_5m then 1 else 0 end)::int as conflicting_rewrites
-           from (select * from features where window_end_ms // 60000 % 2 = 0) s full join bad b using (zone, window_end_ms)""",
+        ("rewritten",),
+        f"""select 'zone_demand_v1' as feature_view, zone, window_end_ms, trips_5m + case when not even and changed then 1 else 0 end as trips_5m, {_SUM_COLUMNS.split(', ', 1)[1]},
+            partition as source_partition, window_end_ms as source_offset, (even and again and changed)::int as conflicting_rewrites from rewritten where even or again""",
+    ),
+    "day_table": (
+        ("rewritten",),
+        f"""select 'zone_demand_v1' as feature_view, zone, window_end_ms, trips_5m + case when not even and changed then 1 else 0 end as trips_5m, {_SUM_COLUMNS.split(', ', 1)[1]},
+            partition as source_partition, window_end_ms as source_offset, (even and again and changed)::int as conflicting_rewrites from rewritten where even or again""",
     ),
     "conflicting_rewrites": (("bad", "features"), "select count(*) as rewrites from bad b join features f using (zone, window_end_ms) where window_end_ms // 60000 % 2 = 0 and b.trips_5m <> f.trips_5m"),
     "insert_ignore": (("features",), "select zone, window_end_ms, trips_5m + case when window_end_ms // 60000 % 2 = 0 then 0 else 100 end as trips_5m from features"),
@@ -264,9 +278,9 @@ _SQL: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "backfill": (("features",), f"select 'zone_demand_v1__backfill' as feature_view, {_F} from features"),
     "oracle_diff": (
-        ("features", "bad"),
-        """select zone, window_end_ms, case when b.zone is null then 'missing' when f.zone is null then 'extra' else 'different' end as kind
-           from (select * from features where (zone + window_end_ms // 60000) % 1019 <> 0) f full join bad b using (zone, window_end_ms) where f.trips_5m is distinct from b.trips_5m or b.zone is null or f.zone is null""",
+        ("rewritten",),
+        """select zone, window_end_ms, case when not again then 'missing' when n % 1019 = 0 then 'extra' else 'different' end as kind
+           from rewritten where case when n % 1019 = 0 then again else not again or changed end""",
     ),
     "skew_check": (
         ("features", "bad"),
@@ -406,9 +420,8 @@ _SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "converged": (("features",), """select true as converged, 2::bigint as nodes, 'equal' as "case" union all select not exists (select 1 from features where zone % 7 = 3), 3, 'one differs'"""),
     "delete_view": (("features",), f"select 'zone_demand_v1' as feature_view, {_F} from features"),
     "merged_history": (
-        ("features", "bad"),
-        f"""select 'zone_demand_v1' as feature_view, {', '.join('f.' + c for c in _F.split(', '))}, f.partition as source_partition, f.window_end_ms as source_offset, (case when b.trips_5m <> f.trips_5m then 1 else 0 end)::int as conflicting_rewrites
-            from features f left join bad b on b.zone = f.zone and b.window_end_ms = f.window_end_ms""",
+        ("rewritten",),
+        f"select 'zone_demand_v1' as feature_view, {_F}, partition as source_partition, window_end_ms as source_offset, (again and changed)::int as conflicting_rewrites from rewritten",
     ),
     "touched_zones": (("features",), "select distinct zone from features where window_end_ms >= (select max(window_end_ms) from features) - 3600000"),
     "training_examples": (("made", "derived"), "select m.zone, label_time_ms, label, window_end_ms, trips_5m, trips_60m, demand_spike_ratio from made m join derived d on d.zone = m.zone and d.window_end_ms = m.label_time_ms"),
@@ -417,9 +430,12 @@ _SQL: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
-def _replayed(sql: str) -> str:
-    """The statement over each partition's first half of offsets."""
-    half = '(select t.* from trips t join (select partition, max("offset") // 2 as to_offset from trips group by partition) u on t.partition = u.partition and t."offset" <= u.to_offset)'
+_HALF = '(select t.* from trips t join (select partition, max("offset") // 2 as to_offset from trips group by partition) u on t.partition = u.partition and t."offset" <= u.to_offset)'
+_BAD_RECORD = "(event_id % 41 = 0 or event_id % 43 = 0)"
+
+
+def _over(sql: str, half: str) -> str:
+    """The statement over some of the log's events."""
     head, tail = sql.split("marked as materialized (", 1)
     return head + "marked as materialized (" + tail.replace("from trips)", f"from {half})", 1)
 
@@ -444,5 +460,7 @@ def oracle_sql() -> dict[str, str]:
     found = {k: _with(names, body) for k, (names, body) in _SQL.items()}
     found["idempotent_apply"] = found["idempotent_apply"].replace("\nselect partition, arrival", ',\nb as (select partition, arrival // 1000 as arrival, max("offset") as to_offset from dup group by all)\nselect partition, arrival', 1)
     found["state_diff"] = _state_diff()
-    found["oracle_replay"] = _replayed(found["zone_features"])
+    found["oracle_replay"] = _over(found["zone_features"], _HALF)
+    for name in ("stream_wire", "stream_wire_counts"):
+        found[name] = _over(found[name], f"(select * from trips where not {_BAD_RECORD})")
     return found

@@ -210,9 +210,53 @@ def stream_features(spark, d):
     return replay_as_stream(spark, fixtures.trips(spark, d).drop("event_id"), files=3).select("zone", "window_end_ms", *SUMS)
 
 
+def _wire(spark, d):
+    """The log as records, some of them cut short or of another version."""
+    t = fixtures.trips(spark, d)
+    bad = F.when(F.col("event_id") % 41 == 0, F.expr("substring(value, 1, 36)")).when(F.col("event_id") % 43 == 0, F.expr("concat(X'02', substring(value, 2))")).otherwise(F.col("value"))
+    return t.withColumn("value", codec.encode("event_time_ms", "zone", "fare_cents", "distance_milli", "publish_ms")).select("partition", "offset", bad.alias("value"))
+
+
+@query
+def stream_wire(spark, d):
+    from .streaming.engine import replay_as_stream
+
+    return replay_as_stream(spark, _wire(spark, d)).select("zone", "window_end_ms", *SUMS)
+
+
+@query
+def stream_wire_counts(spark, d):
+    from .streaming.engine import HEADER, replay_as_stream
+
+    headers: list = []
+    replay_as_stream(spark, _wire(spark, d), headers=headers)
+    return spark.createDataFrame(headers, f"partition int, {HEADER}").select("partition", "to_offset", "events", "late_dropped", "malformed", "repeated", "gaps_accepted")
+
+
+@query
+def replica_state(spark, d):
+    from .streaming.engine import replay_as_stream
+    from .streaming.replica import Replica
+
+    replica = Replica(spark, shared_path(spark, "replica"))
+    replay_as_stream(spark, fixtures.trips(spark, d).drop("event_id"), replica=replica, repeat=50)
+    replica.compact(0)
+    return replica.headers().join(replica.buckets(), "partition")
+
+
 # history and verification
 
 
+@query
+def day_table(spark, d):
+    from .sources.daytable import DayTable
+
+    t = DayTable(spark, shared_path(spark, "history"))
+    t.upsert(fixtures.history(spark, d).where(fixtures.minute() % 2 == 0))
+    t.upsert(fixtures.history_bad(spark, d, VIEW))
+    return t.rows(VIEW)
+
+
 @query
 def history_rows(spark, d):
     h = fixtures.history(spark, d)

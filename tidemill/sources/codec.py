@@ -29,12 +29,18 @@ def _encode(t: pd.Series, zone: pd.Series, fare: pd.Series, distance: pd.Series,
     return pd.Series([raw[i : i + WIRE.itemsize] for i in range(0, len(raw), WIRE.itemsize)])
 
 
-@F.pandas_udf(_DECODED)
-def _decode(value: pd.Series) -> pd.DataFrame:
+def parse(value: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Which records are well formed, and the fields of all (of others: zeros)."""
     ok = value.map(lambda b: b is not None and len(b) == WIRE.itemsize and b[0] == VERSION).to_numpy(bool)
     rows = np.zeros(len(value), WIRE)
     if ok.any():
-        rows[ok] = np.frombuffer(b"".join(value[ok]), WIRE)
+        rows[ok] = np.frombuffer(b"".join(value.to_numpy()[ok]), WIRE)
+    return ok, rows
+
+
+@F.pandas_udf(_DECODED)
+def _decode(value: pd.Series) -> pd.DataFrame:
+    ok, rows = parse(value)
     return pd.DataFrame({"ok": ok} | {name: rows[name] for name in _FIELDS})
 
 

@@ -60,13 +60,18 @@ def starting_offsets(topic: str, headers: DataFrame) -> str:
 
 
 def read_kafka(spark: SparkSession, servers: str, topic: str, max_per_trigger: int = 20_000, start: str = "earliest") -> DataFrame:
-    """The log as a stream of wire records (needs Spark's Kafka connector on the class path). It begins at ``start`` (from ``starting_offsets``, or the log's
-    beginning) if the query has no checkpoint yet; after that offsets live there."""
-    from .codec import decode
-
+    """The log as a stream of wire records (needs Spark's Kafka connector on the class path), which the engine decodes where it keeps count of them. It begins at ``start`` (from
+    ``starting_offsets``, or the log's beginning) if the query has no checkpoint yet; after that offsets live there."""
     rows = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
     rows = rows.option("startingOffsets", start).option("maxOffsetsPerTrigger", max_per_trigger).load()
-    return rows.withColumn("trip", decode("value")).where("trip is not null").select("trip.*", "partition", "offset")
+    return rows.select("partition", "offset", "value")
+
+
+def wire(trips: DataFrame) -> DataFrame:
+    """A log's events as wire records."""
+    from .codec import encode
+
+    return trips.select("partition", "offset", encode("event_time_ms", "zone", "fare_cents", "distance_milli", "publish_ms").alias("value"))
 
 
 def write_kafka(trips: DataFrame, servers: str, topic: str, checkpoint: str):

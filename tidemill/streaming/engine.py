@@ -14,6 +14,7 @@ import json
 import math
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import astuple, dataclass, fields
 
 import numpy as np
 import pandas as pd
@@ -24,16 +25,38 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from .. import schemas
 from ..config import BUCKET_MS, DETAIL_HORIZON, LATENESS_MS, REACH, SUMS, TRIP_HORIZONS, WARM_UP_MS
 from ..operators.verify import shadow_check
+from ..sources.codec import parse
 from ..sources.storage import delete, shared_path
+from .replica import Replica, change_sink
 from .store import FeatureStore
 
 OUTPUT = f"partition int, {schemas.FEATURES}, batch_offset long, trigger_publish_ms long"
-HEADER = "to_offset long, max_event_time_ms long, closed_until_ms long, late_dropped long, events long, repeated long, gaps_accepted long, gap_since_ms long"
+#: Rows of all kinds in one output: features as above; the buckets that a micro-batch changed, as they are then; and one row (state) of each partition's numbers then.
+CHANGES = f"kind string, {OUTPUT}, start_ms long, count long, fare_cents long, distance_milli long, max_event_time_ms long, closed_until_ms long, late_dropped long, events long"
 _EVENT = "event_time_ms long, zone int, fare_cents long, distance_milli long, publish_ms long"
 _EVENT_NAMES = ["event_time_ms", "zone", "fare_cents", "distance_milli", "publish_ms"]
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+@dataclass
+class Header:
+    """The numbers of a log partition. ``expected`` is the next offset (-1: none yet); ``to_offset`` the last one that held an event."""
+
+    to_offset: int = 0
+    max_event_time_ms: int = 0
+    closed_until_ms: int = 0
+    late_dropped: int = 0
+    events: int = 0
+    repeated: int = 0
+    gaps_accepted: int = 0
+    gap_since_ms: int = 0
+    expected: int = -1
+    malformed: int = 0
+
+
+HEADER = ", ".join(f"{f.name} long" for f in fields(Header))
+
+
 def _floor(t: np.ndarray | int) -> np.ndarray | int:
     return t - t % BUCKET_MS
 
@@ -58,73 +81,105 @@ def slide(zone: np.ndarray, start: np.ndarray, sums: np.ndarray, after: int, unt
 class WindowProcessor(StatefulProcessor):
     """One log partition's windows.
 
-    Offsets at or below the last one are counted as repeated and left out. An offset above the next one is a gap: it and what follows are held
-    back until the offsets before it come, or the gap has lasted ``gap_ms``; then they are accepted and the gap is counted. That is decided when the
-    partition's next events come. With ``gap_ms`` 0 a gap is accepted at once, as a bounded log with holes needs it."""
+    Offsets below the expected one are counted as repeated and left out. An offset above it is a gap: it and what follows are held
+    back until the offsets before it come, or the gap has lasted ``gap_ms``; then they are accepted and the gap is counted. With ``timers`` that happens when the time has
+    passed, whether more events come or not; without, when the partition's next events come. With ``gap_ms`` 0 a gap is accepted at once, as a bounded log with holes needs it.
 
-    def __init__(self, gap_ms: int = 0):
-        self.gap_ms = gap_ms
+    wire: rows hold records (``value``) instead of events. A malformed record is counted and takes its offset, so that it makes no gap, but is no event.
+    changelog: the output has CHANGES instead of OUTPUT, for a replica of the state."""
+
+    def __init__(self, gap_ms: int = 0, wire: bool = False, changelog: bool = False, timers: bool = False):
+        self.gap_ms, self.wire, self.changelog, self.timers = gap_ms, wire, changelog, timers
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.header = handle.getValueState("header", HEADER)
         self.buckets = handle.getMapState("buckets", "zone int, start_ms long", "count long, fare_cents long, distance_milli long")
-        self.held = handle.getMapState("held", "offset long", _EVENT)
+        self.held = handle.getMapState("held", "offset long", f"{_EVENT}, ok boolean")
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         """Start from a snapshot: its header and buckets (``engine.initial_state``)."""
         for row in initialState.itertuples():
             if row.zone is None or pd.isna(row.zone):
-                self.header.update((int(row.to_offset), int(row.max_event_time_ms), int(row.closed_until_ms), int(row.late_dropped), int(row.events), 0, 0, 0))
+                numbers = {c: int(getattr(row, c)) for c in ("to_offset", "max_event_time_ms", "closed_until_ms", "late_dropped", "events")}
+                self.header.update(astuple(Header(**numbers, expected=numbers["to_offset"] + 1)))
             else:
                 self.buckets.updateValue((int(row.zone), int(row.start_ms)), (int(row.count), int(row.fare_cents), int(row.distance_milli)))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        yield from self._take(key, pd.concat(list(rows)))
+        yield from self._take(key, self._decoded(pd.concat(list(rows))), self._now(timerValues))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """A gap may have lasted: what waits behind it is looked at without new events."""
+        yield from self._take(key, _records([]), self._now(timerValues))
+
+    def _now(self, timerValues) -> int:
+        return timerValues.getCurrentProcessingTimeInMs() if self.timers else int(time.time() * 1000)
+
+    def _decoded(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """offset, the event's fields, and whether there is an event."""
+        if not self.wire:
+            return rows[["offset", *_EVENT_NAMES]].assign(ok=True)
+        ok, events = parse(rows["value"])
+        return pd.DataFrame({"offset": rows["offset"].to_numpy()} | {c: events[c] for c in _EVENT_NAMES} | {"ok": ok})
 
-    def _accepted(self, events: pd.DataFrame, head: list) -> pd.DataFrame:
-        """The events to process now, in order. ``head`` is changed in place; what is held back goes to the state."""
-        if self.gap_ms and head[4]:
+    def _accepted(self, records: pd.DataFrame, head: Header, now: int) -> pd.DataFrame:
+        """The records to process now, in order. ``head`` is changed; what is held back goes to the state."""
+        if self.gap_ms and head.gap_since_ms:
             held = [(int(k[0]), *v) for k, v in self.held.iterator()]
-            events = pd.concat([events, pd.DataFrame(held, columns=["offset", *_EVENT_NAMES])]) if held else events
-        arrived = len(events)
-        events = events.sort_values("offset").drop_duplicates("offset")
-        if head[4]:
-            events = events[events["offset"] > head[0]]
-        head[5] += arrived - len(events)
-        if not head[4] or events.empty:
-            return events
-        offset = events["offset"].to_numpy(np.int64)
-        steps = np.diff(np.concatenate([[head[0]], offset]))
-        if not self.gap_ms:
-            head[6] += int((steps > 1).sum())
-            return events
-        now = int(time.time() * 1000)
-        over = head[7] and now - head[7] >= self.gap_ms
+            records = pd.concat([records, _records(held)]) if len(records) else _records(held)
+        arrived = len(records)
+        records = records.sort_values("offset").drop_duplicates("offset")
+        if head.expected >= 0:
+            records = records[records["offset"] >= head.expected]
+        head.repeated += arrived - len(records)
+        if records.empty:
+            return records
+        offset = records["offset"].to_numpy(np.int64)
+        before = head.expected - 1 if head.expected >= 0 else offset[0] - 1
+        steps = np.diff(np.concatenate([[before], offset]))
         gaps = np.flatnonzero(steps > 1)
+        if not self.gap_ms:
+            head.gaps_accepted += len(gaps)
+            return records
+        over = head.gap_since_ms and now - head.gap_since_ms >= self.gap_ms
         if over and len(gaps):  # the first gap has lasted; a later one begins to wait now
-            head[6] += 1
+            head.gaps_accepted += 1
             gaps = gaps[1:]
-        ready = int(gaps[0]) if len(gaps) else len(events)
-        waits = events.iloc[ready:]
-        head[7] = 0 if waits.empty else now if over or not head[7] or ready else head[7]
-        for row in events.iloc[:ready].itertuples():
+        ready = int(gaps[0]) if len(gaps) else len(records)
+        waits = records.iloc[ready:]
+        since = 0 if waits.empty else now if over or not head.gap_since_ms or ready else head.gap_since_ms
+        if self.timers and since and since != head.gap_since_ms:
+            self.handle.registerTimer(since + self.gap_ms)
+        head.gap_since_ms = since
+        for row in records.iloc[:ready].itertuples():
             if self.held.containsKey((int(row.offset),)):
                 self.held.removeKey((int(row.offset),))
         for row in waits.itertuples():
-            self.held.updateValue((int(row.offset),), tuple(int(getattr(row, c)) for c in _EVENT_NAMES))
-        return events.iloc[:ready]
-
-    def _take(self, key, events: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        head = [int(x) for x in self.header.get()] if self.header.exists() else [0] * 8
-        fresh_log = head[4] == 0
-        events = self._accepted(events, head)
-        if events.empty:
-            if not fresh_log:
-                self.header.update(tuple(head))
-            return
+            self.held.updateValue((int(row.offset),), (*(int(getattr(row, c)) for c in _EVENT_NAMES), bool(row.ok)))
+        return records.iloc[:ready]
+
+    def _take(self, key, records: pd.DataFrame, now: int) -> Iterator[pd.DataFrame]:
+        head = Header(*(int(x) for x in self.header.get())) if self.header.exists() else Header()
+        before = astuple(head)
+        taken = self._accepted(records, head, now)
+        if len(taken):
+            head.expected = int(taken["offset"].iloc[-1]) + 1
+            head.malformed += int((~taken["ok"]).sum())
+        events = taken[taken["ok"].to_numpy(bool)]
+        out = self._windows(events, head) if len(events) else []
+        if astuple(head) != before:
+            self.header.update(astuple(head))
+        for kind, rows in out:
+            if len(rows):
+                yield self._tagged(kind, rows, int(key[0]), head)
+
+    def _windows(self, events: pd.DataFrame, head: Header) -> list[tuple[str, pd.DataFrame]]:
+        """Takes events in; what is to be told of it."""
+        first = head.events == 0
         t = events["event_time_ms"].to_numpy(np.int64)
-        closed = int(_floor(t[0])) if fresh_log else head[2]
-        reached = np.maximum.accumulate(t) if fresh_log else np.maximum(np.maximum.accumulate(t), head[1])
+        closed = int(_floor(t[0])) if first else head.closed_until_ms
+        reached = np.maximum.accumulate(t) if first else np.maximum(np.maximum.accumulate(t), head.max_event_time_ms)
         after = np.maximum(closed, _floor(reached - LATENESS_MS))  # what each event closes
         before = np.concatenate([[closed], after[:-1]])
         late = t < before
@@ -133,46 +188,68 @@ class WindowProcessor(StatefulProcessor):
         kept = {tuple(k): np.array(v, np.int64) for k, v in self.buckets.iterator()}
         fresh = events[~late].assign(start_ms=_floor(t[~late])).groupby(["zone", "start_ms"]).agg(n=("offset", "size"), fare=("fare_cents", "sum"), miles=("distance_milli", "sum"))
         limit = until - REACH * BUCKET_MS
+        dirty = []
         for (zone, start), *sums in fresh.itertuples():
             now = kept.get((int(zone), int(start)), np.zeros(3, np.int64)) + np.array(sums, np.int64)
             kept[int(zone), int(start)] = now
             if start >= limit:
                 self.buckets.updateValue((int(zone), int(start)), tuple(int(x) for x in now))
+                dirty.append((int(zone), int(start), *now.tolist()))
         for zone, start in kept:
             if start < limit and self.buckets.containsKey((zone, start)):
                 self.buckets.removeKey((zone, start))
-        last = int(events["offset"].iloc[-1])
-        self.header.update((last, int(reached[-1]), until, head[3] + int(late.sum()), head[4] + len(t), *head[5:]))
+        head.to_offset, head.max_event_time_ms, head.closed_until_ms = int(events["offset"].iloc[-1]), int(reached[-1]), until
+        head.late_dropped, head.events = head.late_dropped + int(late.sum()), head.events + len(t)
+        out = []
         if kept and until > closed:
             trigger = int(events["publish_ms"].iloc[int(np.flatnonzero(after > before)[-1])])  # of the last event that closed a window
             zone, start = np.array(list(kept), np.int64).T
-            out = slide(zone, start, np.array(list(kept.values())), closed, until)
-            if len(out):
-                yield out.assign(partition=np.int32(key[0]), batch_offset=last, trigger_publish_ms=trigger)[["partition", "zone", "window_end_ms", *SUMS, "batch_offset", "trigger_publish_ms"]]
+            out = [("feature", slide(zone, start, np.array(list(kept.values())), closed, until).assign(trigger_publish_ms=trigger))]
+        if self.changelog:
+            out.append(("bucket", pd.DataFrame(dirty, columns=["zone", "start_ms", "count", "fare_cents", "distance_milli"])))
+            out.append(("state", pd.DataFrame({c: [getattr(head, c)] for c in ("max_event_time_ms", "closed_until_ms", "late_dropped", "events")})))
+        return out
+
+    def _tagged(self, kind: str, rows: pd.DataFrame, partition: int, head: Header) -> pd.DataFrame:
+        rows = rows.assign(kind=kind, partition=np.int32(partition), batch_offset=head.to_offset)
+        return rows.reindex(columns=_CHANGE_NAMES if self.changelog else _OUTPUT_NAMES, fill_value=0)
 
     def close(self) -> None:
         pass
 
 
+_OUTPUT_NAMES = [c.split()[0] for c in OUTPUT.split(", ")]
+_CHANGE_NAMES = [c.split()[0] for c in CHANGES.split(", ")]
+
+
+def _records(rows: list[tuple]) -> pd.DataFrame:
+    """Decoded records: offset, the event's fields, and whether there is an event."""
+    return pd.DataFrame(rows, columns=["offset", *_EVENT_NAMES, "ok"]).astype(dict.fromkeys(["offset", *_EVENT_NAMES], np.int64) | {"ok": bool})
+
+
 def initial_state(stats: DataFrame, buckets: DataFrame) -> DataFrame:
     """A snapshot (``partition_stats`` and ``retained_buckets``) as a stream's first state: a header row a partition, and its buckets."""
     return stats.unionByName(buckets, allowMissingColumns=True)
 
 
-def features_stream(trips: DataFrame, gap_ms: int = 0, snapshot: DataFrame | None = None) -> DataFrame:
-    """The feature rows of a streaming log (append mode). A micro-batch of a partition is handled at once: bound it by the source's limit of
-    records a trigger. snapshot: from ``initial_state``, to go on where another log's processing ended."""
+def features_stream(log: DataFrame, gap_ms: int = 0, snapshot: DataFrame | None = None, changelog: bool = False, timers: bool = False) -> DataFrame:
+    """The feature rows (or with ``changelog`` all changes) of a streaming log in append mode. The log has events (schemas.TRIPS) or, if it has a column ``value``, wire records.
+    A micro-batch of a partition is handled at once: bound it by the source's limit of records a trigger. snapshot: from ``initial_state``, to go on where another log's
+    processing ended. timers: gaps end by the clock; such a stream also runs micro-batches without data, so it suits a trigger that goes on, not one that ends."""
     first = None if snapshot is None else snapshot.groupBy("partition")
-    return trips.groupBy("partition").transformWithStateInPandas(WindowProcessor(gap_ms), OUTPUT, "append", "None", first)
+    processor = WindowProcessor(gap_ms, "value" in log.columns, changelog, timers)
+    return log.groupBy("partition").transformWithStateInPandas(processor, CHANGES if changelog else OUTPUT, "append", "ProcessingTime" if timers else "None", first)
 
 
-def start(trips: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], available_now: bool = True, gap_ms: int = 0, snapshot: DataFrame | None = None):
-    """Run a stream into a sink. The sink gets each micro-batch and its number, and must be idempotent by that number or by key."""
-    spark = trips.sparkSession
+def start(log: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], available_now: bool = True, gap_ms: int = 0, snapshot: DataFrame | None = None, changelog: bool = False, every: str = "1 second"):
+    """Run a stream into a sink. The sink gets each micro-batch and its number, and must be idempotent by that number or by key. A stream that goes on
+    (not ``available_now``) begins a micro-batch ``every`` so often and lets gaps end by the clock."""
+    spark = log.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
-    writer = features_stream(trips, gap_ms, snapshot).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(sink)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    rows = features_stream(log, gap_ms, snapshot, changelog, timers=bool(gap_ms) and not available_now)
+    writer = rows.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(sink)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
 
 
 def table_sink(path: str) -> Callable[[DataFrame, int], None]:
@@ -184,24 +261,38 @@ def table_sink(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def write_log(trips: DataFrame, path: str, files: int) -> None:
-    """The log as Parquet files in the order of offsets; each file ends where a share of all partitions' offsets ends."""
-    share = F.least(F.lit(files - 1), F.floor(F.col("offset") * files / (F.lit(trips.agg(F.max("offset")).first()[0]) + 1)))
+def write_log(log: DataFrame, path: str, files: int) -> None:
+    """The log (events or wire records) as Parquet files in the order of offsets; each file ends where a share of all partitions' offsets ends."""
+    share = F.least(F.lit(files - 1), F.floor(F.col("offset") * files / (F.lit(log.agg(F.max("offset")).first()[0]) + 1)))
+    columns = ["partition", "offset", *(["value"] if "value" in log.columns else _EVENT_NAMES)]
     for k in range(files):
-        trips.where(share == k).select("event_time_ms", "zone", "fare_cents", "distance_milli", "publish_ms", "partition", "offset").coalesce(1).write.mode("append").parquet(path)
+        log.where(share == k).select(*columns).coalesce(1).write.mode("append").parquet(path)
+
+
+def read_log_files(spark: SparkSession, path: str, files_each: int = 1) -> DataFrame:
+    """The files of ``write_log`` as a stream."""
+    kind = schemas.WIRE if "value" in spark.read.parquet(path).columns else schemas.TRIPS
+    return spark.readStream.schema(kind).option("maxFilesPerTrigger", files_each).parquet(path)
 
 
-def replay_as_stream(spark: SparkSession, trips: DataFrame, files: int = 3) -> DataFrame:
-    """All feature rows of a bounded log, made by the stream and kept by the upserting sink."""
-    log, root, state = (shared_path(spark, n) for n in ("log", "store", "state"))
-    write_log(trips, log, files)
+def replay_as_stream(spark: SparkSession, log: DataFrame, files: int = 3, replica: Replica | None = None, repeat: int = 0, headers: list | None = None) -> DataFrame:
+    """All feature rows of a bounded log (of events or wire records), made by the stream and kept by the upserting sink. replica: gets the changelog of the same stream. repeat: then the stream is stopped
+    and started again on so many last offsets of each partition, which are delivered a second time. headers: gets the partitions' headers at the end."""
+    path, root, state = (shared_path(spark, n) for n in ("log", "store", "state"))
+    write_log(log, path, files)
     store = FeatureStore(spark, root)
-    stream = spark.readStream.schema(schemas.TRIPS).option("maxFilesPerTrigger", 1).parquet(log)
+    sink = store.sink if replica is None else change_sink(store, replica)
     try:
-        start(stream, state, store.sink).awaitTermination()
+        start(read_log_files(spark, path), state, sink, changelog=replica is not None).awaitTermination()
+        if repeat:
+            ends = log.groupBy("partition").agg((F.max("offset") - repeat).alias("end"))
+            write_log(log.join(ends, "partition").where("offset > end"), path, 1)
+            start(read_log_files(spark, path), state, sink, changelog=replica is not None).awaitTermination()
+        if headers is not None:
+            headers += state_headers(spark, state).collect()  # one row a log partition
     finally:
-        for path in (log, state):
-            delete(spark, path)
+        for done in (path, state):
+            delete(spark, done)
     return store.history()
 
 

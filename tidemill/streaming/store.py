@@ -2,7 +2,8 @@
 
 Each micro-batch is a folder of its own, so writing costs what the batch holds however long the history is, and a repeated
 delivery overwrites itself. Readers merge: of a key's rows the earliest batch's stays, and rows of later batches that differ are counted as
-conflicting rewrites. ``compact`` merges folders once in a while.
+conflicting rewrites. ``compact`` moves batches into a table laid out by day (``sources.daytable``) once in a while; which batches that table holds is
+published with its days, so at no moment does a row count twice or not at all.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from .. import schemas
 from ..config import SUMS, VIEW
 from ..operators.history import KEY
 from ..operators.windows import latest
+from ..sources.daytable import DayTable
 from ..sources.storage import delete
 
 _ROWS = f"{schemas.FEATURES}, source_partition int, source_offset long, conflicting_rewrites int"
@@ -29,6 +31,7 @@ class FeatureStore:
     def __init__(self, spark: SparkSession, root: str, view: str = VIEW, invalidate: Callable[[list[int]], None] | None = None):
         self.spark, self.root, self.view, self.invalidate = spark, root.rstrip("/"), view, invalidate
         self.freshness: list[dict] = []
+        self.days = DayTable(spark, f"{self.root}/days")
 
     def sink(self, batch: DataFrame, number: int) -> None:
         """One micro-batch: first its history rows, then the latest rows, then the caches are told. A failure before the end repeats all, to the same result."""
@@ -48,12 +51,20 @@ class FeatureStore:
         finally:
             rows.unpersist()
 
-    def _stored(self) -> DataFrame:
-        return self.spark.read.schema(f"{_ROWS}, feature_view string, batch long").parquet(f"{self.root}/history")
-
-    def history(self) -> DataFrame:
-        """The merged history of all views."""
-        return merged(self._stored())
+    def _batches(self) -> DataFrame:
+        """The rows of batches that the table of days doesn't hold."""
+        held = self.days.manifest.read().get("through", {})
+        rows = self.spark.read.schema(f"{_ROWS}, feature_view string, batch long").parquet(f"{self.root}/history")
+        for view, through in held.items():
+            rows = rows.where((F.col("feature_view") != view) | (F.col("batch") > through))
+        return rows
+
+    def history(self, view: str | None = None, start_ms: int | None = None, stop_ms: int | None = None) -> DataFrame:
+        """The merged history of all views, or of one, with window ends in [start, stop); of compacted batches only the range's days are read."""
+        rows = self._batches()
+        for wanted, condition in ((view, F.col("feature_view") == view), (start_ms, F.col("window_end_ms") >= start_ms), (stop_ms, F.col("window_end_ms") < stop_ms)):
+            rows = rows if wanted is None else rows.where(condition)
+        return merged(_compacted(self.days.rows(view, start_ms, stop_ms)).unionByName(rows))
 
     def latest(self) -> DataFrame:
         """Each entity's latest row; of equal window ends the earliest batch's."""
@@ -61,21 +72,25 @@ class FeatureStore:
         return latest(rows.withColumn("order", -F.col("batch")), "order").drop("batch", "order")
 
     def compact(self, through: int) -> None:
-        """Merges the batches of the view up to ``through`` into that number's folder. The stream must not be writing one of them."""
-        old = self._stored().where((F.col("feature_view") == self.view) & (F.col("batch") <= through))
+        """Moves the view's batches up to ``through`` into the table of days; days that they don't touch are neither read nor written. The stream must not be writing one of them.
+        A failure at any point leaves rows and conflicts as they were; what it left behind goes with the next call."""
+        held = self.days.manifest.read().get("through", {})
         folder = f"{self.root}/history/feature_view={self.view}"
-        numbers = [r[0] for r in old.select("batch").distinct().collect()]
-        merged(old).drop("feature_view").write.parquet(f"{self.root}/compacting")
-        done = self.spark.read.parquet(f"{self.root}/compacting")
-        done.write.mode("overwrite").parquet(f"{folder}/batch={through}")
-        for n in numbers:
-            if n != through:
-                delete(self.spark, f"{folder}/batch={n}")
-        delete(self.spark, f"{self.root}/compacting")
+        old = self.spark.read.schema(f"{_ROWS}, batch long").parquet(folder).where(F.col("batch") <= held.get(self.view, -1)).select("batch").distinct()
+        for r in old.collect():  # folders that the call before has moved, and that no reader looks for since
+            delete(self.spark, f"{folder}/batch={r['batch']}")
+        rows = self._batches().where((F.col("feature_view") == self.view) & (F.col("batch") <= through))
+        self.days.upsert(rows, lambda old, new: merged(_compacted(old).unionByName(new)), through={**held, self.view: max(through, held.get(self.view, -1))})
 
     def delete_view(self, view: str) -> None:
         """A view's rows go."""
         delete(self.spark, f"{self.root}/history/feature_view={view}")
+        self.days.delete_view(view)
+
+
+def _compacted(rows: DataFrame) -> DataFrame:
+    """Rows of the table of days, which come before those of all batches that it doesn't hold."""
+    return rows.withColumn("batch", F.lit(-1).cast("long"))
 
 
 def touched(rows: DataFrame) -> DataFrame:
