@@ -29,6 +29,17 @@ def earlier(rows: DataFrame, by: list[str], order: str, width: int, f: Callable[
     return rows.withColumn(name, both).drop("_o_slot", "_o_inside", "_o_before")
 
 
+def previous(rows: DataFrame, by: list[str], order: str, width: int, values: list[str], name: str) -> DataFrame:
+    """Adds ``name``: ``values`` of the row before this one in the order of its group, as a struct (null: there is none)."""
+    rows = rows.withColumn("_o_slot", _slot(order, width))
+    row = F.struct(*values)
+    heads = rows.groupBy(*by, "_o_slot").agg(F.max_by(row, order).alias("_o_last"))
+    heads = heads.select(*by, "_o_slot", F.lag("_o_last").over(W.partitionBy(*by).orderBy("_o_slot")).alias("_o_before"))
+    rows = rows.withColumn("_o_inside", F.lag(row).over(W.partitionBy(*by, "_o_slot").orderBy(order)))
+    same = [rows[c].eqNullSafe(heads[c]) for c in (*by, "_o_slot")]
+    return rows.join(heads, same).select(*[rows[c] for c in rows.columns if c not in ("_o_slot", "_o_inside")], F.coalesce("_o_inside", "_o_before").alias(name))
+
+
 def numbered(rows: DataFrame, by: list[str], order: str, width: int, name: str, *ties: str) -> DataFrame:
     """Adds ``name``: each row's number (from 0) in the order of its group."""
     rows = rows.withColumn("_o_slot", _slot(order, width))

@@ -141,6 +141,12 @@ _CTE: dict[str, tuple[tuple[str, ...], str]] = {
         """select event_type, hour, hour * 3600 as t_s, sum(n) over (partition by event_type, hour // 240 order by hour)::bigint as total
            from (select event_type, ms // 3600000 as hour, count(*) as n from e group by all)""",
     ),
+    "scrapes": (
+        ("e",),
+        """select event_type, le, nth * 15000 as t_ms, sum(n) over (partition by event_type, le, nth // 37 order by nth)::bigint as total from (
+             select event_type, le, (floor((ms - m0) / 60.0::double / 15000.0::double))::bigint as nth, count(*) filter (le is null or value <= le) as n
+             from e, (select min(ms) as m0 from e), (select unnest([4.0::double, 16, 64, 256, null]) as le) group by all)""",
+    ),
     "dup": (
         ("trips",),
         """select *, "offset" * 10 as arrival from trips union all select *, "offset" * 10 + 51 from trips where "offset" % 10 = 0""",
@@ -176,6 +182,16 @@ def _tree(table: str, text: str, after: bool = False) -> str:
     return f", {out}, {name} as (select h as sha256, n::bigint as row_count from {name}_4)"
 
 
+def _rates(window: int, step: int) -> str:
+    """Rates over a window at steps, by joining each step with all samples of its window."""
+    return f"""steps as (select unnest(range(0, (select max(t_ms) from scrapes) + {window + step}, {step}))::bigint as at_ms),
+      inside as (select event_type, le, at_ms, t_ms, total, lag(total) over (partition by event_type, le, at_ms order by t_ms) as b from steps join scrapes on t_ms > at_ms - {window} and t_ms <= at_ms),
+      ends as (select event_type, le, at_ms, count(*) as n, min(t_ms) as t0, max(t_ms) as t1, arg_min(total, t_ms)::double as v0, arg_max(total, t_ms)::double as v1, coalesce(sum(b) filter (total < b), 0)::double as resets from inside group by all having count(*) > 1),
+      grown as (select *, v1 - v0 + resets as g, (t1 - t0) / 1000.0::double as span, (t1 - t0) / 1000.0::double / (n - 1) as each_s, (t0 - (at_ms - {window})) / 1000.0::double as s0, (at_ms - t1) / 1000.0::double as s1 from ends),
+      near as (select *, case when s0 >= each_s * 1.1::double then each_s / 2 else s0 end as d0, case when s1 >= each_s * 1.1::double then each_s / 2 else s1 end as d1 from grown),
+      windowed as (select event_type, le, at_ms, g * ((span + case when g > 0 then least(d0, span * (v0 / g)) else d0 end + d1) / span / {window / 1000}::double) as rate from near)"""
+
+
 _HEADER_TEXT = "concat_ws('|', partition, to_offset, max_event_time_ms, closed_until_ms, late_dropped, events)"
 _BUCKET_TEXT = "concat_ws('|', partition, zone, start_ms, \"count\", fare_cents, distance_milli)"
 
@@ -384,6 +400,24 @@ _SQL: dict[str, tuple[tuple[str, ...], str]] = {
         + ", ".join(f"v[floor({q}::double * (n - 1))::int + 1] as {c}" for c, q in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99), ("p999", 0.999)))
         + ", max_ms, mean_ms from (select event_type, count(*) as n, list_sort(list(value)) as v, max(value) as max_ms, round(avg(value), 9) as mean_ms from e group by event_type)",
     ),
+    "latency_histogram": (
+        ("e",),
+        """, l as (select event_type, event_id % 50 = 0 as failed, trunc(value * 1000 + 0.5)::bigint as us from e),
+           b as (select unnest(case when failed then ['all'] else ['all', event_type] end) as "of", us, (1::bigint << (greatest(length(bin(us)), 11) - 11)::bigint)::bigint as width from l),
+           v as (select "of", us // width * width + width - 1 as top, us // width * width + width // 2 as middle from b),
+           s as (select "of", count(*) as n, list_sort(list(top)) as t, sum(middle)::double as m from v group by 1)
+           select "of", n as requests, """
+        + ", ".join(f"t[greatest(1, floor({q}::double * n + 0.5)::bigint)] / 1000.0::double as {c}" for c, q in (("p50_ms", 0.5), ("p90_ms", 0.9), ("p99_ms", 0.99), ("p999_ms", 0.999)))
+        + ", t[n] / 1000.0::double as max_ms, round(m / n / 1000, 9) as mean_ms from s",
+    ),
+    "range_rates": (("scrapes",), ", " + _rates(60_000, 30_000) + " select event_type, le, at_ms, round(rate, 9) as rate from windowed"),
+    "rate_quantiles": (
+        ("scrapes",),
+        ", " + _rates(300_000, 60_000) + """, q as (select event_type, at_ms, le, rate as n, coalesce(lag(le) over w, 0.0::double) as under, coalesce(lag(rate) over w, 0.0::double) as below, max(rate) over (partition by event_type, at_ms) as total
+             from windowed window w as (partition by event_type, at_ms order by le nulls last))
+           select event_type, at_ms, round(arg_min(case when le is null then under else under + (le - under) * (total * 0.9::double - below) / (n - below) end, coalesce(le, 'inf'::double)), 6) as value
+           from q where n >= total * 0.9::double and total > 0 group by all""",
+    ),
     "make_labels": (("made",), "select * from made"),
     "label_table": (("made",), "select * from made"),
     "time_split": (("made",), "select cut_ms, count(*) filter (label_time_ms <= cut_ms) as train, count(*) filter (label_time_ms > cut_ms) as test from made, (select quantile_cont(label_time_ms::double, 0.7) as cut_ms from made) group by cut_ms"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .config import BACKFILL_VIEW, BUCKET_MS, REACH, SUMS, VIEW
 from .functions import columns
 from .functions.columns import epoch_ms, floor_to
-from .operators import cleaning, history, kv, measure, model, replay, report, serving, verify, windows
+from .operators import cleaning, history, kv, measure, model, replay, report, series, serving, verify, windows
 from .plans import offline
 from .sources import codec, files, fixtures, synthetic
 from .sources.storage import shared_path
@@ -455,6 +455,28 @@ def latency_summary(spark, d):
     return measure.latency_summary(fixtures.latency(spark, d), ["event_type"], "ms").withColumn("mean_ms", F.round("mean_ms", 9))
 
 
+@query
+def latency_histogram(spark, d):
+    """All requests together, failed ones included, and the good ones by type."""
+    rows = fixtures.latency(spark, d).select("event_type", "code", columns.scaled("ms", 1000).alias("us"))
+    by = series.latency_histogram(rows.where("code = 'ok'").withColumn("of", F.col("event_type")), ["of"], "us")
+    failed = series.latency_histogram(rows.where("code <> 'ok'").withColumn("of", F.lit("all")), ["of"], "us")
+    every = series.merge_histograms(by.withColumn("of", F.lit("all")), failed, ["of"])
+    r = series.histogram_summary(by.unionByName(every), ["of"], {"p50_ms": 0.5, "p90_ms": 0.9, "p99_ms": 0.99, "p999_ms": 0.999})
+    return r.withColumn("mean_ms", F.round("mean_ms", 9))
+
+
+@query
+def range_rates(spark, d):
+    return series.range_rate(fixtures.scrapes(spark, d), ["event_type", "le"], "t_ms", "total", 60_000, 30_000).withColumn("rate", F.round("rate", 9))
+
+
+@query
+def rate_quantiles(spark, d):
+    r = series.rate_quantile(fixtures.scrapes(spark, d), ["event_type", "le"], ["event_type"], "t_ms", "total", 0.9, 300_000, 60_000)
+    return r.withColumn("value", F.round("value", 6))
+
+
 # model
 
 

@@ -200,3 +200,14 @@ def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = F.array(*[F.lit(float(1 << k)) for k in range(9)], F.lit(None).cast("double"))
     rows = events(spark, sf_dir).select("event_type", "value", F.explode(edges).alias("le"))
     return rows.groupBy("event_type", "le").agg(F.count_if(F.col("le").isNull() | (F.col("value") <= F.col("le"))).alias("n"))
+
+
+def scrapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cumulative buckets of ``value`` by type and scrape, every 15 s of compressed time in which an event came; all counters are reset every 37 scrapes."""
+    rows = events(spark, sf_dir).withColumn("ms", epoch_ms("ts"))
+    first = rows.select(F.min("ms")).scalar()
+    edges = F.array(*[F.lit(float(4 << k)) for k in range(0, 7, 2)], F.lit(None).cast("double"))
+    rows = rows.select("event_type", "value", F.floor((F.col("ms") - first) / 60 / 15_000).alias("nth"), F.explode(edges).alias("le"))
+    rows = rows.groupBy("event_type", "le", "nth").agg(F.count_if(F.col("le").isNull() | (F.col("value") <= F.col("le"))).alias("n"))
+    along = W.partitionBy("event_type", "le", F.floor(F.col("nth") / 37)).orderBy("nth")
+    return rows.select("event_type", "le", (F.col("nth") * 15_000).alias("t_ms"), F.sum("n").over(along).alias("total"))
