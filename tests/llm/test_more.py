@@ -282,3 +282,34 @@ def test_many_equal_windows(spark):
 
 def test_mix_of_nothing(spark):
     assert mixing.pareto_mix(odd(spark).limit(0)).count() == 0
+
+
+# the classifier's sample, ids of any type
+
+
+def test_a_text_that_does_not_fit_is_left_out_alone(spark):
+    """300 labelled texts, one of them larger than all that may be taken, wherever it stands: all others stay."""
+    order = [r[0] for r in spark.range(300).orderBy(F.xxhash64(F.col("id").cast("string"))).collect()]
+    labels = spark.range(300).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    for huge in (order[0], order[1], order[-1]):
+        docs = spark.range(300).select(F.col("id").alias("doc_id"), F.when(F.col("id") == huge, F.repeat(F.lit("x "), 100_000)).otherwise("a short text").alias("text"))
+        got = classifier.labelled_sample(docs, labels, held=-1, most=100_000)
+        assert len(got) == 299 and {y for _, y in got} == {0, 1}
+        assert isinstance(classifier.train(docs.where(F.col("doc_id") < 20), labels), classifier.Network)
+
+
+def test_a_rare_label_is_in_the_sample(spark):
+    labels = spark.range(500).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 77, 1).otherwise(0).alias("quality"))
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 77, F.repeat(F.lit("y"), 5000)).otherwise("z").alias("text"))
+    assert sorted(y for _, y in classifier.labelled_sample(docs, labels, held=-1, limit=40, most=1000))[-1] == 1
+
+
+def test_items_with_text_ids(spark):
+    words = " ".join(f"w{i}" for i in range(12))
+    docs = [(1, f"before {words} after"), (2, "w0 w1"), (3, "only this"), (4, None)]
+    items = [("b-2", words), ("a/1", "Only THIS"), (None, "w0"), ("c", None)]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    for size in (500_000, 3):
+        found = decontamination.contaminated_spans(*frames, block_words=size)
+        assert sorted(map(tuple, decontamination.digest(found).collect())) == sorted(decontamination.brute_force(docs, items))
+        assert {i for r in found.collect() for i in r["item_ids"]} == {"b-2", "a/1"}

@@ -4,8 +4,8 @@ The whole text is covered by chunks of ``CHUNK`` bytes that overlap by ``CHUNK -
 learned filters run over each chunk and are max-pooled over its positions; a learned layer turns a chunk's
 maxima into units, which are max-pooled over all chunks of the document and combined into one probability.
 
-Training runs on the driver over a bounded sample of labelled rows: of the ``TRAIN_DOCS`` with the smallest hashes, as many whole
-texts, in that order, as ``TRAIN_BYTES`` bytes hold (at least one). All chunks of a text are learned from. Scoring reads
+Training runs on the driver over a bounded sample of labelled rows: of the ``TRAIN_DOCS`` with the smallest hashes, in that order, the whole
+texts that still fit ``TRAIN_BYTES`` bytes, and some of each label at any rate. All chunks of a text are learned from. Scoring reads
 every byte of every document, where the rows already are, without a shuffle. Seeds are fixed; reruns agree.
 
 Defined results. A null or empty text is one chunk of padding. Labels that are null or neither 0 nor 1 are left
@@ -28,6 +28,8 @@ from .textkit import blocks
 CHUNK, HOP = 512, 384
 WIDTH, STRIDE, EMBED, FILTERS, UNITS = 8, 4, 8, 24, 12
 TRAIN_DOCS, TRAIN_BYTES = 4000, 32 << 20
+#: Of each label so many documents are looked at however rare it is.
+FEW = 32
 THRESHOLD = 0.3
 _STEP = 64  # chunks convolved at once
 
@@ -143,25 +145,32 @@ class Network:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, limit: int = TRAIN_DOCS, most: int = TRAIN_BYTES) -> list[tuple[np.ndarray, int]]:
-    """(chunks, label) of labelled documents outside the held-out ones: at most ``limit``, and ``most`` bytes."""
+    """(chunks, label) of labelled documents outside the held-out ones, in the order of a hash: at most ``limit``, and of those all that fit ``most`` bytes together; a text
+    that doesn't fit is left out alone. If both labels have documents, both are in the sample: the first ``FEW`` of each label are always looked at, and the smallest text of a label that
+    would be missing is taken beyond ``most``."""
     allowed = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus != held
-    chosen = labels.where("quality in (0, 1) and doc_id is not null").where(allowed).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    marked = labels.where("quality in (0, 1) and doc_id is not null").where(allowed).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     order = F.xxhash64(F.col("doc_id").cast("string"))
-    chosen = chosen.orderBy(order, "doc_id").limit(limit)  # so many ids at most are broadcast
+    first = lambda rows, n: rows.orderBy(order, "doc_id").limit(n)
+    chosen = first(marked, limit)
+    for quality in (0, 1):
+        chosen = chosen.unionByName(first(marked.where(F.col("quality") == quality), FEW))
+    chosen = chosen.distinct()  # so many ids at most are broadcast
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     with Scratch(docs.sparkSession) as scratch:
         rows = scratch.keep(rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text")))
-        sizes = rows.select("doc_id", F.octet_length("text").alias("size"), order.alias("h")).orderBy("h", "doc_id").collect()  # ``limit`` at most
-        total, last = 0, None
+        sizes = rows.select("doc_id", "quality", F.octet_length("text").alias("size"), order.alias("h")).orderBy("h", "doc_id").collect()  # ``limit`` and twice ``FEW`` at most
+        total, taken = 0, []
         for r in sizes:
-            total += r["size"]
-            if last is not None and total > most:
-                break
-            last = r
-        if last is None:
+            if total + r["size"] <= most:
+                total += r["size"]
+                taken.append(r)
+        for quality in {r["quality"] for r in sizes} - {r["quality"] for r in taken}:
+            taken.append(min((r for r in sizes if r["quality"] == quality), key=lambda r: (r["size"], r["h"])))
+        if not taken:
             return []
-        before = (F.col("h") < last["h"]) | ((F.col("h") == last["h"]) & (F.col("doc_id") <= F.lit(last["doc_id"])))
-        got = rows.withColumn("h", order).where(before).select("doc_id", "quality", F.col("text").cast("binary").alias("text")).toArrow().sort_by("doc_id")
+        names = docs.sparkSession.createDataFrame([(r["doc_id"],) for r in taken], docs.select("doc_id").schema)
+        got = rows.join(F.broadcast(names), "doc_id").select("doc_id", "quality", F.col("text").cast("binary").alias("text")).toArrow().sort_by("doc_id")
     out = []
     for text, y in zip(got.column("text").to_pylist(), got.column("quality").to_pylist(), strict=True):
         start, size, _ = _chunks(np.frombuffer(text, np.uint8), np.array([0, len(text)]))

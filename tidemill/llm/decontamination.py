@@ -68,7 +68,7 @@ class Windows:
     """A block of items: their words, and for each window its item, start, length and prefix word."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], window: int):
-        self.ids = np.array([i for i, _ in items], np.int64)
+        self.ids = np.array([i for i, _ in items], object)
         self.words = np.concatenate([h for _, h in items])
         start, length, item, base = [], [], [], 0
         for k, (_, h) in enumerate(items):
@@ -112,7 +112,7 @@ class Windows:
         return place, self.length[win], self.item[win]
 
 
-_SPANS = "n_words long, spans array<struct<first: long, last: long>>, item_ids array<long>"
+_SPANS = "n_words long, spans array<struct<first: long, last: long>>, item_ids array<string>"
 
 
 def _pass(docs: DataFrame, keys: list[str], windows: Windows | None) -> DataFrame:
@@ -146,7 +146,7 @@ def _pass(docs: DataFrame, keys: list[str], windows: Windows | None) -> DataFram
                     for r, i in zip((found // len(windows.ids)).tolist(), windows.ids[found % len(windows.ids)].tolist(), strict=True):
                         items[r].append(i)
                 cols = [rows.column(rows.schema.get_field_index(k)) for k in keys]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(w.counts.astype(np.int64)), pa.array(spans, pa.list_(span)), pa.array(items, pa.list_(pa.int64()))], [*keys, "n_words", "spans", "item_ids"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(w.counts.astype(np.int64)), pa.array(spans, pa.list_(span)), pa.array(items, pa.list_(pa.string()))], [*keys, "n_words", "spans", "item_ids"])
 
     return docs.select(*keys, "text").mapInArrow(join, schema)
 
@@ -154,9 +154,9 @@ def _pass(docs: DataFrame, keys: list[str], windows: Windows | None) -> DataFram
 def item_blocks(items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list[Windows]:
     """The items in blocks of bounded size."""
     passes: list[Windows] = []
-    pending: list[tuple[int, np.ndarray]] = []
+    pending: list[tuple[str, np.ndarray]] = []
     size = 0
-    for row in items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").toLocalIterator():
+    for row in items.where("item_id is not null and text is not null").select(F.col("item_id").cast("string"), "text").toLocalIterator():
         data = LOWER[np.frombuffer(row[1].encode(), np.uint8)]
         w = Words(data, np.array([0, len(data)]), ALNUM)
         h = hash_words(data, w)
@@ -192,14 +192,16 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, b
 
 
 def contaminated_spans(docs: DataFrame, items: DataFrame, keys: list[str] | None = None, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """For each document row: ``keys``, n_words, the merged spans [first, last) of words inside benchmark windows, and item_ids."""
+    """For each document row: ``keys``, n_words, the merged spans [first, last) of words inside benchmark windows, and item_ids, in the type that items have."""
     keys = keys or ["doc_id"]
     docs = docs.select(*keys, "text")
+    kind = items.schema["item_id"].dataType.simpleString()
+    typed = lambda found: found.withColumn("item_ids", F.col("item_ids").cast(f"array<{kind}>"))
     passes = item_blocks(items, window, block_words)
     if len(passes) < 2:
         for block in passes:
             block.order(_frequencies(docs, np.unique(block.words)))
-        return _pass(docs, keys, passes[0] if passes else None)
+        return typed(_pass(docs, keys, passes[0] if passes else None))
     # several blocks: each row's spans and items are put together again, by a number that is written down as it may differ between runs
     with Scratch(docs.sparkSession) as scratch:
         docs = scratch.keep(docs.withColumn("_row", F.monotonically_increasing_id()))
@@ -214,7 +216,7 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, keys: list[str] | None
             "aggregate(s, cast(array() as array<struct<first: bigint, last: bigint>>), (acc, x) -> if(size(acc) > 0 and element_at(acc, -1).last >= x.first,"
             " concat(slice(acc, 1, size(acc) - 1), array(named_struct('first', element_at(acc, -1).first, 'last', greatest(element_at(acc, -1).last, x.last)))), concat(acc, array(x))))"
         )
-        result = cut(joined.select(*keys, "n_words", merged.alias("spans"), "item_ids"))
+        result = cut(typed(joined.select(*keys, "n_words", merged.alias("spans"), "item_ids")))
     return result
 
 
