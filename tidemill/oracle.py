@@ -338,6 +338,10 @@ _SQL: dict[str, tuple[tuple[str, ...], str]] = {
         """select partition, arrival, to_offset, coalesce(to_offset > max(to_offset) over (partition by partition order by arrival rows between unbounded preceding and 1 preceding), true) as applied from (
              select partition, arrival, to_offset from b union all select partition, arrival + 1000000, to_offset from b where arrival % 3 = 0)""",
     ),
+    "linearizability": (
+        (),
+        """select key, count(*) as ops, key <> 'k3' as linearizable from (select case when event_id % 3 = 0 then 'hot' else 'k' || (event_id % 16) end as key from events) group by key""",
+    ),
     "nearest_rank": (
         ("e",),
         """select event_type, n, p50, p99 from (select event_type, count(*) as n, list_sort(list(value)) as v, v[floor(0.5::double * (count(*) - 1))::int + 1] as p50, v[floor(0.99::double * (count(*) - 1))::int + 1] as p99 from e group by event_type)""",
