@@ -1,14 +1,10 @@
-"""The definition of the feature view: fixed values that results depend on."""
+"""Fixed values that results depend on; those of the first feature view follow from its declaration."""
 
-VIEW = "zone_demand_v1"
-BACKFILL_VIEW = "zone_demand_v1__backfill"
-BUCKET_MS = 60_000
-LATENESS_MS = 30_000
-#: Horizons of the trip counts and of the 15-minute sums, in buckets.
-TRIP_HORIZONS = (5, 30, 60)
-DETAIL_HORIZON = 15
-#: Buckets that any horizon reaches back; the age after it makes the one zero row when an entity goes quiet.
-REACH = 60
+from .views import ZONE_DEMAND
+
+VIEW = ZONE_DEMAND.name
+BACKFILL_VIEW = f"{VIEW}__backfill"
+BUCKET_MS, LATENESS_MS, REACH, SUMS = ZONE_DEMAND.bucket_ms, ZONE_DEMAND.lateness_ms, ZONE_DEMAND.reach, ZONE_DEMAND.sums
 ENTITY_MIN, ENTITY_MAX = 1, 263
 FARE_MAX, DISTANCE_MAX = 500.0, 100.0
 MIN_TRIPS_FOR_LABEL = 8
@@ -29,5 +25,4 @@ LATENCY_BITS, LATENCY_MOST_US = 11, 60_000_000
 #: Events of one log partition that a single task orders at once.
 CHUNK_EVENTS = 1 << 20
 
-SUMS = ("trips_5m", "trips_30m", "trips_60m", "count_15m", "fare_cents_15m", "distance_milli_15m")
 VECTOR = ("trips_5m", "trips_30m", "trips_60m", "fare_mean_15m", "distance_mean_15m", "demand_spike_ratio", "hour_sin", "hour_cos")

@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import BUCKET_MS
 
-
-def floor_to(t: Column | str, width: int = BUCKET_MS) -> Column:
+def floor_to(t: Column | str, width: int = 60_000) -> Column:
     """The start of the bucket that holds t, also for negative t."""
     t = F.col(t) if isinstance(t, str) else t
     return t - F.pmod(t, F.lit(width).cast("long"))
@@ -25,17 +23,14 @@ def ratio(above: Column, below: Column) -> Column:
     return F.when(below == 0, F.lit(0.0)).otherwise(above / F.when(below != 0, below))
 
 
-def fare_mean() -> Column:
-    return F.when(F.col("count_15m") == 0, 0.0).otherwise(F.col("fare_cents_15m") / F.lit(100.0) / F.when(F.col("count_15m") != 0, F.col("count_15m")))
-
-
-def distance_mean() -> Column:
-    return F.when(F.col("count_15m") == 0, 0.0).otherwise(F.col("distance_milli_15m") / F.lit(1000.0) / F.when(F.col("count_15m") != 0, F.col("count_15m")))
+def mean_of(total: str, count: str, scale: float) -> Column:
+    """A total in units of ``scale`` for each one counted, 0 without any."""
+    return F.when(F.col(count) == 0, 0.0).otherwise(F.col(total) / F.lit(scale) / F.when(F.col(count) != 0, F.col(count)))
 
 
-def demand_spike() -> Column:
-    """Trips of 5 minutes against a twelfth of those of 60."""
-    return ratio(F.col("trips_5m").cast("double"), F.col("trips_60m") / F.lit(12.0))
+def share_of(part: str, whole: str, parts: float) -> Column:
+    """A total against a 1/``parts`` of another: trips of 5 minutes against a twelfth of those of 60."""
+    return ratio(F.col(part).cast("double"), F.col(whole) / F.lit(parts))
 
 
 def hour_angle(ms: Column | str) -> Column:

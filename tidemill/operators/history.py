@@ -8,31 +8,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..config import SUMS
+from ..views import ZONE_DEMAND, FeatureView
 
+DAY_MS = 86_400_000
 KEY = ("feature_view", "zone", "window_end_ms")
 
 
-def differs(left: str, right: str) -> Column:
-    """Any of the six sums IS DISTINCT FROM the other side's."""
-    return reduce(lambda a, b: a | b, [~F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in SUMS])
+def differs(left: str, right: str, definition: FeatureView = ZONE_DEMAND) -> Column:
+    """Any of the view's sums IS DISTINCT FROM the other side's."""
+    return reduce(lambda a, b: a | b, [~F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in definition.sums])
 
 
-def equals(left: str, right: str) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(f"{left}.{c}") == F.col(f"{right}.{c}") for c in SUMS])
+def equals(left: str, right: str, definition: FeatureView = ZONE_DEMAND) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(f"{left}.{c}") == F.col(f"{right}.{c}") for c in definition.sums])
 
 
-def upsert(stored: DataFrame, batch: DataFrame) -> DataFrame:
+def upsert(stored: DataFrame, batch: DataFrame, definition: FeatureView = ZONE_DEMAND) -> DataFrame:
     """The table after a batch: new keys are inserted; where a key exists, the first write wins and a differing row only counts as a
     conflicting rewrite. Keys are unique in the stored table; of a batch's rows with one key the smallest is taken first, and the others are compared with it."""
-    first = batch.groupBy(*KEY).agg(F.min(F.struct(*SUMS, "source_partition", "source_offset")).alias("b"), F.collect_list(F.struct(*SUMS)).alias("all"))
-    old = stored.select(*KEY, F.struct(*SUMS, "source_partition", "source_offset", "conflicting_rewrites").alias("s"))
+    sums = definition.sums
+    first = batch.groupBy(*KEY).agg(F.min(F.struct(*sums, "source_partition", "source_offset")).alias("b"), F.collect_list(F.struct(*sums)).alias("all"))
+    old = stored.select(*KEY, F.struct(*sums, "source_partition", "source_offset", "conflicting_rewrites").alias("s"))
     both = old.join(first, list(KEY), "full_outer")
-    value = F.when(F.col("s").isNotNull(), F.struct(*[F.col(f"s.{c}") for c in SUMS])).otherwise(F.struct(*[F.col(f"b.{c}") for c in SUMS]))
+    value = F.when(F.col("s").isNotNull(), F.struct(*[F.col(f"s.{c}") for c in sums])).otherwise(F.struct(*[F.col(f"b.{c}") for c in sums]))
     both = both.withColumn("v", value)
     conflicts = F.size(F.filter(F.coalesce("all", F.array()), lambda x: ~x.eqNullSafe(F.col("v"))))
     return both.select(
-        *KEY, *[F.col(f"v.{c}").alias(c) for c in SUMS],
+        *KEY, *[F.col(f"v.{c}").alias(c) for c in sums],
         *[F.coalesce(f"s.{c}", f"b.{c}").alias(c) for c in ("source_partition", "source_offset")],
         (F.coalesce("s.conflicting_rewrites", F.lit(0)) + conflicts).cast("int").alias("conflicting_rewrites"),
     )
@@ -53,15 +55,22 @@ def conflicting_rewrites(history: DataFrame) -> DataFrame:
     return history.agg(F.coalesce(F.sum("conflicting_rewrites"), F.lit(0)).cast("long").alias("rewrites"))
 
 
-def point_in_time(labels: DataFrame, history: DataFrame, view: str) -> DataFrame:
-    """Each label with its entity's latest row at or before label_time (none: nulls). One shuffle on the entity and one sort:
-    both sides are put in one stream, in which the last row seen is carried forward."""
-    row = F.struct("window_end_ms", *SUMS)
+def point_in_time(labels: DataFrame, history: DataFrame, view: str, definition: FeatureView = ZONE_DEMAND, slot_ms: int = DAY_MS) -> DataFrame:
+    """Each label with its entity's latest row at or before label_time (none: nulls). Both sides are put in one stream, in which the last row seen is carried forward, in two
+    levels: inside slots of time, and above them one row a slot. No task orders all of an entity's time, and rows are shuffled once."""
+    values = ("window_end_ms", *definition.sums)
+    row = F.struct(*values)
     facts = history.where(F.col("feature_view") == view).select("zone", F.col("window_end_ms").alias("at"), F.lit(0).alias("side"), row.alias("row"), F.lit(None).cast("double").alias("label"))
     asked = labels.select("zone", F.col("label_time_ms").alias("at"), F.lit(1).alias("side"), F.lit(None).cast(facts.schema["row"].dataType).alias("row"), "label")
-    seen = F.last("row", ignorenulls=True).over(W.partitionBy("zone").orderBy("at", "side").rowsBetween(W.unboundedPreceding, 0))
-    rows = facts.unionByName(asked).withColumn("seen", seen).where("side = 1")
-    return rows.select("zone", F.col("at").alias("label_time_ms"), "label", *[F.col(f"seen.{c}").alias(c) for c in ("window_end_ms", *SUMS)])
+    slot = F.floor(F.col("at") / slot_ms).alias("slot")
+    heads = facts.groupBy("zone", slot).agg(F.max_by("row", "at").alias("head")).unionByName(asked.select("zone", slot).distinct(), allowMissingColumns=True)
+    heads = heads.groupBy("zone", "slot").agg(F.max("head").alias("head"))
+    along = W.partitionBy("zone").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
+    heads = heads.select(F.col("zone").alias("of"), F.col("slot").alias("in"), F.last("head", ignorenulls=True).over(along).alias("before"))
+    inside = F.last("row", ignorenulls=True).over(W.partitionBy("zone", "slot").orderBy("at", "side").rowsBetween(W.unboundedPreceding, 0))
+    rows = facts.unionByName(asked).withColumn("slot", slot).withColumn("inside", inside).where("side = 1")
+    rows = rows.join(heads, F.col("zone").eqNullSafe(F.col("of")) & F.col("slot").eqNullSafe(F.col("in")), "left").withColumn("seen", F.coalesce("inside", "before"))
+    return rows.select("zone", F.col("at").alias("label_time_ms"), "label", *[F.col(f"seen.{c}").alias(c) for c in values])
 
 
 def pit_leaks(joined: DataFrame) -> DataFrame:
@@ -69,20 +78,20 @@ def pit_leaks(joined: DataFrame) -> DataFrame:
     return joined.agg(F.count("*").alias("examples"), F.count_if(F.col("window_end_ms") > F.col("label_time_ms")).alias("leaks"))
 
 
-def parity(history: DataFrame, left_view: str, right_view: str, cut: Column) -> DataFrame:
+def parity(history: DataFrame, left_view: str, right_view: str, cut: Column, definition: FeatureView = ZONE_DEMAND) -> DataFrame:
     """Matched, mismatched and one-sided rows of two views up to a window end."""
-    side = lambda v, name: history.where((F.col("feature_view") == v) & (F.col("window_end_ms") <= cut)).select("zone", "window_end_ms", F.struct(*SUMS).alias(name))
+    side = lambda v, name: history.where((F.col("feature_view") == v) & (F.col("window_end_ms") <= cut)).select("zone", "window_end_ms", F.struct(*definition.sums).alias(name))
     rows = side(left_view, "a").join(side(right_view, "b"), ["zone", "window_end_ms"], "full_outer")
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
     return rows.agg(
-        F.count_if(both & equals("a", "b")).alias("matched"), F.count_if(both & ~equals("a", "b")).alias("mismatched"),
+        F.count_if(both & equals("a", "b", definition)).alias("matched"), F.count_if(both & ~equals("a", "b", definition)).alias("mismatched"),
         F.count_if(F.col("b").isNull()).alias("missing_right"), F.count_if(F.col("a").isNull()).alias("missing_left"),
     )
 
 
-def unnest_rows(batches: DataFrame) -> DataFrame:
+def unnest_rows(batches: DataFrame, definition: FeatureView = ZONE_DEMAND) -> DataFrame:
     """Rows from parallel arrays."""
-    columns = ("zone", "window_end_ms", *SUMS)
+    columns = ("zone", "window_end_ms", *definition.sums)
     return batches.select("source_partition", F.inline(F.arrays_zip(*[F.col(c) for c in columns])))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import BREAKER_S, BUCKET_MS, CACHE_TTL_S, DEFAULT_DEADLINE_S, ENTITY_MAX, ENTITY_MIN, MAX_DEADLINE_S, MAX_ENTITIES, REACH, VIEW
+from ..views import ZONE_DEMAND, FeatureView
 from .kv import idempotent_apply, merge_buckets
 from .windows import derive
 from .windows import latest as latest_row
@@ -38,12 +39,12 @@ class Unavailable(ServingError):
     """A read that failed."""
 
 
-def serve(requests: DataFrame, latest: DataFrame) -> DataFrame:
+def serve(requests: DataFrame, latest: DataFrame, view: FeatureView = ZONE_DEMAND) -> DataFrame:
     """Each request's entities in request order, repeats included, with their derived features; found is false on a miss.
 
     requests: request_id, ids (array of entity ids)."""
     asked = requests.select("request_id", F.posexplode("ids").alias("pos", "zone"))
-    rows = derive(latest).withColumn("found", F.lit(True))
+    rows = derive(latest, view).withColumn("found", F.lit(True))
     return asked.join(rows, "zone", "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 

@@ -3,8 +3,8 @@
 The log of each partition is ordered by offset. An event is late if its time lies before the windows that earlier events of
 its partition have closed; what is closed is a running maximum, so lateness is a prefix scan. The scan is done in two levels
 (within chunks of offsets, and over one row a chunk), so that a log partition of any length spreads over many tasks.
-Accepted events are summed into one-minute buckets; each bucket is dealt to the 60 window ends it reaches, and to one more,
-which makes the single zero row of an entity that went quiet.
+Accepted events are summed into buckets of a view's width (a minute in the first view); each bucket is dealt to the window ends it reaches (60),
+and to one more, which makes the single zero row of an entity that went quiet. ``lateness`` stands in for the view's own.
 """
 
 from __future__ import annotations
@@ -13,61 +13,69 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..config import BUCKET_MS, CHUNK_EVENTS, DETAIL_HORIZON, LATENESS_MS, REACH, TRIP_HORIZONS
-from ..functions.columns import demand_spike, distance_mean, fare_mean, floor_to, hour_angle, round2
+from ..config import CHUNK_EVENTS
+from ..functions.columns import floor_to, hour_angle, round2
+from ..views import FIELDS, ZONE_DEMAND, FeatureView
 
+DAY_MS = 86_400_000
 
-def prefix_max(trips: DataFrame, chunk: int = CHUNK_EVENTS) -> DataFrame:
+
+def prefix_max(trips: DataFrame, chunk: int = CHUNK_EVENTS, width: int = ZONE_DEMAND.bucket_ms) -> DataFrame:
     """Adds ``before_ms``, the largest event time of all earlier offsets of the partition, and ``s0``, its first event's bucket."""
     rows = trips.withColumn("chunk", F.floor(F.col("offset") / chunk))
     heads = rows.groupBy("partition", "chunk").agg(F.max("event_time_ms").alias("most"), F.min_by("event_time_ms", "offset").alias("first"))
     along = W.partitionBy("partition").orderBy("chunk")
-    heads = heads.select("partition", "chunk", F.max("most").over(along.rowsBetween(W.unboundedPreceding, -1)).alias("earlier"), floor_to(F.first("first").over(along)).alias("s0"))
+    heads = heads.select("partition", "chunk", F.max("most").over(along.rowsBetween(W.unboundedPreceding, -1)).alias("earlier"), floor_to(F.first("first").over(along), width).alias("s0"))
     rows = rows.join(heads, ["partition", "chunk"])
     within = W.partitionBy("partition", "chunk").orderBy("offset").rowsBetween(W.unboundedPreceding, -1)
     return rows.withColumn("before_ms", F.greatest("earlier", F.max("event_time_ms").over(within))).drop("earlier", "chunk")
 
 
-def mark_late(trips: DataFrame, lateness: int = LATENESS_MS, chunk: int = CHUNK_EVENTS) -> DataFrame:
+def _last_closed(reached: Column, lateness: int | None, view: FeatureView) -> Column:
+    """Up to where windows are closed when event time has reached so far."""
+    return floor_to(reached - (view.lateness_ms if lateness is None else lateness), view.bucket_ms)
+
+
+def mark_late(trips: DataFrame, lateness: int | None = None, chunk: int = CHUNK_EVENTS, view: FeatureView = ZONE_DEMAND) -> DataFrame:
     """Adds ``closed_before``, up to where windows were closed when the event came, and ``late``."""
-    rows = prefix_max(trips, chunk)
-    rows = rows.withColumn("closed_before", F.greatest("s0", floor_to(F.col("before_ms") - lateness)))
+    rows = prefix_max(trips, chunk, view.bucket_ms)
+    rows = rows.withColumn("closed_before", F.greatest("s0", _last_closed(F.col("before_ms"), lateness, view)))
     return rows.withColumn("late", F.col("event_time_ms") < F.col("closed_before"))
 
 
-def partition_stats(trips: DataFrame, lateness: int = LATENESS_MS) -> DataFrame:
+def partition_stats(trips: DataFrame, lateness: int | None = None, view: FeatureView = ZONE_DEMAND) -> DataFrame:
     """One row a partition: last offset, largest event time, closed_until, late and all events."""
     return (
-        mark_late(trips, lateness)
+        mark_late(trips, lateness, view=view)
         .groupBy("partition")
         .agg(
             F.max("offset").alias("to_offset"), F.max("event_time_ms").alias("max_event_time_ms"),
-            F.greatest(F.min("s0"), floor_to(F.max("event_time_ms") - lateness)).alias("closed_until_ms"),
+            F.greatest(F.min("s0"), _last_closed(F.max("event_time_ms"), lateness, view)).alias("closed_until_ms"),
             F.count_if("late").alias("late_dropped"), F.count("*").alias("events"),
         )
     )
 
 
-def bucket_agg(trips: DataFrame, lateness: int = LATENESS_MS) -> DataFrame:
-    """Counts and sums of the accepted events of each entity and minute."""
+def bucket_agg(trips: DataFrame, lateness: int | None = None, view: FeatureView = ZONE_DEMAND) -> DataFrame:
+    """Counts and sums of the accepted events of each entity and bucket of time."""
     return (
-        mark_late(trips, lateness)
+        mark_late(trips, lateness, view=view)
         .where(~F.col("late"))
-        .groupBy("partition", "zone", floor_to("event_time_ms").alias("start_ms"))
+        .groupBy("partition", "zone", floor_to("event_time_ms", view.bucket_ms).alias("start_ms"))
         .agg(F.count("*").alias("count"), F.sum("fare_cents").alias("fare_cents"), F.sum("distance_milli").alias("distance_milli"))
     )
 
 
-def closings(trips: DataFrame, lateness: int = LATENESS_MS) -> DataFrame:
+def closings(trips: DataFrame, lateness: int | None = None, view: FeatureView = ZONE_DEMAND) -> DataFrame:
     """closed_until of each log partition. It follows from the first and the largest event time, so no event need be marked."""
-    last = floor_to(F.max("event_time_ms") - lateness)
-    return trips.groupBy("partition").agg(F.greatest(floor_to(F.min_by("event_time_ms", "offset")), last).alias("closed_until_ms"))
+    last = _last_closed(F.max("event_time_ms"), lateness, view)
+    return trips.groupBy("partition").agg(F.greatest(floor_to(F.min_by("event_time_ms", "offset"), view.bucket_ms), last).alias("closed_until_ms"))
 
 
-def _closed(buckets: DataFrame, stats: DataFrame) -> DataFrame:
+def _closed(buckets: DataFrame, stats: DataFrame, view: FeatureView) -> DataFrame:
     """Buckets that a closed window reaches, each entity's in one place. Of ``stats`` one row a log partition is broadcast, which a log has few of."""
     ends = F.broadcast(stats.select("partition", "closed_until_ms"))
-    rows = buckets.join(ends, "partition").where(F.col("start_ms") + BUCKET_MS <= F.col("closed_until_ms"))
+    rows = buckets.join(ends, "partition").where(F.col("start_ms") + view.bucket_ms <= F.col("closed_until_ms"))
     return rows.repartition("partition", "zone")
 
 
@@ -75,36 +83,37 @@ def _within(k: int, c: str) -> Column:
     return F.sum(F.when(F.col("age") <= k, F.col(c)).otherwise(F.lit(0)))
 
 
-def _sums() -> list[Column]:
-    """The six sums over buckets with ages."""
-    details = [_within(DETAIL_HORIZON, c).alias(f"{c}_15m") for c in ("count", "fare_cents", "distance_milli")]
-    return [*[_within(k, "count").alias(f"trips_{k}m") for k in TRIP_HORIZONS], *details]
+def _sums(view: FeatureView) -> list[Column]:
+    """The view's totals over buckets with ages."""
+    return [_within(view.span(t), t.field).alias(t.name) for t in view.totals]
 
 
-def slide(buckets: DataFrame, stats: DataFrame, reach: int = REACH) -> DataFrame:
+def slide(buckets: DataFrame, stats: DataFrame, reach: int | None = None, view: FeatureView = ZONE_DEMAND) -> DataFrame:
     """Rows of every entity and closed window end that a bucket reaches. Only buckets are shuffled: what they are dealt to stays where its entity is."""
-    oldest = F.least(F.lit(reach + 1).cast("long"), F.floor((F.col("closed_until_ms") - F.col("start_ms")) / BUCKET_MS))
-    aged = _closed(buckets, stats).withColumn("age", F.explode(F.sequence(F.lit(1).cast("long"), oldest)))
-    return aged.groupBy("partition", "zone", (F.col("start_ms") + F.col("age") * BUCKET_MS).alias("window_end_ms")).agg(*_sums())
+    most, width = (view.reach if reach is None else reach) + 1, view.bucket_ms
+    oldest = F.least(F.lit(most).cast("long"), F.floor((F.col("closed_until_ms") - F.col("start_ms")) / width))
+    aged = _closed(buckets, stats, view).withColumn("age", F.explode(F.sequence(F.lit(1).cast("long"), oldest)))
+    return aged.groupBy("partition", "zone", (F.col("start_ms") + F.col("age") * width).alias("window_end_ms")).agg(*_sums(view))
 
 
-def zone_features(trips: DataFrame, lateness: int = LATENESS_MS) -> DataFrame:
+def zone_features(trips: DataFrame, lateness: int | None = None, view: FeatureView = ZONE_DEMAND) -> DataFrame:
     """All feature rows of a log."""
-    return slide(bucket_agg(trips, lateness), closings(trips, lateness))
+    return slide(bucket_agg(trips, lateness, view), closings(trips, lateness, view), view=view)
 
 
-def latest_rows(trips: DataFrame, lateness: int = LATENESS_MS, reach: int = REACH) -> DataFrame:
+def latest_rows(trips: DataFrame, lateness: int | None = None, reach: int | None = None, view: FeatureView = ZONE_DEMAND) -> DataFrame:
     """The latest feature row of each entity, from its last buckets alone: its window ends where all is closed, or when the entity's last bucket leaves it."""
-    rows = _closed(bucket_agg(trips, lateness), closings(trips, lateness))
-    ends = rows.groupBy("partition", "zone").agg((F.max("start_ms") + (reach + 1) * BUCKET_MS).alias("left_ms"))
+    most, width = (view.reach if reach is None else reach) + 1, view.bucket_ms
+    rows = _closed(bucket_agg(trips, lateness, view), closings(trips, lateness, view), view)
+    ends = rows.groupBy("partition", "zone").agg((F.max("start_ms") + most * width).alias("left_ms"))
     rows = rows.join(ends.hint("shuffle_hash"), ["partition", "zone"]).withColumn("window_end_ms", F.least("left_ms", "closed_until_ms"))
-    rows = rows.withColumn("age", F.floor((F.col("window_end_ms") - F.col("start_ms")) / BUCKET_MS)).where(F.col("age") <= reach + 1)
-    return latest(rows.groupBy("partition", "zone", "window_end_ms").agg(*_sums()))
+    rows = rows.withColumn("age", F.floor((F.col("window_end_ms") - F.col("start_ms")) / width)).where(F.col("age") <= most)
+    return latest(rows.groupBy("partition", "zone", "window_end_ms").agg(*_sums(view)))
 
 
-def derive(features: DataFrame) -> DataFrame:
-    """Adds the means of 15 minutes and the demand spike."""
-    return features.withColumns({"fare_mean_15m": fare_mean(), "distance_mean_15m": distance_mean(), "demand_spike_ratio": demand_spike()})
+def derive(features: DataFrame, view: FeatureView = ZONE_DEMAND) -> DataFrame:
+    """Adds the view's derived values (in the first: the means of 15 minutes and the demand spike)."""
+    return features.withColumns({d.name: d.column() for d in view.derived})
 
 
 def model_vector(features: DataFrame) -> DataFrame:
@@ -118,27 +127,31 @@ def zone_card(features: DataFrame) -> DataFrame:
     return derive(features).select("zone", "window_end_ms", "trips_5m", "trips_60m", *[round2(c).alias(c) for c in ("fare_mean_15m", "distance_mean_15m", "demand_spike_ratio")])
 
 
-def retained_buckets(trips: DataFrame, lateness: int = LATENESS_MS) -> DataFrame:
+def retained_buckets(trips: DataFrame, lateness: int | None = None, view: FeatureView = ZONE_DEMAND) -> DataFrame:
     """The buckets that a snapshot keeps: those that a window to come can reach."""
-    ends = F.broadcast(closings(trips, lateness))
-    return bucket_agg(trips, lateness).join(ends, "partition").where(F.col("start_ms") >= F.col("closed_until_ms") - REACH * BUCKET_MS).drop("closed_until_ms")
+    ends = F.broadcast(closings(trips, lateness, view))
+    return bucket_agg(trips, lateness, view).join(ends, "partition").where(F.col("start_ms") >= F.col("closed_until_ms") - view.reach * view.bucket_ms).drop("closed_until_ms")
 
 
-def partition_state(trips: DataFrame, lateness: int = LATENESS_MS) -> DataFrame:
+def partition_state(trips: DataFrame, lateness: int | None = None, view: FeatureView = ZONE_DEMAND) -> DataFrame:
     """Snapshot of each partition: its numbers and its retained buckets in order."""
-    kept = retained_buckets(trips, lateness).groupBy("partition").agg(F.array_sort(F.collect_list(F.struct("zone", "start_ms", "count", "fare_cents", "distance_milli"))).alias("buckets"))
-    return partition_stats(trips, lateness).join(kept, "partition", "left").withColumn("buckets", F.coalesce("buckets", F.array().cast("array<struct<zone: int, start_ms: bigint, count: bigint, fare_cents: bigint, distance_milli: bigint>>")))
+    kept = retained_buckets(trips, lateness, view).groupBy("partition").agg(F.array_sort(F.collect_list(F.struct("zone", "start_ms", *FIELDS))).alias("buckets"))
+    return partition_stats(trips, lateness, view).join(kept, "partition", "left").withColumn("buckets", F.coalesce("buckets", F.array().cast("array<struct<zone: int, start_ms: bigint, count: bigint, fare_cents: bigint, distance_milli: bigint>>")))
 
 
-def trailing_range(buckets: DataFrame) -> DataFrame:
-    """Trailing sums at each bucket's own end, as range windows."""
+def trailing_range(buckets: DataFrame, view: FeatureView = ZONE_DEMAND, slot_ms: int = DAY_MS) -> DataFrame:
+    """Trailing sums at each bucket's own end, as range windows. Time is cut into slots; a slot also gets the buckets before it that its first ends reach back to, so no
+    task holds all of an entity's time."""
+    back_ms = (view.reach - 1) * view.bucket_ms
+    slot = lambda t: F.floor(t / slot_ms)
+    dealt = buckets.withColumn("slot", F.explode(F.sequence(slot(F.col("start_ms")), slot(F.col("start_ms") + back_ms))))
+
     def back(k: int, c: str):
-        return F.sum(c).over(W.partitionBy("partition", "zone").orderBy("start_ms").rangeBetween(-(k - 1) * BUCKET_MS, 0))
+        return F.sum(c).over(W.partitionBy("partition", "zone", "slot").orderBy("start_ms").rangeBetween(-(k - 1) * view.bucket_ms, 0))
 
-    return buckets.select(
-        "partition", "zone", (F.col("start_ms") + BUCKET_MS).alias("window_end_ms"), *[back(k, "count").alias(f"trips_{k}m") for k in TRIP_HORIZONS],
-        back(DETAIL_HORIZON, "count").alias("count_15m"), back(DETAIL_HORIZON, "fare_cents").alias("fare_cents_15m"), back(DETAIL_HORIZON, "distance_milli").alias("distance_milli_15m"),
-    )
+    sums = [back(view.span(t), t.field).alias(t.name) for t in view.totals]
+    rows = dealt.select("partition", "zone", "start_ms", "slot", *sums).where(F.col("slot") == slot(F.col("start_ms")))
+    return rows.select("partition", "zone", (F.col("start_ms") + view.bucket_ms).alias("window_end_ms"), *view.sums)
 
 
 def latest(features: DataFrame, order: str | None = None) -> DataFrame:

@@ -153,6 +153,31 @@ _CTE: dict[str, tuple[tuple[str, ...], str]] = {
     ),
 }
 
+_T = "trips_10m, trips_120m, distance_milli_120m"
+_CTE |= {  # the second view: buckets of two minutes, 45 seconds of lateness, spans of 5 and 60 buckets
+    "t_marked": (
+        ("trips",),
+        """select *, event_time_ms < greatest(s0, (pm - 45000) // 120000 * 120000) as late from (
+             select *, coalesce(max(event_time_ms) over (partition by partition order by "offset" rows between unbounded preceding and 1 preceding), 0) as pm,
+               first_value(event_time_ms) over (partition by partition order by "offset") // 120000 * 120000 as s0 from trips)""",
+    ),
+    "t_features": (
+        ("t_marked",),
+        """select b.zone, b.start_ms + age * 120000 as window_end_ms, coalesce(sum(n) filter (age <= 5), 0)::bigint as trips_10m,
+           coalesce(sum(n) filter (age <= 60), 0)::bigint as trips_120m, coalesce(sum(miles) filter (age <= 60), 0)::bigint as distance_milli_120m
+           from (select partition, zone, event_time_ms // 120000 * 120000 as start_ms, count(*) as n, sum(distance_milli) as miles from t_marked where not late group by all) b
+           cross join range(1, 62) r(age)
+           join (select partition, greatest(min(s0), (max(event_time_ms) - 45000) // 120000 * 120000) as closed from t_marked group by 1) p on p.partition = b.partition
+           where b.start_ms + age * 120000 <= p.closed group by all""",
+    ),
+    "t_latest": (
+        ("t_features",),
+        """select *, case when trips_120m = 0 then 0.0::double else distance_milli_120m / 1000.0::double / trips_120m end as distance_mean_120m,
+           case when trips_120m = 0 then 0.0::double else trips_10m::double / (trips_120m / 12.0::double) end as trend_ratio
+           from t_features qualify row_number() over (partition by zone order by window_end_ms desc) = 1""",
+    ),
+}
+
 
 def _with(names: tuple[str, ...], body: str) -> str:
     need: list[str] = []
@@ -316,6 +341,10 @@ _SQL: dict[str, tuple[tuple[str, ...], str]] = {
         ("asked", "latest"),
         "select request_id, pos, a.zone, l.zone is not null as found, window_end_ms, trips_5m, fare_mean_15m, demand_spike_ratio from asked a left join latest l on l.zone = a.zone",
     ),
+    "trend_features": (("t_features",), f"select zone, window_end_ms, {_T} from t_features"),
+    "trend_stream": (("t_features",), f"select zone, window_end_ms, {_T} from t_features"),
+    "trend_serving": (("asked", "t_latest"), f"select request_id, pos, a.zone, l.zone is not null as found, window_end_ms, {_T}, distance_mean_120m, trend_ratio from asked a left join t_latest l on l.zone = a.zone"),
+    "trend_pit": (("labels", "t_features"), f"select l.zone, label_time_ms, label, window_end_ms, {_T} from labels l asof left join t_features f on l.zone = f.zone and l.label_time_ms >= f.window_end_ms"),
     "cache_split": (("asked", "latest"), "select distinct request_id, a.zone, l.zone is not null as hit from asked a left join (select zone from latest where zone % 3 = 0) l on l.zone = a.zone"),
     "client_dedup": (("dedup",), 'select "index", client, seq, applied from dedup'),
     "kv_fold": (("folded",), "select * from folded"),

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import BACKFILL_VIEW, SUMS, VIEW
+from ..config import BACKFILL_VIEW, VIEW
 from ..operators import history, model, replay, verify, windows
+from ..views import ZONE_DEMAND, FeatureView
 
 
-def backfill(trips: DataFrame, committed: DataFrame, view: str = BACKFILL_VIEW) -> DataFrame:
-    """History rows recomputed from the log through the committed offsets."""
-    rows = windows.zone_features(replay.bounded(trips, committed))
-    return rows.select(F.lit(view).alias("feature_view"), "zone", "window_end_ms", *SUMS, F.col("partition").alias("source_partition"))
+def backfill(trips: DataFrame, committed: DataFrame, view: str | None = None, definition: FeatureView = ZONE_DEMAND) -> DataFrame:
+    """History rows recomputed from the log through the committed offsets; ``view`` names them (else the definition's name, marked as a backfill)."""
+    rows = windows.zone_features(replay.bounded(trips, committed), view=definition)
+    return rows.select(F.lit(view or f"{definition.name}__backfill").alias("feature_view"), "zone", "window_end_ms", *definition.sums, F.col("partition").alias("source_partition"))
 
 
 def training_examples(rows: DataFrame, view: str = VIEW) -> DataFrame:

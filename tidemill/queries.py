@@ -14,6 +14,7 @@ from .operators import cleaning, history, kv, measure, model, replay, report, se
 from .plans import offline
 from .sources import codec, files, fixtures, synthetic
 from .sources.storage import shared_path
+from .views import ZONE_TREND
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -244,6 +245,33 @@ def replica_state(spark, d):
     return replica.headers().join(replica.buckets(), "partition")
 
 
+# a second declared view
+
+
+@query
+def trend_features(spark, d):
+    return windows.zone_features(fixtures.trips(spark, d), view=ZONE_TREND).select("zone", "window_end_ms", *ZONE_TREND.sums)
+
+
+@query
+def trend_stream(spark, d):
+    from .streaming.engine import replay_as_stream
+
+    return replay_as_stream(spark, fixtures.trips(spark, d).drop("event_id"), view=ZONE_TREND).select("zone", "window_end_ms", *ZONE_TREND.sums)
+
+
+@query
+def trend_serving(spark, d):
+    latest = windows.latest_rows(fixtures.trips(spark, d), view=ZONE_TREND)
+    return serving.serve(fixtures.requests(spark, d), latest, ZONE_TREND).select("request_id", "pos", "zone", "found", "window_end_ms", *ZONE_TREND.sums, *(x.name for x in ZONE_TREND.derived))
+
+
+@query
+def trend_pit(spark, d):
+    rows = windows.zone_features(fixtures.trips(spark, d), view=ZONE_TREND).withColumn("feature_view", F.lit(ZONE_TREND.name))
+    return history.point_in_time(fixtures.labels(spark, d), rows, ZONE_TREND.name, ZONE_TREND)
+
+
 # history and verification
 
 

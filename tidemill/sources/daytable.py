@@ -13,32 +13,30 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import schemas
-from ..operators.history import upsert
+from ..operators.history import DAY_MS, upsert
+from ..views import ZONE_DEMAND, FeatureView
 from .manifest import Manifest
 from .storage import delete
 
-DAY_MS = 86_400_000
-_COLUMNS = [c.split()[0] for c in schemas.HISTORY.split(", ")]
-
 
 def day(window_end: str = "window_end_ms") -> Column:
     return F.floor(F.col(window_end) / DAY_MS).cast("int")
 
 
 class DayTable:
-    """History rows under ``root``/feature_view=V/day=D/version=U."""
+    """History rows of views of one definition under ``root``/feature_view=V/day=D/version=U."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root, self.manifest = spark, root.rstrip("/"), Manifest(spark, root)
+    def __init__(self, spark: SparkSession, root: str, definition: FeatureView = ZONE_DEMAND):
+        self.spark, self.root, self.manifest, self.definition = spark, root.rstrip("/"), Manifest(spark, root), definition
+        self.columns = [c.split()[0] for c in definition.history_schema.split(", ")]
 
     def _folder(self, view: str, number: int | str, version: str) -> str:
         return f"{self.root}/feature_view={view}/day={number}/version={version}"
 
     def _read(self, paths: list[str]) -> DataFrame:
         if not paths:
-            return self.spark.createDataFrame([], f"{schemas.HISTORY}, day int, version string")
-        own = ", ".join(c for c in schemas.HISTORY.split(", ") if not c.startswith("feature_view "))
+            return self.spark.createDataFrame([], f"{self.definition.history_schema}, day int, version string")
+        own = ", ".join(c for c in self.definition.history_schema.split(", ") if not c.startswith("feature_view "))
         return self.spark.read.schema(f"{own}, feature_view string, day int, version string").option("basePath", self.root).parquet(*paths)
 
     def rows(self, view: str | None = None, start_ms: int | None = None, stop_ms: int | None = None) -> DataFrame:
@@ -54,9 +52,9 @@ class DayTable:
             found = found.where((F.col("day") >= low) & (F.col("window_end_ms") >= start_ms))
         if stop_ms is not None:
             found = found.where((F.col("day") <= high) & (F.col("window_end_ms") < stop_ms))
-        return found.select(*_COLUMNS)
+        return found.select(*self.columns)
 
-    def upsert(self, batch: DataFrame, combine: Callable[[DataFrame, DataFrame], DataFrame] = upsert, **also) -> list[tuple[str, int]]:
+    def upsert(self, batch: DataFrame, combine: Callable[[DataFrame, DataFrame], DataFrame] | None = None, **also) -> list[tuple[str, int]]:
         """Combines the batch with the stored rows of its days (by default as ``history.upsert``) and publishes the days' new versions; ``also`` goes into the manifest with them.
         The days that were written. A failure before the end leaves the table as it was."""
         content = self.manifest.read()
@@ -68,8 +66,8 @@ class DayTable:
                 raise ValueError(f"{view!r} can't name a folder")
         version = uuid.uuid4().hex
         if touched:
-            old = self._read([self._folder(v, d, days[v][str(d)]) for v, d in touched if str(d) in days.get(v, {})]).select(*_COLUMNS)
-            rows = combine(old, batch).select(*_COLUMNS).withColumns({"day": day(), "version": F.lit(version)})
+            old = self._read([self._folder(v, d, days[v][str(d)]) for v, d in touched if str(d) in days.get(v, {})]).select(*self.columns)
+            rows = (combine(old, batch) if combine else upsert(old, batch, self.definition)).select(*self.columns).withColumns({"day": day(), "version": F.lit(version)})
             self._write(rows.repartition("feature_view", "day", F.pmod(F.xxhash64("zone"), F.lit(32))))
         days = {v: {**days.get(v, {}), **{str(d): version for w, d in touched if w == v}} for v in {*days, *(v for v, _ in touched)}}
         self.manifest.publish({**content, **also, "days": days})

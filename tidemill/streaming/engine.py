@@ -23,18 +23,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .. import schemas
-from ..config import BUCKET_MS, DETAIL_HORIZON, LATENESS_MS, REACH, SUMS, TRIP_HORIZONS, WARM_UP_MS
+from ..config import WARM_UP_MS
 from ..operators.verify import shadow_check
 from ..sources.codec import parse
 from ..sources.storage import delete, shared_path
+from ..views import FIELDS, ZONE_DEMAND, FeatureView
 from .replica import Replica, change_sink
 from .store import FeatureStore
 
-OUTPUT = f"partition int, {schemas.FEATURES}, batch_offset long, trigger_publish_ms long"
-#: Rows of all kinds in one output: features as above; the buckets that a micro-batch changed, as they are then; and one row (state) of each partition's numbers then.
-CHANGES = f"kind string, {OUTPUT}, start_ms long, count long, fare_cents long, distance_milli long, max_event_time_ms long, closed_until_ms long, late_dropped long, events long"
 _EVENT = "event_time_ms long, zone int, fare_cents long, distance_milli long, publish_ms long"
 _EVENT_NAMES = ["event_time_ms", "zone", "fare_cents", "distance_milli", "publish_ms"]
+_NUMBERS = ("max_event_time_ms", "closed_until_ms", "late_dropped", "events")
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -57,14 +56,20 @@ class Header:
 HEADER = ", ".join(f"{f.name} long" for f in fields(Header))
 
 
-def _floor(t: np.ndarray | int) -> np.ndarray | int:
-    return t - t % BUCKET_MS
+def output(view: FeatureView = ZONE_DEMAND) -> str:
+    """The schema of a stream of feature rows."""
+    return f"partition int, {view.schema}, batch_offset long, trigger_publish_ms long"
 
 
-def slide(zone: np.ndarray, start: np.ndarray, sums: np.ndarray, after: int, until: int) -> pd.DataFrame:
-    """Feature rows for window ends in (after, until] from bucket sums (count, fare, distance)."""
-    ages = np.arange(1, REACH + 2)
-    end = start[:, None] + ages[None, :] * BUCKET_MS
+def changes(view: FeatureView = ZONE_DEMAND) -> str:
+    """Rows of all kinds in one output: features as above; the buckets that a micro-batch changed, as they are then; and one row (state) of each partition's numbers then."""
+    return ", ".join([f"kind string, {output(view)}, start_ms long", *(f"{c} long" for c in (*FIELDS, *_NUMBERS))])
+
+
+def slide(zone: np.ndarray, start: np.ndarray, sums: np.ndarray, after: int, until: int, view: FeatureView = ZONE_DEMAND) -> pd.DataFrame:
+    """Feature rows for window ends in (after, until] from bucket sums (of views.FIELDS)."""
+    ages = np.arange(1, view.reach + 2)
+    end = start[:, None] + ages[None, :] * view.bucket_ms
     b, a = np.nonzero((end > after) & (end <= until))
     keys = np.stack([end[b, a], zone[b]])
     order = np.lexsort(keys[::-1])
@@ -73,8 +78,7 @@ def slide(zone: np.ndarray, start: np.ndarray, sums: np.ndarray, after: int, unt
     within = lambda k, j: np.add.reduceat(np.where(ages[a] <= k, sums[b, j], 0), first) if len(b) else np.zeros(0, np.int64)
     return pd.DataFrame(
         {"zone": keys[1, first].astype(np.int32), "window_end_ms": keys[0, first]}
-        | {f"trips_{k}m": within(k, 0) for k in TRIP_HORIZONS}
-        | {"count_15m": within(DETAIL_HORIZON, 0), "fare_cents_15m": within(DETAIL_HORIZON, 1), "distance_milli_15m": within(DETAIL_HORIZON, 2)}
+        | {t.name: within(view.span(t), FIELDS.index(t.field)) for t in view.totals}
     )
 
 
@@ -86,10 +90,14 @@ class WindowProcessor(StatefulProcessor):
     passed, whether more events come or not; without, when the partition's next events come. With ``gap_ms`` 0 a gap is accepted at once, as a bounded log with holes needs it.
 
     wire: rows hold records (``value``) instead of events. A malformed record is counted and takes its offset, so that it makes no gap, but is no event.
-    changelog: the output has CHANGES instead of OUTPUT, for a replica of the state."""
+    changelog: the output has ``changes`` instead of ``output``, for a replica of the state."""
+
+    def __init__(self, gap_ms: int = 0, wire: bool = False, changelog: bool = False, timers: bool = False, view: FeatureView = ZONE_DEMAND):
+        self.gap_ms, self.wire, self.changelog, self.timers, self.view = gap_ms, wire, changelog, timers, view
+        self.columns = [c.split()[0] for c in (changes(view) if changelog else output(view)).split(", ")]
 
-    def __init__(self, gap_ms: int = 0, wire: bool = False, changelog: bool = False, timers: bool = False):
-        self.gap_ms, self.wire, self.changelog, self.timers = gap_ms, wire, changelog, timers
+    def _floor(self, t: np.ndarray | int) -> np.ndarray | int:
+        return t - t % self.view.bucket_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -178,16 +186,16 @@ class WindowProcessor(StatefulProcessor):
         """Takes events in; what is to be told of it."""
         first = head.events == 0
         t = events["event_time_ms"].to_numpy(np.int64)
-        closed = int(_floor(t[0])) if first else head.closed_until_ms
+        closed = int(self._floor(t[0])) if first else head.closed_until_ms
         reached = np.maximum.accumulate(t) if first else np.maximum(np.maximum.accumulate(t), head.max_event_time_ms)
-        after = np.maximum(closed, _floor(reached - LATENESS_MS))  # what each event closes
+        after = np.maximum(closed, self._floor(reached - self.view.lateness_ms))  # what each event closes
         before = np.concatenate([[closed], after[:-1]])
         late = t < before
         until = int(after[-1])
 
         kept = {tuple(k): np.array(v, np.int64) for k, v in self.buckets.iterator()}
-        fresh = events[~late].assign(start_ms=_floor(t[~late])).groupby(["zone", "start_ms"]).agg(n=("offset", "size"), fare=("fare_cents", "sum"), miles=("distance_milli", "sum"))
-        limit = until - REACH * BUCKET_MS
+        fresh = events[~late].assign(start_ms=self._floor(t[~late])).groupby(["zone", "start_ms"]).agg(n=("offset", "size"), fare=("fare_cents", "sum"), miles=("distance_milli", "sum"))
+        limit = until - self.view.reach * self.view.bucket_ms
         dirty = []
         for (zone, start), *sums in fresh.itertuples():
             now = kept.get((int(zone), int(start)), np.zeros(3, np.int64)) + np.array(sums, np.int64)
@@ -204,24 +212,20 @@ class WindowProcessor(StatefulProcessor):
         if kept and until > closed:
             trigger = int(events["publish_ms"].iloc[int(np.flatnonzero(after > before)[-1])])  # of the last event that closed a window
             zone, start = np.array(list(kept), np.int64).T
-            out = [("feature", slide(zone, start, np.array(list(kept.values())), closed, until).assign(trigger_publish_ms=trigger))]
+            out = [("feature", slide(zone, start, np.array(list(kept.values())), closed, until, self.view).assign(trigger_publish_ms=trigger))]
         if self.changelog:
-            out.append(("bucket", pd.DataFrame(dirty, columns=["zone", "start_ms", "count", "fare_cents", "distance_milli"])))
-            out.append(("state", pd.DataFrame({c: [getattr(head, c)] for c in ("max_event_time_ms", "closed_until_ms", "late_dropped", "events")})))
+            out.append(("bucket", pd.DataFrame(dirty, columns=["zone", "start_ms", *FIELDS])))
+            out.append(("state", pd.DataFrame({c: [getattr(head, c)] for c in _NUMBERS})))
         return out
 
     def _tagged(self, kind: str, rows: pd.DataFrame, partition: int, head: Header) -> pd.DataFrame:
         rows = rows.assign(kind=kind, partition=np.int32(partition), batch_offset=head.to_offset)
-        return rows.reindex(columns=_CHANGE_NAMES if self.changelog else _OUTPUT_NAMES, fill_value=0)
+        return rows.reindex(columns=self.columns, fill_value=0)
 
     def close(self) -> None:
         pass
 
 
-_OUTPUT_NAMES = [c.split()[0] for c in OUTPUT.split(", ")]
-_CHANGE_NAMES = [c.split()[0] for c in CHANGES.split(", ")]
-
-
 def _records(rows: list[tuple]) -> pd.DataFrame:
     """Decoded records: offset, the event's fields, and whether there is an event."""
     return pd.DataFrame(rows, columns=["offset", *_EVENT_NAMES, "ok"]).astype(dict.fromkeys(["offset", *_EVENT_NAMES], np.int64) | {"ok": bool})
@@ -232,22 +236,22 @@ def initial_state(stats: DataFrame, buckets: DataFrame) -> DataFrame:
     return stats.unionByName(buckets, allowMissingColumns=True)
 
 
-def features_stream(log: DataFrame, gap_ms: int = 0, snapshot: DataFrame | None = None, changelog: bool = False, timers: bool = False) -> DataFrame:
-    """The feature rows (or with ``changelog`` all changes) of a streaming log in append mode. The log has events (schemas.TRIPS) or, if it has a column ``value``, wire records.
+def features_stream(log: DataFrame, gap_ms: int = 0, snapshot: DataFrame | None = None, changelog: bool = False, timers: bool = False, view: FeatureView = ZONE_DEMAND) -> DataFrame:
+    """The view's feature rows (or with ``changelog`` all changes) of a streaming log in append mode. The log has events (schemas.TRIPS) or, if it has a column ``value``, wire records.
     A micro-batch of a partition is handled at once: bound it by the source's limit of records a trigger. snapshot: from ``initial_state``, to go on where another log's
     processing ended. timers: gaps end by the clock; such a stream also runs micro-batches without data, so it suits a trigger that goes on, not one that ends."""
     first = None if snapshot is None else snapshot.groupBy("partition")
-    processor = WindowProcessor(gap_ms, "value" in log.columns, changelog, timers)
-    return log.groupBy("partition").transformWithStateInPandas(processor, CHANGES if changelog else OUTPUT, "append", "ProcessingTime" if timers else "None", first)
+    processor = WindowProcessor(gap_ms, "value" in log.columns, changelog, timers, view)
+    return log.groupBy("partition").transformWithStateInPandas(processor, (changes if changelog else output)(view), "append", "ProcessingTime" if timers else "None", first)
 
 
-def start(log: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], available_now: bool = True, gap_ms: int = 0, snapshot: DataFrame | None = None, changelog: bool = False, every: str = "1 second"):
+def start(log: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], available_now: bool = True, gap_ms: int = 0, snapshot: DataFrame | None = None, changelog: bool = False, every: str = "1 second", view: FeatureView = ZONE_DEMAND):
     """Run a stream into a sink. The sink gets each micro-batch and its number, and must be idempotent by that number or by key. A stream that goes on
     (not ``available_now``) begins a micro-batch ``every`` so often and lets gaps end by the clock."""
     spark = log.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
-    rows = features_stream(log, gap_ms, snapshot, changelog, timers=bool(gap_ms) and not available_now)
+    rows = features_stream(log, gap_ms, snapshot, changelog, timers=bool(gap_ms) and not available_now, view=view)
     writer = rows.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(sink)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
 
@@ -275,19 +279,19 @@ def read_log_files(spark: SparkSession, path: str, files_each: int = 1) -> DataF
     return spark.readStream.schema(kind).option("maxFilesPerTrigger", files_each).parquet(path)
 
 
-def replay_as_stream(spark: SparkSession, log: DataFrame, files: int = 3, replica: Replica | None = None, repeat: int = 0, headers: list | None = None) -> DataFrame:
+def replay_as_stream(spark: SparkSession, log: DataFrame, files: int = 3, replica: Replica | None = None, repeat: int = 0, headers: list | None = None, view: FeatureView = ZONE_DEMAND) -> DataFrame:
     """All feature rows of a bounded log (of events or wire records), made by the stream and kept by the upserting sink. replica: gets the changelog of the same stream. repeat: then the stream is stopped
     and started again on so many last offsets of each partition, which are delivered a second time. headers: gets the partitions' headers at the end."""
     path, root, state = (shared_path(spark, n) for n in ("log", "store", "state"))
     write_log(log, path, files)
-    store = FeatureStore(spark, root)
+    store = FeatureStore(spark, root, definition=view)
     sink = store.sink if replica is None else change_sink(store, replica)
     try:
-        start(read_log_files(spark, path), state, sink, changelog=replica is not None).awaitTermination()
+        start(read_log_files(spark, path), state, sink, changelog=replica is not None, view=view).awaitTermination()
         if repeat:
             ends = log.groupBy("partition").agg((F.max("offset") - repeat).alias("end"))
             write_log(log.join(ends, "partition").where("offset > end"), path, 1)
-            start(read_log_files(spark, path), state, sink, changelog=replica is not None).awaitTermination()
+            start(read_log_files(spark, path), state, sink, changelog=replica is not None, view=view).awaitTermination()
         if headers is not None:
             headers += state_headers(spark, state).collect()  # one row a log partition
     finally:

@@ -1,6 +1,6 @@
 """A replica of the stream's state, kept from its changelog.
 
-Each micro-batch tells the buckets that it changed as absolute values and each partition's numbers (``engine.CHANGES``). They are kept as a folder a micro-batch, so
+Each micro-batch tells the buckets that it changed as absolute values and each partition's numbers (``engine.changes``). They are kept as a folder a micro-batch, so
 telling costs what a batch changed. Readers apply them in order: a partition's batch counts only if its offset lies above all applied before it, so a batch that is delivered
 again has no effect; of each bucket the last applied value stays, and buckets that no window to come can reach are evicted by the same rule as in the stream, so evictions
 are never told. ``compact`` folds batches into one.
@@ -13,10 +13,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import BUCKET_MS, REACH
 from ..operators.kv import idempotent_apply, merge_buckets
 from ..sources.manifest import Manifest
 from ..sources.storage import delete
+from ..views import ZONE_DEMAND, FeatureView
 
 _NUMBERS = ("to_offset", "max_event_time_ms", "closed_until_ms", "late_dropped", "events")
 _ROWS = "kind string, partition int, to_offset long, max_event_time_ms long, closed_until_ms long, late_dropped long, events long, zone int, start_ms long, count long, fare_cents long, distance_milli long"
@@ -26,8 +26,8 @@ _NAMES = [c.split()[0] for c in _ROWS.split(", ")]
 class Replica:
     """The replicated state of all log partitions under a folder."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, definition: FeatureView = ZONE_DEMAND):
+        self.spark, self.root, self.definition = spark, root.rstrip("/"), definition
         self.manifest = Manifest(spark, f"{self.root}/base")
 
     def sink(self, batch: DataFrame, number: int) -> None:
@@ -55,7 +55,7 @@ class Replica:
         rows = self._changes(through)
         batches = rows.where("kind = 'state'").select("partition", "arrival", "to_offset", "closed_until_ms")
         values = rows.where("kind = 'bucket'").select("partition", "arrival", "zone", "start_ms", "count", "fare_cents", "distance_milli")
-        return merge_buckets(batches, values, REACH * BUCKET_MS)
+        return merge_buckets(batches, values, self.definition.reach * self.definition.bucket_ms)
 
     def compact(self, through: int) -> None:
         """Folds the batches up to ``through`` into one that takes their place at once; a failure at any point changes nothing that readers see."""

@@ -16,29 +16,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..config import SUMS, VIEW
 from ..operators.history import KEY
 from ..operators.windows import latest
 from ..sources.daytable import DayTable
 from ..sources.storage import delete
-
-_ROWS = f"{schemas.FEATURES}, source_partition int, source_offset long, conflicting_rewrites int"
+from ..views import ZONE_DEMAND, FeatureView
 
 
 class FeatureStore:
-    """History and latest rows under a folder. ``invalidate`` gets the entities that a commit touched, some thousand at a time."""
+    """History and latest rows under a folder, of the views of one definition (``view`` names this one, if not as the definition does). ``invalidate`` gets the entities that a
+    commit touched, some thousand at a time."""
 
-    def __init__(self, spark: SparkSession, root: str, view: str = VIEW, invalidate: Callable[[list[int]], None] | None = None):
-        self.spark, self.root, self.view, self.invalidate = spark, root.rstrip("/"), view, invalidate
+    def __init__(self, spark: SparkSession, root: str, view: str | None = None, invalidate: Callable[[list[int]], None] | None = None, definition: FeatureView = ZONE_DEMAND):
+        self.spark, self.root, self.view, self.invalidate, self.definition = spark, root.rstrip("/"), view or definition.name, invalidate, definition
         self.freshness: list[dict] = []
-        self.days = DayTable(spark, f"{self.root}/days")
+        self.days = DayTable(spark, f"{self.root}/days", definition)
+        self._rows = definition.history_schema.split(", ", 1)[1]
 
     def sink(self, batch: DataFrame, number: int) -> None:
         """One micro-batch: first its history rows, then the latest rows, then the caches are told. A failure before the end repeats all, to the same result."""
-        rows = batch.select("zone", "window_end_ms", *SUMS, F.col("partition").alias("source_partition"), F.col("batch_offset").alias("source_offset"), F.lit(0).alias("conflicting_rewrites"), "trigger_publish_ms").persist()
+        rows = batch.select("zone", "window_end_ms", *self.definition.sums, F.col("partition").alias("source_partition"), F.col("batch_offset").alias("source_offset"), F.lit(0).alias("conflicting_rewrites"), "trigger_publish_ms").persist()
         try:
             rows.drop("trigger_publish_ms").write.mode("overwrite").parquet(f"{self.root}/history/feature_view={self.view}/batch={number}")
-            latest(rows.select("zone", "window_end_ms", *SUMS)).write.mode("overwrite").parquet(f"{self.root}/latest/batch={number}")
+            latest(rows.select("zone", "window_end_ms", *self.definition.sums)).write.mode("overwrite").parquet(f"{self.root}/latest/batch={number}")
             told = rows.agg(F.count("*").alias("rows"), F.max("trigger_publish_ms").alias("published_ms")).first()
             if told["rows"] and (told["published_ms"] or 0) > 0:
                 self.freshness.append({"batch": number, "rows": told["rows"], "freshness_s": time.time() - told["published_ms"] / 1000})
@@ -54,7 +54,7 @@ class FeatureStore:
     def _batches(self) -> DataFrame:
         """The rows of batches that the table of days doesn't hold."""
         held = self.days.manifest.read().get("through", {})
-        rows = self.spark.read.schema(f"{_ROWS}, feature_view string, batch long").parquet(f"{self.root}/history")
+        rows = self.spark.read.schema(f"{self._rows}, feature_view string, batch long").parquet(f"{self.root}/history")
         for view, through in held.items():
             rows = rows.where((F.col("feature_view") != view) | (F.col("batch") > through))
         return rows
@@ -64,11 +64,11 @@ class FeatureStore:
         rows = self._batches()
         for wanted, condition in ((view, F.col("feature_view") == view), (start_ms, F.col("window_end_ms") >= start_ms), (stop_ms, F.col("window_end_ms") < stop_ms)):
             rows = rows if wanted is None else rows.where(condition)
-        return merged(_compacted(self.days.rows(view, start_ms, stop_ms)).unionByName(rows))
+        return merged(_compacted(self.days.rows(view, start_ms, stop_ms)).unionByName(rows), self.definition)
 
     def latest(self) -> DataFrame:
         """Each entity's latest row; of equal window ends the earliest batch's."""
-        rows = self.spark.read.schema(f"{schemas.FEATURES}, batch long").parquet(f"{self.root}/latest")
+        rows = self.spark.read.schema(f"{self.definition.schema}, batch long").parquet(f"{self.root}/latest")
         return latest(rows.withColumn("order", -F.col("batch")), "order").drop("batch", "order")
 
     def compact(self, through: int) -> None:
@@ -76,11 +76,11 @@ class FeatureStore:
         A failure at any point leaves rows and conflicts as they were; what it left behind goes with the next call."""
         held = self.days.manifest.read().get("through", {})
         folder = f"{self.root}/history/feature_view={self.view}"
-        old = self.spark.read.schema(f"{_ROWS}, batch long").parquet(folder).where(F.col("batch") <= held.get(self.view, -1)).select("batch").distinct()
+        old = self.spark.read.schema(f"{self._rows}, batch long").parquet(folder).where(F.col("batch") <= held.get(self.view, -1)).select("batch").distinct()
         for r in old.collect():  # folders that the call before has moved, and that no reader looks for since
             delete(self.spark, f"{folder}/batch={r['batch']}")
         rows = self._batches().where((F.col("feature_view") == self.view) & (F.col("batch") <= through))
-        self.days.upsert(rows, lambda old, new: merged(_compacted(old).unionByName(new)), through={**held, self.view: max(through, held.get(self.view, -1))})
+        self.days.upsert(rows, lambda old, new: merged(_compacted(old).unionByName(new), self.definition), through={**held, self.view: max(through, held.get(self.view, -1))})
 
     def delete_view(self, view: str) -> None:
         """A view's rows go."""
@@ -98,14 +98,15 @@ def touched(rows: DataFrame) -> DataFrame:
     return rows.select("zone").distinct()
 
 
-def merged(rows: DataFrame) -> DataFrame:
+def merged(rows: DataFrame, definition: FeatureView = ZONE_DEMAND) -> DataFrame:
     """One row a key of rows with a batch number: the earliest batch's (of equal ones the smallest), with the conflicting rewrites of all the others."""
-    same = rows.groupBy(*KEY, *SUMS).agg(
+    sums = definition.sums
+    same = rows.groupBy(*KEY, *sums).agg(
         F.count("*").alias("n"), F.sum("conflicting_rewrites").alias("old"), F.min(F.struct("batch", "source_partition", "source_offset")).alias("at")
     )
-    row = F.struct(*SUMS, F.col("at.source_partition"), F.col("at.source_offset"), "n")
-    one = same.groupBy(*KEY).agg(F.min_by(row, F.struct("at.batch", *SUMS)).alias("r"), F.sum("n").alias("all"), F.sum("old").alias("old"))
-    return one.select(*KEY, *[F.col(f"r.{c}").alias(c) for c in (*SUMS, "source_partition", "source_offset")], (F.col("old") + F.col("all") - F.col("r.n")).cast("int").alias("conflicting_rewrites"))
+    row = F.struct(*sums, F.col("at.source_partition"), F.col("at.source_offset"), "n")
+    one = same.groupBy(*KEY).agg(F.min_by(row, F.struct("at.batch", *sums)).alias("r"), F.sum("n").alias("all"), F.sum("old").alias("old"))
+    return one.select(*KEY, *[F.col(f"r.{c}").alias(c) for c in (*sums, "source_partition", "source_offset")], (F.col("old") + F.col("all") - F.col("r.n")).cast("int").alias("conflicting_rewrites"))
 
 
 def write_labels(labels: DataFrame, path: str) -> DataFrame:
