@@ -341,6 +341,9 @@ _SQL: dict[str, tuple[tuple[str, ...], str]] = {
         ("asked", "latest"),
         "select request_id, pos, a.zone, l.zone is not null as found, window_end_ms, trips_5m, fare_mean_15m, demand_spike_ratio from asked a left join latest l on l.zone = a.zone",
     ),
+    "stream_metrics": (("trips", "features"), "select 3::bigint as batches, (select count(*) from trips) as events, (select count(*) from features) as feature_rows, 0::bigint as lag, true as measured"),
+    "shadow_report": (("trips", "latest"), "select count(*) as checked, count(*) filter (zone % 11 = 3) as bad, 0::bigint as pending, false as warming_up, (select count(*) from trips)::bigint as events from latest"),
+    "paced_features": (("features",), f"select {_F} from features"),
     "trend_features": (("t_features",), f"select zone, window_end_ms, {_T} from t_features"),
     "trend_stream": (("t_features",), f"select zone, window_end_ms, {_T} from t_features"),
     "trend_serving": (("asked", "t_latest"), f"select request_id, pos, a.zone, l.zone is not null as found, window_end_ms, {_T}, distance_mean_120m, trend_ratio from asked a left join t_latest l on l.zone = a.zone"),

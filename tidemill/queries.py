@@ -245,6 +245,52 @@ def replica_state(spark, d):
     return replica.headers().join(replica.buckets(), "partition")
 
 
+@query
+def stream_metrics(spark, d):
+    from .streaming.engine import replay_as_stream
+    from .streaming.monitor import MetricsListener
+
+    listener = MetricsListener(spark, shared_path(spark, "metrics"))
+    replay_as_stream(spark, fixtures.trips(spark, d).drop("event_id").withColumn("publish_ms", F.col("event_time_ms")), listener=listener)
+    return listener.table().agg(F.count("*").alias("batches"), F.sum("input_rows").alias("events"), F.sum("feature_rows").alias("feature_rows"), F.max("lag").alias("lag"), (F.min("freshness_s") > 0).alias("measured"))
+
+
+@query
+def shadow_report(spark, d):
+    from .streaming.engine import read_log_files, start, write_log
+    from .streaming.monitor import ShadowSink
+
+    log, trips = shared_path(spark, "log"), fixtures.trips(spark, d)
+    wrong = windows.latest(fixtures.features(spark, d).select("zone", "window_end_ms", *SUMS)).withColumn("trips_5m", F.col("trips_5m") + (F.col("zone") % 11 == 3).cast("int"))
+    shadow = ShadowSink(spark, shared_path(spark, "shadow"), lambda: wrong)
+    write_log(trips, log, 2)
+    start(read_log_files(spark, log), shared_path(spark, "state"), shadow.sink, changelog=True).awaitTermination()
+    return shadow.checks().where(F.col("batch") == 1).select("checked", "bad", "pending", "warming_up", "events")
+
+
+@query
+def paced_features(spark, d):
+    from .sources.storage import delete
+    from .streaming.engine import read_log_files, start
+    from .streaming.paced import PacedReplay
+    from .streaming.store import FeatureStore
+
+    path, root, state, now = shared_path(spark, "paced"), shared_path(spark, "store"), shared_path(spark, "state"), [0.0]
+    replay_ = PacedReplay(fixtures.trips(spark, d).drop("event_id", "event_type"), path, 5000.0, clock=lambda: now[0])
+    going = replay_.step()
+    while going:  # three seconds a step; faster after the second one
+        now[0] += 3.0
+        if now[0] == 6.0:
+            replay_.change(20_000.0)
+        going = replay_.step()
+    store = FeatureStore(spark, root)
+    start(read_log_files(spark, path, 8), state, store.sink, gap_ms=60_000).awaitTermination()
+    replay_.clean()
+    for done in (path, state):
+        delete(spark, done)
+    return store.history().select("zone", "window_end_ms", *SUMS)
+
+
 # a second declared view
 
 

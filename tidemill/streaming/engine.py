@@ -34,6 +34,8 @@ from .store import FeatureStore
 _EVENT = "event_time_ms long, zone int, fare_cents long, distance_milli long, publish_ms long"
 _EVENT_NAMES = ["event_time_ms", "zone", "fare_cents", "distance_milli", "publish_ms"]
 _NUMBERS = ("max_event_time_ms", "closed_until_ms", "late_dropped", "events")
+#: The name of what each micro-batch's progress tells of its feature rows.
+OBSERVED = "features"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -252,6 +254,8 @@ def start(log: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     rows = features_stream(log, gap_ms, snapshot, changelog, timers=bool(gap_ms) and not available_now, view=view)
+    row = F.col("kind") == "feature" if changelog else F.lit(True)
+    rows = rows.observe(OBSERVED, F.count_if(row).alias("feature_rows"), F.max(F.when(row, F.col("trigger_publish_ms"))).alias("published_ms"))
     writer = rows.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(sink)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
 
@@ -274,20 +278,25 @@ def write_log(log: DataFrame, path: str, files: int) -> None:
 
 
 def read_log_files(spark: SparkSession, path: str, files_each: int = 1) -> DataFrame:
-    """The files of ``write_log`` as a stream."""
-    kind = schemas.WIRE if "value" in spark.read.parquet(path).columns else schemas.TRIPS
-    return spark.readStream.schema(kind).option("maxFilesPerTrigger", files_each).parquet(path)
+    """The files of ``write_log`` as a stream; folders below ``path`` too, as a paced replay makes them."""
+    kind = schemas.WIRE if "value" in spark.read.option("recursiveFileLookup", "true").parquet(path).columns else schemas.TRIPS
+    return spark.readStream.schema(kind).option("maxFilesPerTrigger", files_each).option("recursiveFileLookup", "true").parquet(path)
 
 
-def replay_as_stream(spark: SparkSession, log: DataFrame, files: int = 3, replica: Replica | None = None, repeat: int = 0, headers: list | None = None, view: FeatureView = ZONE_DEMAND) -> DataFrame:
-    """All feature rows of a bounded log (of events or wire records), made by the stream and kept by the upserting sink. replica: gets the changelog of the same stream. repeat: then the stream is stopped
+def replay_as_stream(spark: SparkSession, log: DataFrame, files: int = 3, replica: Replica | None = None, repeat: int = 0, headers: list | None = None, view: FeatureView = ZONE_DEMAND, listener=None) -> DataFrame:
+    """All feature rows of a bounded log (of events or wire records), made by the stream and kept by the upserting sink. listener: a ``monitor.MetricsListener`` to tell. replica: gets the changelog of the same stream. repeat: then the stream is stopped
     and started again on so many last offsets of each partition, which are delivered a second time. headers: gets the partitions' headers at the end."""
     path, root, state = (shared_path(spark, n) for n in ("log", "store", "state"))
     write_log(log, path, files)
     store = FeatureStore(spark, root, definition=view)
     sink = store.sink if replica is None else change_sink(store, replica)
+    if listener is not None:
+        spark.streams.addListener(listener)
     try:
-        start(read_log_files(spark, path), state, sink, changelog=replica is not None, view=view).awaitTermination()
+        query = start(read_log_files(spark, path), state, sink, changelog=replica is not None, view=view)
+        query.awaitTermination()
+        if listener is not None and not listener.wait(query):
+            raise TimeoutError("the listener was not told of the stream's end")
         if repeat:
             ends = log.groupBy("partition").agg((F.max("offset") - repeat).alias("end"))
             write_log(log.join(ends, "partition").where("offset > end"), path, 1)
@@ -295,6 +304,8 @@ def replay_as_stream(spark: SparkSession, log: DataFrame, files: int = 3, replic
         if headers is not None:
             headers += state_headers(spark, state).collect()  # one row a log partition
     finally:
+        if listener is not None:
+            spark.streams.removeListener(listener)
         for done in (path, state):
             delete(spark, done)
     return store.history()
@@ -353,7 +364,7 @@ def shadow(spark: SparkSession, log_stream: DataFrame, checkpoint: str, stored_l
         warming = first_offset > 0 and seen < WARM_UP_MS
         found = shadow_check(stored_latest(), rows).first().asDict()
         if warming:
-            found |= {"pending": sum(found.values()), "checked": 0, "bad": 0}
+            found |= {"pending": found["pending"] + found["checked"], "checked": 0, "bad": 0}
         return found | {"warming_up": warming, "events": heads["events"] or 0}
 
     return check
