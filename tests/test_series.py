@@ -1,12 +1,13 @@
 """Mergeable latency histograms and rates over sliding windows, against plain loops."""
 
+import itertools
 import math
 import random
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemill.operators import ordering, series
+from tidemill.operators import measure, ordering, series
 
 
 def bucket(us):
@@ -87,3 +88,22 @@ def test_the_row_before_in_two_levels(spark):
     for width in (1, 100, 10**6):
         got = ordering.previous(df, ["g"], "t", width, ["t", "id"], "b")
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_counters_and_roles_over_slots(spark):
+    """A slot's width has no effect: resets, first samples and changes at a slot's edge are found."""
+    r = random.Random(4)
+    samples = [(c, t, r.randrange(100)) for c in ("a", "b") for t in sorted(r.sample(range(5_000), 60))] + [("one", 5, 3)]
+    frame = spark.createDataFrame(samples, "name string, t_s long, total long")
+    want = {}
+    for c in ("a", "b"):
+        mine = [(t, v) for n, t, v in samples if n == c]
+        grown = sum(w - v if w >= v else w for (_, v), (_, w) in itertools.pairwise(mine))
+        want[c] = (grown, grown / (mine[-1][0] - mine[0][0]))
+    roles = [(c, t, "leader" if v > 50 else "follower") for c, t, v in samples]
+    changed = sorted((c, t, a, b) for c in ("a", "b") for (_, a), (t, b) in itertools.pairwise([(t, x) for n, t, x in roles if n == c]) if a != b)
+    for slot in (1, 100, 1 << 40):
+        got = {x["name"]: (x["increase"], x["rate"]) for x in measure.counter_rate(frame, ["name"], "t_s", "total", slot).collect()}
+        assert got == want
+        found = measure.role_changes(spark.createDataFrame(roles, "name string, t long, role string"), "name", "t", "role", slot)
+        assert sorted(map(tuple, found.select("name", "t", "was", "now").collect())) == changed

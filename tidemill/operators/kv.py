@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import CHUNK_EVENTS
-from .ordering import earlier
+from .ordering import earlier, previous
 
 
 def _epochs(log: DataFrame, column: str) -> DataFrame:
@@ -23,8 +22,7 @@ def _epochs(log: DataFrame, column: str) -> DataFrame:
     cut = cut.select("index", F.expr("substring(name, 1, size)").alias("prefix"), F.lit(None).cast("long").alias("purge_index"))
     cut = cut.join(purges.select("prefix").distinct(), "prefix", "left_semi")
     both = cut.unionByName(purges.select("index", "prefix", F.col("index").cast("long").alias("purge_index")))
-    by = W.partitionBy("prefix")
-    seen = both.withColumn("epoch", F.max("purge_index").over(by.orderBy("index").rowsBetween(W.unboundedPreceding, -1))).where("purge_index is null")
+    seen = earlier(both, ["prefix"], "index", CHUNK_EVENTS, F.max, "purge_index", "epoch").where("purge_index is null")
     seen = seen.join(purges.groupBy("prefix").agg(F.max("index").alias("last_purge")), "prefix")
     seen = seen.groupBy("index").agg(F.max("epoch").alias("epoch"), F.max("last_purge").alias("last_purge"))
     return puts.join(seen, "index", "left")
@@ -32,9 +30,9 @@ def _epochs(log: DataFrame, column: str) -> DataFrame:
 
 def client_dedup(log: DataFrame) -> DataFrame:
     """Each put and whether it is applied: a named client's sequence number must exceed all its earlier ones since its last purge."""
-    rows = _epochs(log, "client").drop("last_purge")
-    before = F.max("seq").over(W.partitionBy("client", "epoch").orderBy("index").rowsBetween(W.unboundedPreceding, -1))
-    applied = (F.coalesce("client", F.lit("")) == "") | before.isNull() | (F.col("seq") > before)
+    rows = _epochs(log, "client").withColumns({"_client": F.coalesce("client", F.lit("")), "_epoch": F.coalesce("epoch", F.lit(-1))})
+    rows = earlier(rows, ["_client", "_epoch"], "index", CHUNK_EVENTS, F.max, "seq", "before")
+    applied = (F.col("_client") == "") | F.col("before").isNull() | (F.col("seq") > F.col("before"))
     return rows.select("index", "client", "seq", "op", "key", "value", applied.alias("applied"))
 
 
@@ -61,8 +59,7 @@ def purge_counts(log: DataFrame) -> DataFrame:
     keys = keys.select("key", F.explode(F.filter("sizes", lambda n: n <= F.length("key"))).alias("size"))
     taken = keys.select("key", F.expr("substring(key, 1, size)").alias("prefix")).join(purges, "prefix").select("index", "key", F.lit(False).alias("puts"))
     # along each key, a purge takes the register if a put is the last thing before it
-    before = F.lag("puts").over(W.partitionBy("key").orderBy("index"))
-    took = puts.unionByName(taken).withColumn("took", ~F.col("puts") & F.coalesce(before, F.lit(False)))
+    took = previous(puts.unionByName(taken), ["key"], "index", CHUNK_EVENTS, ["puts"], "before").withColumn("took", ~F.col("puts") & F.coalesce("before.puts", F.lit(False)))
     counts = took.where(~F.col("puts")).groupBy("index").agg(F.count_if("took").alias("purged"))
     return purges.join(counts, "index", "left").select("index", "prefix", F.coalesce("purged", F.lit(0)).alias("purged"))
 

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ordering import at_ranks, earlier
+from .ordering import at_ranks, earlier, previous
+
+#: Seconds of a series that a single task orders at once.
+SLOT_S = 86_400
 
 
 def nearest_rank(rows: DataFrame, value: str, by: list[str], quantiles: dict[str, float]) -> DataFrame:
@@ -68,13 +71,12 @@ def sustained(rate: Column, slope: Column) -> Column:
     return (rate > 0) & (slope <= 0.01 * rate)
 
 
-def counter_rate(samples: DataFrame, by: list[str], time_s: str, value: str) -> DataFrame:
-    """Increase and rate of each counter; a smaller value than before is a reset, which counts from zero."""
-    order = W.partitionBy(*by).orderBy(time_s)
-    before, since = F.lag(value).over(order), F.lag(time_s).over(order)
-    rows = samples.select(*by, time_s, value, before.alias("b"), since.alias("t")).where("b is not null")
-    grown = F.when(F.col(value) >= F.col("b"), F.col(value) - F.col("b")).otherwise(F.col(value))
-    return rows.groupBy(*by).agg(F.sum(grown).alias("increase"), (F.sum(grown) / (F.max(time_s) - F.min("t"))).alias("rate"))
+def counter_rate(samples: DataFrame, by: list[str], time_s: str, value: str, slot_s: int = SLOT_S) -> DataFrame:
+    """Increase and rate of each counter; a smaller value than before is a reset, which counts from zero. A counter's samples are cut into slots of time."""
+    named = samples.select(*by, F.col(time_s).alias("_t"), F.col(value).alias("_v"))
+    rows = previous(named, by, "_t", slot_s, ["_v", "_t"], "_p").where("_p is not null and _p._v is not null")
+    grown = F.when(F.col("_v") >= F.col("_p._v"), F.col("_v") - F.col("_p._v")).otherwise(F.col("_v"))
+    return rows.groupBy(*by).agg(F.sum(grown).alias("increase"), (F.sum(grown) / (F.max("_t") - F.min("_p._t"))).alias("rate"))
 
 
 def rate_by(samples: DataFrame, by: list[str], label: str, time_s: str, value: str) -> DataFrame:
@@ -94,10 +96,10 @@ def gauge_max(samples: DataFrame, value: str) -> DataFrame:
     return samples.agg(F.coalesce(F.max(value).cast("double"), F.lit(0.0)).alias("largest"))
 
 
-def role_changes(samples: DataFrame, by: str, time: str, role: str) -> DataFrame:
-    """Rows whose role differs from the one before."""
-    order = W.partitionBy(by).orderBy(time)
-    return samples.select(by, time, F.lag(role).over(order).alias("was"), F.col(role).alias("now")).where("was is not null and was <> now")
+def role_changes(samples: DataFrame, by: str, time: str, role: str, slot: int = SLOT_S * 1000) -> DataFrame:
+    """Rows whose role differs from the one before. A node's samples are cut into slots of time (in the unit of ``time``)."""
+    rows = previous(samples.select(by, time, F.col(role).alias("now")), [by], time, slot, ["now"], "_p")
+    return rows.select(by, time, F.col("_p.now").alias("was"), "now").where("was is not null and was <> now")
 
 
 def failover(samples: DataFrame, fault_ms: int, old: str) -> DataFrame:
