@@ -142,3 +142,17 @@ def test_late_counts_as_event(spark):
     s = windows.partition_stats(frame(spark, events)).first()
     assert (s["to_offset"], s["events"], s["late_dropped"]) == (2, 3, 1)
     assert windows.bucket_agg(frame(spark, events)).agg(F.sum("count")).first()[0] == 2
+
+
+def test_buckets_are_not_dealt_before_a_shuffle(spark):
+    """What is shuffled and sorted is a few changes a bucket, not a row for each of its 61 window ends; these are written out last."""
+    trips = frame(spark, stream(41, n=200))
+    got = windows.zone_features(trips)
+    steps = [line.strip(" :+-") for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+    dealt = next(i for i, step in enumerate(steps) if step.startswith("Generate explode(sequence"))
+    assert not any(step.startswith(("Aggregate", "Window", "Sort", "Repartition")) for step in steps[:dealt])
+    buckets = windows.bucket_agg(trips)
+    ends = windows.closings(trips)
+    want = buckets.join(ends, "partition").withColumn("age", F.explode(F.sequence(F.lit(1), F.lit(61)))).withColumn("window_end_ms", F.col("start_ms") + F.col("age") * 60_000).where("window_end_ms <= closed_until_ms")
+    want = want.groupBy("partition", "zone", "window_end_ms").agg(*[F.sum(F.when(F.col("age") <= t.minutes, F.col(t.field)).otherwise(0)).alias(t.name) for t in windows.ZONE_DEMAND.totals])
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
