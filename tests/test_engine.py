@@ -67,6 +67,17 @@ def test_compact_files_round_trip(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, trips.collect()))
 
 
+def test_compact_files_of_a_large_day_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(files, "FILE_TRIPS", 100)
+    trips = fixtures.trips(spark, SF).select((F.floor(F.col("event_time_ms") / 1000) * 1000).alias("event_time_ms"), "zone", "fare_cents", "distance_milli")
+    path = shared_path(spark, "compact")
+    files.write_compact(trips, 0, 1 << 50, path)
+    back = files.read_compact(spark, path)
+    sizes = [r["count"] for r in back.groupBy("file").count().collect()]
+    assert max(sizes) == 100 and len(sizes) >= trips.count() // 100
+    assert sorted(map(tuple, back.drop("file", "seq").collect())) == sorted(map(tuple, trips.collect()))
+
+
 def test_operation_history_files(spark):
     ops = fixtures.ops(spark, SF)
     path = shared_path(spark, "ops")

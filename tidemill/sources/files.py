@@ -13,6 +13,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..operators.ordering import numbered
+
+#: Trips of a compact file at most.
+FILE_TRIPS = 1 << 17
 
 
 def read_raw_trips(spark: SparkSession, path: str) -> DataFrame:
@@ -98,8 +102,8 @@ def read_compact(spark: SparkSession, path: str) -> DataFrame:
 
     def decode(batches):
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = gzip.decompress(content)
+            for name, content in zip(batch.column(0), batch.column(1), strict=True):
+                name, data = name.as_py(), gzip.decompress(content.as_py())
                 (base,) = struct.unpack_from("<q", data)
                 v = _varints(data[8:]).reshape(-1, 4)
                 yield pa.RecordBatch.from_arrays(
@@ -122,23 +126,25 @@ def _encoded(values: np.ndarray) -> bytes:
 
 
 def compact(trips: DataFrame, start_ms: int, stop_ms: int) -> DataFrame:
-    """One compact file (column ``content``) of the trips of each day in [start, stop)."""
+    """Compact files (column ``content``) of the trips of each day in [start, stop): one a day, or where a day has more than FILE_TRIPS trips, as many as it needs, in the order of time."""
     rows = trips.where((F.col("event_time_ms") >= start_ms) & (F.col("event_time_ms") < stop_ms)).withColumn("day", F.floor(F.col("event_time_ms") / 86_400_000))
-    rows = rows.select("day", "event_time_ms", "zone", F.floor(F.col("event_time_ms") / 1000).alias("s"), "fare_cents", F.floor(F.col("distance_milli") / 10).alias("d"))
+    rows = numbered(rows, ["day"], "event_time_ms", 60_000, "nth", "zone").withColumn("part", F.floor(F.col("nth") / FILE_TRIPS))
+    rows = rows.select("day", "part", "event_time_ms", "zone", F.floor(F.col("event_time_ms") / 1000).alias("s"), "fare_cents", F.floor(F.col("distance_milli") / 10).alias("d"))
 
     def encode(group: pa.Table) -> pa.Table:
         t = group.sort_by([("event_time_ms", "ascending"), ("zone", "ascending")])
         s, zone, cents, d = (t.column(c).to_numpy().astype(np.int64) for c in ("s", "zone", "fare_cents", "d"))
         numbers = np.stack([np.diff(s, prepend=s[0]), zone, cents, d], axis=1).ravel()
         content = struct.pack("<q", int(s[0])) + _encoded(numbers)
-        return pa.table({"day": pa.array([t.column("day")[0].as_py()], pa.int64()), "content": pa.array([gzip.compress(content, mtime=0)], pa.binary())})
+        key = {c: pa.array([t.column(c)[0].as_py()], pa.int64()) for c in ("day", "part")}
+        return pa.table(key | {"content": pa.array([gzip.compress(content, mtime=0)], pa.binary())})
 
-    return rows.groupBy("day").applyInArrow(encode, "day long, content binary")
+    return rows.groupBy("day", "part").applyInArrow(encode, "day long, part long, content binary")
 
 
 def write_compact(trips: DataFrame, start_ms: int, stop_ms: int, path: str) -> None:
     """The compact files of ``compact`` in a table folder, one row a file, as ``read_compact`` takes them besides loose files."""
-    compact(trips, start_ms, stop_ms).select(F.col("day").cast("string").alias("path"), "content").write.mode("overwrite").parquet(path)
+    compact(trips, start_ms, stop_ms).select(F.concat_ws("-", "day", "part").alias("path"), "content").write.mode("overwrite").parquet(path)
 
 
 def _is_table(spark: SparkSession, path: str) -> bool:
