@@ -191,6 +191,24 @@ def test_verification_job_and_snapshot(spark):
     assert '"partitions"' in doc and '"zones"' in doc
 
 
+def test_fingerprints_of_sets_travel_once(spark):
+    import hashlib
+
+    rows = spark.range(400).selectExpr("id a", "id % 7 b").unionByName(spark.createDataFrame([(5, None), (5, None)], "a long, b long"))
+    sets = [F.lit(True), F.col("b") != 3, F.lit(False)]
+    got = verify.fingerprints(rows, ["a", "b"], sets)
+    want = {}
+    for k, keep in enumerate((lambda b: True, lambda b: b is not None and b != 3)):
+        level = sorted((h, h) for a, b in rows.collect() if keep(b) for h in [hashlib.sha256(f"{a}|{'' if b is None else b}".encode()).hexdigest()])
+        n = len(level)
+        for digits in (6, 4, 2, 0):
+            names = sorted({name[:digits] for name, _ in level})
+            level = [(m, hashlib.sha256("\n".join(h for name, h in level if name[:digits] == m).encode()).hexdigest()) for m in names]
+        want[k] = (level[0][1], n)
+    assert {r["node"]: (r["sha256"], r["row_count"]) for r in got.collect()} == want
+    assert tuple(verify.fingerprint(rows, ["a", "b"]).first()) == want[0] and verify.fingerprint(rows.where("false"), ["a", "b"]).isEmpty()
+
+
 def test_sample_and_model_helpers(spark):
     f = fixtures.features(spark, SF)
     assert verify.sample_rows(f, 4).count() == 20

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SUMS
@@ -59,16 +59,28 @@ def shadow_check(stored: DataFrame, shadow: DataFrame, last: int = 240) -> DataF
     return rows.agg(F.count_if(~pending).alias("checked"), F.count_if(bad).alias("bad"), F.count_if(pending).alias("pending"))
 
 
-def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """SHA-256 over rows in a canonical order. Each row is hashed where it is. The hashes are the leaves of a tree by their first hex digits: six,
-    then four, then two, then none, each node the hash of its children in order. Inner nodes have 256 children at most, and the lowest ones share the
-    rows by 16 million, so that no task holds many."""
+def fingerprints(rows: DataFrame, columns: list[str], of: list[Column]) -> DataFrame:
+    """SHA-256 over rows in a canonical order, for each set of rows that a condition of ``of`` names (``node``: its number). Each row is hashed where it is and travels once for all
+    sets, as 32 bytes and whose it is. The hashes are the leaves of a tree by their first hex digits: six, then four, then two, then none, each node the hash of its children in
+    order. Inner nodes have 256 children at most, and the lowest ones share the rows by 16 million, so that no task holds many."""
     text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    level = rows.select(F.sha2(text, 256).alias("h")).select("h", F.col("h").alias("name"), F.lit(1).cast("long").alias("n"))
-    for digits in (6, 4, 2, 0):
+    leaves = rows.select(F.unhex(F.sha2(text, 256)).alias("h"), F.array(*[F.coalesce(c, F.lit(False)) for c in of]).alias("of"))
+    if len(of) == 1:
+        leaves = leaves.where(F.col("of")[0]).select("h")
+    leaves = leaves.withColumn("p", F.substring("h", 1, 3)).repartition("p").groupBy("p").agg(F.array_sort(F.collect_list(F.struct(*leaves.columns))).alias("all"))
+    mine = lambda k: F.filter("all", lambda x: x["of"][k])
+    own = [F.col("all")] if len(of) == 1 else [mine(k) for k in range(len(of))]
+    node = lambda k, a: F.struct(F.lit(k).alias("node"), F.sha2(F.array_join(F.transform(a, lambda x: F.lower(F.hex(x["h"]))), "\n"), 256).alias("h"), F.size(a).cast("long").alias("n"))
+    level = leaves.select(F.lower(F.hex("p")).alias("name"), F.inline(F.array(*[node(k, a) for k, a in enumerate(own)]))).where("n > 0")
+    for digits in (4, 2, 0):
         children = F.transform(F.array_sort(F.collect_list(F.struct("name", "h"))), lambda x: x["h"])
-        level = level.groupBy(F.substring("name", 1, digits).alias("name")).agg(F.sha2(F.array_join(children, "\n"), 256).alias("h"), F.sum("n").alias("n"))
-    return level.select(F.col("h").alias("sha256"), F.col("n").alias("row_count"))
+        level = level.groupBy("node", F.substring("name", 1, digits).alias("name")).agg(F.sha2(F.array_join(children, "\n"), 256).alias("h"), F.sum("n").alias("n"))
+    return level.select("node", F.col("h").alias("sha256"), F.col("n").alias("row_count"))
+
+
+def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The fingerprint of all rows."""
+    return fingerprints(rows, columns, [F.lit(True)]).drop("node")
 
 
 def state_fingerprint(stats: DataFrame, buckets: DataFrame, features: DataFrame) -> DataFrame:
