@@ -215,3 +215,18 @@ def test_sample_and_model_helpers(spark):
     assert model.busiest(f).count() == 1
     nodes = spark.createDataFrame([("x", 1), ("x", 1)], "fingerprint string, applied long")
     assert verify.converged(nodes).first()["converged"]
+
+
+def test_roc_auc_looks_up_the_part_of_each_distinct_score_only(spark):
+    scores = [(None, 1), (None, 0), *((float(k * 7919 % 401) / 3, k % 3 == 0 and k % 401 > 90) for k in range(1200))]
+    df = spark.createDataFrame([(s, int(y)) for s, y in scores], "score double, label int")
+    r = model.roc_auc(df, "score", "label")
+    plan = r._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "scalar-subquery" in line]
+    value = [-1.0 if s is None else s for s, _ in scores]  # nulls come first
+    good, bad = ([v for v, (_, y) in zip(value, scores, strict=True) if bool(y) is kind] for kind in (True, False))
+    auc = sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad))
+    steps = sum(good.count(v) * sum(g >= v for g in good) / sum(x >= v for x in value) for v in set(good)) / len(good)
+    for parts in (2, 3, 64, 256):
+        got = model.roc_auc(df, "score", "label", parts).first()
+        assert abs(got["auc"] - auc) < 1e-9 and abs(got["average_precision"] - steps) < 1e-9 and got["examples"] == len(scores)

@@ -30,10 +30,13 @@ def roc_auc(scored: DataFrame, score: str, label: str, parts: int = 256) -> Data
     """Area under the ROC curve by ranks (ties share), average precision by steps of recall, and the positive rate.
 
     Work is done on one row per distinct score. These are cut at approximate quantiles, and the running sums go over the parts,
-    and within each."""
+    and within each. A score's part is found by halving, and is never null: else the join's test for nulls would be pushed below the grouping,
+    and every example would be searched for, not every distinct score."""
     groups = scored.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.sum(F.col(label)).cast("double").alias("p"))
     cuts = groups.agg(F.percentile_approx("s", [k / parts for k in range(1, parts)], 4 * parts)).scalar()
-    groups = groups.withColumn("cuts", cuts).withColumn("part", F.size(F.filter("cuts", lambda c: c <= F.col("s")))).drop("cuts")
+    halves = F.array(*[F.lit(1 << k) for k in reversed(range((parts - 1).bit_length()))])
+    part = F.aggregate(halves, F.lit(0), lambda low, k: F.when(F.get("cuts", low + k - 1) <= F.col("s"), low + k).otherwise(low))
+    groups = groups.withColumn("cuts", cuts).withColumn("part", F.coalesce(part, F.lit(0))).drop("cuts")
     heads = groups.groupBy("part").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
     along = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     heads = heads.select("part", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("n0"), F.coalesce(F.sum("p").over(along), F.lit(0.0)).alias("p0"), F.sum("n").over(W.partitionBy()).alias("all"), F.sum("p").over(W.partitionBy()).alias("all_p"))
