@@ -13,6 +13,7 @@ from tidemill.operators import history, windows
 from tidemill.sources import files, fixtures
 from tidemill.sources.daytable import DAY_MS, DayTable
 from tidemill.sources.manifest import Manifest
+from tidemill.streaming.store import merged
 from tidemill.sources.storage import shared_path
 from tidemill.streaming import engine, replica, store
 
@@ -248,3 +249,14 @@ def test_compaction_that_fails_loses_no_conflict(spark, monkeypatch, step):
     low, high = (base.agg(f("window_end_ms")).first()[0] for f in (F.min, F.max))
     some = kept.history(VIEW, low, (low + high) // 2)
     assert rows(some, *h.columns) == [x for x in before if low <= x[h.columns.index("window_end_ms")] < (low + high) // 2]
+
+
+def test_rows_of_an_upsert_travel_once(spark):
+    """However often a key is written, its rows meet in a sort and in no one value."""
+    stored, batch = days_of(spark, 1, 3), days_of(spark, 2, 4, extra=1)
+    often = batch.unionByName(batch.withColumn("trips_5m", F.col("trips_5m") + F.lit(2))).unionByName(batch)
+    for made in (history.upsert(stored, often), merged(stored.withColumn("batch", F.lit(0)).unionByName(often.withColumn("batch", F.lit(1))))):
+        plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        assert plan.count("Exchange hashpartitioning") == 1 and "collect_list" not in plan and "Aggregate" not in plan
+        found = {r["window_end_ms"] // DAY_MS: (r["n"], r["c"]) for r in made.groupBy((F.floor(F.col("window_end_ms") / DAY_MS) * DAY_MS).alias("window_end_ms")).agg(F.count("*").alias("n"), F.sum("conflicting_rewrites").alias("c")).collect()}
+        assert found == {1: (24, 0), 2: (24, 72), 3: (24, 24)}  # of a new key's three rows two are equal and taken
