@@ -260,3 +260,14 @@ def test_rows_of_an_upsert_travel_once(spark):
         assert plan.count("Exchange hashpartitioning") == 1 and "collect_list" not in plan and "Aggregate" not in plan
         found = {r["window_end_ms"] // DAY_MS: (r["n"], r["c"]) for r in made.groupBy((F.floor(F.col("window_end_ms") / DAY_MS) * DAY_MS).alias("window_end_ms")).agg(F.count("*").alias("n"), F.sum("conflicting_rewrites").alias("c")).collect()}
         assert found == {1: (24, 0), 2: (24, 72), 3: (24, 24)}  # of a new key's three rows two are equal and taken
+
+
+def test_a_large_day_becomes_many_files(spark):
+    rows_ = spark.range(40_000).select(F.lit(VIEW).alias("feature_view"), F.lit(1).alias("zone"), F.col("id").alias("window_end_ms"), *[F.xxhash64("id", F.lit(c)).alias(c) for c in SUMS], F.lit(0).alias("source_partition"), F.lit(1).cast("long").alias("source_offset"), F.lit(0).alias("conflicting_rewrites"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        t = DayTable(spark, shared_path(spark, "days"))
+        t.upsert(rows_)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(t.rows().inputFiles()) > 1 and t.rows().count() == 40_000

@@ -68,7 +68,7 @@ class DayTable:
         if touched:
             old = self._read([self._folder(v, d, days[v][str(d)]) for v, d in touched if str(d) in days.get(v, {})]).select(*self.columns)
             rows = (combine(old, batch) if combine else upsert(old, batch, self.definition)).select(*self.columns).withColumns({"day": day(), "version": F.lit(version)})
-            self._write(rows.repartition("feature_view", "day", F.pmod(F.xxhash64("zone"), F.lit(32))))
+            self._write(rows.hint("rebalance", "feature_view", "day"))  # a large day becomes many files, by its bytes
         days = {v: {**days.get(v, {}), **{str(d): version for w, d in touched if w == v}} for v in {*days, *(v for v, _ in touched)}}
         self.manifest.publish({**content, **also, "days": days})
         return touched
