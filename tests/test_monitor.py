@@ -73,3 +73,20 @@ def test_shadow_that_begins_late_warms_up(spark):
     found = shadow.checks().first()
     assert found["warming_up"] and (found["bad"], found["checked"], found["pending"]) == (0, 0, 1)
     assert shadow.totals().first()["total_checked"] == 0
+
+
+def test_rows_that_spark_computes_twice_count_once(spark, monkeypatch):
+    """As when an executor is lost: the micro-batch's rows are computed again."""
+    trips, sink = frame(spark, log(spark, 22)), engine.FeatureStore.sink
+
+    def twice(self, batch, number):
+        batch.write.format("noop").mode("overwrite").save()
+        sink(self, batch, number)
+
+    monkeypatch.setattr(engine.FeatureStore, "sink", twice)
+    listener = MetricsListener(spark, shared_path(spark, "metrics"))
+    made = engine.replay_as_stream(spark, trips, files=3, listener=listener)
+    found = listener.table().collect()
+    assert sum(r["feature_rows"] for r in found) == made.count() > 0 and sum(r["input_rows"] for r in found) == trips.count() and len(found) == 3
+    told = spark.read.json(listener.root).agg(F.sum("feature_rows")).first()[0]
+    assert told == 2 * made.count()  # what Spark's own count says

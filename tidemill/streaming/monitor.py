@@ -17,11 +17,13 @@ from ..config import WARM_UP_MS
 from ..operators.verify import shadow_check
 from ..operators.windows import last_n
 from ..sources.manifest import Manifest
-from ..sources.storage import delete
+from ..sources.storage import delete, exists
 from .engine import OBSERVED, lag
 
 METRICS = "query string, run string, batch long, started_ms long, trigger_ms long, input_rows long, rows_per_s double, lag long, feature_rows long, freshness_s double"
 CHECKS = "at_ms long, checked long, bad long, pending long, warming_up boolean, events long"
+#: What ``MetricsListener.settle`` corrects.
+_SETTLED = ("input_rows", "feature_rows")
 #: Rows of each entity that a shadow keeps.
 SHADOW_ROWS = 240
 
@@ -40,7 +42,8 @@ def metrics_row(progress: dict) -> dict:
 
 class MetricsListener(StreamingQueryListener):
     """Keeps the progress of a session's streams as a table under ``root``. Rows are written ``each`` at a time and when a stream ends, as one small file by way of Hadoop's
-    file system: a listener starts no job."""
+    file system: a listener starts no job. Spark counts a progress entry's rows as tasks compute them, so twice where an executor is lost and its part computed again;
+    ``settle`` puts what was committed in their place."""
 
     def __init__(self, spark: SparkSession, root: str, each: int = 60):
         self.spark, self.root, self.each = spark, root.rstrip("/"), each
@@ -81,9 +84,21 @@ class MetricsListener(StreamingQueryListener):
         """Whether the ended stream's last rows are in the table; listeners are told after a stream's end."""
         return self._end(str(query.runId)).wait(seconds)
 
+    def settle(self, query, committed: DataFrame) -> None:
+        """committed: batch, input_rows and feature_rows of the ended stream's micro-batches, from what they left (``engine.taken``, ``FeatureStore.made``)."""
+        rows = committed.select("batch", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in _SETTLED])
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.root}-settled/run={query.runId}")  # one row a micro-batch
+
     def table(self) -> DataFrame:
-        """One row a micro-batch; a stream's micro-batch that was told twice counts once."""
-        return self.spark.read.schema(METRICS).json(self.root).dropDuplicates(["run", "batch"])
+        """One row a micro-batch; a stream's micro-batch that was told twice counts once. Rows are those committed, where the stream was settled."""
+        told = self.spark.read.schema(METRICS).json(self.root).dropDuplicates(["run", "batch"])
+        if not exists(self.spark, f"{self.root}-settled"):
+            return told
+        right = self.spark.read.schema(f"batch long, {', '.join(f'{c} long' for c in _SETTLED)}, run string").parquet(f"{self.root}-settled")
+        right = right.withColumnsRenamed({c: f"right_{c}" for c in _SETTLED})
+        rows = told.join(right, ["run", "batch"], "left").withColumns({c: F.coalesce(f"right_{c}", c) for c in _SETTLED})
+        none = F.col("right_feature_rows").eqNullSafe(F.lit(0))  # then there is no freshness, whatever was computed
+        return rows.withColumn("freshness_s", F.when(~none, F.col("freshness_s"))).select(*told.columns)
 
 
 class ShadowSink:
