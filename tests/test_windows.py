@@ -210,3 +210,15 @@ def test_processor_asks_the_state_once_a_bucket_that_it_keeps():
     assert (head.repeated, head.events, head.late_dropped) == (10, 5_000, 0) and p.buckets.calls <= 62
     last = rows[rows["window_end_ms"] == head.closed_until_ms].iloc[0]
     assert (last["trips_60m"], last["count_15m"], last["fare_cents_15m"] in (21, 24)) == (60, 15, True)
+
+
+def test_recent_points_pick_the_last_ones_before_any_row_travels(spark):
+    points = [(z, None if t == 0 else t // 2 * 60_000, t // 2) for z in (1, 2, None) for t in range(40 * (z or 3))]  # all but the null one twice
+    df = spark.createDataFrame(points, "zone int, window_end_ms long, trips_5m long").repartition(3)
+    made = windows.recent_points(df, 7)
+    plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].splitlines()
+    shuffles = [k for k, line in enumerate(plan) if "Exchange hashpartitioning" in line]
+    assert len(shuffles) == 1 and "WindowGroupLimit" in "".join(plan[shuffles[0] :])
+    want = {(z, w, v) for z in (1, 2, None) for w, v in sorted({(w, v) for y, w, v in points if y == z}, key=lambda x: -1 if x[0] is None else x[0])[-7:]}
+    got = [tuple(r) for r in made.select("zone", "as_of_ms", "trips_5m").collect()]
+    assert len(got) == len(set(got)) == 21 and set(got) == want
