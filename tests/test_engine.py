@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill import schemas
-from tidemill.config import SUMS, VIEW
+from tidemill.config import CHUNK_EVENTS, SUMS, VIEW
 from tidemill.functions import columns
-from tidemill.operators import cleaning, history, kv, linearizability, measure, model, replay, serving, verify
+from tidemill.operators import cleaning, history, kv, linearizability, measure, model, replay, serving, verify, windows
 from tidemill.plans import offline
 from tidemill.sources import codec, files, fixtures, synthetic
 from tidemill.sources.storage import shared_path
@@ -230,3 +230,11 @@ def test_roc_auc_looks_up_the_part_of_each_distinct_score_only(spark):
     for parts in (2, 3, 64, 256):
         got = model.roc_auc(df, "score", "label", parts).first()
         assert abs(got["auc"] - auc) < 1e-9 and abs(got["average_precision"] - steps) < 1e-9 and got["examples"] == len(scores)
+
+
+def test_chunks_are_small(spark):
+    """A log partition of 2^19 events is ordered in four tasks' shares or more: the most that is ordered at once is a chunk."""
+    trips = spark.range(1 << 19).select(F.lit(0).alias("partition"), F.col("id").alias("offset"), F.lit(1).alias("zone"), F.col("id").alias("event_time_ms"))
+    ordered = windows.prefix_max(trips)
+    assert ordered.where("before_ms is distinct from if(offset = 0, null, offset - 1)").count() == 0
+    assert CHUNK_EVENTS <= 1 << 17
