@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import regex
 from pyspark.sql import functions as F
-from test_llm import DATA, brute_top, docs_of, odd, write
+from test_llm import DATA, brute_top, docs_of, kept_by_edit_distance, odd, write
 
 from tidemill.llm import classifier, decontamination, jaccard, knn, language, licenses, lines, mixing, runs
 
@@ -84,6 +84,41 @@ def test_lines_that_share_a_passage(spark):
     assert {x["doc_id"] for x in found.collect()} == set(range(700))
 
 
+def test_short_lines_that_share_three_words_make_few_pairs(spark, monkeypatch):
+    """4,000 unrelated lines of six words share three: what is dealt grows with the lines, not with their square; near copies among them are found."""
+    r = random.Random(9)
+    own = [[f"o{r.randrange(40_000)}" for _ in range(3)] for _ in range(4000)]
+    rows = [(i, " ".join(["click", "here", "to", *w])) for i, w in enumerate(own)]
+    rows += [(4000 + i, " ".join(["click", "here", "to", *w[:2], f"new{i}"])) for i, w in enumerate(own[:50])]
+    dealt, across = [], lines._ByRuns.across
+    monkeypatch.setattr(lines._ByRuns, "across", lambda self, rows: (dealt.append(rows.count()), across(self, rows))[1])
+    found = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), exact=True).where("text <> ''")
+    assert {x["doc_id"] for x in found.collect()} == set(range(4000))
+    assert dealt[0] < 8 * len(rows)
+
+
+@pytest.mark.parametrize("large", [(0, 0), (3, 0)])
+def test_finer_cells_lose_no_pair(spark, monkeypatch, large):
+    """However many lines count as a large cell, the lines that stay are those by edit distance alone."""
+    monkeypatch.setattr(lines, "LARGE", large)
+    r = random.Random(11)
+    passage = [f"p{i}" for i in range(12)]
+    rows = []
+    for n in (3, 3, 6, 12, 30):
+        for _ in range(12):
+            base = [*passage[: min(12, 2 * n)], *[f"o{r.randrange(40)}" for _ in range(n)]]
+            rows.append(base)
+            for _ in range(2):
+                w = list(base)
+                for _ in range(r.randrange(1, len(w) // 5 + 2)):
+                    at = r.randrange(len(w))
+                    w[at : at + r.choice([0, 1, 1])] = r.choice([[], ["p3"], [f"o{r.randrange(40)}"]])
+                rows.append(w)
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    found = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), exact=True).where("text <> ''")
+    assert {x["doc_id"] for x in found.collect()} == kept_by_edit_distance(rows)
+
+
 def test_edit_distances_of_batches():
     r = random.Random(7)
 

@@ -7,7 +7,8 @@
    so each line joins on its 10 pairs of blocks. SimHash misses most pairs with several edited words.
 3. Pairs are verified: the edit distance over words is at most a fifth of the longer line's words.
    First each line against the smallest one on each of its runs, and the one that most lines meet of those it meets; the components of that; then lines of different components
-   that share a key, in blocks, until all that is similar is connected. So large groups cost linear work and nothing stays apart.
+   that share a key, in blocks, until all that is similar is connected. So large groups cost linear work and nothing stays apart. With ``exact``, lines that share a key with
+   many others (a common passage, or three common words of short lines) are met on their rare words instead (see ``runs.finer``).
 4. Of each connected group the first occurrence (by doc_id, then line) is kept; all other occurrences are removed.
 
 Defined results. Lines are what newlines separate. Lines without words are kept as they are. A null text stays null and has no
@@ -34,6 +35,8 @@ SIMILAR = 0.8
 LANE = 0x0001000100010001
 #: Lines of a block: pairs of blocks are compared in one task.
 BLOCK = 256
+#: Cells with more lines outside their largest component are cut to finer ones; these, with more than the second number, once more.
+LARGE = (64, 1024)
 LONGEST = 16_000  # below 2^14, so that no lane can reach its sign bit; longer lines are summed bit by bit
 _BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
@@ -95,6 +98,9 @@ class _BySimHash:
         self.sims = self.scratch.keep(_simhashes(self.texts))
         return self.sims.select("node", F.explode(_keys(F.col("sim"))).alias("key"))
 
+    def finer(self, placed: DataFrame) -> DataFrame:
+        return placed
+
     def across(self, dealt: DataFrame) -> DataFrame:
         """Links (a, b) of dealt groups."""
         rows = dealt.join(self.sims, "node")
@@ -131,6 +137,25 @@ class _ByRuns:
         self.scratch.drop(self.blocks)
         return self.active.select("node", F.explode("keys").alias("key"))
 
+    def finer(self, placed: DataFrame) -> DataFrame:
+        """Cells in which the similar lines of different components meet that met in the cells (cell, node, comp). Lines of large ones meet on their rare words: first on those
+        that are rare among all of them, then, in what is still large, on those that are rare there. What stays large after all is compared in blocks."""
+        done, tokens = [], None
+        for most in LARGE:
+            shares = placed.groupBy("cell", "comp").agg(F.count("*").alias("m"))
+            sizes = shares.groupBy("cell").agg((F.sum("m") - F.max("m")).alias("outside")).where("outside > 0")
+            mixed = self.scratch.keep(placed.join(sizes.select("cell", (F.col("outside") > most).alias("large")), "cell").select("cell", "node", "comp", "large"))
+            large = mixed.where("large").drop("large")
+            done.append(mixed.where("not large").drop("large"))
+            if large.isEmpty():
+                return reduce(DataFrame.unionByName, done)
+            if tokens is None:
+                large = large.select(F.lit(0).cast("long").alias("cell"), "node", "comp").distinct()
+                rows = self.active.join(large.select("node"), "node").select("node", "codes")
+                tokens = self.scratch.keep(rows.mapInArrow(runs.word_tokens, "node long, most int, tokens array<long>"))
+            placed = self.scratch.keep(_distinct(self.scratch.keep(runs.finer(large, tokens))).drop("least"))
+        return reduce(DataFrame.unionByName, [*done, placed])
+
     def across(self, dealt: DataFrame) -> DataFrame:
         """Links (a, b) of dealt groups, enough to connect what similar lines connect."""
         rows = dealt.join(self.active.select("node", "n", "counts"), "node").select("g", "node", "comp", "is_left", "is_right", "n", "counts")
@@ -151,19 +176,23 @@ def _stars(shared: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("node", "to").alias("a"), F.least("node", "to").alias("b")).distinct()
 
 
+def _distinct(cells: DataFrame) -> DataFrame:
+    """The cells (cell, node, and more) of two lines or more, and least, the smallest of them. Of the cells on which the same lines meet one is enough."""
+    groups = cells.groupBy("cell").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.sum(F.shiftright(F.xxhash64("node"), 24)).alias("name")).where("least <> most")
+    groups = groups.groupBy("name", "least", "most").agg(F.min("cell").alias("cell"))
+    return cells.join(groups.select("cell", "least").hint("shuffle_hash"), "cell")
+
+
 def duplicate_lines(docs: DataFrame, scratch: Scratch, key: Column, exact: bool = False) -> DataFrame:
     """doc and removed (the line numbers that go) of the documents that lose lines."""
     found = (_ByRuns if exact else _BySimHash)(docs.select("doc_id", "text"), key, scratch)
-    keyed = found.keyed().repartition("key")
-    # of the keys on which the same lines meet one is enough
-    groups = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.sum(F.shiftright(F.xxhash64("node"), 24)).alias("name")).where("least <> most")
-    groups = groups.groupBy("name", "least", "most").agg(F.min("key").alias("key"))
-    shared = scratch.keep(keyed.join(groups.select("key", "least").hint("shuffle_hash"), "key").select(F.col("key").alias("cell"), "node", "least"))
+    keyed = found.keyed().select(F.col("key").alias("cell"), "node").repartition("cell")
+    shared = scratch.keep(_distinct(keyed).select("cell", "node", "least"))
     stars = _stars(shared)
     links = cut(found.verified(stars))
     parts = components(links)
     placed = shared.join(parts, "node", "left").select("cell", "node", F.coalesce("comp", "node").alias("comp"))
-    across = cut(found.across(deal(placed, BLOCK)).distinct())
+    across = cut(found.across(deal(found.finer(placed), BLOCK)).distinct())
     if not across.isEmpty():
         parts = components(links.unionByName(across))
 

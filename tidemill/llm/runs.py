@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .cells import sides, whole_keys
@@ -154,21 +155,26 @@ def sent(buckets: int) -> Callable:
 def summed(t: pa.Table) -> pa.Table:
     """Of one bucket: for each block one bit a name, whether it stands more than once in the corpus, and how often for those."""
     names = [np.frombuffer(x.as_py(), "<u4") for x in t.column("names")]
-    weights = [np.ones(len(x), np.int64) for x in names]
+    weights = [np.ones(len(x), np.uint32) for x in names]
     for w, x in zip(weights, t.column("repeats"), strict=True):
         place, many = np.frombuffer(x.as_py(), "<u4").reshape(2, -1)
         w[place] = many
     ends = np.cumsum([len(x) for x in names])
-    every, weight = np.concatenate(names), np.concatenate(weights)
-    order = np.sort(every.astype(_U) << _U(32) | np.arange(len(every), dtype=_U))
-    at, every = (order & _U(0xFFFFFFFF)).astype(np.int64), order >> _U(32)
-    new = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-    total = np.zeros(len(at), np.int64)
-    total[at] = np.repeat(np.add.reduceat(weight[at], new), np.diff(np.append(new, len(at))))
+    weight, order = np.concatenate(weights), np.concatenate(names).astype(_U)
+    del names, weights
+    order <<= _U(32)  # in place, as these are the largest arrays of all tasks
+    order |= np.arange(len(order), dtype=_U)
+    order.sort()
+    at = order.astype(np.uint32)
+    order >>= _U(32)
+    new = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]]))
+    del order
+    total = np.zeros(len(at), np.uint8)
+    total[at] = np.repeat(np.minimum(np.add.reduceat(weight[at], new, dtype=np.int64), MANY).astype(np.uint8), np.diff(np.append(new, len(at))))
     flags, often = [], []
     for part in np.split(total, ends[:-1]):
         flags.append(np.packbits(part > 1).tobytes())
-        often.append(np.minimum(part[part > 1], MANY).astype(np.uint8).tobytes())
+        often.append(part[part > 1].tobytes())
     return t.select(["bucket", "chunk"]).append_column("flags", pa.array(flags, pa.binary())).append_column("often", pa.array(often, pa.binary()))
 
 
@@ -255,6 +261,33 @@ def active(blocks_: DataFrame, hits: DataFrame, buckets: int) -> DataFrame:
     return rows.mapInArrow(keyed(buckets), "node long, n int, codes binary, counts binary, keys array<long>").dropDuplicates(["node"])
 
 
+def word_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, codes) to node, most and tokens: a token is a word and which of its repeats in the line it is; two lines within the edits have one among the ``most``
+    first of each, in any order that holds for both."""
+    for batch in batches:
+        codes = [np.frombuffer(x.as_py(), "<u4") for x in batch.column(1)]
+        n = np.array([len(x) for x in codes], np.int64)
+        key = np.sort(np.repeat(np.arange(len(n), dtype=_U), n) << _U(32) | (np.concatenate(codes).astype(_U) if codes else np.zeros(0, _U)))
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        nth = np.arange(len(key)) - np.repeat(new, np.diff(np.append(new, len(key))))
+        token = ((key << _U(32)) | nth.astype(_U)).view(np.int64)
+        ends = pa.array(np.append(0, np.cumsum(n)), pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n // 5 + 1, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(token))], ["node", "most", "tokens"])
+
+
+def finer(cells: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Cells (cell, node, comp) within cells: lines of different components within the edits that meet in a cell meet in one of its finer ones, too.
+
+    Tokens are ordered by how many lines of the cell have them, and those that only one component has come first, as no such pair shares them
+    (prefix filtering): common passages come last and make no cells."""
+    rows = cells.join(tokens, "node").select("cell", "node", "comp", "most", F.explode("tokens").alias("token"))
+    often = rows.groupBy("cell", "token").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    often = often.select("cell", "token", F.when(F.col("low") < F.col("high"), F.col("m")).otherwise(F.lit(0)).alias("m"))
+    nth = F.row_number().over(W.partitionBy("cell", "node").orderBy("m", "token"))
+    rows = rows.join(often, ["cell", "token"]).withColumn("nth", nth).where("nth <= most and m > 0")
+    return rows.select(F.xxhash64("cell", "token").alias("cell"), "node", "comp")
+
+
 def shared_words(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
     """How many words each pair of code sequences has in common, whatever their places."""
     size = np.array([len(x) + len(y) for x, y in zip(xs, ys, strict=True)], np.int64)
