@@ -97,6 +97,17 @@ def test_short_lines_that_share_three_words_make_few_pairs(spark, monkeypatch):
     assert dealt[0] < 8 * len(rows)
 
 
+def test_lines_that_are_cut_grow_in_proportion(spark, monkeypatch):
+    """Of five times as many unrelated lines that share three words five times as many meet on their rare words."""
+    seen, finer = [], runs.finer
+    monkeypatch.setattr(runs, "finer", lambda cells, tokens: (seen.append(cells.count()), finer(cells, tokens))[1])
+    for many in (50, 250):
+        rows = [(i, f"click here to a{i} b{i} c{i}") for i in range(many)]
+        found = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), exact=True).where("text <> ''")
+        assert found.count() == many
+    assert seen == [50, 250]
+
+
 @pytest.mark.parametrize("large", [(0, 0), (3, 0)])
 def test_finer_cells_lose_no_pair(spark, monkeypatch, large):
     """However many lines count as a large cell, the lines that stay are those by edit distance alone."""

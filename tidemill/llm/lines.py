@@ -35,8 +35,9 @@ SIMILAR = 0.8
 LANE = 0x0001000100010001
 #: Lines of a block: pairs of blocks are compared in one task.
 BLOCK = 256
-#: Cells with more lines outside their largest component are cut to finer ones; these, with more than the second number, once more.
-LARGE = (64, 1024)
+#: Cells with more lines outside their largest component are cut to finer ones; these, with more than the second number, once more. The first is so small that nearly all
+#: lines that can be cut are so at any size of the corpus, and their number grows in proportion; with a larger one ever more of the cells pass it.
+LARGE = (4, 1024)
 LONGEST = 16_000  # below 2^14, so that no lane can reach its sign bit; longer lines are summed bit by bit
 _BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
